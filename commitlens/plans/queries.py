@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from commitlens.functions import text as tx
-from commitlens.functions.answers import parse_filter_answer, taxonomy_unmapped
+from commitlens.functions.answers import parse_filter_answer as parse_filter
+from commitlens.functions.answers import taxonomy_unmapped
 from commitlens.operators import aggregates as agg
 from commitlens.operators import dedup, filters, joins, prompts, releases, sampling, scoring, verify
 from commitlens.operators import extract as ex
@@ -252,19 +253,24 @@ def versions_with_binary(spark, d):
     return releases.versions_with_binary(ad.release_assets(spark, d))
 
 
+def _useful(spark, d):
+    """Exact duplicates dropped first (W1), then versions with a binary."""
+    return releases.versions_with_binary(dedup.exact_dedup(ad.release_assets(spark, d)))
+
+
 @q
 def pick_asset(spark, d):
-    return releases.pick_asset(releases.versions_with_binary(ad.release_assets(spark, d)))
+    return releases.pick_asset(_useful(spark, d))
 
 
 @q
 def pick_archive(spark, d):
-    return releases.pick_archive(releases.versions_with_binary(ad.release_assets(spark, d)))
+    return releases.pick_archive(_useful(spark, d))
 
 
 @q
 def first_release_date(spark, d):
-    return releases.first_release_date(releases.versions_with_binary(ad.release_assets(spark, d)))
+    return releases.first_release_date(_useful(spark, d))
 
 
 @q
@@ -427,7 +433,7 @@ def _messages(spark, d):
 
 
 def _score_out(df):
-    p = parse_filter_answer("answer")
+    p = parse_filter("answer")
     return df.select(*jobs.MSG, "answer", p["positive"].alias("positive"))
 
 
@@ -515,11 +521,21 @@ def stream_score_resume(spark, d):
     return spark.read.parquet(f"{root}/out").select("doc_id", "answer")
 
 
+def _stage_in_time_order(df: DataFrame, path: str, time_col: str, unit: str = "month") -> None:
+    """Deliver ``df`` as one file batch per time unit, oldest first (arrival order).
+
+    Only the distinct units (bounded by the time range) reach the driver."""
+    unit_col = F.date_trunc(unit, F.col(time_col).cast("timestamp"))
+    units = [r[0] for r in df.select(unit_col.alias("u")).distinct().orderBy("u").collect()]
+    for u in units:
+        df.filter(unit_col == F.lit(u)).write.mode("append").parquet(path)
+
+
 @q
 def stream_counts(spark, d):
     root = scratch_path(spark, "stream_counts")
     e = ad.table(spark, d, "events").select("ts", "event_type")
-    _stage_files(e.repartition(4), f"{root}/in")
+    _stage_in_time_order(e, f"{root}/in", "ts")
     inc.running_counts(spark, f"{root}/in", e.schema, "ts", "event_type", f"{root}/out", f"{root}/ckpt")
     out = inc.latest_counts(spark, f"{root}/out", "event_type")
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,31 @@ def funnel(stages: list[tuple[str, DataFrame]], key: str = "commit_link", approx
             .agg(F.count(F.lit(1)).alias("n_rows"), distinct.alias("n_commits")))
 
 
+def funnel_flags(df: DataFrame, key: str, stages: list[tuple[str, Column]], cap: tuple[str, str, int] | None = None
+                 ) -> DataFrame:
+    """A1 in one pass over one table whose rows carry a boolean flag per stage.
+
+    Rows per stage = sum of the flag; distinct keys per stage = number of keys
+    with at least one flagged row, taken from a per-key aggregate (no
+    COUNT DISTINCT expansion, no re-scan per stage).  ``cap=(name, base, k)``
+    adds a stage: rows of ``base`` whose key has at most ``k`` rows in ``base``.
+    """
+    per_key = df.groupBy(key).agg(*[F.sum(c.cast("long")).alias(f"_r{i}") for i, (_, c) in enumerate(stages)])
+    names = [n for n, _ in stages]
+    rows = [(n, F.col(f"_r{i}")) for i, n in enumerate(names)]
+    if cap:
+        cname, base, k = cap
+        r = F.col(f"_r{names.index(base)}")
+        rows.append((cname, F.when(r <= k, r).otherwise(F.lit(0))))
+    tot = per_key.agg(*[x for i, (_, r) in enumerate(rows) for x in (
+        F.sum(r).alias(f"n_rows_{i}"), F.sum((r > 0).cast("long")).alias(f"n_keys_{i}"))])
+    stacked = F.explode(F.array(*[F.struct(F.lit(i).alias("stage_order"), F.lit(n).alias("stage"),
+                                           F.coalesce(F.col(f"n_rows_{i}"), F.lit(0)).alias("n_rows"),
+                                           F.coalesce(F.col(f"n_keys_{i}"), F.lit(0)).alias("n_commits"))
+                                 for i, (n, _) in enumerate(rows)]))
+    return tot.select(stacked.alias("s")).select("s.*")
+
+
 def value_counts(df: DataFrame, key: str, name: str = "n") -> DataFrame:
     """A2: rows per key."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias(name))

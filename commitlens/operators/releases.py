@@ -55,9 +55,34 @@ def first_release_date(assets: DataFrame, date: str = "release_date") -> DataFra
 
 
 def commits_per_project(commits: DataFrame) -> DataFrame:
-    """Distinct commits with their project and date (first row of each commit)."""
-    return first_per_key(commits.select("git_link", "commit_link", "commit_date"), ["commit_link"],
-                         ["commit_date", "git_link"]).filter(F.col("commit_date").isNotNull())
+    """Distinct commits with their project and date (first row of each commit).
+
+    A hash ``distinct`` on the three columns first collapses the changed-file
+    rows (partial aggregation, fixed cost per row); the exact first-per-key
+    (a sort-based ``min_by``) then only sees one row per commit.
+    """
+    c = commits.select("git_link", "commit_link", "commit_date").filter(F.col("commit_date").isNotNull())
+    return first_per_key(c.distinct(), ["commit_link"], ["commit_date", "git_link"])
+
+
+def version_facts(useful: DataFrame, name: str = "download_file_name", link: str = "download_link",
+                  date: str = "release_date") -> DataFrame:
+    """A6 + W4 + W5 in ONE aggregation per (project, version): first release date,
+    chosen ``.apk`` link and chosen source archive (one shuffle instead of three)."""
+    n, k = F.col(name), F.col(link)
+    pref = F.when(n == fixed.PREFERRED_APKS[0], 0).when(n == fixed.PREFERRED_APKS[1], 1).otherwise(2)
+    is_zip = n.contains(".zip")
+    zcand = F.struct(F.length(n).alias("l"), n.alias("n"), k.alias("k"))
+    agg = useful.groupBy(*GV).agg(
+        F.min(date).alias("apk_release_time"),
+        F.min(F.when(n.endswith(".apk"), F.struct(pref.alias("p"), F.length(n).alias("l"), n.alias("n"),
+                                                   k.alias("k")))).alias("_apk"),
+        F.count(F.when(is_zip, 1)).alias("_nz"),
+        F.min(F.when(is_zip, zcand)).alias("_any"),
+        F.min(F.when(is_zip & (n != fixed.EXCLUDED_ARCHIVE), zcand)).alias("_best"))
+    src = F.when(F.col("_nz") == 1, F.col("_any.k")).otherwise(F.col("_best.k"))
+    return agg.select(*GV, "apk_release_time", F.col("_apk.k").alias("apk_download_link"),
+                      src.alias("source_code_download_link"))
 
 
 def pairs_from_assets(commits: DataFrame, assets: DataFrame) -> DataFrame:
@@ -67,9 +92,7 @@ def pairs_from_assets(commits: DataFrame, assets: DataFrame) -> DataFrame:
                         F.col("release_date").alias("r_date"), F.col("download_link").alias("r_link"))
     matched = asof_join(commits_per_project(commits), rel, ["git_link"], "commit_date", "r_date",
                         strict=True, how="inner", tie_break=["r_version", "r_link"])
-    facts = (first_release_date(useful)
-             .join(pick_asset(useful), GV)
-             .join(pick_archive(useful), GV, "left"))
+    facts = version_facts(useful).filter(F.col("apk_download_link").isNotNull())
     return (matched.select("git_link", "commit_link", F.col("commit_date").alias("commit_release_time"),
                            F.col("r_version").alias("apk_version"))
             .join(facts, GV, "left")

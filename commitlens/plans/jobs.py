@@ -34,14 +34,20 @@ def message_text(title: str = "commit_title", description: str = "commit_descrip
 
 
 def unique_messages(commits: DataFrame) -> DataFrame:
-    """W2 before scoring: one row per (title, description), NULL-safe, first link kept."""
-    return first_per_key(commits.select(*MSG, "commit_link", "commit_diff_file"), MSG,
-                         ["commit_link", "commit_diff_file"])
+    """W2 before scoring: one row per (title, description), NULL-safe, first link kept.
+
+    The scoring text ``_msg`` is built before the dedup and carried through the
+    ``min_by`` aggregate.  Because the answer then depends on an aggregate
+    output, Catalyst cannot push a filter on the answer below the dedup (it
+    would otherwise evaluate the scorer on every raw row).
+    """
+    return first_per_key(commits.select(*MSG, "commit_link", "commit_diff_file", message_text().alias("_msg")),
+                         MSG, ["commit_link", "commit_diff_file"])
 
 
 def score_commits(commits: DataFrame, scorer=None) -> DataFrame:
     """Dedup messages, build prompts, score (native lexicon unless a scorer is given)."""
-    u = (unique_messages(commits).withColumn("_msg", message_text())
+    u = (unique_messages(commits)
          .withColumn("_desc", F.coalesce(F.col("commit_description"), F.lit(fixed.EMPTY_DESCRIPTION)))
          .withColumn("prompt", chat_prompt("commit_title", "_desc", SYSTEM_TEXT, EXAMPLES))
          .drop("_desc"))

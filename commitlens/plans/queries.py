@@ -57,11 +57,12 @@ def rule_audit(spark, d):
 
 @q
 def funnel(spark, d):
-    c = ad.commits(spark, d)
-    f1 = filters.heuristic_filter(c)
-    pos = jobs.propagate_scores(f1, jobs.score_commits(f1), by="message").filter("is_perf")
-    capped = filters.fanout_cap(pos)
-    return agg.funnel([("crawled", c), ("heuristic", f1), ("positive", pos), ("capped", capped)])
+    c = ad.commits(spark, d).withColumn("_heur", filters.heuristic_keep())
+    scored = jobs.score_commits(c.filter("_heur"))
+    flagged = jobs.propagate_scores(c, scored, by="message")
+    stages = [("crawled", F.lit(True)), ("heuristic", F.col("_heur")),
+              ("positive", F.col("_heur") & F.col("is_perf"))]
+    return agg.funnel_flags(flagged, "commit_link", stages, cap=("capped", "positive", 5))
 
 
 @q
@@ -429,7 +430,7 @@ def json_props(spark, d):
 # --- scoring ------------------------------------------------------------------
 
 def _messages(spark, d):
-    return jobs.unique_messages(_f1(spark, d)).select(*jobs.MSG).withColumn("_msg", jobs.message_text())
+    return jobs.unique_messages(_f1(spark, d)).select(*jobs.MSG, "_msg")
 
 
 def _score_out(df):

@@ -20,6 +20,8 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 def export_csv(df: DataFrame, path: str) -> str:
     """CSV export with a header; quotes/escapes round-trip multi-line text."""
     opts = {k: v for k, v in CSV_OPTIONS.items() if k in ("header", "quote", "escape")}
+    # the writer trims values by default; keep text byte-exact
+    opts.update(ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
     df.write.mode("overwrite").options(**opts).csv(path)
     return path
 

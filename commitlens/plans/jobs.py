@@ -97,3 +97,25 @@ def label_sheet(classified: DataFrame, seed: str = "0") -> DataFrame:
     for c in ["contain_perf", "PI_caused_class", "PI_causes_method", "PI_root_causes", "optimization_method"]:
         out = out.withColumn(c, F.lit(""))
     return out
+
+
+def snapshot_index(pairs: DataFrame, root: str = "data/Saved_Projects",
+                   order: list[str] | None = None) -> DataFrame:
+    """Project key, commit hash and before/after folders of every unchecked pair;
+    one row per (project, hash) -- the first pair in ``order`` (default: commit link)."""
+    from commitlens.functions.text import last_segment
+
+    todo = pairs.filter(F.col("check").isNull()) if "check" in pairs.columns else pairs
+    parts = F.split("git_link", "/")
+    x = todo.select("*", F.concat_ws("___", F.element_at(parts, -2), F.element_at(parts, -1)).alias("project_name"),
+                    last_segment("commit_link").alias("commit_hash"))
+    x = first_per_key(x, ["project_name", "commit_hash"], order or ["commit_link"])
+    base = F.concat_ws("/", F.lit(root), F.col("project_name"), F.col("commit_hash"))
+    return x.withColumn("before_change_dir", F.concat(base, F.lit("/before_change"))) \
+        .withColumn("after_change_dir", F.concat(base, F.lit("/after_change")))
+
+
+def benchmark_report(pairs: DataFrame) -> DataFrame:
+    """Distinct commits and distinct binaries of a pair table."""
+    return pairs.agg(F.count_distinct("commit_link").alias("n_commits"),
+                     F.count_distinct("apk_download_link").alias("n_apks"))

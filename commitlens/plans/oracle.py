@@ -369,3 +369,22 @@ select cast(n as bigint) as n_items, po_num / n as po, pe_num / (n * n) as pe,
 # M1, M3 and M4 must give exactly the native scorer's answers.
 for _k in ("udf_score", "score_fallback", "score_incremental"):
     SQL[_k] = SQL["lexicon_score"]
+
+SQL.update({
+    "csv_recursive": "select lang as category, count(*) as n_docs, sum(n_chars) as n_chars from documents group by 1",
+    "json_roundtrip": "select doc_id, lang, n_chars, text from documents",
+    "whole_text_sizes": "select source, cast(sum(length(text) + 1) as bigint) as n_chars from documents group by 1",
+    "snapshot_index": with_ctes(("mr", SQL["match_releases"]), body="""select git_link, commit_link, commit_release_time, apk_release_time, apk_version, apk_download_link,
+ source_code_download_link, source, project_name, commit_hash,
+ concat_ws('/', 'data/Saved_Projects', project_name, commit_hash) || '/before_change' as before_change_dir,
+ concat_ws('/', 'data/Saved_Projects', project_name, commit_hash) || '/after_change' as after_change_dir
+ from (select *, row_number() over (partition by project_name, commit_hash
+ order by commit_link, source, apk_version, apk_download_link nulls first, source_code_download_link nulls first) as rn2 from
+ (select *, concat_ws('___', string_split(git_link, '/')[-2], string_split(git_link, '/')[-1]) as project_name,
+  string_split(commit_link, '/')[-1] as commit_hash from mr)) where rn2 = 1"""),
+    "benchmark_report": with_ctes(("mr", SQL["match_releases"]), body="select count(distinct commit_link) as n_commits, count(distinct apk_download_link) as n_apks from mr"),
+    "project_sizes": with_ctes(A("commits"), body="""select split_part(commit_link, '/commit/', 1) as git_link, count(*) as n_commits
+ from (select distinct commit_link from commits) group by 1 having count(*) <= 5000"""),
+    "label_report": with_ctes(A("answers"), CLS, body="""select label, n, row_number() over (order by n desc, label) as rank from
+ (select label, count(*) as n from (select unnest(pi_types) as label from cls) group by 1)"""),
+})

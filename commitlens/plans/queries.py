@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -284,6 +284,25 @@ def match_releases(spark, d):
     return releases.match_releases(ad.commits(spark, d), ad.release_assets(spark, d), ad.store_releases(spark, d))
 
 
+@q
+def snapshot_index(spark, d):
+    # release pairs come before store pairs, as in the concatenated pair file
+    order = ["commit_link", "source", "apk_version", "apk_download_link", "source_code_download_link"]
+    return jobs.snapshot_index(match_releases(spark, d), order=order)
+
+
+@q
+def benchmark_report(spark, d):
+    return jobs.benchmark_report(match_releases(spark, d))
+
+
+@q
+def project_sizes(spark, d):
+    per = agg.value_counts(dedup.unique_values(ad.commits(spark, d), "commit_link")
+                           .select(tx.project_link("commit_link").alias("git_link")), "git_link", "n_commits")
+    return filters.size_threshold(per, "n_commits")
+
+
 @q
 def version_norm(spark, d):
     v = ad.release_assets(spark, d).select("apk_version").unionByName(
@@ -327,6 +346,13 @@ def taxonomy_merge(spark, d):
                     F.array_join(taxonomy_unmapped("pi_types"), "|").alias("unmapped"))
 
 
+@q
+def label_report(spark, d):
+    """O1: label counts ordered by count desc, label asc (rank over a tiny table)."""
+    c = agg.label_counts(jobs.classify(ad.answers(spark, d)), "commit_link", "pi_types")
+    return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "label")).cast("long"))
+
+
 @q
 def category_counts(spark, d):
     return agg.label_counts(jobs.merge_classification(ad.answers(spark, d)), "commit_link", "unique_pi_types")
@@ -474,6 +500,34 @@ def csv_roundtrip(spark, d):
     return readers.read_csv(spark, path, DOC_SCHEMA).select("doc_id", "text", "lang")
 
 
+@q
+def csv_recursive(spark, d):
+    root = scratch_path(spark, "csv_recursive")
+    docs = ad.table(spark, d, "documents")
+    docs.write.partitionBy("lang").options(header="true", quote='"', escape='"',
+                                           ignoreLeadingWhiteSpace="false",
+                                           ignoreTrailingWhiteSpace="false").csv(root)
+    schema = "doc_id long, text string, source string, n_chars long"
+    df = readers.category_from_path(readers.read_csv(spark, root, schema, recursive=True), r"/lang=([^/]+)/")
+    return df.groupBy("category").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+
+
+@q
+def json_roundtrip(spark, d):
+    root = scratch_path(spark, "json_roundtrip")
+    ad.table(spark, d, "documents").write.json(root)
+    return readers.read_json(spark, root, DOC_SCHEMA).select("doc_id", "lang", "n_chars", "text")
+
+
+@q
+def whole_text_sizes(spark, d):
+    root = scratch_path(spark, "whole_text")
+    ad.table(spark, d, "documents").select("source", "text").write.partitionBy("source").text(root)
+    files = readers.read_whole_text(spark, root)
+    src = F.regexp_extract("path", r"/source=([^/]+)/", 1)
+    return files.groupBy(src.alias("source")).agg(F.sum(F.length("content")).cast("long").alias("n_chars"))
+
+
 @q
 def line_counts(spark, d):
     path = scratch_path(spark, "line_counts")

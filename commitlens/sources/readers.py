@@ -59,6 +59,11 @@ def category_from_file(df: DataFrame, name: str = "category") -> DataFrame:
     return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1))
 
 
+def category_from_path(df: DataFrame, pattern: str, name: str = "category") -> DataFrame:
+    """S4 for folder layouts: category = first group of ``pattern`` in the file path."""
+    return df.withColumn(name, F.nullif(F.regexp_extract(F.col("_metadata.file_path"), pattern, 1), F.lit("")))
+
+
 def read_lines(spark: SparkSession, path: str, col: str = "value") -> DataFrame:
     """One stripped string per line; a missing path gives an empty table."""
     schema = T.StructType([T.StructField(col, T.StringType(), True)])
@@ -71,14 +76,15 @@ def read_lines(spark: SparkSession, path: str, col: str = "value") -> DataFrame:
     return df.select(strip_ws("value").alias(col))
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """JSON documents (one per file or per line)."""
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False) -> DataFrame:
+    """JSON lines, or one JSON document per file with ``multi_line=True``."""
+    return spark.read.schema(schema).json(path, multiLine=multi_line)
 
 
 def read_whole_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of every file under ``path``."""
-    df = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    # text() sets wholetext itself (default False), so it must be passed here
+    df = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 

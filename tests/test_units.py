@@ -296,3 +296,58 @@ def test_stream_rerun_reads_nothing_new(spark):
 
 def test_read_lines_missing_file_is_empty(spark):
     assert readers.read_lines(spark, "/tmp/does-not-exist-commitlens/x.txt").count() == 0
+
+
+# --- extraction on fixed page shapes ---------------------------------------------
+
+def test_page_extractors(spark):
+    from commitlens.operators import extract as ex
+    html = ('<html><a href="/a/b">Older</a><a class="x" href="https://h.io/c">  Source Code </a>'
+            '<relative-time class="t" datetime="2024-05-01T10:00:00Z">May 1</relative-time>'
+            '<a href="https://github.com/o/r/releases">Changelog</a><a href="/m.yml">Build Metadata</a></html>')
+    pages = spark.createDataFrame([(1, "https://f.example/en/packages/", html)], "page_id long, url string, html string")
+    links = [(r.href, r.abs_url) for r in ex.page_links(pages).orderBy("pos").collect()]
+    assert links[0] == ("/a/b", "https://f.example/a/b") and links[1] == ("https://h.io/c", "https://h.io/c")
+    r = pages.select(ex.link_by_anchor("html", "Source Code").alias("s"), ex.machine_time("html").alias("t"),
+                     ex.changelog_links("html", F.lit("https://github.com/o/r")).alias("c")).first()
+    assert r.s == "https://h.io/c" and str(r.t) == "2024-05-01 10:00:00" and r.c.valid
+    anchors = ex.page_anchors(spark.createDataFrame(
+        [(1, '<a href="/o/r/commit/abc">Fix it</a><a href="/o/r/commit/def">Initial commit</a>')],
+        "page_id long, html string"))
+    assert [(c.commit_hash, c.anchor_text) for c in ex.commit_list(anchors).collect()] == [("abc", "Fix it")]
+
+
+def test_version_header_and_category(spark):
+    from commitlens.operators import extract as ex
+    h = "Version 1.4.2 (142) suggested Added on Aug 21, 2024"
+    r = one(spark, h).select(ex.version_header("x").alias("v")).first().v
+    assert (r.version, r.code, r.added_on) == ("1.4.2", "142", "Aug 21, 2024")
+    assert ev(spark, "https://f.example/en/categories/games/", ex.category_from_url("x")) == "games"
+    assert ev(spark, "1,234 commits", tx.digits_number("x")) == 1234
+
+
+def test_diff_json_and_hunks(spark):
+    from commitlens.operators import extract as ex
+    js = '{"commit": {"message": "m"}, "files": [{"filename": "a", "patch": "@@ -3,2 +4,5 @@ x\\n@@ -10 +12 @@"}]}'
+    r = one(spark, js).select(ex.diff_json("x").alias("d")).first().d
+    assert r.message == "m" and r.files[0].filename == "a"
+    h = one(spark, r.files[0].patch).select(ex.hunk_starts("x").alias("h")).first().h
+    assert (h.old_starts, h.new_starts) == ([3, 10], [4, 12])
+
+
+def test_first_between_dotall(spark):
+    assert ev(spark, "a<x>1\n2</x><x>3</x>", tx.first_between("x", "<x>", "</x>")) == "1\n2"
+
+
+def test_csv_quarantine_and_inventory(spark, tmp_path_factory):
+    root = scratch_path(spark, "unit_quarantine")
+    good = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "id long, v string")
+    bad = spark.createDataFrame([("x1", "c")], "id string, v string")
+    sinks.export_csv(good, f"{root}/good")
+    sinks.export_csv(bad, f"{root}/nested/bad")
+    ok, quarantined = readers.read_csv_quarantine(spark, root, "id long, v string")
+    assert sorted(tuple(r) for r in ok.collect()) == [(1, "a"), (2, "b")]
+    assert quarantined.count() == 1
+    inv = readers.file_inventory(spark, root, suffixes=[".csv"])
+    counts = {r.ext: r.n_files for r in readers.extension_counts(inv).collect()}
+    assert counts == {".csv": inv.count()} and inv.count() >= 2

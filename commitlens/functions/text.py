@@ -112,6 +112,12 @@ def iso_date(c: ColumnOrName) -> Column:
     return F.to_date(F.split_part(_c(c), F.lit("T"), F.lit(1)))
 
 
+def ntz_as_utc(c: ColumnOrName) -> Column:
+    """TIMESTAMP_NTZ -> TIMESTAMP, reading the wall clock as UTC whatever the
+    session zone is (exact also in daylight-saving gaps and overlaps)."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), _c(c)).cast("timestamp")
+
+
 def normalized_version(c: ColumnOrName) -> Column:
     """First dotted number in a version label ('Release 1.2' -> '1.2'); NULL if none."""
     return F.nullif(F.regexp_extract(_c(c), r"\d+(\.\d+)+", 0), F.lit(""))

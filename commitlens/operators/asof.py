@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from commitlens.functions.text import ntz_as_utc
+
 
 def _typed_null(dt: T.DataType) -> Column:
     return F.lit(None).cast(dt)
@@ -52,7 +54,13 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     date_mode = isinstance(ltype, T.DateType) and isinstance(right.schema[right_time].dataType, T.DateType)
 
     def bucket_of(c: str) -> Column:
-        return F.col(c) if date_mode else F.date_trunc(bucket, F.col(c).cast("timestamp"))
+        # only zone-free expressions: the result must not depend on the session zone
+        if date_mode:
+            return F.col(c)
+        col = F.col(c).cast(ltype)
+        if bucket == "day":
+            return F.to_date(col)
+        return F.date_trunc(bucket, ntz_as_utc(col) if isinstance(ltype, T.TimestampNTZType) else col)
 
     r = (right.filter(F.col(right_time).isNotNull())
          .na.drop(subset=by)
@@ -85,11 +93,11 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
         # sorts first when strict (so equal-time right rows are not seen).
         l_first, r_first = (0, 1) if strict else (1, 0)
         lcols = left.columns
-        lv = left.select(*by, bucket_of(left_time).alias("_b"), F.col(left_time).cast("timestamp").alias("_t"),
+        lv = left.select(*by, bucket_of(left_time).alias("_b"), F.col(left_time).alias("_t"),
                          F.lit(l_first).alias("_s"), _typed_null(rk_type).alias("_rk"),
                          F.struct(*[F.col(c) for c in lcols]).alias("_lv"), _typed_null(rv_type).alias("_rv"))
         lv_type = lv.schema["_lv"].dataType
-        rr = r.select(*by, "_b", F.col("_rk._t").cast("timestamp").alias("_t"), F.lit(r_first).alias("_s"),
+        rr = r.select(*by, "_b", F.col("_rk._t").cast(ltype).alias("_t"), F.lit(r_first).alias("_s"),
                       "_rk", _typed_null(lv_type).alias("_lv"), "_rv")
         w2 = (Window.partitionBy(*by, "_b").orderBy("_t", "_s", "_rk")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -42,6 +42,13 @@ def page_anchors(pages: DataFrame, html: str = "html", key: str = "page_id") ->
                     F.col("a.text").alias("anchor_text"))
 
 
+def page_blocks(pages: DataFrame, tag: str = "p", html: str = "html", key: str = "page_id") -> DataFrame:
+    """X2/X8/X10 pattern: split a page into its ``<tag>`` blocks, one row per block in order."""
+    blocks = F.regexp_extract_all(F.col(html), F.lit(f"<{tag}[^>]*>([^<]*)"), 1)
+    x = pages.select(key, F.posexplode(blocks).alias("pos", "block"))
+    return x.select(key, F.col("pos").cast("long").alias("pos"), strip_ws("block").alias("text"))
+
+
 def link_by_anchor(html: ColumnOrName, anchor_text: str) -> Column:
     """Href of the first link whose text is ``anchor_text``; NULL if absent."""
     pat = r'<a[^>]*href="([^"]*)"[^>]*>\s*' + anchor_text.replace("\\", "\\\\") + r"\s*</a>"

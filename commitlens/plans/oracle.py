@@ -388,3 +388,13 @@ SQL.update({
     "label_report": with_ctes(A("answers"), CLS, body="""select label, n, row_number() over (order by n desc, label) as rank from
  (select label, count(*) as n from (select unnest(pi_types) as label from cls) group by 1)"""),
 })
+
+SQL.update({
+    "gap_fill": SQL["match_releases"].replace("select *, 'release' as source from apairs union all\n", "").replace(
+        "select distinct s.*, 'store' as source from spairs s", "select distinct s.* from spairs s"),
+    "page_sections": f"""select page_id, cast(x.pos as bigint) as pos, {strip('x.b')} as text from (select page_id,
+ unnest(list_transform(regexp_extract_all(html, '<p[^>]*>([^<]*)', 1), lambda b, i: {{'b': b, 'pos': i - 1}})) as x from pages)""",
+    "unmapped_labels": with_ctes(A("answers"), CLS, body=f"""select label, count(*) as n from (select unnest(list_filter(pi_types,
+ lambda y: y not in {KNOWN})) as label from cls where not is_na) group by 1"""),
+    "stream_page_links": SQL["page_links"],
+})

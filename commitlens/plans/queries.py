@@ -303,6 +303,13 @@ def project_sizes(spark, d):
     return filters.size_threshold(per, "n_commits")
 
 
+@q
+def gap_fill(spark, d):
+    """J8 alone: the store pairs added for versions the release source lacks."""
+    m = match_releases(spark, d)
+    return m.filter(F.col("source") == "store").drop("source")
+
+
 @q
 def version_norm(spark, d):
     v = ad.release_assets(spark, d).select("apk_version").unionByName(
@@ -353,6 +360,13 @@ def label_report(spark, d):
     return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "label")).cast("long"))
 
 
+@q
+def unmapped_labels(spark, d):
+    """E15 report: raw labels that the taxonomy neither maps nor ignores."""
+    m = jobs.classify(ad.answers(spark, d)).filter(~F.col("is_na"))
+    return agg.label_counts(m.select("commit_link", taxonomy_unmapped("pi_types").alias("u")), "commit_link", "u")
+
+
 @q
 def category_counts(spark, d):
     return agg.label_counts(jobs.merge_classification(ad.answers(spark, d)), "commit_link", "unique_pi_types")
@@ -447,6 +461,11 @@ def page_title(spark, d):
                     ex.link_by_anchor("html", "and").alias("and_link"))
 
 
+@q
+def page_sections(spark, d):
+    return ex.page_blocks(ad.table(spark, d, "pages"), "p")
+
+
 @q
 def json_props(spark, d):
     e = ad.table(spark, d, "events")
@@ -586,6 +605,15 @@ def _stage_in_time_order(df: DataFrame, path: str, time_col: str, unit: str = "m
         df.filter(unit_col == F.lit(u)).write.mode("append").parquet(path)
 
 
+@q
+def stream_page_links(spark, d):
+    root = scratch_path(spark, "stream_pages")
+    pages = ad.table(spark, d, "pages")
+    _stage_files(pages, f"{root}/in", copies=2)  # every page delivered twice
+    inc.parse_resume(spark, f"{root}/in", pages.schema, "page_id", f"{root}/out", f"{root}/ckpt", ex.page_links)
+    return spark.read.parquet(f"{root}/out")
+
+
 @q
 def stream_counts(spark, d):
     root = scratch_path(spark, "stream_counts")
@@ -593,4 +621,4 @@ def stream_counts(spark, d):
     _stage_in_time_order(e, f"{root}/in", "ts")
     inc.running_counts(spark, f"{root}/in", e.schema, "ts", "event_type", f"{root}/out", f"{root}/ckpt")
     out = inc.latest_counts(spark, f"{root}/out", "event_type")
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+    return out.select("window_start", "event_type", "n")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from commitlens.functions.text import ntz_as_utc
+
 
 def _run(writer, timeout_s: int = 600) -> None:
     q = writer.trigger(availableNow=True).start()
@@ -52,6 +54,17 @@ def ingest_dedup(spark: SparkSession, source: str, schema: T.StructType, key: li
     return sink
 
 
+def parse_resume(spark: SparkSession, source: str, schema: T.StructType, key: str, sink: str, checkpoint: str,
+                 parse: Callable[[DataFrame], DataFrame], max_files_per_trigger: int | None = 1) -> str:
+    """Parse newly arrived pages once (a page handled before is skipped, also
+    across deliveries) and append the parsed rows; the checkpoint is the
+    "handled" list."""
+    s = file_stream(spark, source, schema, max_files_per_trigger=max_files_per_trigger).dropDuplicates([key])
+    _run(parse(s).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+         .outputMode("append"))
+    return sink
+
+
 def score_resume(spark: SparkSession, source: str, schema: T.StructType, key: str, sink: str,
                  checkpoint: str, score: Callable[[DataFrame], DataFrame],
                  max_files_per_trigger: int | None = 1) -> str:
@@ -83,13 +96,21 @@ def running_counts(spark: SparkSession, source: str, schema: T.StructType, time_
     one row per (window, group, batch) and readers take the latest batch.
     """
     s = file_stream(spark, source, schema, max_files_per_trigger=max_files_per_trigger)
-    agg = (s.withColumn(time_col, F.col(time_col).cast("timestamp"))
-           .withWatermark(time_col, delay)
-           .groupBy(F.window(time_col, window).alias("w"), group)
-           .agg(F.count(F.lit(1)).alias("n")))
+    ntz = isinstance(schema[time_col].dataType, T.TimestampNTZType)
+    # watermarks need TIMESTAMP; an NTZ wall clock is read as UTC (zone-free)
+    s = s.withColumn("_ts", ntz_as_utc(time_col) if ntz else F.col(time_col))
+    keys = [F.window("_ts", window).alias("w"), F.col(group)]
+    if ntz:  # report the window start on the NTZ clock (functionally dependent on w)
+        micros = F.unix_micros("_ts")
+        step = F.expr(f"unix_micros(timestamp'1970-01-01 00:00:00 UTC' + INTERVAL '{window}')")
+        off = F.pmod(micros, step)
+        keys.append((F.col(time_col) - F.make_dt_interval(secs=(off / F.lit(1_000_000)).cast("decimal(18,6)")))
+                    .alias("_ws"))
+    agg = s.withWatermark("_ts", delay).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        (df.select(F.col("w.start").alias("window_start"), group, "n")
+        start = F.col("_ws") if ntz else F.col("w.start")
+        (df.select(start.alias("window_start"), group, "n")
          .withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(sink))
 
     _run(agg.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint))

@@ -351,3 +351,19 @@ def test_csv_quarantine_and_inventory(spark, tmp_path_factory):
     inv = readers.file_inventory(spark, root, suffixes=[".csv"])
     counts = {r.ext: r.n_files for r in readers.extension_counts(inv).collect()}
     assert counts == {".csv": inv.count()} and inv.count() >= 2
+
+
+def test_time_queries_do_not_depend_on_session_zone(spark):
+    """Buckets and stream windows read TIMESTAMP_NTZ wall clocks zone-free."""
+    import __spark_entry__ as entry
+    from tests.oracle_compare import compare, duck
+
+    con = duck("/root/testdata/sf0.01")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        for name in ("asof_events", "stream_counts"):
+            res = compare(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], "/root/testdata/sf0.01")
+            assert res["ok"], res
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

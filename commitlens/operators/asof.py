@@ -31,21 +31,50 @@ def _typed_null(dt: T.DataType) -> Column:
     return F.lit(None).cast(dt)
 
 
+def _split_hot_buckets(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str,
+                       base_bucket, ltype: T.DataType, max_bucket_rows: int, pieces: int):
+    """Bucket columns that cut every (key, bucket) holding more than
+    ``max_bucket_rows`` rows into ``pieces`` time ranges at approximate
+    quantiles.  Equal times always share a piece, and pieces keep time order,
+    so the carry logic stays exact whatever the cut points are.  The table of
+    cut points has one row per hot bucket (at most total_rows / max_bucket_rows
+    rows), so joining it is cheap."""
+    def micros(c: str) -> Column:
+        col = F.col(c).cast(ltype)
+        return F.unix_micros(ntz_as_utc(col) if isinstance(ltype, T.TimestampNTZType) else col)
+
+    both = (left.select(*by, base_bucket(left_time).alias("_b0"), micros(left_time).alias("_us"))
+            .unionByName(right.select(*by, base_bucket(right_time).alias("_b0"), micros(right_time).alias("_us"))))
+    hot = both.groupBy(*by, "_b0").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_bucket_rows)
+    probs = [i / pieces for i in range(1, pieces)]
+    cuts = (both.join(hot.select(*by, "_b0"), on=[*by, "_b0"], how="left_semi")
+            .groupBy(*by, "_b0").agg(F.percentile_approx("_us", probs, 10000).alias("_cuts")))
+
+    def with_bucket(df: DataFrame, c: str) -> DataFrame:
+        x = df.withColumn("_b0", base_bucket(c)).join(cuts, on=[*by, "_b0"], how="left")
+        us = micros(c)
+        piece = F.coalesce(F.size(F.filter("_cuts", lambda v: v <= us)), F.lit(0))
+        return x.withColumn("_bk", F.struct(F.col("_b0").alias("b"), piece.alias("p"))).drop("_b0", "_cuts")
+    return with_bucket
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, *,
               strict: bool = True, how: str = "inner", tie_break: list[str] | None = None,
-              bucket: str = "day") -> DataFrame:
+              bucket: str = "day", max_bucket_rows: int | None = 1_000_000, pieces: int = 64) -> DataFrame:
     """Attach to each left row the columns of its as-of right row.
 
     ``by`` names the key columns (same names on both sides).  Right columns
     other than ``by`` are carried; they must not clash with left names.
     Among right rows with the same time the one with the largest ``tie_break``
     tuple wins.  ``how`` is ``inner`` (drop unmatched left rows) or ``left``.
-    ``bucket`` ('day', 'hour', ...) sets the time bucket for timestamp keys.
+    ``bucket`` ('day', 'hour', ...) sets the time bucket for timestamp keys;
+    a (key, bucket) with more than ``max_bucket_rows`` rows is cut into
+    ``pieces`` time ranges so no single window partition holds a hot group.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
     tie_break = tie_break or []
-    carried = [c for c in right.columns if c not in by]
+    carried = [c for c in right.columns if c not in by and c != "_bk"]
     clash = set(carried) & set(left.columns)
     if clash:
         raise ValueError(f"rename right columns first: {sorted(clash)}")
@@ -62,16 +91,29 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
             return F.to_date(col)
         return F.date_trunc(bucket, ntz_as_utc(col) if isinstance(ltype, T.TimestampNTZType) else col)
 
+    if not date_mode and max_bucket_rows:
+        add_bucket = _split_hot_buckets(left, right, by, left_time, right_time, bucket_of, ltype,
+                                        max_bucket_rows, pieces)
+        left = add_bucket(left, left_time)
+        right = add_bucket(right, right_time)
+        bucket_col = {left_time: F.col("_bk"), right_time: F.col("_bk")}
+    else:
+        bucket_col = {}
+    orig_left_cols = [c for c in left.columns if c != "_bk"]
+
+    def bucket_expr(c: str) -> Column:
+        return bucket_col[c] if c in bucket_col else bucket_of(c)
+
     r = (right.filter(F.col(right_time).isNotNull())
          .na.drop(subset=by)
-         .select(*by, bucket_of(right_time).alias("_b"),
+         .select(*by, bucket_expr(right_time).alias("_b"),
                  F.struct(F.col(right_time).alias("_t"), *[F.col(c) for c in tie_break]).alias("_rk"),
                  F.struct(*[F.col(c) for c in carried]).alias("_rv")))
     rv_type = r.schema["_rv"].dataType
     rk_type = r.schema["_rk"].dataType
 
     summary = r.groupBy(*by, "_b").agg(F.max_by("_rv", "_rk").alias("_rv"))
-    lb = left.select(*by, bucket_of(left_time).alias("_b")).distinct()
+    lb = left.select(*by, bucket_expr(left_time).alias("_b")).distinct()
 
     # side 0 = left bucket, 1 = right summary.  Strict (and every timestamp
     # case) puts the left bucket first on equal buckets so only earlier
@@ -92,8 +134,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
         # the same (key, bucket), ordered by time; on equal time the left row
         # sorts first when strict (so equal-time right rows are not seen).
         l_first, r_first = (0, 1) if strict else (1, 0)
-        lcols = left.columns
-        lv = left.select(*by, bucket_of(left_time).alias("_b"), F.col(left_time).alias("_t"),
+        lcols = orig_left_cols
+        lv = left.select(*by, bucket_expr(left_time).alias("_b"), F.col(left_time).alias("_t"),
                          F.lit(l_first).alias("_s"), _typed_null(rk_type).alias("_rk"),
                          F.struct(*[F.col(c) for c in lcols]).alias("_lv"), _typed_null(rv_type).alias("_rv"))
         lv_type = lv.schema["_lv"].dataType
@@ -109,4 +151,4 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     out = out.withColumn("_m", match)
     if how == "inner":
         out = out.filter(F.col("_m").isNotNull())
-    return out.select(*left.columns, *[F.col(f"_m.{c}").alias(c) for c in carried])
+    return out.select(*orig_left_cols, *[F.col(f"_m.{c}").alias(c) for c in carried])

@@ -2,11 +2,10 @@
 
 Sample size per stratum: n = ceil(n0 / (1 + (n0 - 1) / N)), n0 = z^2 p (1-p) / e^2.
 Rows are ranked per stratum by md5(key | stratum | seed) and the n smallest
-are kept.  To keep a huge stratum out of a single sorting task, rows are
-first filtered by the same hash against a threshold that keeps about
-n + 6 sqrt(n) + 20 rows; the kept rows are a prefix of the hash order, so
-when at least n rows pass the result is exactly the full ranking's.  A
-stratum with fewer passing rows (a six-sigma event) is ranked in full.
+are kept.  To keep a huge stratum out of a single sorting task, only a prefix
+of the hash order is ranked: rows are bucketed into hash-threshold levels and
+the lowest level prefix that holds at least n rows is chosen per stratum (see
+``stratified_sample``); the result equals the full ranking exactly.
 """
 
 from __future__ import annotations
@@ -41,20 +40,35 @@ def _rank_hash(key: str, stratum: str, seed: str) -> Column:
     return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col(stratum).cast("string"), F.lit(seed)))
 
 
-def stratified_sample(strata: DataFrame, key: str, stratum: str, seed: str = "0", **kw) -> DataFrame:
-    """(key, stratum, rank) of the sampled rows; ``strata`` holds one row per (key, stratum)."""
+def stratified_sample(strata: DataFrame, key: str, stratum: str, seed: str = "0",
+                      margin_sigmas: float = 6.0, margin_rows: float = 20.0, **kw) -> DataFrame:
+    """(key, stratum, rank) of the sampled rows; ``strata`` holds one row per (key, stratum).
+
+    Every row gets the smallest level L whose threshold t_L = t_0 * 4^L exceeds
+    its hash fraction u (t_0 keeps ~n + 6 sqrt(n) + 20 rows).  Rows of level <= L
+    are exactly the rows with u < t_L, a prefix of the hash order.  Per stratum
+    we pick the lowest level whose prefix holds >= n rows (counts per (stratum,
+    level) are a tiny aggregate) and rank only that prefix, so no stratum is
+    ever sorted whole: the chosen prefix has O(n) rows (at most ~4x the target
+    even when a level falls short).
+    """
     s = strata.select(key, stratum).distinct()
     sizes = sample_sizes(s, key, stratum, **kw)
     h = _rank_hash(key, stratum, seed)
     u = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(float(16 ** 8))
     n = F.col("sample_size").cast("double")
-    thr = (n + F.lit(6.0) * F.sqrt(n) + F.lit(20.0)) / F.col("population").cast("double")
-    rows = s.join(sizes, on=stratum).withColumn("_h", h).withColumn("_u", u).withColumn("_thr", thr)
-    pre = rows.filter(F.col("_u") < F.col("_thr"))
-    passed = pre.groupBy(stratum).agg(F.count(F.lit(1)).alias("_passed"))
-    short = (sizes.join(passed, on=stratum, how="left")
-             .filter(F.coalesce(F.col("_passed"), F.lit(0)) < F.col("sample_size")).select(stratum))
-    pool = pre.join(short, on=stratum, how="left_anti").unionByName(rows.join(short, on=stratum, how="left_semi"))
+    t0 = (n + F.lit(margin_sigmas) * F.sqrt(n) + F.lit(margin_rows)) / F.col("population").cast("double")
+    # level = smallest L >= 0 with u < t0 * 4^L  (u < 1 always, so the level is finite)
+    level = F.greatest(F.lit(0), F.floor(F.log(4.0, u / t0) + F.lit(1)).cast("int"))
+    level = F.when(u < t0, F.lit(0)).otherwise(level)
+    rows = s.join(sizes, on=stratum).withColumn("_h", h).withColumn("_lvl", level)
+    per_level = rows.groupBy(stratum, "_lvl").agg(F.count(F.lit(1)).alias("_c"))
+    cum = Window.partitionBy(stratum).orderBy("_lvl").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chosen = (per_level.withColumn("_cum", F.sum("_c").over(cum))
+              .join(sizes.select(stratum, "sample_size"), on=stratum)
+              .filter(F.col("_cum") >= F.col("sample_size"))
+              .groupBy(stratum).agg(F.min("_lvl").alias("_max_lvl")))
+    pool = rows.join(chosen, on=stratum).filter(F.col("_lvl") <= F.col("_max_lvl"))
     w = Window.partitionBy(stratum).orderBy("_h", key)
     return (pool.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= F.col("sample_size"))

@@ -182,10 +182,13 @@ def test_sample_sizes_published_values(spark):
     assert got == [1, 10, 80, 278, 375]
 
 
-def test_stratified_sample_prefilter_is_exact_on_skewed_strata(spark):
+@pytest.mark.parametrize("margins", [(6.0, 20.0), (0.0, 0.0), (-3.0, 0.0)])
+def test_stratified_sample_prefilter_is_exact_on_skewed_strata(spark, margins):
+    # zero / negative margins make level 0 fall short, so higher levels are used
     rows = [(i, "hot") for i in range(20000)] + [(i, f"s{i % 7}") for i in range(700)]
     df = spark.createDataFrame(rows, "k long, s string")
-    got = sorted(tuple(r) for r in sampling.stratified_sample(df, "k", "s", seed="7").collect())
+    got = sorted(tuple(r) for r in sampling.stratified_sample(
+        df, "k", "s", seed="7", margin_sigmas=margins[0], margin_rows=margins[1]).collect())
     # brute force: full ranking per stratum by the same hash
     h = F.md5(F.concat_ws("|", F.col("k").cast("string"), F.col("s"), F.lit("7")))
     sizes = {r.s: r.sample_size for r in sampling.sample_sizes(df, "k", "s").collect()}
@@ -207,23 +210,24 @@ def brute_asof(left, right, strict):
 
 
 @pytest.mark.parametrize("strict", [True, False])
-@pytest.mark.parametrize("kind", ["date", "timestamp"])
-def test_asof_equals_brute_force(spark, strict, kind):
+@pytest.mark.parametrize("kind,max_rows", [("date", None), ("timestamp", None), ("timestamp", 5),
+                                           ("timestamp_ntz", 5)])
+def test_asof_equals_brute_force(spark, strict, kind, max_rows):
     import datetime as dt
     rnd = random.Random(3)
     base = dt.datetime(2024, 1, 1)
 
     def t(x):
-        v = base + dt.timedelta(hours=x * 7)
+        v = base + dt.timedelta(hours=x * 7, minutes=x % 5)
         return v.date() if kind == "date" else v
     # key 0 is hot: a third of all rows; many equal times to exercise ties
     left = [(rnd.choice([0, 0, 1, 2, 3]), i, t(rnd.randint(0, 60))) for i in range(400)]
     right = [(rnd.choice([0, 0, 1, 2, 4]), 1000 + i, t(rnd.randint(0, 60))) for i in range(300)]
-    typ = "date" if kind == "date" else "timestamp"
-    L = spark.createDataFrame(left, f"k int, lid int, lt {typ}")
-    R = spark.createDataFrame(right, f"k int, rid int, rt {typ}")
+    L = spark.createDataFrame(left, f"k int, lid int, lt {kind}")
+    R = spark.createDataFrame(right, f"k int, rid int, rt {kind}")
+    # max_rows=5 cuts every (key, day) into time pieces: the hot-group path
     got = {r.lid: r.rid for r in asof_join(L, R, ["k"], "lt", "rt", strict=strict, how="left",
-                                            tie_break=["rid"]).collect()}
+                                            tie_break=["rid"], max_bucket_rows=max_rows, pieces=4).collect()}
     assert got == brute_asof(left, right, strict)
 
 
@@ -367,3 +371,23 @@ def test_time_queries_do_not_depend_on_session_zone(spark):
             assert res["ok"], res
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_score_resume_rerun_and_new_delivery(spark):
+    root = scratch_path(spark, "unit_resume")
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string")
+    df.write.parquet(f"{root}/in")
+    df.write.mode("append").parquet(f"{root}/in")  # duplicate delivery
+
+    def score(x):
+        return x.select("doc_id", F.upper("text").alias("answer"))
+
+    args = (spark, f"{root}/in", df.schema, "doc_id", f"{root}/out", f"{root}/ckpt", score)
+    inc.score_resume(*args)
+    inc.score_resume(*args)  # rerun on the same checkpoint: nothing new
+    assert spark.read.parquet(f"{root}/out").count() == 30
+    more = spark.createDataFrame([(i, f"text {i}") for i in range(25, 40)], "doc_id long, text string")
+    more.write.mode("append").parquet(f"{root}/in")
+    inc.score_resume(*args)
+    out = spark.read.parquet(f"{root}/out")
+    assert out.count() == 40 and out.select("doc_id").distinct().count() == 40

@@ -110,3 +110,61 @@ def changelog_links(html: ColumnOrName, git_link: ColumnOrName) -> Column:
     meta = link_by_anchor(html, "Build Metadata")
     valid = ch.isNotNull() & meta.isNotNull() & (ch == F.concat(_c(git_link), F.lit("/releases")))
     return F.struct(ch.alias("changelog_link"), meta.alias("build_metadata"), valid.alias("valid"))
+
+
+def _tags_to_text(c: Column) -> Column:
+    return F.regexp_replace(c, r"<[^>]+>", "")
+
+
+def commit_page_files(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+    """Commit page -> one row per changed file: description, path, the diff text
+    (concatenated code cells) and the line numbers of added / deleted lines.
+
+    A file is a ``copilot-diff-entry`` block; a diff line is a ``show-top-border``
+    table row whose last cell says whether it is an addition (new line number in
+    the second cell) or a deletion (old line number in the first cell).  The
+    page-level description is kept on every file row (X12).
+    """
+    desc = F.regexp_extract(F.col(html), r'(?s)<div[^>]*class="[^"]*commit-desc[^"]*"[^>]*>\s*<pre>(.*?)</pre>', 1)
+    blocks = F.slice(F.split(F.col(html), "<copilot-diff-entry"), 2, 1_000_000)
+    x = pages.select(key, strip_ws(_tags_to_text(desc)).alias("commit_description"),
+                     F.posexplode(blocks).alias("file_pos", "block"))
+    rows = F.regexp_extract_all(F.col("block"), F.lit(r'(?s)<tr[^>]*show-top-border[^>]*>(.*?)</tr>'), 1)
+
+    def last_cell_class(r):
+        return F.regexp_extract(r, r'(?s).*<td([^>]*)>', 1)
+
+    def last_cell_text(r):
+        return _tags_to_text(F.regexp_extract(r, r'(?s).*<td[^>]*>(.*?)</td>', 1))
+
+    def first_num(r):
+        return F.nullif(F.regexp_extract(r, r'<td[^>]*data-line-number="(\d+)"', 1), F.lit("")).cast("int")
+
+    def second_num(r):
+        return F.nullif(F.regexp_extract(r, r'(?s)<td[^>]*>.*?</td>\s*<td[^>]*data-line-number="(\d+)"', 1),
+                        F.lit("")).cast("int")
+
+    added = F.filter(F.transform(rows, lambda r: F.when(last_cell_class(r).contains("blob-code-addition"),
+                                                        second_num(r))), lambda v: v.isNotNull())
+    deleted = F.filter(F.transform(rows, lambda r: F.when(last_cell_class(r).contains("blob-code-deletion"),
+                                                          first_num(r))), lambda v: v.isNotNull())
+    return x.select(key, "commit_description", F.col("file_pos").cast("long").alias("file_pos"),
+                    F.regexp_extract("block", r'data-file-path="([^"]*)"', 1).alias("commit_diff_file"),
+                    F.array_join(F.transform(rows, last_cell_text), "").alias("commit_diff"),
+                    added.alias("added_lines"), deleted.alias("deleted_lines"))
+
+
+def release_assets_from_page(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+    """Release page -> one row per downloadable asset of every non-pre-release
+    section: version label, asset link, file name and release time."""
+    sections = F.regexp_extract_all(F.col(html), F.lit(r"(?s)<section[^>]*>(.*?)</section>"), 1)
+    x = pages.select(key, F.posexplode(sections).alias("section_pos", "sec"))
+    x = x.filter(~F.col("sec").rlike(r">\s*Pre-release\s*<"))
+    x = x.select(key, "section_pos",
+                 strip_ws(F.regexp_extract("sec", r'class="[^"]*sr-only[^"]*"[^>]*>([^<]*)<', 1)).alias("apk_version"),
+                 F.explode(F.regexp_extract_all("sec", F.lit(r"(?s)<li[^>]*>(.*?)</li>"), 1)).alias("li"))
+    link = F.nullif(F.regexp_extract("li", r'href="([^"]*)"', 1), F.lit(""))
+    return (x.withColumn("download_link", link).filter(F.col("download_link").isNotNull())
+            .select(key, F.col("section_pos").cast("long").alias("section_pos"), "apk_version", "download_link",
+                    last_segment("download_link").alias("download_file_name"),
+                    F.nullif(F.regexp_extract("li", r'datetime="([^"]+)"', 1), F.lit("")).alias("apk_release_time")))

@@ -391,3 +391,40 @@ def test_score_resume_rerun_and_new_delivery(spark):
     inc.score_resume(*args)
     out = spark.read.parquet(f"{root}/out")
     assert out.count() == 40 and out.select("doc_id").distinct().count() == 40
+
+
+COMMIT_PAGE = """<div class="commit-desc"><pre>Avoid  <b>leak</b></pre></div>
+<div class="js-diff-progressive-container">
+<copilot-diff-entry data-file-path="src/A.java"><table>
+<tr class="show-top-border"><td data-line-number="10"></td><td data-line-number="11"></td><td class="blob-code blob-code-deletion">-old();</td></tr>
+<tr class="show-top-border"><td data-line-number="11"></td><td data-line-number="12"></td><td class="blob-code blob-code-addition">+new();</td></tr>
+<tr class="show-top-border"><td data-line-number="12"></td><td data-line-number="13"></td><td class="blob-code">ctx</td></tr>
+</table></copilot-diff-entry>
+<copilot-diff-entry data-file-path="B.md"><table>
+<tr class="show-top-border"><td></td><td data-line-number="1"></td><td class="blob-code blob-code-addition">+doc</td></tr>
+</table></copilot-diff-entry></div>"""
+
+RELEASE_PAGE = """<section><h2 class="sr-only">v2.0</h2><span class="Label">Pre-release</span>
+<ul><li><a href="/o/r/releases/download/v2.0/app.apk">app.apk</a><relative-time datetime="2024-02-01T00:00:00Z"></relative-time></li></ul></section>
+<section><h2 class="sr-only">v1.9</h2><ul>
+<li><a href="/o/r/releases/download/v1.9/app-universal-release.apk">x</a><relative-time datetime="2024-01-05T10:00:00Z"></relative-time></li>
+<li><a href="/o/r/archive/v1.9.zip">zip</a><relative-time datetime="2024-01-05T10:00:00Z"></relative-time></li>
+<li>no link</li></ul></section>"""
+
+
+def test_commit_page_files(spark):
+    from commitlens.operators import extract as ex
+    pages = spark.createDataFrame([(1, COMMIT_PAGE)], "page_id long, html string")
+    rows = ex.commit_page_files(pages).orderBy("file_pos").collect()
+    assert [(r.commit_diff_file, r.added_lines, r.deleted_lines) for r in rows] == [
+        ("src/A.java", [12], [10]), ("B.md", [1], [])]
+    assert rows[0].commit_diff == "-old();+new();ctx" and rows[0].commit_description == "Avoid  leak"
+
+
+def test_release_assets_from_page(spark):
+    from commitlens.operators import extract as ex
+    pages = spark.createDataFrame([(1, RELEASE_PAGE)], "page_id long, html string")
+    rows = ex.release_assets_from_page(pages).collect()
+    assert sorted((r.apk_version, r.download_file_name, r.apk_release_time) for r in rows) == [
+        ("v1.9", "app-universal-release.apk", "2024-01-05T10:00:00Z"), ("v1.9", "v1.9.zip", "2024-01-05T10:00:00Z")]
+    assert str(rows[0].apk_release_time[:10]) == "2024-01-05"

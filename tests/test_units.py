@@ -5,7 +5,6 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from commitlens.functions import text as tx
 from commitlens.functions.answers import (parse_class_answer, parse_filter_answer, taxonomy_categories,

@@ -53,6 +53,16 @@ def pick_min(df: DataFrame, keys: list[str], rank: list[Column], value_cols: lis
     return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in value_cols])
 
 
+def shortest_path(df: DataFrame, group: str, path: str = "path",
+                  drop_suffixes: tuple[str, ...] = (".1", ".apk")) -> DataFrame:
+    """Per group, the shortest path (ties by path) after dropping paths with
+    the given suffixes; groups with no remaining path are absent."""
+    keep = F.lit(True)
+    for sfx in drop_suffixes:
+        keep = keep & ~F.col(path).endswith(sfx)
+    return pick_min(df.filter(keep), [group], [F.length(path), F.col(path)], [path])
+
+
 def max_number_in(df: DataFrame, col: str, name: str = "max_batch") -> DataFrame:
     """Largest number found in a text column (e.g. the latest batch file)."""
     return df.agg(F.max(F.regexp_extract(F.col(col), r"(\d+)", 1).cast("long")).alias(name))

@@ -398,3 +398,9 @@ SQL.update({
  lambda y: y not in {KNOWN})) as label from cls where not is_na) group by 1"""),
     "stream_page_links": SQL["page_links"],
 })
+
+SQL.update({
+    "shortest_path": with_ctes(A("snapshot"), body="""select commit_link, path from (select commit_link, path,
+ row_number() over (partition by commit_link order by length(path), path) as rn from snapshot
+ where side = 'release' and not suffix(path, '.1') and not suffix(path, '.apk')) where rn = 1"""),
+})

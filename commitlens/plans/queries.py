@@ -116,6 +116,13 @@ def hash_split(spark, d):
     return dedup.hash_split(links, "commit_link", 2 / 3, seed="s")
 
 
+@q
+def shortest_path(spark, d):
+    """W6 over the release-side file list of every commit in the snapshot table."""
+    files = ad.snapshot(spark, d).filter(F.col("side") == "release")
+    return dedup.shortest_path(files, "commit_link", "path")
+
+
 @q
 def commit_keys(spark, d):
     links = dedup.unique_values(ad.commits(spark, d), "commit_link")

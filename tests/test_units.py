@@ -427,3 +427,25 @@ def test_release_assets_from_page(spark):
     assert sorted((r.apk_version, r.download_file_name, r.apk_release_time) for r in rows) == [
         ("v1.9", "app-universal-release.apk", "2024-01-05T10:00:00Z"), ("v1.9", "v1.9.zip", "2024-01-05T10:00:00Z")]
     assert str(rows[0].apk_release_time[:10]) == "2024-01-05"
+
+
+def test_small_helpers(spark):
+    df = spark.createDataFrame([("a", "x/b.apk"), ("a", "x/zz"), ("a", "x/y"), ("b", "q.1")], "g string, path string")
+    assert {r.g: r.path for r in dedup.shortest_path(df, "g").collect()} == {"a": "x/y"}
+    files = spark.createDataFrame([("r/is_perf_detect_result_500.csv",), ("r/is_perf_detect_result_1500.csv",)], "p string")
+    assert dedup.max_number_in(files, "p").first().max_batch == 1500  # W7
+    keys = spark.createDataFrame([(i,) for i in range(20)], "k long")
+    a = [r.k for r in dedup.seeded_order(keys, "k", "1").collect()]
+    assert a == [r.k for r in dedup.seeded_order(keys, "k", "1").collect()] and sorted(a) == list(range(20))  # O2
+    u = dedup.union_all([keys.limit(3), keys.limit(2).withColumn("extra", F.lit(1))])
+    assert u.columns == ["k", "extra"] and u.count() == 5  # U1
+    assert dedup.key_difference(keys, keys.filter("k < 15"), "k").count() == 5  # U2
+    assert dedup.key_union(keys.filter("k < 5"), keys.filter("k < 8"), "k").count() == 8
+
+
+def test_append_batch(spark):
+    root = scratch_path(spark, "unit_append")
+    df = spark.createDataFrame([(1,)], "x long")
+    sinks.append_batch(df, root, 0)
+    sinks.append_batch(df, root, 1)
+    assert sorted(r.batch_id for r in spark.read.parquet(root).collect()) == [0, 1]

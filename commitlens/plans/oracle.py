@@ -404,3 +404,8 @@ SQL.update({
  row_number() over (partition by commit_link order by length(path), path) as rn from snapshot
  where side = 'release' and not suffix(path, '.1') and not suffix(path, '.apk')) where rn = 1"""),
 })
+
+SQL.update({
+    "csv_quarantine": """select 'good' as kind, count(*) as n from (select distinct * from documents)
+ union all select 'quarantined' as kind, count(*) as n from events""",
+})

@@ -538,6 +538,19 @@ def csv_recursive(spark, d):
     return df.groupBy("category").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
 
 
+@q
+def csv_quarantine(spark, d):
+    """S3: merge a folder of crawl pages where some files do not fit the schema
+    (events rows read with the documents schema); bad records are quarantined,
+    never dropped silently, and the inputs are never deleted."""
+    root = scratch_path(spark, "csv_quarantine")
+    sinks.export_csv(ad.table(spark, d, "documents"), f"{root}/pages_a")
+    sinks.export_csv(ad.table(spark, d, "events"), f"{root}/pages_b")
+    good, bad = readers.read_csv_quarantine(spark, root, DOC_SCHEMA)
+    return (good.select(F.lit("good").alias("kind")).unionByName(bad.select(F.lit("quarantined").alias("kind")))
+            .groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
+
+
 @q
 def json_roundtrip(spark, d):
     root = scratch_path(spark, "json_roundtrip")

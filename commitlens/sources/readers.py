@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from commitlens.functions.text import file_extension, strip_ws
+from commitlens.session import checkpoint_root
 
 # Tokens pandas' CSV reader turns into NaN by default (reader option pandas_nulls=True).
 PANDAS_NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -48,7 +49,12 @@ def read_csv_quarantine(spark: SparkSession, path: str, schema: T.StructType | s
     r = spark.read.schema(st2).options(**CSV_OPTIONS).option("columnNameOfCorruptRecord", "_corrupt_record")
     if recursive:
         r = r.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
-    df = r.csv(path).withColumn("_file", F.col("_metadata.file_path")).cache()
+    # Spark refuses raw-CSV queries whose pruned scan keeps only the corrupt-record
+    # column, so the parse is materialised once with a reliable checkpoint (in the
+    # session's shared checkpoint folder, not in executor memory) and both outputs
+    # read that.
+    checkpoint_root(spark)
+    df = r.csv(path).withColumn("_file", F.col("_metadata.file_path")).checkpoint(eager=True)
     good = df.filter(F.col("_corrupt_record").isNull()).select(*st.fieldNames()).distinct()
     bad = df.filter(F.col("_corrupt_record").isNotNull()).select("_file", "_corrupt_record")
     return good, bad

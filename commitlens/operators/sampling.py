@@ -30,9 +30,15 @@ def sample_size(population: Column, confidence_level: float = 0.95, margin_of_er
     return F.ceil(n0 / (F.lit(1.0) + (n0 - F.lit(1.0)) / population.cast("double"))).cast("long")
 
 
-def sample_sizes(strata: DataFrame, key: str, stratum: str, **kw) -> DataFrame:
-    """Population (distinct keys) and sample size per stratum."""
-    return (strata.groupBy(stratum).agg(F.count_distinct(key).alias("population"))
+def sample_sizes(strata: DataFrame, key: str, stratum: str, count_occurrences: bool = False, **kw) -> DataFrame:
+    """Population and sample size per stratum.
+
+    The population is the number of distinct keys, or with
+    ``count_occurrences`` the number of (key, stratum) rows including repeats
+    (a commit listing a category twice counts twice, as the source's label
+    counts do)."""
+    pop = F.count(F.lit(1)) if count_occurrences else F.count_distinct(key)
+    return (strata.groupBy(stratum).agg(pop.alias("population"))
             .withColumn("sample_size", sample_size(F.col("population"), **kw)))
 
 
@@ -41,7 +47,8 @@ def _rank_hash(key: str, stratum: str, seed: str) -> Column:
 
 
 def stratified_sample(strata: DataFrame, key: str, stratum: str, seed: str = "0",
-                      margin_sigmas: float = 6.0, margin_rows: float = 20.0, **kw) -> DataFrame:
+                      margin_sigmas: float = 6.0, margin_rows: float = 20.0, count_occurrences: bool = False,
+                      **kw) -> DataFrame:
     """(key, stratum, rank) of the sampled rows; ``strata`` holds one row per (key, stratum).
 
     Every row gets the smallest level L whose threshold t_L = t_0 * 4^L exceeds
@@ -53,7 +60,7 @@ def stratified_sample(strata: DataFrame, key: str, stratum: str, seed: str = "0"
     even when a level falls short).
     """
     s = strata.select(key, stratum).distinct()
-    sizes = sample_sizes(s, key, stratum, **kw)
+    sizes = sample_sizes(strata if count_occurrences else s, key, stratum, count_occurrences, **kw)
     h = _rank_hash(key, stratum, seed)
     u = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(float(16 ** 8))
     n = F.col("sample_size").cast("double")

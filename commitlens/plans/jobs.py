@@ -90,7 +90,8 @@ def label_sheet(classified: DataFrame, seed: str = "0") -> DataFrame:
     """Stratified sample per category, then the first row of every sampled commit
     with empty labelling columns."""
     strata = classified.select("commit_link", F.explode("unique_pi_types").alias("label"))
-    picked = stratified_sample(strata, "commit_link", "label", seed=seed).select("commit_link").distinct()
+    picked = (stratified_sample(strata, "commit_link", "label", seed=seed, count_occurrences=True)
+              .select("commit_link").distinct())
     rows = classified.join(picked, on="commit_link", how="left_semi")
     out = rows.select("commit_link", F.array_join("unique_pi_types", "|").alias("unique_pi_types"),
                       F.array_join("root_causes", "|").alias("root_causes"))

@@ -125,12 +125,13 @@ def size_expr(n: str) -> str:
     return f"cast(ceil({N0} / (1.0 + ({N0} - 1.0) / cast({n} as double))) as bigint)"
 
 
-def ranked_sample(strata: str, key: str, stratum: str, seed: str) -> str:
+def ranked_sample(strata: str, key: str, stratum: str, seed: str, occurrences: bool = False) -> str:
+    pop = "count(*)" if occurrences else f"count(distinct {key})"
     return f"""select {key}, {stratum}, rank from (
  select x.{key}, x.{stratum}, n.sample_size,
   row_number() over (partition by x.{stratum} order by md5(concat_ws('|', cast(x.{key} as varchar), x.{stratum}, '{seed}')), x.{key}) as rank
  from (select distinct {key}, {stratum} from {strata}) x
- join (select {stratum}, {size_expr(f'count(distinct {key})')} as sample_size from {strata} group by {stratum}) n
+ join (select {stratum}, {size_expr(pop)} as sample_size from {strata} group by {stratum}) n
  on x.{stratum} = n.{stratum}) where rank <= sample_size"""
 
 
@@ -330,7 +331,7 @@ select cast(n as bigint) as n_items, po_num / n as po, pe_num / (n * n) as pe,
     "sample_sizes": f"select event_type, count(distinct event_id) as population, {size_expr('count(distinct event_id)')} as sample_size from events group by 1",
     "stratified_sample": ranked_sample("events", "event_id", "event_type", "0"),
     "label_sheet": with_ctes(A("answers"), CLS, MERGED, ("strata", "select commit_link, unnest(unique_pi_types) as label from merged"),
-        ("picked", f"select distinct commit_link from ({ranked_sample('strata', 'commit_link', 'label', '0')})"),
+        ("picked", f"select distinct commit_link from ({ranked_sample('strata', 'commit_link', 'label', '0', True)})"),
         body="""select commit_link, array_to_string(unique_pi_types, '|') as unique_pi_types, array_to_string(root_causes, '|') as root_causes,
  '' as contain_perf, '' as PI_caused_class, '' as PI_causes_method, '' as PI_root_causes, '' as optimization_method
  from merged where commit_link in (select commit_link from picked)"""),

@@ -103,12 +103,26 @@ def score_with_fallback(df: DataFrame, text: str, first: Callable[[pd.Series], p
 
     With ``second=None`` the native lexicon scorer is the fallback (JVM side).
     """
-    scored = score_with(df, text, first, out)
     if second is None:
+        scored = score_with(df, text, first, out)
         return scored.withColumn(out, F.coalesce(F.col(out), lexicon_answer(text)))
-    missing = scored.filter(F.col(out).isNull()).drop(out)
-    done = scored.filter(F.col(out).isNotNull())
-    return done.unionByName(score_with(missing, text, second, out))
+    return score_with(df, text, _Chain(first, second), out)
+
+
+class _Chain:
+    """One pass per Arrow batch: the second scorer only sees the first's misses
+    (the first model is never called twice for a row)."""
+
+    def __init__(self, first, second):
+        self.first, self.second = first, second
+
+    def __call__(self, texts: pd.Series) -> pd.Series:
+        a = self.first(texts)
+        miss = a.isna()
+        if miss.any():
+            a = a.astype(object)
+            a[miss] = self.second(texts[miss]).values
+        return a
 
 
 def score_missing(df: DataFrame, text: str, out: str,

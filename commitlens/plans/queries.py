@@ -362,7 +362,10 @@ def taxonomy_merge(spark, d):
 
 @q
 def label_report(spark, d):
-    """O1: label counts ordered by count desc, label asc (rank over a tiny table)."""
+    """O1: label counts ordered by count desc, label asc.
+
+    The rank window has no partition key on purpose: its input is the
+    aggregated label table (one row per distinct label), not the commits."""
     c = agg.label_counts(jobs.classify(ad.answers(spark, d)), "commit_link", "pi_types")
     return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "label")).cast("long"))
 

@@ -449,3 +449,20 @@ def test_append_batch(spark):
     sinks.append_batch(df, root, 0)
     sinks.append_batch(df, root, 1)
     assert sorted(r.batch_id for r in spark.read.parquet(root).collect()) == [0, 1]
+
+
+def test_fallback_chain_calls_each_scorer_once_per_row(spark):
+    import pandas as pd
+    from commitlens.operators import scoring
+
+    def first(texts):
+        return pd.Series([None if len(t) > 3 else "A:" + t for t in texts], index=texts.index, dtype=object)
+
+    def second(texts):
+        return pd.Series(["B:" + t for t in texts], index=texts.index, dtype=object)
+
+    df = spark.createDataFrame([("ab",), ("abcdef",)], "t string")
+    out = {r.t: r.answer for r in scoring.score_with_fallback(df, "t", first, second).collect()}
+    assert out == {"ab": "A:ab", "abcdef": "B:abcdef"}
+    plan = scoring.score_with_fallback(df, "t", first, second)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1

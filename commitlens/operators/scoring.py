@@ -52,6 +52,35 @@ def _answer(found: Column) -> Column:
     return F.when(found != "", yes).otherwise(no)
 
 
+# Default classifier lexicon (our own re-aimed default): raw issue-type label -> terms.
+# Labels are taken from the taxonomy's raw vocabulary so the taxonomy merge applies.
+CLASS_LEXICON = [
+    ("Energy Consumption", ["battery", "energy", "power"]),
+    ("Memory Consumption", ["memory", "leak"]),
+    ("Responsiveness", ["main thread", "scroll", "slow", "speed", "lag", "freeze", "anr"]),
+    ("CPU Usage", ["cpu"]),
+    ("Network Traffic", ["network", "bandwidth", "traffic"]),
+    ("Graphics Rendering", ["render", "frame", "draw"]),
+    ("Build Time", ["build", "compile", "gradle"]),
+    ("Storage Consumption", ["storage", "disk"]),
+]
+
+
+def lexicon_class_answer(text: str | Column, lexicon: list[tuple[str, list[str]]] | None = None) -> Column:
+    """Classification answer (types + root causes) from a type lexicon, in the
+    class-answer format; no match gives the ``[N/A]`` marker for both parts."""
+    t = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    lex = lexicon or CLASS_LEXICON
+    types = F.filter(F.array(*[F.when(t.rlike(lexicon_pattern(terms)), F.lit(label)) for label, terms in lex]),
+                     lambda x: x.isNotNull())
+    causes = F.filter(F.array(*[F.nullif(F.regexp_extract(t, lexicon_pattern(terms), 1), F.lit(""))
+                                for _, terms in lex]), lambda x: x.isNotNull())
+    na = f"[{fixed.NA_MARKER}]"
+    types_txt = F.when(F.size(types) > 0, F.concat(F.lit("["), F.array_join(types, ", "), F.lit("]"))).otherwise(na)
+    causes_txt = F.when(F.size(causes) > 0, F.concat(F.lit("["), F.array_join(causes, ", "), F.lit("]"))).otherwise(na)
+    return F.concat(F.lit(fixed.CLASS_TYPE_HEADER), types_txt, F.lit(fixed.CLASS_CAUSE_HEADER + "\n    "), causes_txt)
+
+
 def lexicon_answer(text: str | Column, lexicon: list[str] | None = None) -> Column:
     """M2: answer text naming the first lexicon term found (case-insensitive)."""
     t = F.col(text) if isinstance(text, str) else text

@@ -12,7 +12,7 @@ from commitlens.operators.dedup import first_per_key
 from commitlens.operators.prompts import chat_prompt
 from commitlens.operators.releases import match_releases  # noqa: F401  (C6, re-exported)
 from commitlens.operators.sampling import stratified_sample
-from commitlens.operators.scoring import lexicon_answer, score_with
+from commitlens.operators.scoring import lexicon_answer, lexicon_class_answer, score_with
 from commitlens.operators.verify import verify_commits  # noqa: F401  (C7, re-exported)
 
 MSG = ["commit_title", "commit_description"]
@@ -120,3 +120,20 @@ def benchmark_report(pairs: DataFrame) -> DataFrame:
     """Distinct commits and distinct binaries of a pair table."""
     return pairs.agg(F.count_distinct("commit_link").alias("n_commits"),
                      F.count_distinct("apk_download_link").alias("n_apks"))
+
+
+def classify_commits(commits: DataFrame) -> DataFrame:
+    """C4 + C5 from commit rows: heuristic filter, score unique messages, keep
+    positive commits, cap their fan-out, classify the positive messages once,
+    propagate the parsed types by message, drop N/A and merge the taxonomy."""
+    f1 = filters.heuristic_filter(commits)
+    scored = score_commits(f1)
+    flagged = propagate_scores(f1, scored, by="message").filter("is_perf").drop("is_perf")
+    capped = filters.fanout_cap(flagged)
+    pos = scored.filter(F.col("parsed.positive")).select(*MSG)
+    cls = pos.withColumn("answer", lexicon_class_answer(message_text()))
+    verdicts = cls.select(*MSG, parse_class_answer("answer").alias("p")).select(
+        *MSG, "p.pi_types", "p.root_causes", "p.is_na")
+    rows = joins.propagate(capped, verdicts, MSG, ["pi_types", "root_causes", "is_na"])
+    return (filters.drop_na_marker(rows)
+            .withColumn("unique_pi_types", taxonomy_categories("pi_types")))

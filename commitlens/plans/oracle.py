@@ -410,3 +410,35 @@ SQL.update({
     "csv_quarantine": """select 'good' as kind, count(*) as n from (select distinct * from documents)
  union all select 'quarantined' as kind, count(*) as n from events""",
 })
+
+
+def _class_answer_sql(msg: str) -> str:
+    from commitlens.operators.scoring import CLASS_LEXICON
+    t = f"lower(coalesce({msg}, ''))"
+    types = "list_filter([" + ", ".join(
+        f"case when regexp_matches({t}, {lit(lexicon_pattern(terms))}) then {lit(label)} end" for label, terms in CLASS_LEXICON
+    ) + "], lambda x: x is not null)"
+    causes = "list_filter([" + ", ".join(
+        f"nullif(regexp_extract({t}, {lit(lexicon_pattern(terms))}, 1), '')" for _, terms in CLASS_LEXICON
+    ) + "], lambda x: x is not null)"
+    tt = f"case when len({types}) > 0 then '[' || array_to_string({types}, ', ') || ']' else '[N/A]' end"
+    ct = f"case when len({causes}) > 0 then '[' || array_to_string({causes}, ', ') || ']' else '[N/A]' end"
+    return f"{lit(fixed.CLASS_TYPE_HEADER)} || {tt} || {lit(fixed.CLASS_CAUSE_HEADER + chr(10) + '    ')} || {ct}"
+
+
+SQL.update({
+    "classify_commits": with_ctes(A("commits"), F1, U, SCORED, POS_MSG,
+        ("capped", "select * from pos where commit_link in (select commit_link from pos group by 1 having count(*) <= 5)"),
+        ("answers", f"select commit_title, commit_description, {_class_answer_sql(MSG)} as answer from s where {POSITIVE}"),
+        ("parsed", f"""select commit_title, commit_description, {CLS_TYPES} as types_text, {CLS_CAUSES} as causes_text from answers"""),
+        ("v", f"""select commit_title, commit_description,
+ case when types_text = '[N/A]' then ['N/A'] else {items('types_text', True)} end as pi_types,
+ case when causes_text = '[N/A]' then ['N/A'] else {items('causes_text', False)} end as root_causes,
+ types_text = '[N/A]' as is_na from parsed"""),
+        body=f"""select c.commit_link, c.commit_diff_file, array_to_string(v.pi_types, '|') as pi_types,
+ array_to_string(v.root_causes, '|') as root_causes,
+ array_to_string(list_filter(list_transform(list_filter(v.pi_types, lambda y: y not in {IGNORED}),
+ lambda y: {CASE_MAP}), lambda y: y is not null), '|') as unique_pi_types
+ from capped c join v on c.commit_title = v.commit_title and c.commit_description is not distinct from v.commit_description
+ where not v.is_na"""),
+})

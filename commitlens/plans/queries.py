@@ -360,6 +360,14 @@ def taxonomy_merge(spark, d):
                     F.array_join(taxonomy_unmapped("pi_types"), "|").alias("unmapped"))
 
 
+@q
+def classify_commits(spark, d):
+    c = jobs.classify_commits(ad.commits(spark, d))
+    return c.select("commit_link", "commit_diff_file", F.array_join("pi_types", "|").alias("pi_types"),
+                    F.array_join("root_causes", "|").alias("root_causes"),
+                    F.array_join("unique_pi_types", "|").alias("unique_pi_types"))
+
+
 @q
 def label_report(spark, d):
     """O1: label counts ordered by count desc, label asc.

@@ -112,9 +112,20 @@ class LexiconScorer:
         return out
 
 
+def _ship_package_by_value() -> None:
+    """Workers need not have this package installed: its functions and classes
+    (the batch runner, the scorers) are pickled by value into the task."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+
+
 def score_with(df: DataFrame, text: str, scorer: Callable[[pd.Series], pd.Series],
                out: str = "answer") -> DataFrame:
     """M1: append ``out`` = scorer(text) computed batch-wise in Python workers."""
+    _ship_package_by_value()
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType(), True)])
 
     def run(batches):

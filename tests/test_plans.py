@@ -46,3 +46,19 @@ def test_scoring_stays_above_the_dedup(spark):
     hits = [line for line in p.split("\n") if "application not responding" in line]
     assert hits and all("_first" in line for line in hits)  # evaluated on the aggregate's output
     assert not any("o_orderkey" in line or "FileScan" in line for line in hits)
+
+
+def test_python_scorer_runs_without_the_package_on_workers(spark, tmp_path):
+    """Workers started outside the repo cannot import the package; the scorer is
+    shipped by value, so the query still runs (driver cwd independent)."""
+    import os
+    import subprocess
+    import sys
+    code = ("import sys; sys.path.insert(0, %r)\n"
+            "from pyspark.sql import SparkSession\n"
+            "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled','false').getOrCreate()\n"
+            "import __spark_entry__ as e\n"
+            "print('ROWS', e.queries()['udf_score'](s, %r).count())\n") % (
+        os.path.dirname(os.path.dirname(os.path.abspath(__file__))), SF)
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert "ROWS 100" in out.stdout, out.stderr[-2000:]

@@ -45,8 +45,11 @@ def unique_messages(commits: DataFrame) -> DataFrame:
                          MSG, ["commit_link", "commit_diff_file"])
 
 
-def score_commits(commits: DataFrame, scorer=None) -> DataFrame:
-    """Dedup messages, build prompts, score (native lexicon unless a scorer is given)."""
+def score_commits(commits: DataFrame, scorer=None, keep_text: bool = False) -> DataFrame:
+    """Dedup messages, build prompts, score (native lexicon unless a scorer is given).
+
+    ``keep_text`` keeps the scoring text ``_msg`` (an aggregate output) for a
+    later model call, so that call also stays above the dedup."""
     u = (unique_messages(commits)
          .withColumn("_desc", F.coalesce(F.col("commit_description"), F.lit(fixed.EMPTY_DESCRIPTION)))
          .withColumn("prompt", chat_prompt("commit_title", "_desc", SYSTEM_TEXT, EXAMPLES))
@@ -55,7 +58,8 @@ def score_commits(commits: DataFrame, scorer=None) -> DataFrame:
         scored = u.withColumn("answer", lexicon_answer("_msg"))
     else:
         scored = score_with(u, "_msg", scorer, "answer")
-    return scored.drop("_msg").withColumn("parsed", parse_filter_answer("answer"))
+    scored = scored if keep_text else scored.drop("_msg")
+    return scored.withColumn("parsed", parse_filter_answer("answer"))
 
 
 def propagate_scores(commits: DataFrame, scored: DataFrame, by: str = "message") -> DataFrame:
@@ -127,11 +131,11 @@ def classify_commits(commits: DataFrame) -> DataFrame:
     positive commits, cap their fan-out, classify the positive messages once,
     propagate the parsed types by message, drop N/A and merge the taxonomy."""
     f1 = filters.heuristic_filter(commits)
-    scored = score_commits(f1)
+    scored = score_commits(f1, keep_text=True)
     flagged = propagate_scores(f1, scored, by="message").filter("is_perf").drop("is_perf")
     capped = filters.fanout_cap(flagged)
-    pos = scored.filter(F.col("parsed.positive")).select(*MSG)
-    cls = pos.withColumn("answer", lexicon_class_answer(message_text()))
+    pos = scored.filter(F.col("parsed.positive")).select(*MSG, "_msg")
+    cls = pos.withColumn("answer", lexicon_class_answer("_msg"))
     verdicts = cls.select(*MSG, parse_class_answer("answer").alias("p")).select(
         *MSG, "p.pi_types", "p.root_causes", "p.is_na")
     rows = joins.propagate(capped, verdicts, MSG, ["pi_types", "root_causes", "is_na"])

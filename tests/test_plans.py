@@ -62,3 +62,9 @@ def test_python_scorer_runs_without_the_package_on_workers(spark, tmp_path):
         os.path.dirname(os.path.dirname(os.path.abspath(__file__))), SF)
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=600)
     assert "ROWS 100" in out.stdout, out.stderr[-2000:]
+
+
+def test_classification_stays_above_the_dedup(spark):
+    p = plan_text(entry.queries()["classify_commits"](spark, SF))
+    hits = [line for line in p.split("\n") if "gradle" in line]  # a class-lexicon term
+    assert hits and not any("FileScan" in line or "o_orderkey" in line for line in hits)

@@ -466,3 +466,29 @@ def test_fallback_chain_calls_each_scorer_once_per_row(spark):
     assert out == {"ab": "A:ab", "abcdef": "B:abcdef"}
     plan = scoring.score_with_fallback(df, "t", first, second)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInPandas") == 1
+
+
+# --- edge inputs ---------------------------------------------------------------
+
+def test_edge_inputs(spark):
+    import datetime as dt
+    empty_r = spark.createDataFrame([], "k int, rid int, rt date")
+    L = spark.createDataFrame([(1, 1, dt.date(2024, 1, 2)), (None, 2, dt.date(2024, 1, 2))], "k int, lid int, lt date")
+    got = asof_join(L, empty_r, ["k"], "lt", "rt", how="left").collect()
+    assert sorted((r.lid, r.rid) for r in got) == [(1, None), (2, None)]
+    assert asof_join(L, empty_r, ["k"], "lt", "rt").count() == 0
+    # NULL keys never match, even against NULL keys on the right
+    R = spark.createDataFrame([(None, 9, dt.date(2024, 1, 1))], "k int, rid int, rt date")
+    assert asof_join(L, R, ["k"], "lt", "rt").count() == 0
+    # one class only: pe = 1, kappa undefined -> NULL (no division by zero)
+    one_class = spark.createDataFrame([(1, 1), (1, 1)], "a int, b int")
+    assert agg.cohen_kappa(one_class, "a", "b").first().kappa is None
+    # a stratum smaller than its sample size is taken whole
+    tiny = spark.createDataFrame([(1, "x"), (2, "x")], "k long, s string")
+    assert sampling.stratified_sample(tiny, "k", "s").count() == 2
+    assert sampling.stratified_sample(tiny.limit(0), "k", "s").count() == 0
+    # funnel over empty stages
+    e = spark.createDataFrame([], "commit_link string, f boolean")
+    rows = agg.funnel_flags(e, "commit_link", [("all", F.lit(True)), ("f", F.col("f"))]).collect()
+    assert [(r.stage, r.n_rows, r.n_commits) for r in sorted(rows, key=lambda r: r.stage_order)] == [
+        ("all", 0, 0), ("f", 0, 0)]

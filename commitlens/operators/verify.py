@@ -20,9 +20,21 @@ def pivot_snapshot(snapshot: DataFrame, sides=("before", "after", "release")) ->
     return snapshot.groupBy("commit_link", "path").agg(*aggs)
 
 
+# binary changes are not compared (fixed rule of the verification step)
+SKIPPED_SUFFIXES = (".apk", ".so")
+
+
 def file_checks(changes: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Per changed file: ``ok`` (the release keeps the deleted lines, or equals the
-    old text when nothing was deleted), NULL when the old text is unreadable."""
+    old text when nothing was deleted), NULL when the old text is unreadable.
+
+    Binary files (``.apk``, ``.so``) are not checked (NULL, counted as skipped).  With an ``added_lines``
+    column, a pure addition (nothing deleted, every line of the new file
+    added) is ok exactly when the file did not exist before.
+    """
+    skip = F.lit(False)
+    for sfx in SKIPPED_SUFFIXES:
+        skip = skip | F.col("path").endswith(sfx)
     snap = pivot_snapshot(snapshot)
     j = changes.join(snap, on=["commit_link", "path"], how="left")
     before_lines = split_lines("before")
@@ -30,7 +42,13 @@ def file_checks(changes: DataFrame, snapshot: DataFrame) -> DataFrame:
     # a deleted line number beyond the old file makes the file unreadable (skipped)
     keeps = F.when(F.exists(deleted, lambda x: x.isNull()), F.lit(None).cast("boolean")) \
         .otherwise(F.forall(deleted, lambda x: F.col("release").contains(x)))
-    ok = (F.when(F.col("before").isNull(), F.lit(None).cast("boolean"))
+    unknown = F.lit(None).cast("boolean")
+    ok = F.when(skip, unknown)
+    if "added_lines" in changes.columns:
+        pure_add = ((F.size("deleted_lines") == 0) & (F.size("added_lines") > 0)
+                    & (F.size(split_lines("after")) == F.size("added_lines")))
+        ok = ok.when(pure_add, ~F.coalesce(F.col("has_before"), F.lit(False)))
+    ok = (ok.when(F.col("before").isNull(), unknown)
           .when(F.col("release").isNull(), F.lit(False))
           .when(F.size("deleted_lines") == 0, F.col("release") == F.col("before"))
           .otherwise(keeps))

@@ -178,7 +178,8 @@ RELEASE_CTES = [A("commits"), A("release_assets"), A("store_releases"), CD, USEF
 PIVOT = ("pv", """select commit_link, path, max(case when side = 'before' then content end) as before,
  max(case when side = 'release' then content end) as release from snapshot group by all""")
 LINE_I = strip(f"{splitlines('before')}[i]")
-FX = ("fx", f"""select ch.commit_link, ch.path, case when pv.before is null then null when pv.release is null then false
+FX = ("fx", f"""select ch.commit_link, ch.path, case when suffix(ch.path, '.apk') or suffix(ch.path, '.so') then null
+ when pv.before is null then null when pv.release is null then false
  when len(ch.deleted_lines) = 0 then pv.release = pv.before
  when list_bool_or(list_transform(ch.deleted_lines, lambda i: {LINE_I.replace('before', 'pv.before')} is null)) then null
  else list_bool_and(list_transform(ch.deleted_lines, lambda i: contains(pv.release, {LINE_I.replace('before', 'pv.before')})))

@@ -492,3 +492,16 @@ def test_edge_inputs(spark):
     rows = agg.funnel_flags(e, "commit_link", [("all", F.lit(True)), ("f", F.col("f"))]).collect()
     assert [(r.stage, r.n_rows, r.n_commits) for r in sorted(rows, key=lambda r: r.stage_order)] == [
         ("all", 0, 0), ("f", 0, 0)]
+
+
+def test_verify_binary_skip_and_pure_addition(spark):
+    snap = spark.createDataFrame([
+        ("c1", "after", "New.java", "a\nb"), ("c1", "release", "New.java", "a\nb"),
+        ("c2", "before", "Old.java", "x"), ("c2", "after", "Old.java", "a\nb"), ("c2", "release", "Old.java", "a\nb"),
+        ("c3", "before", "lib.so", "bin")], "commit_link string, side string, path string, content string")
+    ch = spark.createDataFrame([("c1", "New.java", [], [1, 2]), ("c2", "Old.java", [], [1, 2]),
+                                ("c3", "lib.so", [1], [])],
+                               "commit_link string, path string, deleted_lines array<int>, added_lines array<int>")
+    got = {r.commit_link: (r.check, r.n_skipped) for r in verify.verify_commits(ch, snap).collect()}
+    # new file absent before -> same; "pure addition" of a file that existed -> different; binaries skipped
+    assert got == {"c1": ("same", 0), "c2": ("different", 0), "c3": ("same", 1)}

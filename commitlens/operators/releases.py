@@ -127,5 +127,35 @@ def gap_fill(primary: DataFrame, secondary: DataFrame) -> DataFrame:
 
 
 def match_releases(commits: DataFrame, assets: DataFrame, store: DataFrame) -> DataFrame:
-    """Release pairs, gap-filled from the store listing."""
-    return gap_fill(pairs_from_assets(commits, assets), pairs_from_store(commits, store))
+    """Release pairs, gap-filled from the store listing.
+
+    Both sources go through ONE as-of join: the source name is part of the
+    key, each commit is offered to both sources, and the candidate rows of
+    the two sources are unioned.  The commit side is deduplicated and
+    shuffled once instead of once per source; results equal
+    ``gap_fill(pairs_from_assets(...), pairs_from_store(...))``.
+    """
+    useful = versions_with_binary(assets.distinct())
+    null = F.lit(None).cast("string")
+    rel = (useful.select("git_link", F.lit("release").alias("src"), F.col("apk_version").alias("m_version"),
+                         F.col("release_date").alias("m_date"), F.col("download_link").alias("m_link"),
+                         null.alias("m_apk"), null.alias("m_src"))
+           .unionByName(store.distinct().select(
+               "git_link", F.lit("store").alias("src"), F.col("apk_version").alias("m_version"),
+               F.col("release_date").alias("m_date"), null.alias("m_link"),
+               F.col("apk_download_link").alias("m_apk"), F.col("source_code_download_link").alias("m_src"))))
+    offers = commits_per_project(commits).withColumn("src", F.explode(F.array(F.lit("release"), F.lit("store"))))
+    m = asof_join(offers, rel, ["git_link", "src"], "commit_date", "m_date", strict=True, how="inner",
+                  tie_break=["m_version", "m_link", "m_apk", "m_src"])
+    facts = version_facts(useful).filter(F.col("apk_download_link").isNotNull())
+    cols = ["git_link", "commit_link", "commit_release_time", "apk_release_time", "apk_version",
+            "apk_download_link", "source_code_download_link"]
+    a = (m.filter(F.col("src") == "release")
+         .select("git_link", "commit_link", F.col("commit_date").alias("commit_release_time"),
+                 F.col("m_version").alias("apk_version"))
+         .join(facts, GV, "left").select(*cols))
+    b = (m.filter(F.col("src") == "store")
+         .select("git_link", "commit_link", F.col("commit_date").alias("commit_release_time"),
+                 F.col("m_date").alias("apk_release_time"), F.col("m_version").alias("apk_version"),
+                 F.col("m_apk").alias("apk_download_link"), F.col("m_src").alias("source_code_download_link")))
+    return gap_fill(a, b)

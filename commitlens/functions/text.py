@@ -14,6 +14,9 @@ ColumnOrName = Column | str
 
 # Line breaks recognised by Python's str.splitlines.
 _LINE_BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
+# Characters Python's str.strip() removes (str.isspace), as a regex class.
+PY_WHITESPACE = (r"[\t\n\x0B\x0C\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+                 r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 # Whitespace as seen by the word counter (ASCII whitespace incl. vertical tab).
 _WORD = r"[^ \t\n\r\f\x0B]+"
 
@@ -28,8 +31,8 @@ def is_ascii(c: ColumnOrName) -> Column:
 
 
 def strip_ws(c: ColumnOrName) -> Column:
-    """Python ``str.strip()`` for ASCII whitespace (Spark ``trim`` removes spaces only)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """Python ``str.strip()`` (Spark ``trim`` removes spaces only)."""
+    return F.regexp_replace(_c(c), f"^{PY_WHITESPACE}+|{PY_WHITESPACE}+$", "")
 
 
 def in_list_ci(c: ColumnOrName, values: list[str]) -> Column:

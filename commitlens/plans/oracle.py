@@ -38,7 +38,8 @@ def lit(s: str) -> str:
 
 
 def strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    from commitlens.functions.text import PY_WHITESPACE
+    return f"regexp_replace({x}, '^{PY_WHITESPACE}+|{PY_WHITESPACE}+$', '', 'g')"
 
 
 def splitlines(x: str) -> str:

@@ -505,3 +505,29 @@ def test_verify_binary_skip_and_pure_addition(spark):
     got = {r.commit_link: (r.check, r.n_skipped) for r in verify.verify_commits(ch, snap).collect()}
     # new file absent before -> same; "pure addition" of a file that existed -> different; binaries skipped
     assert got == {"c1": ("same", 0), "c2": ("different", 0), "c3": ("same", 1)}
+
+
+# --- randomized equivalence with Python string semantics -------------------------
+
+def _random_texts(n=400, seed=11):
+    rnd = random.Random(seed)
+    alphabet = list("ab c1.,-_/#") + ["\n", "\r", "\r\n", "\t", "\x0b", "\x0c", "\x1c", "\x85", "\xa0",
+                                      " ", "　", "é", "ß", "中", "😀", "Version ", "[N/A]", "###X"]
+    return [''.join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 12))) for _ in range(n)]
+
+
+def test_text_helpers_match_python_on_random_strings(spark):
+    import re
+    texts = _random_texts()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    rows = df.select("i", tx.is_ascii("x").alias("a"), tx.strip_ws("x").alias("s"),
+                     tx.indent_lines("x", 2).alias("ind"), tx.after_last_until("x", "###X", "c").alias("w"),
+                     tx.normalized_version("x").alias("v")).collect()
+    for r in rows:
+        t = texts[r.i]
+        assert r.a == bool(re.match(r"^[\x00-\x7F]+$", t)), repr(t)
+        assert r.s == t.strip(), repr(t)
+        assert r.ind == "\n".join("\t\t" + line for line in t.splitlines()), repr(t)
+        assert r.w == t.split("###X")[-1].split("c")[0], repr(t)
+        m = re.search(r"\d+(\.\d+)+", t)
+        assert r.v == (m.group() if m else None), repr(t)

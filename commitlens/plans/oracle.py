@@ -444,3 +444,7 @@ SQL.update({
  from capped c join v on c.commit_title = v.commit_title and c.commit_description is not distinct from v.commit_description
  where not v.is_na"""),
 })
+
+SQL.update({
+    "file_inventory": "select source, '.txt' as ext, cast(sum(strlen(text) + 1) as bigint) as bytes from documents group by 1",
+})

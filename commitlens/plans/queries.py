@@ -585,6 +585,17 @@ def line_counts(spark, d):
     return readers.line_counts(spark, path, by="source")
 
 
+@q
+def file_inventory(spark, d):
+    """Inventory of the text files written per source folder; bytes per folder
+    and extension (file contents are never read: binaryFile with pruned content)."""
+    root = scratch_path(spark, "file_inventory")
+    ad.table(spark, d, "documents").select("source", "text").write.partitionBy("source").text(root)
+    inv = readers.file_inventory(spark, root, suffixes=[".txt"])
+    src = F.regexp_extract("path", r"/source=([^/]+)/", 1)
+    return inv.groupBy(src.alias("source"), "ext").agg(F.sum("length").cast("long").alias("bytes"))
+
+
 @q
 def ext_counts(spark, d):
     root = scratch_path(spark, "ext_counts")

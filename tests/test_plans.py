@@ -68,3 +68,9 @@ def test_classification_stays_above_the_dedup(spark):
     p = plan_text(entry.queries()["classify_commits"](spark, SF))
     hits = [line for line in p.split("\n") if "gradle" in line]  # a class-lexicon term
     assert hits and not any("FileScan" in line or "o_orderkey" in line for line in hits)
+
+
+def test_file_inventory_never_reads_file_contents(spark):
+    p = plan_text(entry.queries()["file_inventory"](spark, SF))
+    scan = [line for line in p.split("\n") if "FileScan binaryFile" in line]
+    assert scan and all("content" not in line.split("ReadSchema:")[-1] for line in scan)

@@ -45,6 +45,30 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def recommended_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                     target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Cluster sizing from the input volume (a starting point; AQE refines it).
+
+    * shuffle partitions: about one per ``target_partition_bytes`` of input, at
+      least 3 waves of the cluster's cores, so that one reduce task sorts and
+      spills a bounded amount; AQE then coalesces small ones and splits skewed
+      ones (``advisoryPartitionSizeInBytes``);
+    * scan splits of 256 MiB keep map tasks in the same size class;
+    * skew: a partition 5x the median and above 512 MiB is split.
+
+    Example: 100 TB on 1000 executors x 8 cores -> 400k shuffle partitions.
+    """
+    cores = executors * cores_per_executor
+    parts = max(3 * cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+    }
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of this session (created only if unset)."""
     sc = spark.sparkContext

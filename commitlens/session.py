@@ -56,7 +56,7 @@ def recommended_conf(input_bytes: int, executors: int, cores_per_executor: int,
     * scan splits of 256 MiB keep map tasks in the same size class;
     * skew: a partition 5x the median and above 512 MiB is split.
 
-    Example: 100 TB on 1000 executors x 8 cores -> 400k shuffle partitions.
+    Example: 100 TB on 1000 executors x 8 cores -> about 370k shuffle partitions.
     """
     cores = executors * cores_per_executor
     parts = max(3 * cores, -(-input_bytes // target_partition_bytes))

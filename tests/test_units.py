@@ -531,3 +531,10 @@ def test_text_helpers_match_python_on_random_strings(spark):
         assert r.w == t.split("###X")[-1].split("c")[0], repr(t)
         m = re.search(r"\d+(\.\d+)+", t)
         assert r.v == (m.group() if m else None), repr(t)
+
+
+def test_recommended_conf_sizes_partitions():
+    from commitlens.session import recommended_conf
+    c = recommended_conf(100 * 10 ** 12, 1000, 8)
+    assert int(c["spark.sql.shuffle.partitions"]) == -(-100 * 10 ** 12 // (256 << 20))
+    assert int(recommended_conf(10 ** 6, 10, 4)["spark.sql.shuffle.partitions"]) == 120  # 3 waves minimum

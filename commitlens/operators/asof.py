@@ -14,6 +14,9 @@ Plan (no custom rule, no cross product, no whole key in one task):
    (strict: earlier dates only; inclusive: the same date's summary wins).
    For timestamps, rows in the same (key, bucket) are matched with a window
    over that bucket only, and the result falls back to the carried value.
+   A (key, bucket) with more than ``max_bucket_rows`` rows is first cut into
+   time pieces at approximate quantiles (equal times share a piece), so this
+   window never holds a hot group either.
 4. Left rows join the per-(key, bucket) result on an equi key; AQE splits a
    skewed left partition and broadcasts the result table when it is small.
 """

@@ -448,3 +448,5 @@ SQL.update({
 SQL.update({
     "file_inventory": "select source, '.txt' as ext, cast(sum(strlen(text) + 1) as bigint) as bytes from documents group by 1",
 })
+
+SQL["stream_label_counts"] = SQL["label_counts"]

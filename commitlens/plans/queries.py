@@ -656,6 +656,20 @@ def stream_page_links(spark, d):
     return spark.read.parquet(f"{root}/out")
 
 
+@q
+def stream_label_counts(spark, d):
+    """R4 for A5: label counts kept up to date while classification answers arrive
+    (every answer delivered twice; a commit counts once)."""
+    from commitlens.functions.answers import parse_class_answer
+
+    root = scratch_path(spark, "stream_labels")
+    answers = ad.answers(spark, d)
+    _stage_files(answers, f"{root}/in", copies=2)
+    inc.running_item_counts(spark, f"{root}/in", answers.schema, "commit_link",
+                            lambda: parse_class_answer("answer")["pi_types"], f"{root}/out", f"{root}/ckpt")
+    return inc.latest_item_counts(spark, f"{root}/out")
+
+
 @q
 def stream_counts(spark, d):
     root = scratch_path(spark, "stream_counts")

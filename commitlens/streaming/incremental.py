@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,6 +113,28 @@ def running_counts(spark: SparkSession, source: str, schema: T.StructType, time_
     return sink
 
 
+def running_item_counts(spark: SparkSession, source: str, schema: T.StructType, key: str,
+                        items: Callable[[], Column], sink: str, checkpoint: str, name: str = "label",
+                        max_files_per_trigger: int | None = 1) -> str:
+    """R4 without time windows: counts of the items (e.g. parsed labels) of
+    every distinct key seen so far, kept up to date as files arrive.  State is
+    one row per item plus the key dedup (RocksDB); each batch overwrites its
+    own ``batch_id=N`` folder with the counts it changed."""
+    s = file_stream(spark, source, schema, max_files_per_trigger=max_files_per_trigger).dropDuplicates([key])
+    counts = s.select(F.explode(items()).alias(name)).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+
+    _run(counts.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint))
+    return sink
+
+
+def latest_item_counts(spark: SparkSession, sink: str, name: str = "label") -> DataFrame:
+    """Current counts from a ``running_item_counts`` sink."""
+    return spark.read.parquet(sink).groupBy(name).agg(F.max_by("n", "batch_id").alias("n"))
+
+
 def latest_counts(spark: SparkSession, sink: str, group: str) -> DataFrame:
     """Current counts from an R4 sink: the last batch's value per (window, group)."""
     df = spark.read.parquet(sink)

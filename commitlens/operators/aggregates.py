@@ -19,12 +19,17 @@ def funnel(stages: list[tuple[str, DataFrame]], key: str = "commit_link", approx
     ``stages`` is an ordered list of (name, DataFrame).  The stages are tagged
     and unioned so that one aggregation computes every count.
     """
-    tagged = [df.select(F.lit(i).alias("stage_order"), F.lit(name).alias("stage"), F.col(key).alias("_k"))
-              for i, (name, df) in enumerate(stages)]
-    distinct = F.approx_count_distinct("_k") if approx else F.count_distinct("_k")
-    return (reduce(DataFrame.unionByName, tagged)
-            .groupBy("stage_order", "stage")
-            .agg(F.count(F.lit(1)).alias("n_rows"), distinct.alias("n_commits")))
+    tagged = reduce(DataFrame.unionByName,
+                    [df.select(F.lit(i).alias("stage_order"), F.lit(name).alias("stage"), F.col(key).alias("_k"))
+                     for i, (name, df) in enumerate(stages)])
+    if approx:
+        return tagged.groupBy("stage_order", "stage").agg(F.count(F.lit(1)).alias("n_rows"),
+                                                           F.approx_count_distinct("_k").alias("n_commits"))
+    # rows per (stage, key) first, then per stage: both levels aggregate partially,
+    # unlike COUNT(DISTINCT) grouped by stage, which shuffles on the stage alone
+    per_key = tagged.groupBy("stage_order", "stage", "_k").agg(F.count(F.lit(1)).alias("_r"))
+    return per_key.groupBy("stage_order", "stage").agg(
+        F.sum("_r").alias("n_rows"), F.count(F.col("_k")).alias("n_commits"))
 
 
 def funnel_flags(df: DataFrame, key: str, stages: list[tuple[str, Column]], cap: tuple[str, str, int] | None = None

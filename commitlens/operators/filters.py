@@ -79,14 +79,19 @@ def rule_audit(df: DataFrame, title: str = "commit_title", description: str = "c
             .groupBy("rule").agg(F.count(F.lit(1)).alias("n_rows")))
 
 
-def fanout_cap(df: DataFrame, key: str = "commit_link", max_rows: int = fixed.MAX_FILES_PER_COMMIT) -> DataFrame:
+def fanout_cap(df: DataFrame, key: str = "commit_link", max_rows: int = fixed.MAX_FILES_PER_COMMIT,
+               hot_rows: int | None = None) -> DataFrame:
     """keep keys with at most ``max_rows`` rows.
 
     Counted with a partially aggregated groupBy and joined back on the key
-    (AQE splits a hot key on the large side); no window holds a whole key.
+    with hot keys salted (``joins.salted_join``), so neither a window nor a
+    join task ever holds a whole hot key.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= max_rows)
-    return df.join(counts.select(key), on=key, how="left_semi")
+    from commitlens.operators.joins import HOT_ROWS, salted_join
+
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    kept = counts.filter(F.col("_n") <= max_rows).select(key)
+    return salted_join(df, kept, [key], "left_semi", counts=counts, hot_rows=hot_rows or HOT_ROWS)
 
 
 def size_threshold(df: DataFrame, count_col: str, max_value: int = fixed.MAX_COMMITS_PER_PROJECT) -> DataFrame:

@@ -14,6 +14,39 @@ from pyspark.sql import functions as F
 from commitlens.functions.text import project_link, short_commit_key
 
 
+# Rows per key above which a key counts as hot and is salted (see salted_join).
+HOT_ROWS = 10_000_000
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
+                counts: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join a one-row-per-key table back onto a big table whose keys may be hot.
+
+    Spark's adaptive skew split cannot help when the small side is an
+    aggregate on the same key (its partitioning is reused, so the join has no
+    shuffle of its own to split).  Here every key with more than ``hot_rows``
+    rows in ``big`` gets S = ceil(n / hot_rows) salts: its big rows are spread
+    over the salts by a hash of the row, and its small row is replicated S
+    times; other keys use salt 0.  The table of hot keys has at most
+    rows(big) / hot_rows rows (100 000 at 10^12 rows), which is the proven
+    bound for broadcasting it.  ``counts`` (keys + ``_n``) may be passed when
+    already computed.  Works for inner, left, left_semi and left_anti joins.
+    """
+    if counts is None:
+        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(counts.filter(F.col("_n") > hot_rows)
+                      .select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_S")))
+    row_hash = F.xxhash64(*[F.col(c) for c in big.columns])
+    b = (big.join(hot, on=keys, how="left")
+         .withColumn("_salt", F.when(F.col("_S").isNull(), F.lit(0))
+                     .otherwise(F.pmod(row_hash, F.col("_S")).cast("int")))
+         .drop("_S"))
+    s = (small.join(hot, on=keys, how="left")
+         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_S"), F.lit(1)) - 1)))
+         .drop("_S"))
+    return b.join(s, on=[*keys, "_salt"], how=how).drop("_salt")
+
+
 def semi(df: DataFrame, keys_df: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``df`` whose key occurs in ``keys_df``."""
     return df.join(keys_df.select(*on), on=on, how="left_semi")
@@ -75,9 +108,9 @@ def lookup_status(work: DataFrame, table: DataFrame, key: str, verdict: str) ->
 def match_short_key(items: DataFrame, commits: DataFrame, item_key: str = "short_key",
                     link: str = "commit_link") -> DataFrame:
     """Resolve ``repo/commit/hash`` keys to full links; ambiguous keys are rejected."""
-    resolved = (commits.select(short_commit_key(link).alias(item_key), F.col(link))
+    resolved = (commits.select(short_commit_key(link).alias(item_key), F.col(link)).distinct()
                 .groupBy(item_key)
-                .agg(F.count_distinct(link).alias("n_links"), F.min(link).alias("_link")))
+                .agg(F.count(link).alias("n_links"), F.min(link).alias("_link")))
     out = items.join(resolved, on=item_key, how="left")
     n = F.coalesce(F.col("n_links"), F.lit(0))
     return out.select(*items.columns, F.when(n == 1, F.col("_link")).alias(link),

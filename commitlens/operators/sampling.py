@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitlens.functions import fixed
+from commitlens.operators.joins import HOT_ROWS, salted_join
 
 
 def initial_size(confidence_level: float = 0.95, margin_of_error: float = 0.05, proportion: float = 0.5) -> float:
@@ -37,8 +38,12 @@ def sample_sizes(strata: DataFrame, key: str, stratum: str, count_occurrences: b
     ``count_occurrences`` the number of (key, stratum) rows including repeats
     (a commit listing a category twice counts twice, as the source's label
     counts do)."""
-    pop = F.count(F.lit(1)) if count_occurrences else F.count_distinct(key)
-    return (strata.groupBy(stratum).agg(pop.alias("population"))
+    # distinct (key, stratum) first, then a plain count: Spark plans COUNT(DISTINCT)
+    # grouped by the stratum with a shuffle on the stratum alone, which would put
+    # a hot stratum's keys into one task; this form aggregates partially
+    rows = strata.select(key, stratum) if count_occurrences else strata.select(key, stratum).distinct()
+    pop = F.count(F.lit(1)) if count_occurrences else F.count(key)  # NULL keys are not counted as keys
+    return (rows.groupBy(stratum).agg(pop.alias("population"))
             .withColumn("sample_size", sample_size(F.col("population"), **kw)))
 
 
@@ -48,7 +53,7 @@ def _rank_hash(key: str, stratum: str, seed: str) -> Column:
 
 def stratified_sample(strata: DataFrame, key: str, stratum: str, seed: str = "0",
                       margin_sigmas: float = 6.0, margin_rows: float = 20.0, count_occurrences: bool = False,
-                      **kw) -> DataFrame:
+                      hot_rows: int | None = None, **kw) -> DataFrame:
     """(key, stratum, rank) of the sampled rows; ``strata`` holds one row per (key, stratum).
 
     Every row gets the smallest level L whose threshold t_L = t_0 * 4^L exceeds
@@ -68,14 +73,19 @@ def stratified_sample(strata: DataFrame, key: str, stratum: str, seed: str = "0"
     # level = smallest L >= 0 with u < t0 * 4^L  (u < 1 always, so the level is finite)
     level = F.greatest(F.lit(0), F.floor(F.log(4.0, u / t0) + F.lit(1)).cast("int"))
     level = F.when(u < t0, F.lit(0)).otherwise(level)
-    rows = s.join(sizes, on=stratum).withColumn("_h", h).withColumn("_lvl", level)
+    # per-stratum values go back onto the rows with hot strata salted
+    hot = hot_rows or HOT_ROWS
+    counts = s.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
+    rows = salted_join(s, sizes, [stratum], "inner", counts=counts, hot_rows=hot) \
+        .withColumn("_h", h).withColumn("_lvl", level)
     per_level = rows.groupBy(stratum, "_lvl").agg(F.count(F.lit(1)).alias("_c"))
     cum = Window.partitionBy(stratum).orderBy("_lvl").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     chosen = (per_level.withColumn("_cum", F.sum("_c").over(cum))
               .join(sizes.select(stratum, "sample_size"), on=stratum)
               .filter(F.col("_cum") >= F.col("sample_size"))
               .groupBy(stratum).agg(F.min("_lvl").alias("_max_lvl")))
-    pool = rows.join(chosen, on=stratum).filter(F.col("_lvl") <= F.col("_max_lvl"))
+    pool = salted_join(rows, chosen, [stratum], "inner", counts=counts, hot_rows=hot) \
+        .filter(F.col("_lvl") <= F.col("_max_lvl"))
     w = Window.partitionBy(stratum).orderBy("_h", key)
     return (pool.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= F.col("sample_size"))

@@ -538,3 +538,24 @@ def test_recommended_conf_sizes_partitions():
     c = recommended_conf(100 * 10 ** 12, 1000, 8)
     assert int(c["spark.sql.shuffle.partitions"]) == -(-100 * 10 ** 12 // (256 << 20))
     assert int(recommended_conf(10 ** 6, 10, 4)["spark.sql.shuffle.partitions"]) == 120  # 3 waves minimum
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_equals_plain_join(spark, how):
+    from commitlens.operators.joins import salted_join
+    big = spark.createDataFrame([("hot", i) for i in range(50)] + [("a", 1), ("b", 2), (None, 3)], "k string, v int")
+    small = spark.createDataFrame([("hot", "H"), ("a", "A"), ("z", "Z")], "k string, w string")
+    want = sorted(map(tuple, big.join(small, "k", how).collect()), key=str)
+    got = sorted(map(tuple, salted_join(big, small, ["k"], how, hot_rows=4).collect()), key=str)
+    assert got == want
+
+
+def test_hot_paths_stay_exact(spark):
+    # fan-out cap and sampling with tiny hot thresholds (every key salted)
+    df = spark.createDataFrame([("a",)] * 6 + [("b",)] * 2, "commit_link string")
+    assert {r.commit_link for r in filters.fanout_cap(df, hot_rows=1).collect()} == {"b"}
+    rows = [(i, "hot") for i in range(3000)] + [(i, f"s{i % 3}") for i in range(90)]
+    st = spark.createDataFrame(rows, "k long, s string")
+    a = sorted(map(tuple, sampling.stratified_sample(st, "k", "s", seed="3").collect()))
+    b = sorted(map(tuple, sampling.stratified_sample(st, "k", "s", seed="3", hot_rows=7).collect()))
+    assert a == b

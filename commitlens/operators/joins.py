@@ -62,7 +62,7 @@ def anti(df: DataFrame, *others: DataFrame, on: list[str]) -> DataFrame:
 def flag_member(df: DataFrame, keys_df: DataFrame, on: list[str], name: str) -> DataFrame:
     """Boolean column ``name`` = key occurs in ``keys_df``."""
     k = keys_df.select(*on).distinct().withColumn(name, F.lit(True))
-    return df.join(k, on=on, how="left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+    return salted_join(df, k, on, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
 def propagate(df: DataFrame, verdicts: DataFrame, keys: list[str], cols: list[str], how: str = "inner") -> DataFrame:

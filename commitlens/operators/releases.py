@@ -14,14 +14,17 @@ from commitlens.functions import fixed
 from commitlens.functions.text import normalized_version
 from commitlens.operators.asof import asof_join
 from commitlens.operators.dedup import first_per_key, pick_min
+from commitlens.operators.joins import salted_join
 
 GV = ["git_link", "apk_version"]
 
 
 def versions_with_binary(assets: DataFrame, name: str = "download_file_name") -> DataFrame:
     """All asset rows of the (project, version)s that have at least one ``.apk`` file."""
-    with_apk = assets.filter(F.col(name).endswith(".apk")).select(*GV).distinct()
-    return assets.join(with_apk, on=GV, how="left_semi")
+    flags = assets.groupBy(*GV).agg(F.count(F.lit(1)).alias("_n"),
+                                    F.max(F.col(name).endswith(".apk")).alias("_has_apk"))
+    with_apk = flags.filter(F.col("_has_apk")).select(*GV)
+    return salted_join(assets, with_apk, GV, "left_semi", counts=flags)
 
 
 def pick_asset(assets: DataFrame, name: str = "download_file_name", link: str = "download_link") -> DataFrame:
@@ -93,9 +96,9 @@ def pairs_from_assets(commits: DataFrame, assets: DataFrame) -> DataFrame:
     matched = asof_join(commits_per_project(commits), rel, ["git_link"], "commit_date", "r_date",
                         strict=True, how="inner", tie_break=["r_version", "r_link"])
     facts = version_facts(useful).filter(F.col("apk_download_link").isNotNull())
-    return (matched.select("git_link", "commit_link", F.col("commit_date").alias("commit_release_time"),
+    pairs = matched.select("git_link", "commit_link", F.col("commit_date").alias("commit_release_time"),
                            F.col("r_version").alias("apk_version"))
-            .join(facts, GV, "left")
+    return (salted_join(pairs, facts, GV, "left")
             .select("git_link", "commit_link", "commit_release_time", "apk_release_time", "apk_version",
                     "apk_download_link", "source_code_download_link"))
 
@@ -119,9 +122,9 @@ def gap_fill(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     """
     have = (primary.select("git_link", normalized_version("apk_version").alias("_nv"))
             .filter(F.col("_nv").isNotNull()).distinct())
-    add = (secondary.withColumn("_nv", normalized_version("apk_version"))
-           .filter(F.col("apk_version") == F.col("_nv"))
-           .join(have, on=["git_link", "_nv"], how="left_anti").drop("_nv").distinct())
+    cand = (secondary.withColumn("_nv", normalized_version("apk_version"))
+            .filter(F.col("apk_version") == F.col("_nv")))
+    add = salted_join(cand, have, ["git_link", "_nv"], "left_anti").drop("_nv").distinct()
     return primary.withColumn("source", F.lit("release")).unionByName(
         add.withColumn("source", F.lit("store")), allowMissingColumns=True)
 
@@ -150,10 +153,10 @@ def match_releases(commits: DataFrame, assets: DataFrame, store: DataFrame) -> D
     facts = version_facts(useful).filter(F.col("apk_download_link").isNotNull())
     cols = ["git_link", "commit_link", "commit_release_time", "apk_release_time", "apk_version",
             "apk_download_link", "source_code_download_link"]
-    a = (m.filter(F.col("src") == "release")
-         .select("git_link", "commit_link", F.col("commit_date").alias("commit_release_time"),
-                 F.col("m_version").alias("apk_version"))
-         .join(facts, GV, "left").select(*cols))
+    a = salted_join(m.filter(F.col("src") == "release")
+                    .select("git_link", "commit_link", F.col("commit_date").alias("commit_release_time"),
+                            F.col("m_version").alias("apk_version")),
+                    facts, GV, "left").select(*cols)
     b = (m.filter(F.col("src") == "store")
          .select("git_link", "commit_link", F.col("commit_date").alias("commit_release_time"),
                  F.col("m_date").alias("apk_release_time"), F.col("m_version").alias("apk_version"),

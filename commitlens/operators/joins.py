@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from commitlens.functions.text import project_link, short_commit_key
 
 
-# Rows per key above which a key counts as hot and is salted (see salted_join).
+# Rows per key above which a key counts as hot and is salted (salted_join, the
+# fallback of skew_safe_join when the session has AQE skew handling off).
 HOT_ROWS = 10_000_000
 
 
@@ -47,6 +48,31 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     return b.join(s, on=[*keys, "_salt"], how=how).drop("_salt")
 
 
+def skew_safe_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
+                   counts: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join a one-row-per-key table back onto a big table whose keys may be hot.
+
+    When ``small`` is an aggregate on ``keys``, Spark reuses its partitioning,
+    the join gets no shuffle of its own and AQE cannot split a hot key.
+    Joining on the keys packed into one struct makes both sides shuffle on
+    that struct, so AQE's skew split applies (proportionally to the hot key's
+    size) at no extra pass.  Rows with a NULL key never match, as in a plain
+    equi join (a struct holding NULLs would).  When the session has AQE skew
+    handling off, hot keys are salted explicitly instead (``salted_join``).
+    """
+    conf = big.sparkSession.conf
+    aqe = (conf.get("spark.sql.adaptive.enabled", "true") == "true"
+           and conf.get("spark.sql.adaptive.skewJoin.enabled", "true") == "true")
+    if not aqe:
+        return salted_join(big, small, keys, how, counts=counts, hot_rows=hot_rows)
+    jk = F.struct(*[F.col(k) for k in keys])
+    present = F.lit(True)
+    for k in keys:
+        present = present & F.col(k).isNotNull()
+    s = small.filter(present).withColumn("_jk", jk).drop(*keys)
+    return big.withColumn("_jk", jk).join(s, on="_jk", how=how).drop("_jk")
+
+
 def semi(df: DataFrame, keys_df: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``df`` whose key occurs in ``keys_df``."""
     return df.join(keys_df.select(*on), on=on, how="left_semi")
@@ -62,7 +88,7 @@ def anti(df: DataFrame, *others: DataFrame, on: list[str]) -> DataFrame:
 def flag_member(df: DataFrame, keys_df: DataFrame, on: list[str], name: str) -> DataFrame:
     """Boolean column ``name`` = key occurs in ``keys_df``."""
     k = keys_df.select(*on).distinct().withColumn(name, F.lit(True))
-    return salted_join(df, k, on, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+    return skew_safe_join(df, k, on, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
 def propagate(df: DataFrame, verdicts: DataFrame, keys: list[str], cols: list[str], how: str = "inner") -> DataFrame:

@@ -14,7 +14,7 @@ from commitlens.functions import fixed
 from commitlens.functions.text import normalized_version
 from commitlens.operators.asof import asof_join
 from commitlens.operators.dedup import first_per_key, pick_min
-from commitlens.operators.joins import salted_join
+from commitlens.operators.joins import skew_safe_join
 
 GV = ["git_link", "apk_version"]
 
@@ -24,7 +24,7 @@ def versions_with_binary(assets: DataFrame, name: str = "download_file_name") ->
     flags = assets.groupBy(*GV).agg(F.count(F.lit(1)).alias("_n"),
                                     F.max(F.col(name).endswith(".apk")).alias("_has_apk"))
     with_apk = flags.filter(F.col("_has_apk")).select(*GV)
-    return salted_join(assets, with_apk, GV, "left_semi", counts=flags)
+    return skew_safe_join(assets, with_apk, GV, "left_semi", counts=flags)
 
 
 def pick_asset(assets: DataFrame, name: str = "download_file_name", link: str = "download_link") -> DataFrame:
@@ -98,7 +98,7 @@ def pairs_from_assets(commits: DataFrame, assets: DataFrame) -> DataFrame:
     facts = version_facts(useful).filter(F.col("apk_download_link").isNotNull())
     pairs = matched.select("git_link", "commit_link", F.col("commit_date").alias("commit_release_time"),
                            F.col("r_version").alias("apk_version"))
-    return (salted_join(pairs, facts, GV, "left")
+    return (skew_safe_join(pairs, facts, GV, "left")
             .select("git_link", "commit_link", "commit_release_time", "apk_release_time", "apk_version",
                     "apk_download_link", "source_code_download_link"))
 
@@ -124,7 +124,7 @@ def gap_fill(primary: DataFrame, secondary: DataFrame) -> DataFrame:
             .filter(F.col("_nv").isNotNull()).distinct())
     cand = (secondary.withColumn("_nv", normalized_version("apk_version"))
             .filter(F.col("apk_version") == F.col("_nv")))
-    add = salted_join(cand, have, ["git_link", "_nv"], "left_anti").drop("_nv").distinct()
+    add = skew_safe_join(cand, have, ["git_link", "_nv"], "left_anti").drop("_nv").distinct()
     return primary.withColumn("source", F.lit("release")).unionByName(
         add.withColumn("source", F.lit("store")), allowMissingColumns=True)
 
@@ -153,7 +153,7 @@ def match_releases(commits: DataFrame, assets: DataFrame, store: DataFrame) -> D
     facts = version_facts(useful).filter(F.col("apk_download_link").isNotNull())
     cols = ["git_link", "commit_link", "commit_release_time", "apk_release_time", "apk_version",
             "apk_download_link", "source_code_download_link"]
-    a = salted_join(m.filter(F.col("src") == "release")
+    a = skew_safe_join(m.filter(F.col("src") == "release")
                     .select("git_link", "commit_link", F.col("commit_date").alias("commit_release_time"),
                             F.col("m_version").alias("apk_version")),
                     facts, GV, "left").select(*cols)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitlens.functions import fixed
-from commitlens.operators.joins import HOT_ROWS, salted_join
+from commitlens.operators.joins import HOT_ROWS, skew_safe_join
 
 
 def initial_size(confidence_level: float = 0.95, margin_of_error: float = 0.05, proportion: float = 0.5) -> float:
@@ -76,7 +76,7 @@ def stratified_sample(strata: DataFrame, key: str, stratum: str, seed: str = "0"
     # per-stratum values go back onto the rows with hot strata salted
     hot = hot_rows or HOT_ROWS
     counts = s.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    rows = salted_join(s, sizes, [stratum], "inner", counts=counts, hot_rows=hot) \
+    rows = skew_safe_join(s, sizes, [stratum], "inner", counts=counts, hot_rows=hot) \
         .withColumn("_h", h).withColumn("_lvl", level)
     per_level = rows.groupBy(stratum, "_lvl").agg(F.count(F.lit(1)).alias("_c"))
     cum = Window.partitionBy(stratum).orderBy("_lvl").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -84,7 +84,7 @@ def stratified_sample(strata: DataFrame, key: str, stratum: str, seed: str = "0"
               .join(sizes.select(stratum, "sample_size"), on=stratum)
               .filter(F.col("_cum") >= F.col("sample_size"))
               .groupBy(stratum).agg(F.min("_lvl").alias("_max_lvl")))
-    pool = salted_join(rows, chosen, [stratum], "inner", counts=counts, hot_rows=hot) \
+    pool = skew_safe_join(rows, chosen, [stratum], "inner", counts=counts, hot_rows=hot) \
         .filter(F.col("_lvl") <= F.col("_max_lvl"))
     w = Window.partitionBy(stratum).orderBy("_h", key)
     return (pool.withColumn("rank", F.row_number().over(w))

@@ -559,3 +559,21 @@ def test_hot_paths_stay_exact(spark):
     a = sorted(map(tuple, sampling.stratified_sample(st, "k", "s", seed="3").collect()))
     b = sorted(map(tuple, sampling.stratified_sample(st, "k", "s", seed="3", hot_rows=7).collect()))
     assert a == b
+
+
+@pytest.mark.parametrize("aqe", ["true", "false"])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_skew_safe_join_equals_plain_join(spark, how, aqe):
+    from commitlens.operators.joins import skew_safe_join
+    big = spark.createDataFrame([("hot", 1, i) for i in range(40)] + [("a", 1, 1), (None, 1, 2), ("a", None, 3)],
+                                "k string, j int, v int")
+    small = spark.createDataFrame([("hot", 1, "H"), ("a", 1, "A"), (None, 1, "N"), ("a", None, "X")],
+                                  "k string, j int, w string")
+    old = spark.conf.get("spark.sql.adaptive.skewJoin.enabled")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", aqe)
+    try:
+        want = sorted(map(tuple, big.join(small, ["k", "j"], how).collect()), key=str)
+        got = sorted(map(tuple, skew_safe_join(big, small, ["k", "j"], how, hot_rows=4).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", old)
+    assert got == want

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from commitlens.functions.text import ntz_as_utc
+from commitlens.operators.joins import skew_safe_join
 
 
 def _typed_null(dt: T.DataType) -> Column:
@@ -130,7 +131,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
              .filter(F.col("_s") == left_side).select(*by, "_b", "_prev"))
 
     if date_mode:
-        out = left.withColumn("_b", bucket_of(left_time)).join(carry, on=[*by, "_b"], how="left")
+        out = skew_safe_join(left.withColumn("_b", bucket_of(left_time)), carry, [*by, "_b"], "left")
         match = F.col("_prev")
     else:
         # in-bucket matching for timestamps: left rows and raw right rows of
@@ -148,7 +149,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         inb = (lv.unionByName(rr).withColumn("_in", F.last("_rv", ignorenulls=True).over(w2))
                .filter(F.col("_s") == l_first).select(*by, "_b", "_lv", "_in"))
-        out = inb.join(carry, on=[*by, "_b"], how="left").select("_lv.*", "_in", "_prev")
+        out = skew_safe_join(inb, carry, [*by, "_b"], "left").select("_lv.*", "_in", "_prev")
         match = F.coalesce(F.col("_in"), F.col("_prev"))
 
     out = out.withColumn("_m", match)

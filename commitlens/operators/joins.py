@@ -112,7 +112,7 @@ def match_project(commits: DataFrame, projects: DataFrame, link: str = "commit_l
 def fill_from(df: DataFrame, lookup: DataFrame, on: list[str], col: str, prefer_new: bool = False) -> DataFrame:
     """Fill (or, with ``prefer_new``, overwrite) ``col`` from a one-row-per-key lookup."""
     lk = lookup.select(*on, F.col(col).alias("_new"))
-    out = df.join(lk, on=on, how="left")
+    out = skew_safe_join(df, lk, on, "left")
     value = F.coalesce("_new", col) if prefer_new else F.coalesce(col, "_new")
     return out.withColumn(col, value).drop("_new")
 

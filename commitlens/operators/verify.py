@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commitlens.functions.text import split_lines, strip_ws
+from commitlens.operators.joins import skew_safe_join
 
 
 def pivot_snapshot(snapshot: DataFrame, sides=("before", "after", "release")) -> DataFrame:
@@ -36,7 +37,7 @@ def file_checks(changes: DataFrame, snapshot: DataFrame) -> DataFrame:
     for sfx in SKIPPED_SUFFIXES:
         skip = skip | F.col("path").endswith(sfx)
     snap = pivot_snapshot(snapshot)
-    j = changes.join(snap, on=["commit_link", "path"], how="left")
+    j = skew_safe_join(changes, snap, ["commit_link", "path"], "left")
     before_lines = split_lines("before")
     deleted = F.transform("deleted_lines", lambda i: strip_ws(F.try_element_at(before_lines, i)))
     # a deleted line number beyond the old file makes the file unreadable (skipped)

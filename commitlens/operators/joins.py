@@ -74,14 +74,17 @@ def skew_safe_join(big: DataFrame, small: DataFrame, keys: list[str], how: str =
 
 
 def semi(df: DataFrame, keys_df: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of ``df`` whose key occurs in ``keys_df``."""
-    return df.join(keys_df.select(*on), on=on, how="left_semi")
+    """Rows of ``df`` whose key occurs in ``keys_df``.
+
+    The key side is deduplicated first (a partial aggregate collapses a hot key
+    there; AQE can only split a skewed *left* side of a semi join)."""
+    return df.join(keys_df.select(*on).distinct(), on=on, how="left_semi")
 
 
 def anti(df: DataFrame, *others: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``df`` whose key occurs in none of ``others`` (work list minus done)."""
     for o in others:
-        df = df.join(o.select(*on), on=on, how="left_anti")
+        df = df.join(o.select(*on).distinct(), on=on, how="left_anti")
     return df
 
 

@@ -577,3 +577,37 @@ def test_skew_safe_join_equals_plain_join(spark, how, aqe):
     finally:
         spark.conf.set("spark.sql.adaptive.skewJoin.enabled", old)
     assert got == want
+
+
+# --- property: as-of join against brute force with NULLs and ties ----------------
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_rows = st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)), st.one_of(st.none(), st.integers(0, 30))),
+                 max_size=40)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(left=_rows, right=_rows, strict=st.booleans(), kind=st.sampled_from(["date", "timestamp"]))
+def test_asof_property_with_nulls(spark, left, right, strict, kind):
+    import datetime as dt
+    base = dt.datetime(2024, 1, 1)
+
+    def t(x):
+        if x is None:
+            return None
+        v = base + dt.timedelta(hours=x * 5)
+        return v.date() if kind == "date" else v
+    L = [(k, i, t(x)) for i, (k, x) in enumerate(left)]
+    R = [(k, 1000 + i, t(x)) for i, (k, x) in enumerate(right)]
+    want = {}
+    for k, lid, lt in L:
+        c = [(rt, rid) for rk, rid, rt in R if k is not None and rk == k and lt is not None and rt is not None
+             and (rt < lt if strict else rt <= lt)]
+        want[lid] = max(c)[1] if c else None
+    ldf = spark.createDataFrame(L, f"k int, lid int, lt {kind}")
+    rdf = spark.createDataFrame(R, f"k int, rid int, rt {kind}")
+    got = {r.lid: r.rid for r in asof_join(ldf, rdf, ["k"], "lt", "rt", strict=strict, how="left",
+                                            tie_break=["rid"], max_bucket_rows=3, pieces=3).collect()}
+    assert got == want

@@ -611,3 +611,24 @@ def test_asof_property_with_nulls(spark, left, right, strict, kind):
     got = {r.lid: r.rid for r in asof_join(ldf, rdf, ["k"], "lt", "rt", strict=strict, how="left",
                                             tie_break=["rid"], max_bucket_rows=3, pieces=3).collect()}
     assert got == want
+
+
+_keys = st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 2)), st.integers(0, 5)), max_size=30)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(big=_keys, small_keys=st.lists(st.one_of(st.none(), st.integers(0, 4)), unique=True, max_size=5),
+       how=st.sampled_from(["inner", "left", "left_semi", "left_anti"]), aqe=st.booleans())
+def test_skew_safe_join_property(spark, big, small_keys, how, aqe):
+    from commitlens.operators.joins import skew_safe_join
+    b = spark.createDataFrame(big, "k int, v int")
+    s = spark.createDataFrame([(k, f"w{k}") for k in small_keys], "k int, w string")
+    old = spark.conf.get("spark.sql.adaptive.skewJoin.enabled")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true" if aqe else "false")
+    try:
+        want = sorted(map(tuple, b.join(s, "k", how).select(*b.join(s, "k", how).columns).collect()), key=str)
+        got_df = skew_safe_join(b, s, ["k"], how, hot_rows=2)
+        got = sorted(map(tuple, got_df.select(*b.join(s, "k", how).columns).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", old)
+    assert got == want

@@ -15,8 +15,9 @@ Plan (no custom rule, no cross product, no whole key in one task):
    For timestamps, rows in the same (key, bucket) are matched with a window
    over that bucket only, and the result falls back to the carried value.
    A (key, bucket) with more than ``max_bucket_rows`` rows is first cut into
-   time pieces at approximate quantiles (equal times share a piece), so this
-   window never holds a hot group either.
+   time pieces at approximate quantiles, and a piece that is still hot into
+   ceil(n / max_bucket_rows) equal-width time slices (equal times always stay
+   together), so this window never holds a hot group either.
 4. Left rows join the per-(key, bucket) result on an equi key; AQE splits a
    skewed left partition and broadcasts the result table when it is small.
 """
@@ -62,6 +63,33 @@ def _split_hot_buckets(left: DataFrame, right: DataFrame, by: list[str], left_ti
     return with_bucket
 
 
+def _slice_hot_pieces(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str,
+                      ltype: T.DataType, max_bucket_rows: int):
+    """Second level: a piece (``_bk``) still holding more than ``max_bucket_rows``
+    rows is cut into S = ceil(n / max_bucket_rows) equal-width time slices over
+    its own time range.  S comes from the data (no fixed piece count); slices
+    keep time order and equal times share a slice, so the carry stays exact."""
+    def micros(c: str) -> Column:
+        col = F.col(c).cast(ltype)
+        return F.unix_micros(ntz_as_utc(col) if isinstance(ltype, T.TimestampNTZType) else col)
+
+    both = (left.select(*by, "_bk", micros(left_time).alias("_us"))
+            .unionByName(right.select(*by, "_bk", micros(right_time).alias("_us"))))
+    stats = (both.groupBy(*by, "_bk")
+             .agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
+             .filter(F.col("_n") > max_bucket_rows)
+             .select(*by, "_bk", "_lo", "_hi",
+                     F.ceil(F.col("_n") / F.lit(max_bucket_rows)).cast("long").alias("_S")))
+
+    def with_slice(df: DataFrame, c: str) -> DataFrame:
+        x = df.join(stats, on=[*by, "_bk"], how="left")
+        width = (F.col("_hi") - F.col("_lo") + F.lit(1)).cast("double") / F.col("_S").cast("double")
+        sl = F.least(F.floor((micros(c) - F.col("_lo")).cast("double") / width), F.col("_S") - 1)
+        sl = F.coalesce(sl.cast("long"), F.lit(0).cast("long"))
+        return x.withColumn("_bk", F.struct(F.col("_bk").alias("b"), sl.alias("s"))).drop("_lo", "_hi", "_S")
+    return with_slice
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, *,
               strict: bool = True, how: str = "inner", tie_break: list[str] | None = None,
               bucket: str = "day", max_bucket_rows: int | None = 1_000_000, pieces: int = 64) -> DataFrame:
@@ -100,6 +128,9 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
                                         max_bucket_rows, pieces)
         left = add_bucket(left, left_time)
         right = add_bucket(right, right_time)
+        add_slice = _slice_hot_pieces(left, right, by, left_time, right_time, ltype, max_bucket_rows)
+        left = add_slice(left, left_time)
+        right = add_slice(right, right_time)
         bucket_col = {left_time: F.col("_bk"), right_time: F.col("_bk")}
     else:
         bucket_col = {}

@@ -3,7 +3,9 @@ key-derived project match, enrichment updates and guarded lookups.
 
 All are equi joins; Catalyst/AQE pick broadcast or sort-merge from runtime
 sizes.  The lookup side is always reduced to one row per key first, so a join
-can never multiply rows of the large side.
+can never multiply rows of the large side, and per-key values rejoin the rows
+through ``skew_safe_join`` so that a hot key is split, never sent whole to one
+task.
 """
 
 from __future__ import annotations

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from commitlens.llm import line_dedup, quality, secrets
+from commitlens.llm import line_dedup, quality, revisits, secrets
 
 UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -75,4 +75,32 @@ SELECT d.doc_id, {", ".join(f"(count(*) FILTER (rule = '{r.name}'))::BIGINT AS n
   coalesce(string_agg(span, ',' ORDER BY s, ord), '') AS spans
 FROM d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id"""
 
-SQL: dict[str, str] = {"op1_line_dedup": OP1, "op7_quality_rules": OP7, "op10_secret_ledger": OP10}
+_HOST = "regexp_extract(rest, '^([^/?]*)', 1)"
+OP2 = f"""
+WITH p AS (SELECT *, md5(coalesce(html, '')) AS digest FROM pages),
+t AS (SELECT *, '"' || left(digest, 16) || '"' AS tag FROM p),
+rec AS (
+  SELECT 2 * page_id AS record_id, page_id, url, 60 * page_id AS ts, 200 AS status, tag AS etag, 't' || page_id AS last_modified, digest, tag,
+    strlen(coalesce(html, '')) AS size FROM t
+  UNION ALL
+  SELECT 2 * page_id + 1, page_id, regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_source=revisit#again',
+    60 * page_id + 30 + page_id % 7 * 30000, 304, CASE page_id % 5 WHEN 0 THEN tag WHEN 1 THEN 'W/' || tag WHEN 3 THEN '"stale"' END,
+    CASE WHEN page_id % 5 = 2 THEN 't' || page_id END, NULL, CASE WHEN page_id % 5 = 1 THEN 'W/' || tag ELSE tag END, 0 FROM t),
+c AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM rec),
+k AS (SELECT *, regexp_replace(lower(regexp_replace(regexp_replace({_HOST}, '^[^@]*@', ''), '\\.?(:80|:443)?$', '')), '^www[0-9]*\\.', '') AS host,
+    regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\\?(.*)$', 1), '&'),
+      lambda a: a <> '' AND NOT regexp_matches(a, '^(?i:{revisits.TRACKING})(=.*)?$'))) AS args FROM c),
+u AS (SELECT * EXCLUDE (rest, host, path, args), host || path || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS url_key FROM k),
+m AS (
+  SELECT v.*, f.record_id AS ref, f.etag AS f_etag, f.last_modified AS f_date, f.digest AS f_digest, f.size AS f_size, f.page_id AS f_page
+  FROM (SELECT * FROM u WHERE status = 304) v ASOF LEFT JOIN (SELECT * FROM u WHERE status = 200) f ON v.url_key = f.url_key AND v.ts > f.ts),
+x AS (SELECT *, CASE WHEN ref IS NULL THEN 'no_response'
+    WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = f_etag THEN 'etag' ELSE 'etag_differs' END
+    WHEN last_modified IS NOT NULL THEN CASE WHEN last_modified = f_date THEN 'last_modified' ELSE 'date_differs' END ELSE 'unchecked' END AS reason FROM m),
+y AS (SELECT *, reason IN ('etag', 'last_modified', 'unchecked') AS resolved FROM x)
+SELECT record_id, page_id, url_key, ref AS refers_to, resolved, reason, CASE WHEN resolved THEN f_digest END AS digest,
+  CASE WHEN resolved THEN 'content-length=' || f_size || ';content-type=text/html;date=r' || page_id || ';etag=' || tag END AS headers
+FROM y"""
+
+SQL: dict[str, str] = {"op2_warc_revisits": OP2, "op1_line_dedup": OP1, "op7_quality_rules": OP7, "op10_secret_ledger": OP10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitlens.llm import language, line_dedup, packing, quality, secrets
+from commitlens.llm import language, line_dedup, ngram_join, packing, quality, revisits, secrets, surrogates
 from commitlens.llm.common import row_key, table, text_or_empty  # noqa: F401
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,27 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2(text_or_empty(F.col("text")), 256).alias("kept_sha256"))
 
 
+@query
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = revisits.resolve(revisits.records_of_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    pairs = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return out.select("record_id", F.expr("record_id div 2").alias("page_id"), "url_key", "refers_to", "resolved", "reason",
+                      F.when(F.col("headers").isNotNull(), F.array_join(pairs, ";")).alias("headers"), "digest")
+
+
+@query
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), "a key kept outside the data")
+    total = F.aggregate("entities", F.lit(0), lambda a, e: a + e["n"]).cast("long")
+    kinds = F.array_join(F.transform("entities", lambda e: F.concat_ws("=", e["kind"], e["n"])), ",")
+    return out.select("doc_id", total.alias("n_entities"), kinds.alias("kinds"), "text")
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")

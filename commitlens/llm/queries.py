@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitlens.llm import language, line_dedup, ngram_join, packing, quality, revisits, secrets, surrogates
+from commitlens.llm import language, line_dedup, ngram_join, packing, quality, revisits, secrets, suffix_dedup, surrogates
 from commitlens.llm.common import row_key, table, text_or_empty  # noqa: F401
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,13 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), "a key kept outside the data")

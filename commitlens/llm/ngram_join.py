@@ -33,8 +33,8 @@ from commitlens.llm.shingles import set_ids, shingle_sets
 
 K, PCT = 4, 85
 EXTRA_PCT = 10               # l of the l-prefix, in per cent of the set size
-BLOCK_BYTES = 32 << 20       # text bytes per column block
-CHUNK_BYTES = 4 << 20        # text bytes hashed together: one block of rows
+BLOCK_BYTES = 8 << 20        # text bytes per column block
+CHUNK_BYTES = 2 << 20        # text bytes hashed together: one block of rows
 
 
 def share(n, pct: int):
@@ -43,7 +43,7 @@ def share(n, pct: int):
 
 
 def block_bits(text_bytes: int) -> int:
-    return max(5, int(np.ceil(np.log2(max(1, text_bytes / BLOCK_BYTES)))))
+    return max(6, int(np.ceil(np.log2(max(1, text_bytes / BLOCK_BYTES)))))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:

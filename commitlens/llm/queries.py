@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitlens.llm import language, line_dedup, ngram_join, packing, quality, revisits, secrets, suffix_dedup, surrogates
+from commitlens.llm import decontam, language, line_dedup, ngram_join, packing, quality, revisits, secrets, suffix_dedup, surrogates
 from commitlens.llm.common import row_key, table, text_or_empty  # noqa: F401
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,12 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.when(F.col("headers").isNotNull(), F.array_join(pairs, ";")).alias("headers"), "digest")
 
 
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.find_leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 @query
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))

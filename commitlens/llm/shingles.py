@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 1 << 21     # bytes hashed at once
+BLOCK = 1 << 20     # bytes hashed at once
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _TABLE = _rng.integers(0, 1 << 64, 256, np.uint64, endpoint=False) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -53,8 +53,8 @@ def block_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return mix(sums + lengths.astype(np.uint64) * _BASE), start
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, and how many each text has."""
+def word_hashes(texts: list[str | None], fold: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, and how many each text has; ``fold`` maps bytes first."""
     hashes, counts = [], np.zeros(len(texts), np.int64)
     group: list[bytes] = []
     members: list[int] = []
@@ -74,6 +74,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
     for i, t in enumerate(texts):
         b = (t or "").encode("utf-8", "surrogatepass").lower()
+        b = b.translate(fold) if fold else b
         at = 0
         while at < len(b):
             end = at + BLOCK

@@ -35,8 +35,8 @@ SIZE = 400
 GRAM = 32
 CLASS = 100
 PIECE = 1 << 20              # window starts handled at once
-BLOCK_BYTES = 32 << 20       # text bytes per hash block
-RANGE_BYTES = 64 << 20       # text bytes per range of the merge
+BLOCK_BYTES = 8 << 20        # text bytes per hash block
+RANGE_BYTES = 16 << 20       # text bytes per range of the merge
 PER_RANGE = 16               # sampled suffixes per range, for the splitters only
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -370,7 +370,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(f"`{id_col}`").alias("_x_id"), F.xxhash64(F.col(f"`{id_col}`").cast("string"), text).alias("_x_key"), text.alias("text"))
     rows = base.select("_x_key", "text").where(F.octet_length("text") >= size)
     total, n_rows = rows.select(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    bits = max(5, int(np.ceil(np.log2(max(1, (total or 0) / BLOCK_BYTES)))))
+    bits = max(6, int(np.ceil(np.log2(max(1, (total or 0) / BLOCK_BYTES)))))
     ranges = max(24, -(-(total or 0) // RANGE_BYTES))
     wanted = (repeated_contexts(rows, size, bits).groupBy("_x_key").agg(F.collect_set("_x_pos").alias("_x_at")).withColumnRenamed("_x_key", "_x_k"))
     hot = rows.join(wanted, F.col("_x_key") == F.col("_x_k")).select("_x_key", "text", "_x_at")

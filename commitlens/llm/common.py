@@ -11,11 +11,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import commitlens
 from commitlens.session import scratch_path
 
+# functions for the Python workers travel with the task: the package need not be installed there
+cloudpickle.register_pickle_by_value(commitlens)
+
 WHITE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

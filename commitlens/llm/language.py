@@ -149,10 +149,11 @@ def training_sample(docs: DataFrame, text_col: str, lang_col: str, usable: Colum
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns plus lang_pred, score, rejected; one row per input row, whole texts, no shuffle."""
     plain = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_x_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)   # BUCKETS x labels floats, whatever the input
+    # BUCKETS x labels floats, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.table, model.bias, model.temperature, model.reject_below))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(*shared.value)
         for b in batches:
             got = [m.predict(t.as_py()) for t in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays(

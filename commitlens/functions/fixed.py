@@ -112,3 +112,32 @@ RUBRIC_ISSUE_TERMS = [
     "energy black hole", "sluggish performance", "wasted energy",
     "service usage inefficiency",
 ]
+
+# --- FIXED VALUES: prompt layouts -------------------------------------------
+# Slot template of the commit-message filter input.
+FILTER_INPUT_TEMPLATE = "###Commit_Title\n#{}#\n\n\n###Commit_Description\n#{}#"
+# Slot template of the diff-analysis input.
+DIFF_INPUT_TEMPLATE = (
+    "###Commit_Message\n#{}#\n\n\n###Code_Diff\n#{}#\n\n\n"
+    "Please answer the following questions one-by-one:\n"
+    "1. What was the performance issue before the commit?\n"
+    "2. In which file and lines did the performance issue occur before the modification?\n"
+    "3. What were the root causes of the performance issue?\n"
+    "4. How was the performance issue resolved after the modification?\n"
+)
+# One rendered changed file: number, name and the patch indented by two tabs.
+DIFF_FILE_FORMAT = "file {n}{{\n\tfile name: {name}\n\tpatch:\n{patch}\n}}\n"
+
+# Files of these types are not compared by the verification step.
+UNCHECKED_SUFFIXES = (".apk", ".so")
+
+# Anchor text of the link to the next listing page, and the test id of the
+# next-page button of a commit list.
+NEXT_LISTING_TEXT = "Older Posts"
+NEXT_BUTTON_ID = "pagination-next-button"
+
+# HTML character references that occur in the crawled pages; the ampersand comes last.
+HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"),
+                 ("&nbsp;", "\u00a0"), ("&#160;", "\u00a0"), ("&copy;", "\u00a9"), ("&reg;", "\u00ae"), ("&middot;", "\u00b7"),
+                 ("&hellip;", "\u2026"), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&laquo;", "\u00ab"), ("&raquo;", "\u00bb"),
+                 ("&lsquo;", "\u2018"), ("&rsquo;", "\u2019"), ("&ldquo;", "\u201c"), ("&rdquo;", "\u201d"), ("&#38;", "&"), ("&amp;", "&")]

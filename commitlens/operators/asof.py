@@ -3,23 +3,18 @@ that lies strictly before (or at, if ``strict=False``) the left row's time.
 
 Plan (no custom rule, no cross product, no whole key in one task):
 
-1. Right side -> one summary row per (key, bucket): the newest right row of the
-   bucket (``max_by`` aggregate; partial, so hot keys are pre-combined).
-2. Carry: distinct (key, bucket) of the left side are unioned with the right
-   summaries; a window per key ordered by bucket takes the last summary seen
-   before each left bucket.  The window input has at most one row per key,
-   bucket and side, i.e. it is bounded by the time range / bucket width, not
-   by the data volume -- a key holding a third of all rows is still tiny here.
-3. For DATE times the bucket is the date itself, so step 2 is the whole answer
-   (strict: earlier dates only; inclusive: the same date's summary wins).
-   For timestamps, rows in the same (key, bucket) are matched with a window
-   over that bucket only, and the result falls back to the carried value.
-   A (key, bucket) with more than ``max_bucket_rows`` rows is first cut into
-   time pieces at approximate quantiles, and a piece that is still hot into
-   ceil(n / max_bucket_rows) equal-width time slices (equal times always stay
-   together), so this window never holds a hot group either.
-4. Left rows join the per-(key, bucket) result on an equi key; AQE splits a
-   skewed left partition and broadcasts the result table when it is small.
+1. Left -> distinct (key, time); right -> one row per (key, time), the row with
+   the largest ``tie_break`` (``max_by`` aggregate; both are pre-combined in
+   the map tasks, so many rows with one key and time cost one row).
+2. These meet in buckets of three fixed levels: day, second, exact time.  A
+   window inside (key, second) sees the times of one second; the newest right
+   row of each second is carried over the seconds of its day by a window per
+   (key, day), and the newest of each day over the days by a window per key.
+   No window holds more than the distinct times of a second, the seconds of a
+   day or the days of the table, whatever a key's share of the rows.
+   DATE times need the last level only.
+3. The full left rows join the result on (key, time) as one struct, so AQE
+   splits a hot (key, time).
 """
 
 from __future__ import annotations
@@ -32,158 +27,68 @@ from commitlens.functions.text import ntz_as_utc
 from commitlens.operators.joins import skew_safe_join
 
 
-def _typed_null(dt: T.DataType) -> Column:
-    return F.lit(None).cast(dt)
-
-
-def _split_hot_buckets(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str,
-                       base_bucket, ltype: T.DataType, max_bucket_rows: int, pieces: int):
-    """Bucket columns that cut every (key, bucket) holding more than
-    ``max_bucket_rows`` rows into ``pieces`` time ranges at approximate
-    quantiles.  Equal times always share a piece, and pieces keep time order,
-    so the carry logic stays exact whatever the cut points are.  The table of
-    cut points has one row per hot bucket (at most total_rows / max_bucket_rows
-    rows), so joining it is cheap."""
-    def micros(c: str) -> Column:
-        col = F.col(c).cast(ltype)
-        return F.unix_micros(ntz_as_utc(col) if isinstance(ltype, T.TimestampNTZType) else col)
-
-    both = (left.select(*by, base_bucket(left_time).alias("_b0"), micros(left_time).alias("_us"))
-            .unionByName(right.select(*by, base_bucket(right_time).alias("_b0"), micros(right_time).alias("_us"))))
-    hot = both.groupBy(*by, "_b0").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_bucket_rows)
-    probs = [i / pieces for i in range(1, pieces)]
-    cuts = (both.join(hot.select(*by, "_b0"), on=[*by, "_b0"], how="left_semi")
-            .groupBy(*by, "_b0").agg(F.percentile_approx("_us", probs, 10000).alias("_cuts")))
-
-    def with_bucket(df: DataFrame, c: str) -> DataFrame:
-        x = df.withColumn("_b0", base_bucket(c)).join(cuts, on=[*by, "_b0"], how="left")
-        us = micros(c)
-        piece = F.coalesce(F.size(F.filter("_cuts", lambda v: v <= us)), F.lit(0))
-        return x.withColumn("_bk", F.struct(F.col("_b0").alias("b"), piece.alias("p"))).drop("_b0", "_cuts")
-    return with_bucket
-
-
-def _slice_hot_pieces(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str,
-                      ltype: T.DataType, max_bucket_rows: int):
-    """Second level: a piece (``_bk``) still holding more than ``max_bucket_rows``
-    rows is cut into S = ceil(n / max_bucket_rows) equal-width time slices over
-    its own time range.  S comes from the data (no fixed piece count); slices
-    keep time order and equal times share a slice, so the carry stays exact."""
-    def micros(c: str) -> Column:
-        col = F.col(c).cast(ltype)
-        return F.unix_micros(ntz_as_utc(col) if isinstance(ltype, T.TimestampNTZType) else col)
-
-    both = (left.select(*by, "_bk", micros(left_time).alias("_us"))
-            .unionByName(right.select(*by, "_bk", micros(right_time).alias("_us"))))
-    stats = (both.groupBy(*by, "_bk")
-             .agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
-             .filter(F.col("_n") > max_bucket_rows)
-             .select(*by, "_bk", "_lo", "_hi",
-                     F.ceil(F.col("_n") / F.lit(max_bucket_rows)).cast("long").alias("_S")))
-
-    def with_slice(df: DataFrame, c: str) -> DataFrame:
-        x = df.join(stats, on=[*by, "_bk"], how="left")
-        width = (F.col("_hi") - F.col("_lo") + F.lit(1)).cast("double") / F.col("_S").cast("double")
-        sl = F.least(F.floor((micros(c) - F.col("_lo")).cast("double") / width), F.col("_S") - 1)
-        sl = F.coalesce(sl.cast("long"), F.lit(0).cast("long"))
-        return x.withColumn("_bk", F.struct(F.col("_bk").alias("b"), sl.alias("s"))).drop("_lo", "_hi", "_S")
-    return with_slice
+def _last(col: str) -> Column:
+    return F.last(col, ignorenulls=True)
+
+
+def _match_times(both: DataFrame, by: list[str], date_mode: bool) -> DataFrame:
+    """(by, _t, _s, _rv) with side 0/1 rows -> left rows (``_lhs``) with the value as of their time.
+
+    What is known before a day (second) enters the day's (second's) window as
+    one more row in front, so the levels need no joins."""
+    upto = Window.unboundedPreceding
+    if date_mode:
+        w = Window.partitionBy(*by).orderBy("_t", "_s").rowsBetween(upto, Window.currentRow)
+        return both.withColumn("_m", _last("_rv").over(w)).filter("_lhs").select(*by, "_t", "_m")
+    second = both.groupBy(*by, "_day", "_sec").agg(F.max_by("_rv", F.when(F.col("_rv").isNotNull(), F.col("_t"))).alias("_rv"))
+    day = second.groupBy(*by, "_day").agg(F.max_by("_rv", F.when(F.col("_rv").isNotNull(), F.col("_sec"))).alias("_rv"))
+    w_day = Window.partitionBy(*by).orderBy("_day").rowsBetween(upto, -1)
+    before_day = day.withColumn("_rv", _last("_rv").over(w_day)).withColumn("_sec", F.lit(-1).cast("long"))
+    w_sec = Window.partitionBy(*by, "_day").orderBy("_sec").rowsBetween(upto, -1)
+    before = (second.unionByName(before_day).withColumn("_rv", _last("_rv").over(w_sec)).filter("_sec >= 0")
+              .withColumn("_t", F.lit(None).cast(both.schema["_t"].dataType)).withColumn("_s", F.lit(-1)).withColumn("_lhs", F.lit(False)))
+    w = Window.partitionBy(*by, "_day", "_sec").orderBy(F.col("_t").asc_nulls_first(), "_s").rowsBetween(upto, Window.currentRow)
+    return both.unionByName(before).withColumn("_m", _last("_rv").over(w)).filter("_lhs").select(*by, "_t", "_m")
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, *,
-              strict: bool = True, how: str = "inner", tie_break: list[str] | None = None,
-              bucket: str = "day", max_bucket_rows: int | None = 1_000_000, pieces: int = 64) -> DataFrame:
+              strict: bool = True, how: str = "inner", tie_break: list[str] | None = None) -> DataFrame:
     """Attach to each left row the columns of its as-of right row.
 
     ``by`` names the key columns (same names on both sides).  Right columns
     other than ``by`` are carried; they must not clash with left names.
     Among right rows with the same time the one with the largest ``tie_break``
     tuple wins.  ``how`` is ``inner`` (drop unmatched left rows) or ``left``.
-    ``bucket`` ('day', 'hour', ...) sets the time bucket for timestamp keys;
-    a (key, bucket) with more than ``max_bucket_rows`` rows is cut into
-    ``pieces`` time ranges so no single window partition holds a hot group.
+    Rows with a NULL key or time match nothing.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
-    tie_break = tie_break or []
-    carried = [c for c in right.columns if c not in by and c != "_bk"]
+    carried = [c for c in right.columns if c not in by]
     clash = set(carried) & set(left.columns)
     if clash:
         raise ValueError(f"rename right columns first: {sorted(clash)}")
-
     ltype = left.schema[left_time].dataType
     date_mode = isinstance(ltype, T.DateType) and isinstance(right.schema[right_time].dataType, T.DateType)
 
-    def bucket_of(c: str) -> Column:
-        # only zone-free expressions: the result must not depend on the session zone
-        if date_mode:
-            return F.col(c)
-        col = F.col(c).cast(ltype)
-        if bucket == "day":
-            return F.to_date(col)
-        return F.date_trunc(bucket, ntz_as_utc(col) if isinstance(ltype, T.TimestampNTZType) else col)
-
-    if not date_mode and max_bucket_rows:
-        add_bucket = _split_hot_buckets(left, right, by, left_time, right_time, bucket_of, ltype,
-                                        max_bucket_rows, pieces)
-        left = add_bucket(left, left_time)
-        right = add_bucket(right, right_time)
-        add_slice = _slice_hot_pieces(left, right, by, left_time, right_time, ltype, max_bucket_rows)
-        left = add_slice(left, left_time)
-        right = add_slice(right, right_time)
-        bucket_col = {left_time: F.col("_bk"), right_time: F.col("_bk")}
-    else:
-        bucket_col = {}
-    orig_left_cols = [c for c in left.columns if c != "_bk"]
-
-    def bucket_expr(c: str) -> Column:
-        return bucket_col[c] if c in bucket_col else bucket_of(c)
-
-    r = (right.filter(F.col(right_time).isNotNull())
-         .na.drop(subset=by)
-         .select(*by, bucket_expr(right_time).alias("_b"),
-                 F.struct(F.col(right_time).alias("_t"), *[F.col(c) for c in tie_break]).alias("_rk"),
-                 F.struct(*[F.col(c) for c in carried]).alias("_rv")))
-    rv_type = r.schema["_rv"].dataType
-    rk_type = r.schema["_rk"].dataType
-
-    summary = r.groupBy(*by, "_b").agg(F.max_by("_rv", "_rk").alias("_rv"))
-    lb = left.select(*by, bucket_expr(left_time).alias("_b")).distinct()
-
-    # side 0 = left bucket, 1 = right summary.  Strict (and every timestamp
-    # case) puts the left bucket first on equal buckets so only earlier
-    # buckets are seen; the inclusive DATE case puts the summary first.
-    same_bucket_counts = date_mode and not strict
-    left_side, right_side = (1, 0) if same_bucket_counts else (0, 1)
-    u = (lb.select(*by, "_b", F.lit(left_side).alias("_s"), _typed_null(rv_type).alias("_rv"))
-         .unionByName(summary.select(*by, "_b", F.lit(right_side).alias("_s"), "_rv")))
-    w = Window.partitionBy(*by).orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carry = (u.withColumn("_prev", F.last("_rv", ignorenulls=True).over(w))
-             .filter(F.col("_s") == left_side).select(*by, "_b", "_prev"))
+    def seconds(c: str) -> Column:
+        # zone-free: the result must not depend on the session zone
+        col = F.col(c)
+        return F.unix_seconds(ntz_as_utc(col) if isinstance(ltype, T.TimestampNTZType) else col.cast("timestamp"))
 
-    if date_mode:
-        out = skew_safe_join(left.withColumn("_b", bucket_of(left_time)), carry, [*by, "_b"], "left")
-        match = F.col("_prev")
-    else:
-        # in-bucket matching for timestamps: left rows and raw right rows of
-        # the same (key, bucket), ordered by time; on equal time the left row
-        # sorts first when strict (so equal-time right rows are not seen).
-        l_first, r_first = (0, 1) if strict else (1, 0)
-        lcols = orig_left_cols
-        lv = left.select(*by, bucket_expr(left_time).alias("_b"), F.col(left_time).alias("_t"),
-                         F.lit(l_first).alias("_s"), _typed_null(rk_type).alias("_rk"),
-                         F.struct(*[F.col(c) for c in lcols]).alias("_lv"), _typed_null(rv_type).alias("_rv"))
-        lv_type = lv.schema["_lv"].dataType
-        rr = r.select(*by, "_b", F.col("_rk._t").cast(ltype).alias("_t"), F.lit(r_first).alias("_s"),
-                      "_rk", _typed_null(lv_type).alias("_lv"), "_rv")
-        w2 = (Window.partitionBy(*by, "_b").orderBy("_t", "_s", "_rk")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        inb = (lv.unionByName(rr).withColumn("_in", F.last("_rv", ignorenulls=True).over(w2))
-               .filter(F.col("_s") == l_first).select(*by, "_b", "_lv", "_in"))
-        out = skew_safe_join(inb, carry, [*by, "_b"], "left").select("_lv.*", "_in", "_prev")
-        match = F.coalesce(F.col("_in"), F.col("_prev"))
-
-    out = out.withColumn("_m", match)
-    if how == "inner":
-        out = out.filter(F.col("_m").isNotNull())
-    return out.select(*orig_left_cols, *[F.col(f"_m.{c}").alias(c) for c in carried])
+    def levels(df: DataFrame) -> DataFrame:
+        if date_mode:
+            return df
+        return df.withColumn("_x", seconds("_t")).withColumn("_day", F.floor(F.col("_x") / 86400)) \
+            .withColumn("_sec", F.col("_x") - F.col("_day") * 86400).drop("_x")
+
+    l_side, r_side = (0, 1) if strict else (1, 0)   # on equal times the left row comes first iff strict
+    order = F.struct(*[F.col(c) for c in tie_break or []]) if tie_break else F.lit(0)
+    rv = F.struct(*[F.col(c) for c in carried])
+    r = (right.na.drop(subset=[*by, right_time]).withColumn("_t", F.col(right_time).cast(ltype))
+         .groupBy(*by, "_t").agg(F.max_by(rv, order).alias("_rv")))
+    lk = left.na.drop(subset=[*by, left_time]).select(*by, F.col(left_time).alias("_t")).distinct()
+    both = (lk.select(*by, "_t", F.lit(None).cast(r.schema["_rv"].dataType).alias("_rv"), F.lit(l_side).alias("_s"), F.lit(True).alias("_lhs"))
+            .unionByName(r.select(*by, "_t", "_rv", F.lit(r_side).alias("_s"), F.lit(False).alias("_lhs"))))
+    matched = _match_times(levels(both), by, date_mode).filter(F.col("_m").isNotNull())
+    out = skew_safe_join(left.withColumn("_t", F.col(left_time)), matched, [*by, "_t"], how)
+    return out.select(*left.columns, *[F.col(f"_m.{c}").alias(c) for c in carried])

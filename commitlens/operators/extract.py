@@ -1,7 +1,10 @@
 """Extraction jobs: fetched pages / JSON text -> rows.
 
-Pages are parsed with regex built-ins for the fixed page shapes; one page
-becomes many rows via ``explode``/``posexplode`` (a generator, not a UDTF).
+Pages are parsed with regex built-ins; one page becomes many rows via
+``explode``/``posexplode`` (a generator, not a UDTF).  Comments, scripts and
+styles are left out first (``visible``); element text is what stands between
+its tags without inner tags and with character references decoded
+(``inner_text``), as an HTML parser would give it.
 """
 
 from __future__ import annotations
@@ -9,10 +12,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commitlens.functions.text import ColumnOrName, _c, after_first_until, last_segment, strip_ws
+from commitlens.functions import fixed
+from commitlens.functions.text import ColumnOrName, _c, after_first_until, last_segment, store_date, strip_ws
 
-HREF = r'<a[^>]*href="([^"]*)"'
-ANCHOR = r'<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
+QUOTED = r"""("[^"]*"|'[^']*')"""
+OPEN_A = r"(?is)<a(?:\s[^>]*?)?\shref\s*=\s*" + QUOTED
+ANCHOR = OPEN_A + r"[^>]*>(.*?)</a\s*>"
+HIDDEN = [r"(?s)<!--.*?-->", r"(?is)<script(?:\s[^>]*)?>.*?</script\s*>", r"(?is)<style(?:\s[^>]*)?>.*?</style\s*>"]
+
+
+def visible(html: ColumnOrName) -> Column:
+    """The page without comments, scripts and styles."""
+    c = _c(html)
+    for p in HIDDEN:
+        c = F.regexp_replace(c, p, "")
+    return c
+
+
+def decode_entities(c: Column) -> Column:
+    """Character references to characters, the ampersand last."""
+    for name, ch in fixed.HTML_ENTITIES:
+        c = F.replace(c, F.lit(name), F.lit(ch))
+    return c
+
+
+def inner_text(fragment: Column) -> Column:
+    """Text of an HTML fragment."""
+    return decode_entities(F.regexp_replace(fragment, r"<[^>]+>", ""))
+
+
+def unquoted(value: Column) -> Column:
+    """Value of a quoted attribute."""
+    return decode_entities(F.substring(value, F.lit(2), F.length(value) - 2))
+
+
+def first_or_null(found: Column) -> Column:
+    return F.nullif(found, F.lit(""))
+
+
+def attribute(tag_text: Column, name: str) -> Column:
+    """Value of the first ``name`` attribute in a piece of HTML; NULL if absent."""
+    return unquoted(first_or_null(F.regexp_extract(tag_text, rf"(?is)\s{name}\s*=\s*" + QUOTED, 1)))
 
 
 def base_url(url: ColumnOrName) -> Column:
@@ -27,37 +67,58 @@ def absolute(href: ColumnOrName, base: ColumnOrName) -> Column:
 
 def page_links(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
     """Every link of a page, made absolute with the page's base URL."""
-    x = pages.select(key, base_url(url).alias("_base"),
-                     F.posexplode(F.regexp_extract_all(F.col(html), F.lit(HREF), 1)).alias("pos", "href"))
+    hrefs = F.transform(F.regexp_extract_all(visible(html), F.lit(OPEN_A), 1), unquoted)
+    x = pages.select(key, base_url(url).alias("_base"), F.posexplode(hrefs).alias("pos", "href"))
     return x.select(key, F.col("pos").cast("long").alias("pos"), "href",
                     absolute("href", "_base").alias("abs_url"))
 
 
 def page_anchors(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """(link, anchor text) rows of a listing page, in page order."""
-    hrefs = F.regexp_extract_all(F.col(html), F.lit(ANCHOR), 1)
-    texts = F.regexp_extract_all(F.col(html), F.lit(ANCHOR), 2)
+    hrefs = F.transform(F.regexp_extract_all(visible(html), F.lit(ANCHOR), 1), unquoted)
+    texts = F.transform(F.regexp_extract_all(visible(html), F.lit(ANCHOR), 2), inner_text)
     x = pages.select(key, F.posexplode(F.arrays_zip(hrefs.alias("href"), texts.alias("text"))).alias("pos", "a"))
     return x.select(key, F.col("pos").cast("long").alias("pos"), F.col("a.href").alias("href"),
                     F.col("a.text").alias("anchor_text"))
 
 
+def blocks(html: Column, tag: str) -> Column:
+    """Inner HTML of every ``<tag>`` element, in order: up to its end tag or the next start tag."""
+    after = F.filter(F.split(html, rf"(?i)<{tag}(?:\s[^>]*)?>", -1), lambda x, i: i > 0)
+    return F.transform(after, lambda x: F.get(F.split(x, rf"(?i)</{tag}\s*>", -1), F.lit(0)))
+
+
 def page_blocks(pages: DataFrame, tag: str = "p", html: str = "html", key: str = "page_id") -> DataFrame:
     """X2/X8/X10 pattern: split a page into its ``<tag>`` blocks, one row per block in order."""
-    blocks = F.regexp_extract_all(F.col(html), F.lit(f"<{tag}[^>]*>([^<]*)"), 1)
-    x = pages.select(key, F.posexplode(blocks).alias("pos", "block"))
+    texts = F.transform(blocks(visible(html), tag), inner_text)
+    x = pages.select(key, F.posexplode(texts).alias("pos", "block"))
     return x.select(key, F.col("pos").cast("long").alias("pos"), strip_ws("block").alias("text"))
 
 
 def link_by_anchor(html: ColumnOrName, anchor_text: str) -> Column:
-    """Href of the first link whose text is ``anchor_text``; NULL if absent."""
-    pat = r'<a[^>]*href="([^"]*)"[^>]*>\s*' + anchor_text.replace("\\", "\\\\") + r"\s*</a>"
-    return F.nullif(F.regexp_extract(_c(html), pat, 1), F.lit(""))
+    """Href of the first link whose text is ``anchor_text`` (tags around it allowed); NULL if absent."""
+    text = "".join(c if c.isalnum() or ord(c) > 127 else f"[{c}]" if c not in "^\\" else "\\" + c for c in anchor_text)
+    pat = OPEN_A + r"[^>]*>\s*(?:<[^>]*>\s*)*" + text + r"\s*(?:<[^>]*>\s*)*</a\s*>"
+    return unquoted(first_or_null(F.regexp_extract(visible(html), pat, 1)))
 
 
 def tag_text(html: ColumnOrName, tag: str) -> Column:
-    """Text of the first ``<tag>`` element (no nested tags); NULL if absent."""
-    return F.nullif(strip_ws(F.regexp_extract(_c(html), f"(?s)<{tag}[^>]*>([^<]*)</{tag}>", 1)), F.lit(""))
+    """Text of the first ``<tag>`` element, inner tags left out; NULL if absent or empty."""
+    inner = F.regexp_extract(visible(html), rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>", 1)
+    return F.nullif(strip_ws(inner_text(inner)), F.lit(""))
+
+
+def next_listing(html: ColumnOrName, base: ColumnOrName) -> Column:
+    """URL of the next listing page; NULL on the last one."""
+    pat = OPEN_A + r"[^>]*>\s*" + fixed.NEXT_LISTING_TEXT
+    return absolute(unquoted(first_or_null(F.regexp_extract(visible(html), pat, 1))), base)
+
+
+def next_commit_page(html: ColumnOrName, base: ColumnOrName) -> Column:
+    """URL behind the next-page button of a commit list; NULL if there is none or it is disabled."""
+    button = F.regexp_extract(visible(html), rf"""(?is)(<a\s[^>]*data-testid\s*=\s*["']{fixed.NEXT_BUTTON_ID}["'][^>]*>)""", 1)
+    off = F.coalesce(attribute(button, "style"), F.lit("")).contains("disabled")
+    return F.when(~off, absolute(attribute(button, "href"), base))
 
 
 def category_from_url(url: ColumnOrName) -> Column:
@@ -74,8 +135,25 @@ def commit_list(anchors: DataFrame, href: str = "href", text: str = "anchor_text
 
 def machine_time(html: ColumnOrName) -> Column:
     """``datetime`` attribute of the first ``<relative-time>`` element."""
-    t = F.nullif(F.regexp_extract(_c(html), r'<relative-time[^>]*datetime="([^"]+)"', 1), F.lit(""))
-    return F.to_timestamp(t)
+    tag = F.regexp_extract(visible(html), r"(?is)(<relative-time\s[^>]*>)", 1)
+    return F.to_timestamp(attribute(tag, "datetime"))
+
+
+def store_versions(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+    """Store page -> one row per listed version: version, code, date, binary and source links."""
+    item = r"(?is)<li\s[^>]*class\s*=\s*[\"'][^\"']*package-version(?:\s[^\"']*)?[\"'][^>]*>"
+    parts = F.filter(F.split(visible(html), item, -1), lambda x, i: i > 0)
+    x = pages.select(key, F.posexplode(parts).alias("version_pos", "li"))
+
+    def part(tag: str, name: str) -> Column:
+        return F.regexp_extract("li", rf"""(?is)<{tag}\s[^>]*class\s*=\s*["'][^"']*{name}[^"']*["'][^>]*>(.*?)</{tag}\s*>""", 1)
+
+    header = version_header(inner_text(part("div", "package-version-header")))
+    return (x.withColumn("_h", header)
+            .select(key, F.col("version_pos").cast("long").alias("version_pos"), "_h.version", "_h.code",
+                    store_date("_h.added_on").alias("added_on"),
+                    attribute(part("p", "package-version-download"), "href").alias("apk_download_link"),
+                    attribute(part("p", "package-version-source"), "href").alias("source_code_download_link")))
 
 
 def version_header(header: ColumnOrName) -> Column:
@@ -103,6 +181,13 @@ def hunk_starts(patch: ColumnOrName) -> Column:
     return F.struct(old.alias("old_starts"), new.alias("new_starts"))
 
 
+def hunks(diffs: DataFrame, patch: str = "patch") -> DataFrame:
+    """One row per hunk of every patch: ``hunk`` from 0, old and new start line."""
+    h = hunk_starts(patch)
+    x = diffs.select(*[c for c in diffs.columns if c != patch], F.posexplode(F.arrays_zip(h["old_starts"], h["new_starts"])).alias("hunk", "_s"))
+    return x.withColumn("old_start", F.col("_s.old_starts")).withColumn("new_start", F.col("_s.new_starts")).drop("_s")
+
+
 def changelog_links(html: ColumnOrName, git_link: ColumnOrName) -> Column:
     """X11: struct(changelog, metadata, valid) of an app page; valid only when both
     links exist and the changelog is the project's ``/releases`` page."""
@@ -112,10 +197,6 @@ def changelog_links(html: ColumnOrName, git_link: ColumnOrName) -> Column:
     return F.struct(ch.alias("changelog_link"), meta.alias("build_metadata"), valid.alias("valid"))
 
 
-def _tags_to_text(c: Column) -> Column:
-    return F.regexp_replace(c, r"<[^>]+>", "")
-
-
 def commit_page_files(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """Commit page -> one row per changed file: description, path, the diff text
     (concatenated code cells) and the line numbers of added / deleted lines.
@@ -125,9 +206,10 @@ def commit_page_files(pages: DataFrame, html: str = "html", key: str = "page_id"
     the second cell) or a deletion (old line number in the first cell).  The
     page-level description is kept on every file row (X12).
     """
-    desc = F.regexp_extract(F.col(html), r'(?s)<div[^>]*class="[^"]*commit-desc[^"]*"[^>]*>\s*<pre>(.*?)</pre>', 1)
-    blocks = F.slice(F.split(F.col(html), "<copilot-diff-entry"), 2, 1_000_000)
-    x = pages.select(key, strip_ws(_tags_to_text(desc)).alias("commit_description"),
+    page = visible(html)
+    desc = F.regexp_extract(page, r'(?s)<div[^>]*class="[^"]*commit-desc[^"]*"[^>]*>\s*<pre>(.*?)</pre>', 1)
+    blocks = F.filter(F.split(page, "<copilot-diff-entry", -1), lambda x, i: i > 0)
+    x = pages.select(key, strip_ws(inner_text(desc)).alias("commit_description"),
                      F.posexplode(blocks).alias("file_pos", "block"))
     rows = F.regexp_extract_all(F.col("block"), F.lit(r'(?s)<tr[^>]*show-top-border[^>]*>(.*?)</tr>'), 1)
 
@@ -135,7 +217,7 @@ def commit_page_files(pages: DataFrame, html: str = "html", key: str = "page_id"
         return F.regexp_extract(r, r'(?s).*<td([^>]*)>', 1)
 
     def last_cell_text(r):
-        return _tags_to_text(F.regexp_extract(r, r'(?s).*<td[^>]*>(.*?)</td>', 1))
+        return inner_text(F.regexp_extract(r, r'(?s).*<td[^>]*>(.*?)</td>', 1))
 
     def first_num(r):
         return F.nullif(F.regexp_extract(r, r'<td[^>]*data-line-number="(\d+)"', 1), F.lit("")).cast("int")
@@ -157,13 +239,13 @@ def commit_page_files(pages: DataFrame, html: str = "html", key: str = "page_id"
 def release_assets_from_page(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """Release page -> one row per downloadable asset of every non-pre-release
     section: version label, asset link, file name and release time."""
-    sections = F.regexp_extract_all(F.col(html), F.lit(r"(?s)<section[^>]*>(.*?)</section>"), 1)
+    sections = F.regexp_extract_all(visible(html), F.lit(r"(?s)<section[^>]*>(.*?)</section>"), 1)
     x = pages.select(key, F.posexplode(sections).alias("section_pos", "sec"))
     x = x.filter(~F.col("sec").rlike(r">\s*Pre-release\s*<"))
     x = x.select(key, "section_pos",
-                 strip_ws(F.regexp_extract("sec", r'class="[^"]*sr-only[^"]*"[^>]*>([^<]*)<', 1)).alias("apk_version"),
+                 strip_ws(decode_entities(F.regexp_extract("sec", r'class="[^"]*sr-only[^"]*"[^>]*>([^<]*)<', 1))).alias("apk_version"),
                  F.explode(F.regexp_extract_all("sec", F.lit(r"(?s)<li[^>]*>(.*?)</li>"), 1)).alias("li"))
-    link = F.nullif(F.regexp_extract("li", r'href="([^"]*)"', 1), F.lit(""))
+    link = first_or_null(decode_entities(F.regexp_extract("li", r'href="([^"]*)"', 1)))
     return (x.withColumn("download_link", link).filter(F.col("download_link").isNotNull())
             .select(key, F.col("section_pos").cast("long").alias("section_pos"), "apk_version", "download_link",
                     last_segment("download_link").alias("download_file_name"),

@@ -79,19 +79,17 @@ def rule_audit(df: DataFrame, title: str = "commit_title", description: str = "c
             .groupBy("rule").agg(F.count(F.lit(1)).alias("n_rows")))
 
 
-def fanout_cap(df: DataFrame, key: str = "commit_link", max_rows: int = fixed.MAX_FILES_PER_COMMIT,
-               hot_rows: int | None = None) -> DataFrame:
+def fanout_cap(df: DataFrame, key: str = "commit_link", max_rows: int = fixed.MAX_FILES_PER_COMMIT) -> DataFrame:
     """keep keys with at most ``max_rows`` rows.
 
     Counted with a partially aggregated groupBy and joined back on the key
-    with ``joins.skew_safe_join`` (AQE splits a hot key, or it is salted), so
-    neither a window nor a join task ever holds a whole hot key.
+    with ``joins.skew_safe_join`` (AQE splits a hot key), so neither a window nor a join task ever holds a whole hot key.
     """
-    from commitlens.operators.joins import HOT_ROWS, skew_safe_join
+    from commitlens.operators.joins import skew_safe_join
 
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     kept = counts.filter(F.col("_n") <= max_rows).select(key)
-    return skew_safe_join(df, kept, [key], "left_semi", counts=counts, hot_rows=hot_rows or HOT_ROWS)
+    return skew_safe_join(df, kept, [key], "left_semi")
 
 
 def size_threshold(df: DataFrame, count_col: str, max_value: int = fixed.MAX_COMMITS_PER_PROJECT) -> DataFrame:

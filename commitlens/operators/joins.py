@@ -10,48 +10,13 @@ task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commitlens.functions.text import project_link, short_commit_key
 
 
-# Rows per key above which a key counts as hot and is salted (salted_join, the
-# fallback of skew_safe_join when the session has AQE skew handling off).
-HOT_ROWS = 10_000_000
-
-
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-                counts: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Join a one-row-per-key table back onto a big table whose keys may be hot.
-
-    Spark's adaptive skew split cannot help when the small side is an
-    aggregate on the same key (its partitioning is reused, so the join has no
-    shuffle of its own to split).  Here every key with more than ``hot_rows``
-    rows in ``big`` gets S = ceil(n / hot_rows) salts: its big rows are spread
-    over the salts by a hash of the row, and its small row is replicated S
-    times; other keys use salt 0.  The table of hot keys has at most
-    rows(big) / hot_rows rows (100 000 at 10^12 rows), which is the proven
-    bound for broadcasting it.  ``counts`` (keys + ``_n``) may be passed when
-    already computed.  Works for inner, left, left_semi and left_anti joins.
-    """
-    if counts is None:
-        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = F.broadcast(counts.filter(F.col("_n") > hot_rows)
-                      .select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_S")))
-    row_hash = F.xxhash64(*[F.col(c) for c in big.columns])
-    b = (big.join(hot, on=keys, how="left")
-         .withColumn("_salt", F.when(F.col("_S").isNull(), F.lit(0))
-                     .otherwise(F.pmod(row_hash, F.col("_S")).cast("int")))
-         .drop("_S"))
-    s = (small.join(hot, on=keys, how="left")
-         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_S"), F.lit(1)) - 1)))
-         .drop("_S"))
-    return b.join(s, on=[*keys, "_salt"], how=how).drop("_salt")
-
-
-def skew_safe_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-                   counts: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def skew_safe_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join a one-row-per-key table back onto a big table whose keys may be hot.
 
     When ``small`` is an aggregate on ``keys``, Spark reuses its partitioning,
@@ -59,14 +24,9 @@ def skew_safe_join(big: DataFrame, small: DataFrame, keys: list[str], how: str =
     Joining on the keys packed into one struct makes both sides shuffle on
     that struct, so AQE's skew split applies (proportionally to the hot key's
     size) at no extra pass.  Rows with a NULL key never match, as in a plain
-    equi join (a struct holding NULLs would).  When the session has AQE skew
-    handling off, hot keys are salted explicitly instead (``salted_join``).
+    equi join (a struct holding NULLs would).  Works for inner, left,
+    left_semi and left_anti joins; the same plan at every size.
     """
-    conf = big.sparkSession.conf
-    aqe = (conf.get("spark.sql.adaptive.enabled", "true") == "true"
-           and conf.get("spark.sql.adaptive.skewJoin.enabled", "true") == "true")
-    if not aqe:
-        return salted_join(big, small, keys, how, counts=counts, hot_rows=hot_rows)
     jk = F.struct(*[F.col(k) for k in keys])
     present = F.lit(True)
     for k in keys:
@@ -79,14 +39,14 @@ def semi(df: DataFrame, keys_df: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``df`` whose key occurs in ``keys_df``.
 
     The key side is deduplicated first (a partial aggregate collapses a hot key
-    there; AQE can only split a skewed *left* side of a semi join)."""
-    return df.join(keys_df.select(*on).distinct(), on=on, how="left_semi")
+    there); AQE splits a hot key of ``df``."""
+    return skew_safe_join(df, keys_df.select(*on).distinct(), on, "left_semi").select(*df.columns)
 
 
 def anti(df: DataFrame, *others: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``df`` whose key occurs in none of ``others`` (work list minus done)."""
     for o in others:
-        df = df.join(o.select(*on).distinct(), on=on, how="left_anti")
+        df = skew_safe_join(df, o.select(*on).distinct(), on, "left_anti").select(*df.columns)
     return df
 
 
@@ -99,24 +59,34 @@ def flag_member(df: DataFrame, keys_df: DataFrame, on: list[str], name: str) ->
 def propagate(df: DataFrame, verdicts: DataFrame, keys: list[str], cols: list[str], how: str = "inner") -> DataFrame:
     """Copy verdict columns from unique keys to every row with that key.
 
-    Keys compare null-safe (``<=>``), which Catalyst still plans as an equi
-    join.  ``verdicts`` must hold one row per key.
+    Keys compare null-safe: each becomes the pair (is NULL, value or a typed
+    placeholder), and the pairs are joined as one struct, so AQE splits a hot
+    key.  Of several verdict rows with one key the smallest is used, so a
+    commit row is never multiplied.
     """
-    v = verdicts.select(*[F.col(k).alias(f"_v_{k}") for k in keys], *cols)
-    cond = [df[k].eqNullSafe(v[f"_v_{k}"]) for k in keys]
-    return df.join(v, on=cond, how=how).drop(*[f"_v_{k}" for k in keys])
+    def jk(c: DataFrame) -> Column:
+        return F.struct(*[F.struct(F.col(k).isNull().alias("n"), F.coalesce(F.col(k).cast("string"), F.lit("")).alias("v")).alias(k)
+                          for k in keys])
+
+    v = (verdicts.withColumn("_jk", jk(verdicts)).groupBy("_jk").agg(F.min(F.struct(*cols)).alias("_v")))
+    return (df.withColumn("_jk", jk(df)).join(v, on="_jk", how=how)
+            .select(*df.columns, *[F.col(f"_v.{c}").alias(c) for c in cols]))
 
 
 def match_project(commits: DataFrame, projects: DataFrame, link: str = "commit_link",
                   project: str = "git_link") -> DataFrame:
     """Commit rows of the listed projects, by the project link parsed from the commit link."""
-    return commits.withColumn("_p", project_link(link)).join(
-        projects.select(F.col(project).alias("_p")).distinct(), on="_p", how="left_semi").drop("_p")
+    keyed = commits.withColumn("_p", project_link(link))
+    listed = projects.select(F.col(project).alias("_p")).distinct()
+    return skew_safe_join(keyed, listed, ["_p"], "left_semi").select(*commits.columns)
 
 
 def fill_from(df: DataFrame, lookup: DataFrame, on: list[str], col: str, prefer_new: bool = False) -> DataFrame:
-    """Fill (or, with ``prefer_new``, overwrite) ``col`` from a one-row-per-key lookup."""
-    lk = lookup.select(*on, F.col(col).alias("_new"))
+    """Fill (or, with ``prefer_new``, overwrite) ``col`` from a lookup.
+
+    Of several lookup rows with one key the smallest value is used, so a row
+    of ``df`` is never multiplied."""
+    lk = lookup.groupBy(*on).agg(F.min(col).alias("_new"))
     out = skew_safe_join(df, lk, on, "left")
     value = F.coalesce("_new", col) if prefer_new else F.coalesce(col, "_new")
     return out.withColumn(col, value).drop("_new")

@@ -11,24 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commitlens.functions import fixed
+from commitlens.functions.fixed import DIFF_FILE_FORMAT, DIFF_INPUT_TEMPLATE, FILTER_INPUT_TEMPLATE
 from commitlens.functions.text import indent_lines
 
-# --- FIXED VALUES: prompt layouts -------------------------------------------
-# Slot template of the commit-message filter input.
-FILTER_INPUT_TEMPLATE = "###Commit_Title\n#{}#\n\n\n###Commit_Description\n#{}#"
-# Slot template of the diff-analysis input.
-DIFF_INPUT_TEMPLATE = (
-    "###Commit_Message\n#{}#\n\n\n###Code_Diff\n#{}#\n\n\n"
-    "Please answer the following questions one-by-one:\n"
-    "1. What was the performance issue before the commit?\n"
-    "2. In which file and lines did the performance issue occur before the modification?\n"
-    "3. What were the root causes of the performance issue?\n"
-    "4. How was the performance issue resolved after the modification?\n"
-)
-# One rendered changed file: number, name and the patch indented by two tabs.
-DIFF_FILE_FORMAT = "file {n}{{\n\tfile name: {name}\n\tpatch:\n{patch}\n}}\n"
-
-
 def _message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 

@@ -21,10 +21,8 @@ GV = ["git_link", "apk_version"]
 
 def versions_with_binary(assets: DataFrame, name: str = "download_file_name") -> DataFrame:
     """All asset rows of the (project, version)s that have at least one ``.apk`` file."""
-    flags = assets.groupBy(*GV).agg(F.count(F.lit(1)).alias("_n"),
-                                    F.max(F.col(name).endswith(".apk")).alias("_has_apk"))
-    with_apk = flags.filter(F.col("_has_apk")).select(*GV)
-    return skew_safe_join(assets, with_apk, GV, "left_semi", counts=flags)
+    with_apk = assets.filter(F.col(name).endswith(".apk")).select(*GV).distinct()
+    return skew_safe_join(assets, with_apk, GV, "left_semi").select(*assets.columns)
 
 
 def pick_asset(assets: DataFrame, name: str = "download_file_name", link: str = "download_link") -> DataFrame:
@@ -68,39 +66,56 @@ def commits_per_project(commits: DataFrame) -> DataFrame:
     return first_per_key(c.distinct(), ["commit_link"], ["commit_date", "git_link"])
 
 
-def version_facts(useful: DataFrame, name: str = "download_file_name", link: str = "download_link",
+def version_facts(assets: DataFrame, name: str = "download_file_name", link: str = "download_link",
                   date: str = "release_date") -> DataFrame:
-    """A6 + W4 + W5 in ONE aggregation per (project, version): first release date,
-    chosen ``.apk`` link and chosen source archive (one shuffle instead of three)."""
+    """J7 + A6 + W4 + W5 in ONE aggregation per (project, version) with a binary:
+    first release date, all release dates, chosen ``.apk`` link and chosen source archive.
+
+    Works on the raw asset rows: repeated rows change nothing (a version has a
+    single archive iff the smallest archive row equals the largest).
+    """
     n, k = F.col(name), F.col(link)
     pref = F.when(n == fixed.PREFERRED_APKS[0], 0).when(n == fixed.PREFERRED_APKS[1], 1).otherwise(2)
-    is_zip = n.contains(".zip")
-    zcand = F.struct(F.length(n).alias("l"), n.alias("n"), k.alias("k"))
-    agg = useful.groupBy(*GV).agg(
-        F.min(date).alias("apk_release_time"),
+    zcand = F.struct(F.length(n).alias("l"), n.alias("n"), k.alias("k"), F.col(date).alias("d"))
+    zips = F.when(n.contains(".zip"), zcand)
+    agg = assets.groupBy(*GV).agg(
+        F.min(date).alias("apk_release_time"), F.collect_set(date).alias("dates"),
         F.min(F.when(n.endswith(".apk"), F.struct(pref.alias("p"), F.length(n).alias("l"), n.alias("n"),
                                                    k.alias("k")))).alias("_apk"),
-        F.count(F.when(is_zip, 1)).alias("_nz"),
-        F.min(F.when(is_zip, zcand)).alias("_any"),
-        F.min(F.when(is_zip & (n != fixed.EXCLUDED_ARCHIVE), zcand)).alias("_best"))
-    src = F.when(F.col("_nz") == 1, F.col("_any.k")).otherwise(F.col("_best.k"))
-    return agg.select(*GV, "apk_release_time", F.col("_apk.k").alias("apk_download_link"),
-                      src.alias("source_code_download_link"))
-
-
-def pairs_from_assets(commits: DataFrame, assets: DataFrame) -> DataFrame:
-    """Release path of C6: commit -> newest useful version released strictly before it."""
-    useful = versions_with_binary(assets.distinct())
-    rel = useful.select("git_link", F.col("apk_version").alias("r_version"),
-                        F.col("release_date").alias("r_date"), F.col("download_link").alias("r_link"))
-    matched = asof_join(commits_per_project(commits), rel, ["git_link"], "commit_date", "r_date",
-                        strict=True, how="inner", tie_break=["r_version", "r_link"])
-    facts = version_facts(useful).filter(F.col("apk_download_link").isNotNull())
-    pairs = matched.select("git_link", "commit_link", F.col("commit_date").alias("commit_release_time"),
-                           F.col("r_version").alias("apk_version"))
-    return (skew_safe_join(pairs, facts, GV, "left")
-            .select("git_link", "commit_link", "commit_release_time", "apk_release_time", "apk_version",
-                    "apk_download_link", "source_code_download_link"))
+        F.min(zips).alias("_any"), F.max(zips).alias("_last"),
+        F.min(F.when(n.contains(".zip") & (n != fixed.EXCLUDED_ARCHIVE), zcand)).alias("_best"))
+    src = F.when(F.col("_any") == F.col("_last"), F.col("_any.k")).otherwise(F.col("_best.k"))
+    return agg.filter(F.col("_apk").isNotNull()).select(
+        *GV, "apk_release_time", "dates", F.col("_apk.k").alias("apk_download_link"), src.alias("source_code_download_link"))
+
+
+def release_pairs(commits: DataFrame, assets: DataFrame, store: DataFrame) -> DataFrame:
+    """C6 before the gap fill: commit -> newest version released strictly before it,
+    per source ('release', 'store').
+
+    Both sources go through ONE as-of join (the source is part of the key).  Its
+    right side is one row per (project, version, date); what else is known of
+    a version joins the matches on (project, version).
+    """
+    facts = version_facts(assets)
+    null = F.lit(None).cast("string")
+    rel = (facts.select("git_link", F.lit("release").alias("source"), F.col("apk_version").alias("m_version"),
+                        F.explode("dates").alias("m_date"), null.alias("m_apk"), null.alias("m_src"))
+           .unionByName(store.select(
+               "git_link", F.lit("store").alias("source"), F.col("apk_version").alias("m_version"),
+               F.col("release_date").alias("m_date"), F.col("apk_download_link").alias("m_apk"),
+               F.col("source_code_download_link").alias("m_src"))))
+    offers = commits_per_project(commits).withColumn("source", F.explode(F.array(F.lit("release"), F.lit("store"))))
+    m = asof_join(offers, rel, ["git_link", "source"], "commit_date", "m_date", strict=True, how="inner",
+                  tie_break=["m_version", "m_apk", "m_src"])
+    known = facts.select(*GV, F.lit("release").alias("source"), F.col("apk_release_time").alias("_t"),
+                         F.col("apk_download_link").alias("_apk"), F.col("source_code_download_link").alias("_src"))
+    x = skew_safe_join(m.withColumnRenamed("m_version", "apk_version"), known, [*GV, "source"], "left")
+    own = F.col("source") == "store"
+    return x.select("git_link", "commit_link", F.col("commit_date").alias("commit_release_time"),
+                    F.when(own, F.col("m_date")).otherwise(F.col("_t")).alias("apk_release_time"), "apk_version",
+                    F.when(own, F.col("m_apk")).otherwise(F.col("_apk")).alias("apk_download_link"),
+                    F.when(own, F.col("m_src")).otherwise(F.col("_src")).alias("source_code_download_link"), "source")
 
 
 def pairs_from_store(commits: DataFrame, store: DataFrame) -> DataFrame:
@@ -115,50 +130,23 @@ def pairs_from_store(commits: DataFrame, store: DataFrame) -> DataFrame:
                     F.col("s_apk").alias("apk_download_link"), F.col("s_src").alias("source_code_download_link"))
 
 
-def gap_fill(primary: DataFrame, secondary: DataFrame) -> DataFrame:
-    """Add secondary pairs whose normalised version is missing from the primary
-    source in that project.  Only secondary rows whose raw version equals its
-    normalised form are added (set semantics: no row is added twice).
+def gap_fill(pairs: DataFrame) -> DataFrame:
+    """Pairs of both sources (column ``source``: 'release', 'store') -> the release pairs, and the
+    store pairs whose normalised version is missing from the release source in that project.
+
+    Only store rows whose raw version equals its normalised form are added.  ``pairs``
+    has one row per commit and source, so nothing is added twice.  One flag per
+    (project, version) goes back onto the pairs; both sources stay in one plan.
     """
-    have = (primary.select("git_link", normalized_version("apk_version").alias("_nv"))
-            .filter(F.col("_nv").isNotNull()).distinct())
-    cand = (secondary.withColumn("_nv", normalized_version("apk_version"))
-            .filter(F.col("apk_version") == F.col("_nv")))
-    add = skew_safe_join(cand, have, ["git_link", "_nv"], "left_anti").drop("_nv").distinct()
-    return primary.withColumn("source", F.lit("release")).unionByName(
-        add.withColumn("source", F.lit("store")), allowMissingColumns=True)
+    x = pairs.withColumn("_nv", normalized_version("apk_version"))
+    have = (x.filter(F.col("_nv").isNotNull()).groupBy("git_link", "_nv")
+            .agg(F.max(F.col("source") == "release").alias("_have")))
+    flagged = skew_safe_join(x, have, ["git_link", "_nv"], "left")
+    release = F.col("source") == "release"
+    add = ~release & (F.col("apk_version") == F.col("_nv")) & ~F.coalesce(F.col("_have"), F.lit(False))
+    return flagged.filter(release | add).select(*pairs.columns)
 
 
 def match_releases(commits: DataFrame, assets: DataFrame, store: DataFrame) -> DataFrame:
-    """Release pairs, gap-filled from the store listing.
-
-    Both sources go through ONE as-of join: the source name is part of the
-    key, each commit is offered to both sources, and the candidate rows of
-    the two sources are unioned.  The commit side is deduplicated and
-    shuffled once instead of once per source; results equal
-    ``gap_fill(pairs_from_assets(...), pairs_from_store(...))``.
-    """
-    useful = versions_with_binary(assets.distinct())
-    null = F.lit(None).cast("string")
-    rel = (useful.select("git_link", F.lit("release").alias("src"), F.col("apk_version").alias("m_version"),
-                         F.col("release_date").alias("m_date"), F.col("download_link").alias("m_link"),
-                         null.alias("m_apk"), null.alias("m_src"))
-           .unionByName(store.distinct().select(
-               "git_link", F.lit("store").alias("src"), F.col("apk_version").alias("m_version"),
-               F.col("release_date").alias("m_date"), null.alias("m_link"),
-               F.col("apk_download_link").alias("m_apk"), F.col("source_code_download_link").alias("m_src"))))
-    offers = commits_per_project(commits).withColumn("src", F.explode(F.array(F.lit("release"), F.lit("store"))))
-    m = asof_join(offers, rel, ["git_link", "src"], "commit_date", "m_date", strict=True, how="inner",
-                  tie_break=["m_version", "m_link", "m_apk", "m_src"])
-    facts = version_facts(useful).filter(F.col("apk_download_link").isNotNull())
-    cols = ["git_link", "commit_link", "commit_release_time", "apk_release_time", "apk_version",
-            "apk_download_link", "source_code_download_link"]
-    a = skew_safe_join(m.filter(F.col("src") == "release")
-                    .select("git_link", "commit_link", F.col("commit_date").alias("commit_release_time"),
-                            F.col("m_version").alias("apk_version")),
-                    facts, GV, "left").select(*cols)
-    b = (m.filter(F.col("src") == "store")
-         .select("git_link", "commit_link", F.col("commit_date").alias("commit_release_time"),
-                 F.col("m_date").alias("apk_release_time"), F.col("m_version").alias("apk_version"),
-                 F.col("m_apk").alias("apk_download_link"), F.col("m_src").alias("source_code_download_link")))
-    return gap_fill(a, b)
+    """Release pairs, gap-filled from the store listing."""
+    return gap_fill(release_pairs(commits, assets, store))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitlens.functions import fixed
-from commitlens.operators.joins import HOT_ROWS, skew_safe_join
+from commitlens.operators.joins import skew_safe_join
 
 
 def initial_size(confidence_level: float = 0.95, margin_of_error: float = 0.05, proportion: float = 0.5) -> float:
@@ -53,7 +53,7 @@ def _rank_hash(key: str, stratum: str, seed: str) -> Column:
 
 def stratified_sample(strata: DataFrame, key: str, stratum: str, seed: str = "0",
                       margin_sigmas: float = 6.0, margin_rows: float = 20.0, count_occurrences: bool = False,
-                      hot_rows: int | None = None, **kw) -> DataFrame:
+                      **kw) -> DataFrame:
     """(key, stratum, rank) of the sampled rows; ``strata`` holds one row per (key, stratum).
 
     Every row gets the smallest level L whose threshold t_L = t_0 * 4^L exceeds
@@ -73,10 +73,8 @@ def stratified_sample(strata: DataFrame, key: str, stratum: str, seed: str = "0"
     # level = smallest L >= 0 with u < t0 * 4^L  (u < 1 always, so the level is finite)
     level = F.greatest(F.lit(0), F.floor(F.log(4.0, u / t0) + F.lit(1)).cast("int"))
     level = F.when(u < t0, F.lit(0)).otherwise(level)
-    # per-stratum values go back onto the rows with hot strata salted
-    hot = hot_rows or HOT_ROWS
-    counts = s.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    rows = skew_safe_join(s, sizes, [stratum], "inner", counts=counts, hot_rows=hot) \
+    # per-stratum values go back onto the rows; AQE splits hot strata
+    rows = skew_safe_join(s, sizes, [stratum], "inner") \
         .withColumn("_h", h).withColumn("_lvl", level)
     per_level = rows.groupBy(stratum, "_lvl").agg(F.count(F.lit(1)).alias("_c"))
     cum = Window.partitionBy(stratum).orderBy("_lvl").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -84,14 +82,9 @@ def stratified_sample(strata: DataFrame, key: str, stratum: str, seed: str = "0"
               .join(sizes.select(stratum, "sample_size"), on=stratum)
               .filter(F.col("_cum") >= F.col("sample_size"))
               .groupBy(stratum).agg(F.min("_lvl").alias("_max_lvl")))
-    pool = skew_safe_join(rows, chosen, [stratum], "inner", counts=counts, hot_rows=hot) \
+    pool = skew_safe_join(rows, chosen, [stratum], "inner") \
         .filter(F.col("_lvl") <= F.col("_max_lvl"))
     w = Window.partitionBy(stratum).orderBy("_h", key)
     return (pool.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= F.col("sample_size"))
             .select(key, stratum, F.col("rank").cast("long").alias("rank")))
-
-
-def expected_pool(n: int, population: int) -> float:
-    """Expected rows kept by the pre-filter (for sizing documentation/tests)."""
-    return min(population, n + 6 * math.sqrt(n) + 20)

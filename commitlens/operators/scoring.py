@@ -4,7 +4,8 @@
   with one JVM regex; it writes answers in the filter-answer format.
 * M1 ``score_with`` -- any picklable ``Callable[[pd.Series], pd.Series]`` run
   through ``mapInPandas`` (Arrow batches, one scorer load per task).
-* M3 ``score_with_fallback`` -- second scorer only for rows the first left NULL.
+* M3 ``score_with_fallback`` -- second scorer only for rows where the first
+  raised or answered NULL.
 * M4 ``score_missing`` -- score only rows without a verdict and write it back.
 
 Dedup before scoring (``dedup.first_per_key``) and propagate afterwards
@@ -91,9 +92,8 @@ def lexicon_answer(text: str | Column, lexicon: list[str] | None = None) -> Colu
 class LexiconScorer:
     """Picklable pandas scorer equal to :func:`lexicon_answer` (used through M1)."""
 
-    def __init__(self, lexicon: list[str] | None = None, max_words: int | None = None):
+    def __init__(self, lexicon: list[str] | None = None):
         self.lexicon = list(lexicon or DEFAULT_LEXICON)
-        self.max_words = max_words
         self._rx = None
 
     def __call__(self, texts: pd.Series) -> pd.Series:
@@ -106,12 +106,42 @@ class LexiconScorer:
             [f"{head}Yes\n\n\n{fixed.FILTER_TYPE_HEADER}\n    {f}" if f else
              f"{head}No\n\n\n{fixed.FILTER_TYPE_HEADER}\n    {fixed.NA_MARKER}" for f in found],
             index=texts.index, dtype=object)
-        if self.max_words is not None:
-            too_long = texts.fillna("").str.split().str.len() > self.max_words
-            out[too_long] = None  # the model refuses over-long prompts
         return out
 
 
+class ClassLexiconScorer:
+    """Picklable pandas scorer equal to :func:`lexicon_class_answer`; of a chat
+    prompt it reads the last user message."""
+
+    def __init__(self, lexicon: list[tuple[str, list[str]]] | None = None):
+        self.lexicon = lexicon or CLASS_LEXICON
+
+    def __call__(self, texts: pd.Series) -> pd.Series:
+        rules = [(label, re.compile(lexicon_pattern(terms))) for label, terms in self.lexicon]
+        na = f"[{fixed.NA_MARKER}]"
+
+        def one(text: str | None) -> str:
+            low = (text or "").rsplit("user: ", 1)[-1].lower()
+            hits = [(label, m.group(1)) for label, rx in rules if (m := rx.search(low))]
+            types, causes = (", ".join(h[i] for h in hits) for i in (0, 1))
+            return (f"{fixed.CLASS_TYPE_HEADER}{'[' + types + ']' if hits else na}{fixed.CLASS_CAUSE_HEADER}\n"
+                    f"    {'[' + causes + ']' if hits else na}")
+
+        return texts.map(one).astype(object)
+
+
+class Refusing:
+    """A scorer that raises on batches with a text that holds ``word`` (stands for a failing model)."""
+
+    def __init__(self, scorer: Callable[[pd.Series], pd.Series], word: str):
+        self.scorer, self.word = scorer, word
+
+    def __call__(self, texts: pd.Series) -> pd.Series:
+        if texts.fillna("").str.contains(self.word, regex=False).any():
+            raise ValueError(f"cannot read a text with {self.word!r}")
+        return self.scorer(texts)
+
+
 def _ship_package_by_value() -> None:
     """Workers need not have this package installed: its functions and classes
     (the batch runner, the scorers) are pickled by value into the task."""
@@ -136,42 +166,71 @@ def score_with(df: DataFrame, text: str, scorer: Callable[[pd.Series], pd.Series
     return df.mapInPandas(run, schema=schema)
 
 
+def answer_or_null(scorer: Callable[[pd.Series], pd.Series], texts: pd.Series) -> pd.Series:
+    """Answers of a scorer that may raise: a failing batch is halved until only
+    the rows that fail on their own are left, and those get NULL."""
+    if not len(texts):
+        return pd.Series([], index=texts.index, dtype=object)
+    try:
+        return scorer(texts).astype(object)
+    except Exception:  # any model error is a miss, as in the source pipeline
+        if len(texts) == 1:
+            return pd.Series([None], index=texts.index, dtype=object)
+        half = len(texts) // 2
+        return pd.concat([answer_or_null(scorer, texts.iloc[:half]), answer_or_null(scorer, texts.iloc[half:])])
+
+
 def score_with_fallback(df: DataFrame, text: str, first: Callable[[pd.Series], pd.Series],
                         second: Callable[[pd.Series], pd.Series] | None = None,
-                        out: str = "answer") -> DataFrame:
-    """M3: first scorer for all rows, the second only where the first gave NULL.
-
-    With ``second=None`` the native lexicon scorer is the fallback (JVM side).
+                        out: str = "answer", by: str = "answered_by", native: Column | None = None,
+                        keep: bool = False) -> DataFrame:
+    """M3: the first scorer for all rows, the second for those where the first
+    raised or gave NULL; ``by`` says which one answered ('first', 'second' or NULL).
+
+    With ``second=None`` a native answer is the fallback (JVM side; the lexicon
+    answer unless ``native`` is given).  With ``keep`` rows that have an answer
+    keep it ('done').  The first model is called once per row unless its batch fails.
     """
-    if second is None:
-        scored = score_with(df, text, first, out)
-        return scored.withColumn(out, F.coalesce(F.col(out), lexicon_answer(text)))
-    return score_with(df, text, _Chain(first, second), out)
-
-
-class _Chain:
-    """One pass per Arrow batch: the second scorer only sees the first's misses
-    (the first model is never called twice for a row)."""
-
-    def __init__(self, first, second):
-        self.first, self.second = first, second
+    _ship_package_by_value()
+    kept = [f for f in df.schema.fields if f.name not in (out, by)]
+    schema = T.StructType([*kept, T.StructField(out, T.StringType(), True), T.StructField(by, T.StringType(), True)])
+    names = [f.name for f in kept]
 
-    def __call__(self, texts: pd.Series) -> pd.Series:
-        a = self.first(texts)
-        miss = a.isna()
-        if miss.any():
-            a = a.astype(object)
-            a[miss] = self.second(texts[miss]).values
-        return a
+    def run(batches):
+        for pdf in batches:
+            texts = pdf[text]
+            todo = pdf[out].isna() if keep else pd.Series(True, index=pdf.index)
+            got = pdf[out].astype(object) if keep else pd.Series(None, index=pdf.index, dtype=object)
+            who = pd.Series("done", index=pdf.index, dtype=object)
+            got[todo] = answer_or_null(first, texts[todo])
+            who[todo] = got[todo].notna().map({True: "first", False: None}).astype(object)
+            miss = got.isna()
+            if second is not None and miss.any():
+                more = answer_or_null(second, texts[miss])
+                got[miss] = more
+                who[miss] = more.notna().map({True: "second", False: None}).astype(object)
+            yield pdf[names].assign(**{out: got, by: who})
+
+    scored = df.mapInPandas(run, schema=schema)
+    if second is None:
+        scored = scored.withColumn(by, F.coalesce(F.col(by), F.lit("second"))) \
+            .withColumn(out, F.coalesce(F.col(out), lexicon_answer(text) if native is None else native))
+    return scored
 
 
 def score_missing(df: DataFrame, text: str, out: str,
                   scorer: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
-    """M4: score only rows whose ``out`` is NULL; keep existing verdicts."""
-    done = df.filter(F.col(out).isNotNull())
-    todo = df.filter(F.col(out).isNull())
+    """M4: score only rows whose ``out`` is NULL and keep existing verdicts, in one pass over ``df``."""
     if scorer is None:
-        fresh = todo.withColumn(out, lexicon_answer(text))
-    else:
-        fresh = score_with(todo.drop(out), text, scorer, out).select(*df.columns)
-    return done.unionByName(fresh)
+        return df.withColumn(out, F.coalesce(F.col(out), lexicon_answer(text)))
+    _ship_package_by_value()
+
+    def run(batches):
+        for pdf in batches:
+            todo = pdf[out].isna()
+            if todo.any():
+                pdf[out] = pdf[out].astype(object)
+                pdf.loc[todo, out] = scorer(pdf.loc[todo, text]).values
+            yield pdf
+
+    return df.mapInPandas(run, schema=df.schema)

@@ -1,9 +1,9 @@
 """Verification of commit/release matches against file text.
 
-The snapshot table ``(commit_link, side, path, content)`` is pivoted to one row
-per (commit, path) with a conditional aggregate (one shuffle, no self-join),
-joined to the changed-file rows on (commit, path), checked row by row with
-array lambdas, and reduced per commit with ``bool_and``.
+The snapshot table ``(commit_link, side, path, content)`` holds one row per
+commit, side and path.  The changed-file rows join the sides they need on
+(commit, path); no file text passes through an aggregate.  Rows are checked
+with array lambdas and reduced per commit with ``bool_and``.
 """
 
 from __future__ import annotations
@@ -11,18 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from commitlens.functions import fixed
 from commitlens.functions.text import split_lines, strip_ws
-from commitlens.operators.joins import skew_safe_join
+from commitlens.operators.joins import fill_from, lookup_status, semi
 
 
-def pivot_snapshot(snapshot: DataFrame, sides=("before", "after", "release")) -> DataFrame:
-    aggs = [F.max(F.when(F.col("side") == s, F.col("content"))).alias(s) for s in sides]
-    aggs += [F.max(F.when(F.col("side") == s, F.lit(True))).alias(f"has_{s}") for s in sides]
-    return snapshot.groupBy("commit_link", "path").agg(*aggs)
-
-
-# binary changes are not compared (fixed rule of the verification step)
-SKIPPED_SUFFIXES = (".apk", ".so")
+def with_sides(changes: DataFrame, snapshot: DataFrame, sides: list[str]) -> DataFrame:
+    """Changed-file rows with the text of each side and whether that side has the file."""
+    out = changes
+    for s in sides:
+        side = snapshot.filter(F.col("side") == s).select(
+            F.col("commit_link").alias("_c"), F.col("path").alias("_p"), F.col("content").alias(s), F.lit(True).alias(f"has_{s}"))
+        out = out.join(side, (F.col("commit_link") == F.col("_c")) & (F.col("path") == F.col("_p")), "left").drop("_c", "_p")
+    return out
 
 
 def file_checks(changes: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -34,10 +35,10 @@ def file_checks(changes: DataFrame, snapshot: DataFrame) -> DataFrame:
     added) is ok exactly when the file did not exist before.
     """
     skip = F.lit(False)
-    for sfx in SKIPPED_SUFFIXES:
+    for sfx in fixed.UNCHECKED_SUFFIXES:
         skip = skip | F.col("path").endswith(sfx)
-    snap = pivot_snapshot(snapshot)
-    j = skew_safe_join(changes, snap, ["commit_link", "path"], "left")
+    additions = "added_lines" in changes.columns
+    j = with_sides(changes, snapshot, ["before", "release", *(["after"] if additions else [])])
     before_lines = split_lines("before")
     deleted = F.transform("deleted_lines", lambda i: strip_ws(F.try_element_at(before_lines, i)))
     # a deleted line number beyond the old file makes the file unreadable (skipped)
@@ -45,7 +46,7 @@ def file_checks(changes: DataFrame, snapshot: DataFrame) -> DataFrame:
         .otherwise(F.forall(deleted, lambda x: F.col("release").contains(x)))
     unknown = F.lit(None).cast("boolean")
     ok = F.when(skip, unknown)
-    if "added_lines" in changes.columns:
+    if additions:
         pure_add = ((F.size("deleted_lines") == 0) & (F.size("added_lines") > 0)
                     & (F.size(split_lines("after")) == F.size("added_lines")))
         ok = ok.when(pure_add, ~F.coalesce(F.col("has_before"), F.lit(False)))
@@ -67,3 +68,16 @@ def verify_commits(changes: DataFrame, snapshot: DataFrame) -> DataFrame:
     verdict = F.when(F.col("_all") | F.col("_all").isNull(), F.lit("same")).otherwise(F.lit("different"))
     return agg.select("commit_link", verdict.alias("check"), F.col("n_files").cast("long"),
                       F.col("n_skipped").cast("long"))
+
+
+def verify_pairs(pairs: DataFrame, changes: DataFrame, snapshot: DataFrame, key: str = "commit_link",
+                 verdict: str = "check") -> DataFrame:
+    """J11 lookup status -> verify the commits still to do -> J10 write the verdicts back.
+
+    ``pairs`` may hold several pairs of a commit and verdicts of an earlier
+    run; only commits with status 'todo' (one pair without a verdict) are checked.
+    """
+    work = pairs.select(key).distinct()
+    todo = lookup_status(work, pairs, key, verdict).filter(F.col("status") == "todo").select(key)
+    checked = verify_commits(semi(changes, todo, [key]), semi(snapshot, todo, [key]))
+    return fill_from(pairs, checked.select(key, F.col("check").alias(verdict)), [key], verdict)

@@ -9,11 +9,11 @@ from commitlens.functions import fixed
 from commitlens.functions.answers import parse_class_answer, parse_filter_answer, taxonomy_categories
 from commitlens.operators import filters, joins
 from commitlens.operators.dedup import first_per_key
-from commitlens.operators.prompts import chat_prompt
+from commitlens.operators.prompts import chat_prompt, render_messages
 from commitlens.operators.releases import match_releases  # noqa: F401  (C6, re-exported)
 from commitlens.operators.sampling import stratified_sample
-from commitlens.operators.scoring import lexicon_answer, lexicon_class_answer, score_with
-from commitlens.operators.verify import verify_commits  # noqa: F401  (C7, re-exported)
+from commitlens.operators.scoring import lexicon_answer, lexicon_class_answer, score_with_fallback
+from commitlens.operators.verify import verify_commits, verify_pairs  # noqa: F401  (C7, re-exported)
 
 MSG = ["commit_title", "commit_description"]
 
@@ -21,11 +21,9 @@ MSG = ["commit_title", "commit_description"]
 SYSTEM_TEXT = "Decide whether the commit optimises performance and name the issue type."
 EXAMPLES = [("###Commit_Title\n\tSpeed up startup\n\n\n###Commit_Description\n\tEMPTY",
              "###Is_Perf_Optimization\n    Yes\n\n\n###Performance_Issue_Type\n    slow startup")]
-
-
-def filter_commits(commits: DataFrame) -> DataFrame:
-    """Heuristic filter."""
-    return filters.heuristic_filter(commits)
+CLASS_SYSTEM_TEXT = "Name the performance issue types of the commit and their root causes."
+CLASS_EXAMPLES = [("###Commit_Title\n\tSpeed up startup\n\n\n###Commit_Description\n\tEMPTY",
+                   f"{fixed.CLASS_TYPE_HEADER}[Responsiveness]{fixed.CLASS_CAUSE_HEADER}\n    [startup]")]
 
 
 def message_text(title: str = "commit_title", description: str = "commit_description") -> F.Column:
@@ -45,8 +43,13 @@ def unique_messages(commits: DataFrame) -> DataFrame:
                          MSG, ["commit_link", "commit_diff_file"])
 
 
-def score_commits(commits: DataFrame, scorer=None, keep_text: bool = False) -> DataFrame:
-    """Dedup messages, build prompts, score (native lexicon unless a scorer is given).
+def score_commits(commits: DataFrame, scorer=None, second=None, keep_text: bool = False) -> DataFrame:
+    """Dedup messages, build prompts, score.
+
+    ``scorer`` (any pandas scorer) gets the rendered chat prompt of each
+    message; where it raises or gives NULL, ``second`` or else the native
+    lexicon answers, and ``answered_by`` says which.  Without a scorer the
+    native lexicon reads the message itself.
 
     ``keep_text`` keeps the scoring text ``_msg`` (an aggregate output) for a
     later model call, so that call also stays above the dedup."""
@@ -57,7 +60,8 @@ def score_commits(commits: DataFrame, scorer=None, keep_text: bool = False) -> D
     if scorer is None:
         scored = u.withColumn("answer", lexicon_answer("_msg"))
     else:
-        scored = score_with(u, "_msg", scorer, "answer")
+        scored = score_with_fallback(u.withColumn("_prompt", render_messages("prompt")), "_prompt", scorer, second,
+                                     native=lexicon_answer("_msg")).drop("_prompt")
     scored = scored if keep_text else scored.drop("_msg")
     return scored.withColumn("parsed", parse_filter_answer("answer"))
 
@@ -90,15 +94,19 @@ def merge_classification(answers: DataFrame) -> DataFrame:
     return c.withColumn("unique_pi_types", taxonomy_categories("pi_types"))
 
 
-def label_sheet(classified: DataFrame, seed: str = "0") -> DataFrame:
+def label_sheet(classified: DataFrame, commits: DataFrame | None = None, seed: str = "0") -> DataFrame:
     """Stratified sample per category, then the first row of every sampled commit
-    with empty labelling columns."""
+    with its title and description (from the first changed-file row of ``commits``)
+    and empty labelling columns."""
     strata = classified.select("commit_link", F.explode("unique_pi_types").alias("label"))
     picked = (stratified_sample(strata, "commit_link", "label", seed=seed, count_occurrences=True)
               .select("commit_link").distinct())
-    rows = classified.join(picked, on="commit_link", how="left_semi")
+    rows = joins.semi(classified, picked, ["commit_link"])
     out = rows.select("commit_link", F.array_join("unique_pi_types", "|").alias("unique_pi_types"),
                       F.array_join("root_causes", "|").alias("root_causes"))
+    if commits is not None:
+        first = first_per_key(commits.select("commit_link", "commit_diff_file", *MSG), ["commit_link"], ["commit_diff_file"])
+        out = joins.skew_safe_join(out, first.select("commit_link", *MSG), ["commit_link"], "left")
     for c in ["contain_perf", "PI_caused_class", "PI_causes_method", "PI_root_causes", "optimization_method"]:
         out = out.withColumn(c, F.lit(""))
     return out
@@ -126,18 +134,43 @@ def benchmark_report(pairs: DataFrame) -> DataFrame:
                      F.count_distinct("apk_download_link").alias("n_apks"))
 
 
-def classify_commits(commits: DataFrame) -> DataFrame:
+def classify_messages(messages: DataFrame, scorer=None, second=None, done: DataFrame | None = None) -> DataFrame:
+    """C4: classification answer of every message: F6 -> T1 -> M3 -> J10.
+
+    ``messages`` has the message columns and ``_msg``; ``done`` answers of
+    earlier runs (message columns, ``answer``), which stay as they are.  The
+    others get a classification prompt; ``scorer`` reads it, with ``second``
+    (or else the native class lexicon) where it raises or gives NULL.  Adds
+    ``answer`` and ``answered_by`` ('done', 'first' or 'second').
+    """
+    x = joins.propagate(messages, done, MSG, ["answer"], how="left") if done is not None \
+        else messages.withColumn("answer", F.lit(None).cast("string"))
+    native = lexicon_class_answer("_msg")
+    if scorer is None:
+        by = F.when(F.col("answer").isNotNull(), "done").otherwise("second")
+        return x.withColumn("answered_by", by).withColumn("answer", F.coalesce(F.col("answer"), native))
+    desc = F.coalesce(F.col("commit_description"), F.lit(fixed.EMPTY_DESCRIPTION))
+    prompt = render_messages(chat_prompt("commit_title", "_desc", CLASS_SYSTEM_TEXT, CLASS_EXAMPLES))
+    x = x.withColumn("_desc", desc).withColumn("_prompt", prompt).drop("_desc")
+    return score_with_fallback(x, "_prompt", scorer, second, native=native, keep=True).drop("_prompt")
+
+
+def classify_commits(commits: DataFrame, scorer=None, second=None, done: DataFrame | None = None,
+                     max_files: int | None = None) -> DataFrame:
     """C4 + C5 from commit rows: heuristic filter, score unique messages, keep
-    positive commits, cap their fan-out, classify the positive messages once,
-    propagate the parsed types by message, drop N/A and merge the taxonomy."""
+    positive commits, classify the positive messages once, propagate the parsed
+    types by message, drop N/A and merge the taxonomy.
+
+    ``max_files`` drops commits with more changed files first (F3; off by default)."""
     f1 = filters.heuristic_filter(commits)
     scored = score_commits(f1, keep_text=True)
     flagged = propagate_scores(f1, scored, by="message").filter("is_perf").drop("is_perf")
-    capped = filters.fanout_cap(flagged)
+    if max_files is not None:
+        flagged = filters.fanout_cap(flagged, max_rows=max_files)
     pos = scored.filter(F.col("parsed.positive")).select(*MSG, "_msg")
-    cls = pos.withColumn("answer", lexicon_class_answer("_msg"))
-    verdicts = cls.select(*MSG, parse_class_answer("answer").alias("p")).select(
-        *MSG, "p.pi_types", "p.root_causes", "p.is_na")
-    rows = joins.propagate(capped, verdicts, MSG, ["pi_types", "root_causes", "is_na"])
+    cls = classify_messages(pos, scorer, second, done)
+    verdicts = cls.select(*MSG, "answered_by", parse_class_answer("answer").alias("p")).select(
+        *MSG, "answered_by", "p.pi_types", "p.root_causes", "p.is_na")
+    rows = joins.propagate(flagged, verdicts, MSG, ["pi_types", "root_causes", "is_na", "answered_by"])
     return (filters.drop_na_marker(rows)
             .withColumn("unique_pi_types", taxonomy_categories("pi_types")))

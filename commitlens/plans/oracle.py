@@ -9,7 +9,7 @@ constants so both sides read the same rules.
 from __future__ import annotations
 
 from commitlens.functions import fixed
-from commitlens.operators.prompts import DIFF_FILE_FORMAT, DIFF_INPUT_TEMPLATE, FILTER_INPUT_TEMPLATE
+from commitlens.functions.fixed import DIFF_FILE_FORMAT, DIFF_INPUT_TEMPLATE, FILTER_INPUT_TEMPLATE
 from commitlens.operators.sampling import initial_size
 from commitlens.operators.scoring import lexicon_pattern
 from commitlens.plans import jobs
@@ -177,9 +177,12 @@ RELEASE_CTES = [A("commits"), A("release_assets"), A("store_releases"), CD, USEF
 
 # verification
 PIVOT = ("pv", """select commit_link, path, max(case when side = 'before' then content end) as before,
- max(case when side = 'release' then content end) as release from snapshot group by all""")
+ max(case when side = 'release' then content end) as release, max(case when side = 'after' then content end) as after,
+ bool_or(side = 'before') as has_before from snapshot group by all""")
 LINE_I = strip(f"{splitlines('before')}[i]")
 FX = ("fx", f"""select ch.commit_link, ch.path, case when suffix(ch.path, '.apk') or suffix(ch.path, '.so') then null
+ when len(ch.deleted_lines) = 0 and len(ch.added_lines) > 0 and {splitlines('pv.after')}[len(ch.added_lines) + 1] is null
+  and {splitlines('pv.after')}[len(ch.added_lines)] is not null then not coalesce(pv.has_before, false)
  when pv.before is null then null when pv.release is null then false
  when len(ch.deleted_lines) = 0 then pv.release = pv.before
  when list_bool_or(list_transform(ch.deleted_lines, lambda i: {LINE_I.replace('before', 'pv.before')} is null)) then null
@@ -201,13 +204,36 @@ FILE_PIECE = (f"{lit(_pre_n)} || cast(rn as varchar) || {lit(_post_n.replace('{{
               f"{indent('patch', 2)} || {lit(_tail.replace('}}', '}'))}")
 _dt = DIFF_INPUT_TEMPLATE.split(fixed.TEMPLATE_SLOT)
 
-HREF = "'<a[^>]*href=\"([^\"]*)\"'"
-ANCHOR = "'<a[^>]*href=\"([^\"]*)\"[^>]*>([^<]*)</a>'"
+# Pages: the expected rows of page parsers that read given pages use the same few patterns; pytest
+# compares those with Python's HTML parser, so they are not only checked against themselves.
+QUOTED = r"""("[^"]*"|'[^']*')"""
+OPEN_A = lit(r"(?is)<a(?:\s[^>]*?)?\shref\s*=\s*" + QUOTED)
+ANCHOR = lit(r"(?is)<a(?:\s[^>]*?)?\shref\s*=\s*" + QUOTED + r"[^>]*>(.*?)</a\s*>")
 BASE = "regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1)"
 
 
+def decode(x: str) -> str:
+    for name, ch in fixed.HTML_ENTITIES:
+        x = f"replace({x}, {lit(name)}, {lit(ch)})"
+    return x
+
+
+def inner(x: str) -> str:
+    return decode(f"regexp_replace({x}, '<[^>]+>', '', 'g')")
+
+
+def unquoted(x: str) -> str:
+    return decode(f"substr({x}, 2, length({x}) - 2)")
+
+
+VISIBLE = "html"
+for _p in (r"(?s)<!--.*?-->", r"(?is)<script(?:\s[^>]*)?>.*?</script\s*>", r"(?is)<style(?:\s[^>]*)?>.*?</style\s*>"):
+    VISIBLE = f"regexp_replace({VISIBLE}, {lit(_p)}, '', 'g')"
+VIS = ("vis", f"select page_id, {BASE} as base, {VISIBLE} as h from pages")
+
+
 def tag(t: str) -> str:
-    return "nullif(" + strip(f"regexp_extract(html, '(?s)<{t}[^>]*>([^<]*)</{t}>', 1)") + ", '')"
+    return "nullif(" + strip(inner(f"regexp_extract(h, {lit(rf'(?is)<{t}(?:\s[^>]*)?>(.*?)</{t}\s*>')}, 1)")) + ", '')"
 
 
 SQL: dict[str, str] = {
@@ -247,9 +273,8 @@ SQL: dict[str, str] = {
     "semi_projects": with_ctes(A("commits"), F1, body="""select c_custkey, c_name, git_link from (select c_custkey, c_name,
  concat('https://github.com/o', cast(c_custkey % 50 as varchar), '/r', cast(c_custkey as varchar)) as git_link from customer)
  where git_link in (select git_link from f1)"""),
-    "project_commits": with_ctes(A("commits"), F1, body="""select commit_link, commit_diff_file from f1 where split_part(commit_link, '/commit/', 1) in
- (select concat('https://github.com/o', cast(c_custkey % 50 as varchar), '/r', cast(c_custkey as varchar)) from customer
-  where c_mktsegment = 'BUILDING')"""),
+    "project_commits": with_ctes(A("commits"), A("release_assets"), F1, body="""select commit_link, commit_diff_file from f1
+ where split_part(commit_link, '/commit/', 1) in (select git_link from release_assets)"""),
     "anti_done": with_ctes(A("commits"), F1, ("ol", """select o_orderstatus, o_orderpriority, concat('https://github.com/o',
  cast(o_custkey % 50 as varchar), '/r', cast(o_custkey as varchar), '/commit/', cast(o_orderkey as varchar)) as commit_link from orders"""),
         body="""select distinct commit_link from f1 where commit_link not in (select commit_link from ol where o_orderstatus = 'F')
@@ -293,8 +318,10 @@ SQL.update({
  case when coalesce(a.n, 0) = 0 then 'missing' when a.n > 1 then 'multiple' when a.v is not null then 'done' else 'todo' end as status
  from (select distinct commit_link from f1) w left join (select commit_link, count(*) as n, max("check") as v from pu group by 1) a
  on a.commit_link = w.commit_link"""),
-    "short_key_match": with_ctes(A("answers"), A("commits"), ("keyed", """select concat_ws('/', string_split(commit_link, '/')[-3], 'commit',
- string_split(commit_link, '/')[-1]) as short_key, commit_link from commits"""), body="""select i.short_key,
+    "short_key_match": with_ctes(A("answers"), A("commits"), ("links", """select commit_link from commits where cast(string_split(commit_link, '/')[-1] as bigint) % 17 <> 0
+ union all select concat('https://github.com/fork/', string_split(commit_link, '/')[-3], '/commit/', string_split(commit_link, '/')[-1])
+ from commits where cast(string_split(commit_link, '/')[-1] as bigint) % 13 = 0"""), ("keyed", """select concat_ws('/', string_split(commit_link, '/')[-3], 'commit',
+ string_split(commit_link, '/')[-1]) as short_key, commit_link from links"""), body="""select i.short_key,
  case when r.n = 1 then r.l end as commit_link,
  case when coalesce(r.n, 0) = 0 then 'missing' when r.n > 1 then 'ambiguous' else 'ok' end as match_status
  from (select distinct concat_ws('/', string_split(commit_link, '/')[-3], 'commit', string_split(commit_link, '/')[-1]) as short_key
@@ -317,7 +344,7 @@ SQL.update({
  strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') as iso_text from orders)""",
     "parse_answer": with_ctes(A("answers"), CLS, body="""select commit_link, types_text, causes_text, array_to_string(pi_types, '|') as pi_types,
  array_to_string(root_causes, '|') as root_causes, is_na from cls"""),
-    "parse_filter_answer": with_ctes(A("commits"), F1, U, SCORED, body=f"""select commit_title, commit_description, {IS_PERF} as is_perf,
+    "parse_filter_answer": with_ctes(A("commits"), F1, U, (SCORED[0], SCORED[1].replace(answer(MSG), f"case when commit_title like 'Speed%' then 'I cannot tell.' else {answer(MSG)} end")), body=f"""select commit_title, commit_description, {IS_PERF} as is_perf,
  {ISSUE} as issue_type, not {HAS_TYPE} as bad_format, {POSITIVE} as positive from s"""),
     "label_counts": with_ctes(A("answers"), CLS, body="select label, count(*) as n from (select unnest(pi_types) as label from cls) group by 1"),
     "taxonomy_merge": with_ctes(A("answers"), CLS, MERGED, body=f"""select commit_link, array_to_string(unique_pi_types, '|') as unique_pi_types,
@@ -332,35 +359,35 @@ select cast(n as bigint) as n_items, po_num / n as po, pe_num / (n * n) as pe,
     "segment_rollup": "select c_mktsegment, count(*) as n from customer group by rollup (c_mktsegment)",
     "sample_sizes": f"select event_type, count(distinct event_id) as population, {size_expr('count(distinct event_id)')} as sample_size from events group by 1",
     "stratified_sample": ranked_sample("events", "event_id", "event_type", "0"),
-    "label_sheet": with_ctes(A("answers"), CLS, MERGED, ("strata", "select commit_link, unnest(unique_pi_types) as label from merged"),
+    "label_sheet": with_ctes(A("answers"), A("commits"), CLS, MERGED, ("strata", "select commit_link, unnest(unique_pi_types) as label from merged"),
         ("picked", f"select distinct commit_link from ({ranked_sample('strata', 'commit_link', 'label', '0', True)})"),
+        ("firsts", "select * from (select *, row_number() over (partition by commit_link order by commit_diff_file) as rn from commits) where rn = 1"),
         body="""select commit_link, array_to_string(unique_pi_types, '|') as unique_pi_types, array_to_string(root_causes, '|') as root_causes,
+ f.commit_title, f.commit_description,
  '' as contain_perf, '' as PI_caused_class, '' as PI_causes_method, '' as PI_root_causes, '' as optimization_method
- from merged where commit_link in (select commit_link from picked)"""),
+ from merged left join firsts f using (commit_link) where commit_link in (select commit_link from picked)"""),
     "build_prompt": with_ctes(A("commits"), F1, U, ("pt", f"select commit_title, commit_description, {PROMPT_TEXT} as prompt_text from u"),
         body=f"select commit_title, commit_description, prompt_text, cast(len(regexp_extract_all(prompt_text, {WORD})) as bigint) as n_words from pt"),
-    "diff_prompt": with_ctes(A("diffs"), ("capped", "select * from diffs where commit_link in (select commit_link from diffs group by 1 having count(*) <= 5)"),
-        ("numbered", "select *, row_number() over (partition by commit_link order by file_name, patch) as rn from capped"),
+    "diff_prompt": with_ctes(A("diffs"), ("numbered", "select *, row_number() over (partition by commit_link order by file_name, patch) as rn from diffs"),
         ("rendered", f"select commit_link, string_agg({FILE_PIECE}, '' order by rn) as d, min(message) as message, count(*) as n_files from numbered group by 1"),
         body=f"""select commit_link, {lit(_dt[0])} || {indent('message')} || {lit(_dt[1])} || {indent('d')} || {lit(_dt[2])} as prompt_text,
  cast(n_files as bigint) as n_files from rendered"""),
-    "hunk_lines": with_ctes(A("diffs"), body=r"""select commit_link, file_name,
- cast(regexp_extract_all(patch, '@@ -(\d+)(?:,\d+)? \+(\d+)', 1)[1] as integer) as old_start,
- cast(regexp_extract_all(patch, '@@ -(\d+)(?:,\d+)? \+(\d+)', 2)[1] as integer) as new_start from diffs"""),
+    "hunk_lines": with_ctes(A("diffs"), ("h", r"select *, regexp_extract_all(patch, '@@ -(\d+)(?:,\d+)? \+(\d+)', 1) as olds, regexp_extract_all(patch, '@@ -(\d+)(?:,\d+)? \+(\d+)', 2) as news from diffs"),
+        body="""select commit_link, file_name, i - 1 as hunk, cast(olds[i] as integer) as old_start, cast(news[i] as integer) as new_start
+ from h, unnest(range(1, len(olds) + 1)) as u(i)"""),
     "example_pairs": """select u.conv_id, u.turn, u.text as input, a.text as output from conversations u join conversations a
  on a.conv_id = u.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant'""",
     "verify_pairs": with_ctes(A("snapshot"), A("changes"), PIVOT, FX, body="""select commit_link,
  case when bool_and(ok) or bool_and(ok) is null then 'same' else 'different' end as "check",
  count(*) as n_files, count(*) filter (where ok is null) as n_skipped from fx group by 1"""),
-    "page_links": f"""select page_id, cast(x.pos as bigint) as pos, x.href,
- case when regexp_matches(x.href, '^[a-zA-Z][a-zA-Z0-9+.-]*://') then x.href else base || x.href end as abs_url
- from (select page_id, {BASE} as base, unnest(list_transform(regexp_extract_all(html, {HREF}, 1),
-  lambda h, i: {{'href': h, 'pos': i - 1}})) as x from pages)""",
-    "page_anchors": f"""select page_id, cast(x.pos as bigint) as pos, x.href, x.t as anchor_text from (select page_id,
- unnest(list_transform(regexp_extract_all(html, {ANCHOR}, 1), lambda h, i: {{'href': h, 't': regexp_extract_all(html, {ANCHOR}, 2)[i],
- 'pos': i - 1}})) as x from pages)""",
-    "page_title": rf"""select page_id, {tag('title')} as title, {tag('h1')} as h1,
- nullif(regexp_extract(html, '<a[^>]*href="([^"]*)"[^>]*>\s*and\s*</a>', 1), '') as and_link from pages""",
+    "page_links": with_ctes(VIS, ("l", f"select page_id, base, unnest(list_transform(regexp_extract_all(h, {OPEN_A}, 1), lambda x, i: {{'q': x, 'pos': i - 1}})) as x from vis"),
+        ("u", f"select page_id, base, cast(x.pos as bigint) as pos, {unquoted('x.q')} as href from l"),
+        body="select page_id, pos, href, case when regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*://') then href else base || href end as abs_url from u"),
+    "page_anchors": with_ctes(VIS, ("l", f"""select page_id, unnest(list_transform(regexp_extract_all(h, {ANCHOR}, 1),
+ lambda x, i: {{'q': x, 't': regexp_extract_all(h, {ANCHOR}, 2)[i], 'pos': i - 1}})) as x from vis"""),
+        body=f"select page_id, cast(x.pos as bigint) as pos, {unquoted('x.q')} as href, {inner('x.t')} as anchor_text from l"),
+    "page_title": with_ctes(VIS, body=f"""select page_id, {tag('title')} as title, {tag('h1')} as h1,
+ {unquoted("nullif(regexp_extract(h, " + lit(r"(?is)<a(?:\s[^>]*?)?\shref\s*=\s*" + QUOTED + r"[^>]*>\s*(?:<[^>]*>\s*)*and\s*(?:<[^>]*>\s*)*</a\s*>") + ", 1), '')")} as and_link from vis"""),
     "json_props": "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events",
     "lexicon_score": with_ctes(A("commits"), F1, U, SCORED, body=f"select commit_title, commit_description, answer, {POSITIVE} as positive from s"),
     "stream_ingest_dedup": "select event_id, ts, user_id, event_type from events",
@@ -369,9 +396,11 @@ select cast(n as bigint) as n_items, po_num / n as po, pe_num / (n * n) as pe,
     "csv_roundtrip": "select doc_id, text, lang from documents",
     "line_counts": r"select source, cast(sum(len(string_split_regex(text, '\r\n|\r|\n'))) as bigint) as n_lines from documents group by source",
 })
-# M1, M3 and M4 must give exactly the native scorer's answers.
-for _k in ("udf_score", "score_fallback", "score_incremental"):
+# M1 and M4 must give exactly the native scorer's answers; M3 too, with a mark on what the second scorer answered.
+for _k in ("udf_score", "score_incremental"):
     SQL[_k] = SQL["lexicon_score"]
+SQL["score_fallback"] = with_ctes(A("commits"), F1, U, SCORED, body=f"""select commit_title, commit_description, answer, {POSITIVE} as positive,
+ case when contains({MSG}, 'scroll') then 'second' else 'first' end as answered_by from s""")
 
 SQL.update({
     "csv_recursive": "select lang as category, count(*) as n_docs, sum(n_chars) as n_chars from documents group by 1",
@@ -387,16 +416,16 @@ SQL.update({
   string_split(commit_link, '/')[-1] as commit_hash from mr)) where rn2 = 1"""),
     "benchmark_report": with_ctes(("mr", SQL["match_releases"]), body="select count(distinct commit_link) as n_commits, count(distinct apk_download_link) as n_apks from mr"),
     "project_sizes": with_ctes(A("commits"), body="""select split_part(commit_link, '/commit/', 1) as git_link, count(*) as n_commits
- from (select distinct commit_link from commits) group by 1 having count(*) <= 5000"""),
-    "label_report": with_ctes(A("answers"), CLS, body="""select label, n, row_number() over (order by n desc, label) as rank from
- (select label, count(*) as n from (select unnest(pi_types) as label from cls) group by 1)"""),
+ from (select distinct commit_link from commits) group by 1 having count(*) <= 10"""),
+    "label_report": with_ctes(A("answers"), CLS, body="select label, count(*) as n from (select unnest(pi_types) as label from cls) group by 1"),
 })
 
 SQL.update({
     "gap_fill": SQL["match_releases"].replace("select *, 'release' as source from apairs union all\n", "").replace(
         "select distinct s.*, 'store' as source from spairs s", "select distinct s.* from spairs s"),
-    "page_sections": f"""select page_id, cast(x.pos as bigint) as pos, {strip('x.b')} as text from (select page_id,
- unnest(list_transform(regexp_extract_all(html, '<p[^>]*>([^<]*)', 1), lambda b, i: {{'b': b, 'pos': i - 1}})) as x from pages)""",
+    "page_sections": with_ctes(VIS, ("l", r"""select page_id, unnest(list_transform(string_split_regex(h, '(?i)<p(?:\s[^>]*)?>')[2:],
+ lambda b, i: {'b': string_split_regex(b, '(?i)</p\s*>')[1], 'pos': i - 1})) as x from vis"""),
+        body=f"select page_id, cast(x.pos as bigint) as pos, {strip(inner('x.b'))} as text from l"),
     "unmapped_labels": with_ctes(A("answers"), CLS, body=f"""select label, count(*) as n from (select unnest(list_filter(pi_types,
  lambda y: y not in {KNOWN})) as label from cls where not is_na) group by 1"""),
     "stream_page_links": SQL["page_links"],
@@ -428,25 +457,69 @@ def _class_answer_sql(msg: str) -> str:
     return f"{lit(fixed.CLASS_TYPE_HEADER)} || {tt} || {lit(fixed.CLASS_CAUSE_HEADER + chr(10) + '    ')} || {ct}"
 
 
-SQL.update({
-    "classify_commits": with_ctes(A("commits"), F1, U, SCORED, POS_MSG,
-        ("capped", "select * from pos where commit_link in (select commit_link from pos group by 1 having count(*) <= 5)"),
-        ("answers", f"select commit_title, commit_description, {_class_answer_sql(MSG)} as answer from s where {POSITIVE}"),
-        ("parsed", f"""select commit_title, commit_description, {CLS_TYPES} as types_text, {CLS_CAUSES} as causes_text from answers"""),
-        ("v", f"""select commit_title, commit_description,
+def _classified_sql(by: str) -> str:
+    return with_ctes(A("commits"), F1, U, SCORED, POS_MSG,
+        ("answers", f"select commit_title, commit_description, {by} as answered_by, {_class_answer_sql(MSG)} as answer from s where {POSITIVE}"),
+        ("parsed", f"""select commit_title, commit_description, answered_by, {CLS_TYPES} as types_text, {CLS_CAUSES} as causes_text from answers"""),
+        ("v", f"""select commit_title, commit_description, answered_by,
  case when types_text = '[N/A]' then ['N/A'] else {items('types_text', True)} end as pi_types,
  case when causes_text = '[N/A]' then ['N/A'] else {items('causes_text', False)} end as root_causes,
  types_text = '[N/A]' as is_na from parsed"""),
         body=f"""select c.commit_link, c.commit_diff_file, array_to_string(v.pi_types, '|') as pi_types,
  array_to_string(v.root_causes, '|') as root_causes,
  array_to_string(list_filter(list_transform(list_filter(v.pi_types, lambda y: y not in {IGNORED}),
- lambda y: {CASE_MAP}), lambda y: y is not null), '|') as unique_pi_types
- from capped c join v on c.commit_title = v.commit_title and c.commit_description is not distinct from v.commit_description
- where not v.is_na"""),
-})
+ lambda y: {CASE_MAP}), lambda y: y is not null), '|') as unique_pi_types, v.answered_by
+ from pos c join v on c.commit_title = v.commit_title and c.commit_description is not distinct from v.commit_description
+ where not v.is_na""")
+
+
+SQL["classify_commits"] = _classified_sql("'second'")
+SQL["classify_scorer"] = _classified_sql(f"case when commit_title like 'Reduce%' then 'done' when contains({MSG}, 'player') then 'second' else 'first' end")
 
 SQL.update({
     "file_inventory": "select source, '.txt' as ext, cast(sum(strlen(text) + 1) as bigint) as bytes from documents group by 1",
 })
 
 SQL["stream_label_counts"] = SQL["label_counts"]
+
+_LINK = "concat('https://github.com/o', cast(o_custkey % 50 as varchar), '/r', cast(o_custkey as varchar), '/commit/', cast(o_orderkey as varchar))"
+_GIT = "concat('https://github.com/o', cast(c_custkey % 50 as varchar), '/r', cast(c_custkey as varchar))"
+SQL.update({
+    "verify_write_back": with_ctes(A("snapshot"), A("changes"), PIVOT, FX,
+        ("pairs", """select distinct commit_link, unnest(case when n % 7 = 0 then ['1.0', '2.0'] else ['1.0'] end) as apk_version,
+ case when n % 5 = 0 then 'same' end as "check" from (select doc_id % 100 as n, concat('c', cast(doc_id % 100 as varchar)) as commit_link from documents)"""),
+        ("verdicts", "select commit_link, case when bool_and(ok) or bool_and(ok) is null then 'same' else 'different' end as v from fx group by 1"),
+        ("todo", """select commit_link from pairs group by 1 having count(*) = 1 and max("check") is null"""),
+        body="""select p.commit_link, p.apk_version, coalesce(p."check", v.v) as "check" from pairs p
+ left join (select * from verdicts where commit_link in (select commit_link from todo)) v using (commit_link)"""),
+    "commit_json": with_ctes(A("diffs"), ("m", "select commit_link, min(message) as message from diffs group by 1"),
+        body="select commit_link, m.message, file_name as filename, patch from diffs join m using (commit_link)"),
+    "commit_page": f"""select commit_link, 'Fixes <#' || cast(o_orderkey % 100 as varchar) || '> & ' || o_orderpriority as commit_description,
+ row_number() over (partition by o_orderkey order by ln, qty) - 1 as file_pos, 'src/F' || ln || '.java' as commit_diff_file,
+ concat('int q;', chr(10), '-List<Q> q = ', qty, ';', chr(10), '+if (a && b) q = ', qty + 1, ';', chr(10)) as commit_diff,
+ cast(ln * 10 + 1 as varchar) as added_lines, cast(ln * 10 as varchar) as deleted_lines
+ from (select {_LINK} as commit_link, o_orderkey, o_orderpriority, cast(l_linenumber as integer) as ln, cast(l_quantity as bigint) as qty
+ from orders join lineitem on l_orderkey = o_orderkey)""",
+    "commit_time": f"select distinct {_LINK} as commit_link, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as commit_time from orders join lineitem on l_orderkey = o_orderkey",
+    "store_page": with_ctes(A("store_releases"), body="select git_link, apk_version as version, release_date as added_on, apk_download_link, source_code_download_link from store_releases"),
+    "release_page": with_ctes(A("release_assets"), body="""select distinct git_link, apk_version, download_link || '/' || download_file_name as download_link, download_file_name,
+ strftime(release_date, '%Y-%m-%d') as apk_release_time from release_assets where not (apk_version like 'v%' and git_link like '%0')"""),
+    "changelog_page": f"""select c_custkey, ch as changelog_link, meta as build_metadata, coalesce(ch = git || '/releases', false) and meta is not null as valid
+ from (select c_custkey, {_GIT} as git, case when c_custkey % 4 = 0 then null when c_custkey % 4 = 1 then {_GIT} || '/tags' else {_GIT} || '/releases' end as ch,
+ case when c_custkey % 5 <> 0 then '/meta/' || c_custkey || '?a=1&b=2' end as meta from customer)""",
+    "next_pages": """select c_custkey, case when c_custkey % 3 <> 0 then 'https://host.example/page/' || (c_custkey + 1) || '/' end as next_listing,
+ case when c_custkey % 3 = 1 and c_custkey % 6 <> 1 then 'https://host.example/list/' || (c_custkey + 1) end as next_commits from customer""",
+    "commit_list": """select o_custkey as page_id, '/o/r/commit/' || o_orderkey as href, 'Fix <' || o_orderkey || '>' as anchor_text,
+ cast(o_orderkey as varchar) as commit_hash from orders where o_orderkey % 6 <> 0""",
+    "text_between": r"""select doc_id, nullif(split_part(split_part(text, ' the ', 2), ' of ', 1), '') as after_the,
+ nullif(regexp_extract(text, '(?s)\bth\w+ (.*?)[.,]', 1), '') as between from documents""",
+    "digits": "select c_custkey, c_custkey * 37 as n, cast(null as bigint) as none from customer",
+    "host_filter": "select page_id, url from pages where starts_with(url, 'https://www.')",
+    "max_batch": "select max(o_orderkey) as max_batch from orders",
+    "seeded_order": with_ctes(A("commits"), F1, body="select distinct commit_link from f1"),
+    "key_union": with_ctes(A("commits"), A("answers"), F1, body="select commit_link from f1 union select commit_link from answers"),
+    "ext_counts": "select '.json' as ext, count(distinct lang) as n_files from documents union all select '.csv', count(distinct source) from documents",
+    "read_lines": "select source as value from documents",
+    "category_file": "select true as named, count(*) as n from documents",
+    "append_batches": "select o_orderkey, o_orderstatus, case o_orderstatus when 'O' then 1 when 'P' then 2 else 0 end as batch_id from orders",
+})

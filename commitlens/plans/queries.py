@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,7 @@ from commitlens.operators import dedup, filters, joins, prompts, releases, sampl
 from commitlens.operators import extract as ex
 from commitlens.operators.asof import asof_join
 from commitlens.plans import adapters as ad
-from commitlens.plans import jobs
+from commitlens.plans import jobs, pages
 from commitlens.session import scratch_path
 from commitlens.sources import readers, sinks
 from commitlens.streaming import incremental as inc
@@ -149,8 +149,7 @@ def semi_projects(spark, d):
 
 @q
 def project_commits(spark, d):
-    cust = ad.table(spark, d, "customer").filter(F.col("c_mktsegment") == "BUILDING")
-    projects = cust.select(ad._project(F.col("c_custkey")).alias("git_link"))
+    projects = ad.release_assets(spark, d).select("git_link")   # projects that have releases
     return joins.match_project(_f1(spark, d), projects).select("commit_link", "commit_diff_file")
 
 
@@ -235,10 +234,7 @@ def verdict_update(spark, d):
 
 
 def _pairs_union(spark, d):
-    c = ad.commits(spark, d)
-    a = releases.pairs_from_assets(c, ad.release_assets(spark, d))
-    s = releases.pairs_from_store(c, ad.store_releases(spark, d))
-    both = a.unionByName(s)
+    both = releases.release_pairs(ad.commits(spark, d), ad.release_assets(spark, d), ad.store_releases(spark, d)).drop("source")
     return both.withColumn("check", F.when(F.col("apk_version").startswith("v"), F.lit("same")))
 
 
@@ -251,7 +247,11 @@ def lookup_guard(spark, d):
 @q
 def short_key_match(spark, d):
     items = ad.answers(spark, d).select(tx.short_commit_key("commit_link").alias("short_key")).distinct()
-    return joins.match_short_key(items, ad.commits(spark, d))
+    links = ad.commits(spark, d).select("commit_link")
+    hash_ = tx.last_segment("commit_link").cast("long")
+    forks = links.filter(hash_ % 13 == 0).select(F.concat(F.lit("https://github.com/fork/"), F.element_at(F.split("commit_link", "/"), -3),
+                                                          F.lit("/commit/"), tx.last_segment("commit_link")).alias("commit_link"))
+    return joins.match_short_key(items, links.filter(hash_ % 17 != 0).unionByName(forks))
 
 
 # --- releases -----------------------------------------------------------------
@@ -307,7 +307,7 @@ def benchmark_report(spark, d):
 def project_sizes(spark, d):
     per = agg.value_counts(dedup.unique_values(ad.commits(spark, d), "commit_link")
                            .select(tx.project_link("commit_link").alias("git_link")), "git_link", "n_commits")
-    return filters.size_threshold(per, "n_commits")
+    return filters.size_threshold(per, "n_commits", 10)
 
 
 @q
@@ -345,6 +345,8 @@ def parse_answer(spark, d):
 @q
 def parse_filter_answer(spark, d):
     s = jobs.score_commits(_f1(spark, d))
+    answer = F.when(F.col("commit_title").startswith("Speed"), F.lit("I cannot tell.")).otherwise(F.col("answer"))   # no known format
+    s = s.withColumn("answer", answer).withColumn("parsed", parse_filter("answer"))
     return s.select(*jobs.MSG, "parsed.is_perf", "parsed.issue_type", "parsed.bad_format", "parsed.positive")
 
 
@@ -362,20 +364,28 @@ def taxonomy_merge(spark, d):
 
 @q
 def classify_commits(spark, d):
-    c = jobs.classify_commits(ad.commits(spark, d))
+    return _classified(jobs.classify_commits(ad.commits(spark, d)))
+
+
+def _classified(c):
     return c.select("commit_link", "commit_diff_file", F.array_join("pi_types", "|").alias("pi_types"),
                     F.array_join("root_causes", "|").alias("root_causes"),
-                    F.array_join("unique_pi_types", "|").alias("unique_pi_types"))
+                    F.array_join("unique_pi_types", "|").alias("unique_pi_types"), "answered_by")
 
 
 @q
-def label_report(spark, d):
-    """O1: label counts ordered by count desc, label asc.
+def classify_scorer(spark, d):
+    """C4 with a model of one's own: it reads the prompts, fails on some, and messages classified before are kept."""
+    c = ad.commits(spark, d)
+    done = jobs.unique_messages(_f1(spark, d)).filter(F.col("commit_title").startswith("Reduce"))
+    done = done.select(*jobs.MSG, scoring.lexicon_class_answer("_msg").alias("answer"))
+    return _classified(jobs.classify_commits(c, scorer=scoring.Refusing(scoring.ClassLexiconScorer(), "player"), done=done))
 
-    The rank window has no partition key on purpose: its input is the
-    aggregated label table (one row per distinct label), not the commits."""
-    c = agg.label_counts(jobs.classify(ad.answers(spark, d)), "commit_link", "pi_types")
-    return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "label")).cast("long"))
+
+@q
+def label_report(spark, d):
+    """O1: label counts ordered by count desc, label asc (a range-partitioned sort, no single task)."""
+    return agg.label_counts(jobs.classify(ad.answers(spark, d)), "commit_link", "pi_types").orderBy(F.desc("n"), "label")
 
 
 @q
@@ -414,7 +424,7 @@ def stratified_sample(spark, d):
 
 @q
 def label_sheet(spark, d):
-    return jobs.label_sheet(jobs.merge_classification(ad.answers(spark, d)), seed="0")
+    return jobs.label_sheet(jobs.merge_classification(ad.answers(spark, d)), ad.commits(spark, d), seed="0")
 
 
 # --- prompts ------------------------------------------------------------------
@@ -427,8 +437,7 @@ def build_prompt(spark, d):
 
 
 def _diffs(spark, d):
-    capped = filters.fanout_cap(ad.diffs(spark, d))
-    return capped.groupBy("commit_link").agg(
+    return ad.diffs(spark, d).groupBy("commit_link").agg(
         F.sort_array(F.collect_list(F.struct("file_name", "patch"))).alias("files"),
         F.first("message").alias("message"))
 
@@ -443,9 +452,8 @@ def diff_prompt(spark, d):
 
 @q
 def hunk_lines(spark, d):
-    h = ex.hunk_starts("patch")
-    return ad.diffs(spark, d).select("commit_link", "file_name", F.element_at(h["old_starts"], 1).alias("old_start"),
-                                     F.element_at(h["new_starts"], 1).alias("new_start"))
+    h = ex.hunks(ad.diffs(spark, d))
+    return h.select("commit_link", "file_name", F.col("hunk").cast("long").alias("hunk"), "old_start", "new_start")
 
 
 @q
@@ -460,6 +468,17 @@ def verify_pairs(spark, d):
     return verify.verify_commits(ad.changes(spark, d), ad.snapshot(spark, d))
 
 
+@q
+def verify_write_back(spark, d):
+    """Pairs of the snapshot commits, some verified earlier, some matched twice; the rest is verified and written back."""
+    n = F.col("doc_id") % 100
+    pairs = ad.table(spark, d, "documents").select(
+        F.concat(F.lit("c"), n.cast("string")).alias("commit_link"),
+        F.explode(F.when(n % 7 == 0, F.array(F.lit("1.0"), F.lit("2.0"))).otherwise(F.array(F.lit("1.0")))).alias("apk_version"),
+        F.when(n % 5 == 0, F.lit("same")).alias("check")).distinct()
+    return verify.verify_pairs(pairs, ad.changes(spark, d), ad.snapshot(spark, d))
+
+
 # --- extraction ---------------------------------------------------------------
 
 @q
@@ -490,6 +509,103 @@ def json_props(spark, d):
     return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
+@q
+def commit_json(spark, d):
+    """Commit JSON -> message and one row per file."""
+    j = pages.commit_json(spark, d).select("commit_link", ex.diff_json("body").alias("j"))
+    return j.select("commit_link", F.col("j.message").alias("message"), F.inline("j.files"))
+
+
+@q
+def commit_page(spark, d):
+    """Commit pages -> one row per changed file with the page's description."""
+    x = ex.commit_page_files(pages.commit_pages(spark, d), key="commit_link")
+    lines = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
+    return x.select("commit_link", "commit_description", "file_pos", "commit_diff_file", "commit_diff", lines("added_lines"), lines("deleted_lines"))
+
+
+@q
+def commit_time(spark, d):
+    """Machine-readable time of a commit page."""
+    return pages.commit_pages(spark, d).select("commit_link", F.date_format(ex.machine_time("html"), "yyyy-MM-dd HH:mm:ss").alias("commit_time"))
+
+
+@q
+def store_page(spark, d):
+    """Store pages -> one row per version."""
+    x = ex.store_versions(pages.store_pages(spark, d), key="git_link")
+    return x.drop("version_pos", "code")
+
+
+@q
+def release_page(spark, d):
+    """Release pages -> one row per asset of a full release."""
+    return ex.release_assets_from_page(pages.release_pages(spark, d), key="git_link").drop("section_pos")
+
+
+@q
+def changelog_page(spark, d):
+    """Changelog and metadata links of app pages."""
+    return pages.app_pages(spark, d).select("c_custkey", ex.changelog_links("html", "git_link").alias("x")).select("c_custkey", "x.*")
+
+
+@q
+def next_pages(spark, d):
+    """Next-page links of listing and commit-list pages."""
+    base = F.lit("https://host.example")
+    return pages.app_pages(spark, d).select("c_custkey", ex.next_listing("html", base).alias("next_listing"), ex.next_commit_page("html", base).alias("next_commits"))
+
+
+@q
+def commit_list(spark, d):
+    """Commit links of list pages (anchors with the commit title), 'Initial commit' left out."""
+    c = ad.table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    anchor = F.concat(F.lit('<p><a class="t" href="/o/r/commit/'), F.col("o_orderkey").cast("string"), F.lit('">'),
+                      F.when(F.col("o_orderkey") % 6 == 0, "Initial commit").otherwise(F.concat(F.lit("<i>Fix</i> &lt;"), F.col("o_orderkey").cast("string"), F.lit("&gt;"))), F.lit('</a><a href="/o/r/tree">tree</a></p>'))
+    listing = c.groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_join(F.sort_array(F.collect_list(anchor)), "").alias("html"))
+    return ex.commit_list(ex.page_anchors(listing)).select("page_id", "href", "anchor_text", "commit_hash")
+
+
+@q
+def text_between(spark, d):
+    """First text between two words, and first capture between two patterns."""
+    docs = ad.table(spark, d, "documents")
+    return docs.select("doc_id", tx.after_first_until("text", " the ", " of ").alias("after_the"), tx.first_between("text", r"\bth\w+ ", r"[.,]").alias("between"))
+
+
+@q
+def digits(spark, d):
+    """Digits of a text as a number."""
+    c = ad.table(spark, d, "customer").select("c_custkey", F.concat(F.format_number(F.col("c_custkey") * 37, 0), F.lit(" commits")).alias("t"))
+    return c.select("c_custkey", tx.digits_number("t").alias("n"), tx.digits_number(F.lit("none")).alias("none"))
+
+
+@q
+def host_filter(spark, d):
+    """links of one host."""
+    p = ad.table(spark, d, "pages").select("page_id", "url")
+    return filters.prefix_filter(p, "url", "https://www.")
+
+
+@q
+def max_batch(spark, d):
+    """Largest number in the names of the result files, per order status."""
+    o = ad.table(spark, d, "orders").select(F.concat(F.lit("result_"), F.col("o_orderkey").cast("string"), F.lit(".csv")).alias("name"))
+    return dedup.max_number_in(o, "name")
+
+
+@q
+def seeded_order(spark, d):
+    """O2: reproducible random order of the work list (the first key has the smallest hash)."""
+    return dedup.seeded_order(dedup.unique_values(_f1(spark, d), "commit_link"), "commit_link", seed="0")
+
+
+@q
+def key_union(spark, d):
+    """Commits that pass the filter or have an answer."""
+    return dedup.key_union(_f1(spark, d), ad.answers(spark, d), "commit_link")
+
+
 # --- scoring ------------------------------------------------------------------
 
 def _messages(spark, d):
@@ -513,8 +629,10 @@ def udf_score(spark, d):
 
 @q
 def score_fallback(spark, d):
-    first = scoring.LexiconScorer(max_words=3)
-    return _score_out(scoring.score_with_fallback(_messages(spark, d), "_msg", first))
+    """M3: a first model that raises on some messages; the native lexicon answers those."""
+    first = scoring.Refusing(scoring.LexiconScorer(), "scroll")
+    s = scoring.score_with_fallback(_messages(spark, d), "_msg", first)
+    return s.select(*jobs.MSG, "answer", parse_filter("answer")["positive"].alias("positive"), "answered_by")
 
 
 @q
@@ -598,13 +716,41 @@ def file_inventory(spark, d):
 
 @q
 def ext_counts(spark, d):
+    """Files per extension of a folder with one file per language, and per source, and one more per source."""
     root = scratch_path(spark, "ext_counts")
     docs = ad.table(spark, d, "documents")
-    docs.write.json(f"{root}/json")
-    sinks.export_csv(docs, f"{root}/csv")
-    docs.select("text").write.text(f"{root}/text")
-    inv = readers.file_inventory(spark, root, suffixes=[".json", ".csv", ".txt"])
-    return readers.extension_counts(inv)
+    for key, fmt in (("lang", "json"), ("source", "csv")):
+        # one task per value writes one file into the value's folder
+        docs.select("doc_id", key).repartition(1, key).write.partitionBy(key).format(fmt).save(f"{root}/{fmt}")
+    inv = readers.file_inventory(spark, root, suffixes=[".json", "csv"])
+    return readers.extension_counts(inv).select("ext", "n_files")
+
+
+@q
+def read_lines(spark, d):
+    """One stripped string per line."""
+    path = scratch_path(spark, "read_lines")
+    ad.table(spark, d, "documents").select(F.concat(F.lit("  "), F.col("source"), F.lit("\t"))).write.text(path)
+    return readers.read_lines(spark, path)
+
+
+@q
+def category_file(spark, d):
+    """Category from the file name."""
+    root = scratch_path(spark, "category_file")
+    path = sinks.write_table(ad.table(spark, d, "documents").select("doc_id"), f"{root}/docs", None)
+    f = readers.category_from_file(spark.read.parquet(path))
+    return f.groupBy(F.col("category").startswith("part-").alias("named")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@q
+def append_batches(spark, d):
+    """Batches appended under their ids; a replayed batch replaces itself."""
+    path = scratch_path(spark, "append_batches")
+    o = ad.table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    for i, status in enumerate("FOPF"):
+        sinks.append_batch(o.filter(F.col("o_orderstatus") == status), path, i % 3)
+    return spark.read.parquet(path).select("o_orderkey", "o_orderstatus", F.col("batch_id").cast("long").alias("batch_id"))
 
 
 # --- streaming ----------------------------------------------------------------
@@ -620,8 +766,9 @@ def stream_ingest_dedup(spark, d):
     root = scratch_path(spark, "stream_ingest")
     e = ad.table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
     _stage_files(e, f"{root}/in", copies=2)
-    inc.ingest_dedup(spark, f"{root}/in", e.schema, ["event_id"], f"{root}/out", f"{root}/ckpt")
-    return spark.read.parquet(f"{root}/out")
+    # a re-delivery comes within a month: the watermark bounds the state to that
+    inc.ingest_dedup(spark, f"{root}/in", e.schema, ["event_id"], f"{root}/out", f"{root}/ckpt", event_time="ts", delay="31 days")
+    return spark.read.parquet(f"{root}/out").withColumn("ts", F.col("ts").cast(e.schema["ts"].dataType))
 
 
 @q
@@ -637,16 +784,6 @@ def stream_score_resume(spark, d):
     return spark.read.parquet(f"{root}/out").select("doc_id", "answer")
 
 
-def _stage_in_time_order(df: DataFrame, path: str, time_col: str, unit: str = "month") -> None:
-    """Deliver ``df`` as one file batch per time unit, oldest first (arrival order).
-
-    Only the distinct units (bounded by the time range) reach the driver."""
-    unit_col = F.date_trunc(unit, F.col(time_col).cast("timestamp"))
-    units = [r[0] for r in df.select(unit_col.alias("u")).distinct().orderBy("u").collect()]
-    for u in units:
-        df.filter(unit_col == F.lit(u)).write.mode("append").parquet(path)
-
-
 @q
 def stream_page_links(spark, d):
     root = scratch_path(spark, "stream_pages")
@@ -674,9 +811,7 @@ def stream_label_counts(spark, d):
 def stream_counts(spark, d):
     root = scratch_path(spark, "stream_counts")
     e = ad.table(spark, d, "events").select("ts", "event_type")
-    _stage_in_time_order(e, f"{root}/in", "ts")
-    # deliveries are monthly and a month may span several files: the watermark
-    # delay covers one delivery period, so no row of the current month is late
+    _stage_files(e, f"{root}/in")
     inc.running_counts(spark, f"{root}/in", e.schema, "ts", "event_type", f"{root}/out", f"{root}/ckpt",
                        delay="31 days")
     out = inc.latest_counts(spark, f"{root}/out", "event_type")

@@ -1,13 +1,13 @@
 """Session construction and shared scratch locations.
 
 Scratch data (streaming checkpoints, written intermediate tables) always lives
-under the folder the cluster names in ``spark.checkpoint.dir``.  Only when the
-session has none (local tests) do we create one under /tmp and register it.
+under the folder the cluster names in ``spark.checkpoint.dir`` (or that
+``SparkContext.setCheckpointDir`` set).  Only a local master may do without one;
+then a folder under /tmp is created and registered.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -70,10 +70,16 @@ def recommended_conf(input_bytes: int, executors: int, cores_per_executor: int,
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder of this session (created only if unset)."""
+    """The shared checkpoint folder of this session.
+
+    With a local master and none set, a temporary one is created.  On a
+    cluster a machine-local folder would lose data, so it must be set.
+    """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="commitlens-ckpt-", dir="/tmp")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root
@@ -83,12 +89,3 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path under the checkpoint folder."""
     return f"{checkpoint_root(spark)}/commitlens/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def local_dir(path: str) -> str:
-    """Strip a ``file:`` scheme so Python file APIs can use a local path."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-    return path if os.path.isabs(path) else os.path.abspath(path)

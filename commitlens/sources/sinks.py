@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from commitlens.sources.readers import CSV_OPTIONS
 
@@ -27,7 +26,7 @@ def export_csv(df: DataFrame, path: str) -> str:
 
 
 def append_batch(df: DataFrame, path: str, batch_id: int) -> str:
-    """Append one batch tagged with its id; re-running a batch id is a no-op
-    when the caller filters already written ids first (see streaming)."""
-    df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(path)
+    """One folder ``batch_id=N`` per batch; writing a batch again replaces it,
+    so a replay never duplicates rows.  Readers get ``batch_id`` back as a column."""
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     return path

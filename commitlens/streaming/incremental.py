@@ -15,35 +15,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from commitlens.functions.text import ntz_as_utc
+from commitlens.sources.sinks import append_batch
 
 
-def _run(writer, timeout_s: int = 600) -> None:
+def _run(writer) -> dict[int, int]:
+    """Consume all available input, however long it takes.
+
+    Returns, per batch id, the rows that arrived behind the watermark and
+    were dropped by the stateful operators."""
     q = writer.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("streaming query did not finish")
+    late: dict[int, int] = {}
+
+    def note() -> None:
+        for p in q.recentProgress:
+            late[p.batchId] = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+
+    while not q.awaitTermination(5):   # polled only so that no progress report is missed
+        note()
+    note()
     if q.exception():
         raise RuntimeError(str(q.exception()))
+    return late
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
-                max_files_per_trigger: int | None = None) -> DataFrame:
+                max_files_per_trigger: int | None = None, max_bytes_per_trigger: str | None = None) -> DataFrame:
+    """Files of ``path`` as a stream.  By default everything available is one
+    batch; a byte budget ("512g") or a file count bounds the batches."""
     r = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    if max_bytes_per_trigger:
+        r = r.option("maxBytesPerTrigger", max_bytes_per_trigger)
     return r.load(path)
 
 
 def ingest_dedup(spark: SparkSession, source: str, schema: T.StructType, key: list[str], sink: str,
                  checkpoint: str, event_time: str | None = None, delay: str = "1 day",
-                 max_files_per_trigger: int | None = 1) -> str:
+                 max_files_per_trigger: int | None = None,
+                 max_bytes_per_trigger: str | None = None) -> str:
     """Ingest newly arrived files once and drop re-delivered rows by key.
 
     With ``event_time`` the dedup state is bounded by the watermark
-    (``dropDuplicatesWithinWatermark``); without it every key is remembered.
+    (``dropDuplicatesWithinWatermark``: a re-delivery is recognised within ``delay``);
+    without it every key is remembered for ever, which only suits a bounded key set.
     """
-    s = file_stream(spark, source, schema, max_files_per_trigger=max_files_per_trigger)
+    s = file_stream(spark, source, schema, max_files_per_trigger=max_files_per_trigger,
+                    max_bytes_per_trigger=max_bytes_per_trigger)
     if event_time:
         s = s.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, delay)
         s = s.dropDuplicatesWithinWatermark(key)
@@ -55,11 +73,13 @@ def ingest_dedup(spark: SparkSession, source: str, schema: T.StructType, key: li
 
 
 def parse_resume(spark: SparkSession, source: str, schema: T.StructType, key: str, sink: str, checkpoint: str,
-                 parse: Callable[[DataFrame], DataFrame], max_files_per_trigger: int | None = 1) -> str:
+                 parse: Callable[[DataFrame], DataFrame], max_files_per_trigger: int | None = None,
+                 max_bytes_per_trigger: str | None = None) -> str:
     """Parse newly arrived pages once (a page handled before is skipped, also
     across deliveries) and append the parsed rows; the checkpoint is the
     "handled" list."""
-    s = file_stream(spark, source, schema, max_files_per_trigger=max_files_per_trigger).dropDuplicates([key])
+    s = file_stream(spark, source, schema, max_files_per_trigger=max_files_per_trigger,
+                    max_bytes_per_trigger=max_bytes_per_trigger).dropDuplicates([key])
     _run(parse(s).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
          .outputMode("append"))
     return sink
@@ -67,7 +87,8 @@ def parse_resume(spark: SparkSession, source: str, schema: T.StructType, key: st
 
 def score_resume(spark: SparkSession, source: str, schema: T.StructType, key: str, sink: str,
                  checkpoint: str, score: Callable[[DataFrame], DataFrame],
-                 max_files_per_trigger: int | None = 1) -> str:
+                 max_files_per_trigger: int | None = None,
+                 max_bytes_per_trigger: str | None = None) -> str:
     """R2: resume long scoring.
 
     Keys seen in earlier batches are dropped by the stream's dedup state (kept
@@ -76,22 +97,28 @@ def score_resume(spark: SparkSession, source: str, schema: T.StructType, key: st
     partial output instead of appending twice.  No batch scans the sink.
     """
     def batch(df: DataFrame, batch_id: int) -> None:
-        score(df).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        append_batch(score(df), sink, batch_id)
 
-    s = file_stream(spark, source, schema, max_files_per_trigger=max_files_per_trigger).dropDuplicates([key])
+    s = file_stream(spark, source, schema, max_files_per_trigger=max_files_per_trigger,
+                    max_bytes_per_trigger=max_bytes_per_trigger).dropDuplicates([key])
     _run(s.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint))
     return sink
 
 
 def running_counts(spark: SparkSession, source: str, schema: T.StructType, time_col: str, group: str,
                    sink: str, checkpoint: str, window: str = "1 day", delay: str = "1 day",
-                   max_files_per_trigger: int | None = 1) -> str:
+                   max_files_per_trigger: int | None = None,
+                 max_bytes_per_trigger: str | None = None) -> str:
     """Label counts per time window kept up to date as rows arrive.
 
-    Each micro-batch emits the windows it changed (update mode); the sink keeps
-    one row per (window, group, batch) and readers take the latest batch.
+    Each micro-batch overwrites its own ``batch_id=N`` folder with the windows
+    it changed (update mode); readers take the latest batch per window.  Rows
+    behind the watermark (``delay``) cannot be counted any more; how many
+    there were goes to ``<sink>_late`` (batch, rows), so they are never lost
+    silently.
     """
-    s = file_stream(spark, source, schema, max_files_per_trigger=max_files_per_trigger)
+    s = file_stream(spark, source, schema, max_files_per_trigger=max_files_per_trigger,
+                    max_bytes_per_trigger=max_bytes_per_trigger)
     ntz = isinstance(schema[time_col].dataType, T.TimestampNTZType)
     # watermarks need TIMESTAMP; an NTZ wall clock is read as UTC (zone-free)
     s = s.withColumn("_ts", ntz_as_utc(time_col) if ntz else F.col(time_col))
@@ -106,25 +133,28 @@ def running_counts(spark: SparkSession, source: str, schema: T.StructType, time_
 
     def batch(df: DataFrame, batch_id: int) -> None:
         start = F.col("_ws") if ntz else F.col("w.start")
-        (df.select(start.alias("window_start"), group, "n")
-         .withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(sink))
+        append_batch(df.select(start.alias("window_start"), group, "n"), sink, batch_id)
 
-    _run(agg.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint))
+    late = _run(agg.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint))
+    report = [(b, n) for b, n in sorted(late.items()) if n]
+    spark.createDataFrame(report, "batch bigint, n_late bigint").write.mode("append").parquet(f"{sink}_late")
     return sink
 
 
 def running_item_counts(spark: SparkSession, source: str, schema: T.StructType, key: str,
                         items: Callable[[], Column], sink: str, checkpoint: str, name: str = "label",
-                        max_files_per_trigger: int | None = 1) -> str:
+                        max_files_per_trigger: int | None = None,
+                 max_bytes_per_trigger: str | None = None) -> str:
     """R4 without time windows: counts of the items (e.g. parsed labels) of
     every distinct key seen so far, kept up to date as files arrive.  State is
     one row per item plus the key dedup (RocksDB); each batch overwrites its
     own ``batch_id=N`` folder with the counts it changed."""
-    s = file_stream(spark, source, schema, max_files_per_trigger=max_files_per_trigger).dropDuplicates([key])
+    s = file_stream(spark, source, schema, max_files_per_trigger=max_files_per_trigger,
+                    max_bytes_per_trigger=max_bytes_per_trigger).dropDuplicates([key])
     counts = s.select(F.explode(items()).alias(name)).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        append_batch(df, sink, batch_id)
 
     _run(counts.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint))
     return sink

@@ -47,6 +47,7 @@ def main() -> None:
 
     from commitlens.operators import filters
     from commitlens.operators.asof import asof_join
+    from commitlens.operators import joins
     from commitlens.operators.dedup import first_per_key
     from commitlens.operators.sampling import stratified_sample
     from commitlens.plans import adapters as ad
@@ -54,11 +55,10 @@ def main() -> None:
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     log_dir = tempfile.mkdtemp(prefix="run-skew-", dir="/tmp")
-    # AQE thresholds and the hot-key threshold are scaled down with the data
-    # (a 256 MiB advisory size at 100 TB is ~100 KiB here; 10M hot rows ~ 20k),
+    # AQE thresholds are scaled down with the data (a 256 MiB advisory size at
+    # 100 TB is ~100 KiB here),
     # so partition sizes relative to the data, and therefore skew handling,
     # behave as they would on the cluster.
-    HOT = 20_000
     spark = get_session("local[8]", 64, extra={
         "spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file://{log_dir}",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
@@ -89,17 +89,27 @@ def main() -> None:
     signups = events.filter(F.col("event_type") == "signup").select(
         "user_id", F.col("event_id").alias("sid"), F.col("ts").alias("sts"))
 
+    hot_time = F.when(F.col("event_id") % 3 == 0, F.lit("2024-06-01 00:00:00").cast(events.schema["ts"].dataType)).otherwise(F.col("ts"))
+    one_time = purchases.withColumn("ts", hot_time).withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")))
+
     cases = {
         "asof_join (date)": lambda: asof_join(skewed.select("git_link", "commit_link", "commit_date"), rel,
                                               ["git_link"], "commit_date", "rd", tie_break=["rk"], how="left"),
         "first_per_key by project": lambda: first_per_key(skewed, ["git_link"], ["commit_link", "commit_diff_file"]),
-        "fanout_cap by project": lambda: filters.fanout_cap(skewed, "git_link", 10 ** 9, hot_rows=HOT),
+        "fanout_cap by project": lambda: filters.fanout_cap(skewed, "git_link", 10 ** 9,
         "stratified_sample, stratum = project": lambda: stratified_sample(
-            skewed.select("commit_link", "git_link"), "commit_link", "git_link", hot_rows=HOT),
+            skewed.select("commit_link", "git_link"), "commit_link", "git_link",
         "NAIVE fan-out cap as a window count over project": lambda: skewed.withColumn(
             "n", F.count(F.lit(1)).over(Window.partitionBy("git_link"))).filter(F.col("n") <= 10 ** 9),
-        "asof_join (timestamp, hot user, buckets > 500 rows cut)": lambda: asof_join(
-            purchases, signups, ["user_id"], "ts", "sts", tie_break=["sid"], how="left", max_bucket_rows=500),
+        "asof_join (timestamp, hot user)": lambda: asof_join(
+            purchases, signups, ["user_id"], "ts", "sts", tie_break=["sid"], how="left"),
+        "asof_join (timestamp, a third of all rows on one time)": lambda: asof_join(
+            one_time, signups, ["user_id"], "ts", "sts", tie_break=["sid"], how="left"),
+        "semi": lambda: joins.semi(skewed, rel, ["git_link"]),
+        "anti (hot project survives)": lambda: joins.anti(skewed, rel.filter(~F.col("git_link").contains("/hot/")), on=["git_link"]),
+        "match_project": lambda: joins.match_project(skewed, rel),
+        "propagate": lambda: joins.propagate(skewed, rel.select("git_link", "rd"), ["git_link"], ["rd"], how="left"),
+        "fill_from": lambda: joins.fill_from(skewed.withColumn("rd", F.lit(None).cast("date")), rel, ["git_link"], "rd"),
     }
     walls = {}
     groups = {}
@@ -135,7 +145,7 @@ def main() -> None:
              f"`python skew_check.py {sf_dir}`: one project holds {share:.1%} of the commit rows "
              "(and a third of the releases); for the timestamp as-of, one user holds a third of the events.", "",
              "AQE thresholds are scaled down with the data (advisory partition 100 KiB, skew threshold 200 KiB, "
-             "broadcast off, hot-key threshold 20 000 rows, partition coalescing off so that each task's share "
+             "broadcast off, partition coalescing off so that each task's share "
              "reflects the partitioning), so partitions relate to the data as on a cluster.  Per case, the stage whose largest "
              "task reads the most shuffled records: its tasks, records, the largest task's records and share, and "
              "task run times.  A whole-key operator puts the hot key's rows into one task.", "",

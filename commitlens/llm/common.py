@@ -94,14 +94,23 @@ def with_columns_last(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.select(*rest, *[v.alias(n) for n, v in new.items()])
 
 
+def kept_lines(text: Column, gone: Column) -> Column:
+    """``text`` without the lines at the positions ``gone`` (from 0); unchanged if that is null.
+
+    Linear in the number of lines: kept positions come from ``array_except`` (a hash set), not from a search per line.
+    """
+    rest = let(lines(text_or_empty(text)), lambda ls: F.array_join(
+        F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.get(ls, i)), "\n"))
+    return F.when(gone.isNull(), text).otherwise(rest)
+
+
 def drop_lines(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str,
                n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
     """Remove the lines at given positions and put the rest together again by position.
 
     ``drops`` has ``_x_id``, ``_x_rk`` (``row_key`` of the text) and ``_x_pos``
     (from 0; repeats do no harm).  Only these numbers are grouped; each text moves
-    once, for the join.  Linear in the number of lines: kept positions come
-    from ``array_except`` (a hash set), not from a search per line.
+    once, for the join.
     A document that loses nothing keeps its text as it is (a null text stays null).
     """
     gone = drops.groupBy("_x_id", "_x_rk").agg(F.collect_set("_x_pos").alias("_x_gone"))
@@ -109,9 +118,7 @@ def drop_lines(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str,
     gone = gone.withColumnsRenamed({"_x_id": "_x_gid", "_x_rk": "_x_grk"})
     joined = base.join(gone, (F.col("_x_id") == F.col("_x_gid")) & (F.col("_x_rk") == F.col("_x_grk")), "left")
     text = F.col(f"`{text_col}`")
-    kept = let(lines(text_or_empty(text)), lambda ls: F.array_join(
-        F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_x_gone")), lambda i: F.get(ls, i)), "\n"))
-    new = {text_col: F.when(F.col("_x_gone").isNull(), text).otherwise(kept)}
+    new = {text_col: kept_lines(text, F.col("_x_gone"))}
     if n_lines:
         new[n_lines] = F.size(lines(text_or_empty(text))).cast("long")
     if n_dropped:

@@ -4,11 +4,11 @@ Each revisit is matched as of its time to the latest earlier full response with
 same canonical URL; the validators are checked, and the headers that a 304 may update are
 merged into those of the response.
 
-The as-of join has two levels, so no task holds all captures of a hot URL: the
+The as-of join has two levels over distinct times, so no task holds all captures of a hot URL: the
 last response of every (URL, time bucket) comes from an aggregate and is carried over
-buckets, and inside a bucket a window finds earlier responses.  Only keys, times and record ids
-take part; validators, headers and digests join by record id afterwards (hot
-responses are split by adaptive execution).
+buckets, and inside a bucket a window over its times finds earlier responses.  Only keys, times and
+record ids take part; validators, headers and digests join by record id afterwards, and
+the revisits by URL and time (hot ones are split by adaptive execution).
 """
 
 from __future__ import annotations
@@ -59,16 +59,16 @@ def opaque(etag: Column) -> Column:
 
 
 def latest_earlier(rows: DataFrame, bucket: int) -> DataFrame:
-    """Rows (_x_u, _x_ts, _x_id, _x_full) -> revisits (_x_u, _x_ts, _x_id, _x_ref): id of the last full record strictly before."""
-    rows = rows.withColumns({"_x_b": F.floor(F.col("_x_ts") / bucket),
-                             "_x_at": F.when(F.col("_x_full"), F.struct("_x_ts", "_x_id"))})
-    last = rows.groupBy("_x_u", "_x_b").agg(F.max("_x_at").alias("_x_last"))
-    before = Window.partitionBy("_x_u").orderBy("_x_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.withColumn("_x_prev", F.max("_x_last").over(before)).select("_x_u", "_x_b", "_x_prev")
-    inside = Window.partitionBy("_x_u", "_x_b").orderBy("_x_ts").rangeBetween(Window.unboundedPreceding, -1)
-    near = rows.withColumn("_x_in", F.max("_x_at").over(inside)).where(~F.col("_x_full"))
+    """Rows (_x_u, _x_ts, _x_id, _x_full) -> (_x_u, _x_ts, _x_ref) for the times of revisits: id of the last full record strictly before."""
+    times = (rows.withColumn("_x_b", F.floor(F.col("_x_ts") / bucket)).groupBy("_x_u", "_x_b", "_x_ts")
+             .agg(F.max(F.when(F.col("_x_full"), F.col("_x_id"))).alias("_x_id"), F.max(~F.col("_x_full")).alias("_x_asked")))
+    times = times.withColumn("_x_at", F.when(F.col("_x_id").isNotNull(), F.struct("_x_ts", "_x_id")))
+    last = times.groupBy("_x_u", "_x_b").agg(F.max("_x_at").alias("_x_last"))
+    upto = lambda *cols: Window.partitionBy("_x_u", *cols[:-1]).orderBy(cols[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.withColumn("_x_prev", F.max("_x_last").over(upto("_x_b"))).select("_x_u", "_x_b", "_x_prev")
+    near = times.withColumn("_x_in", F.max("_x_at").over(upto("_x_b", "_x_ts"))).where("_x_asked")
     far = skew_join(near, carried, ["_x_u", "_x_b"])
-    return far.select("_x_u", "_x_ts", "_x_id", F.coalesce("_x_in", "_x_prev")["_x_id"].alias("_x_ref"))
+    return far.select("_x_u", "_x_ts", F.coalesce("_x_in", "_x_prev")["_x_id"].alias("_x_ref")).where(F.col("_x_ref").isNotNull())
 
 
 def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -89,14 +89,12 @@ def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     timed = r.where(F.col("url_key").isNotNull() & F.col("ts").isNotNull() & F.col("status").isin(200, 304))
     found = latest_earlier(timed.select(F.col("url_key").alias("_x_u"), F.col("ts").cast("long").alias("_x_ts"), F.col("record_id").alias("_x_id"),
                                         (F.col("status") == 200).alias("_x_full")), bucket)
-    found = found.where(F.col("_x_ref").isNotNull()).groupBy("_x_id", "_x_u", "_x_ts").agg(F.max("_x_ref").alias("_x_ref"))
     stored = (timed.where(F.col("status") == 200).withColumn("_x_s", F.struct("etag", "last_modified", "headers", "digest"))
               .groupBy("record_id").agg(F.min_by("_x_s", F.to_json("_x_s")).alias("_x_s"))
               .withColumnRenamed("record_id", "_x_ref"))
     hit = skew_join(found, stored, ["_x_ref"])
-    hit = hit.withColumnRenamed("_x_id", "_x_rid")
-    rev = r.where(F.col("status") == 304)
-    both = rev.join(hit, (F.col("record_id") == F.col("_x_rid")) & (F.col("url_key") == F.col("_x_u")) & (F.col("ts") == F.col("_x_ts")), "left")
+    rev = r.where(F.col("status") == 304).withColumns({"_x_u": F.col("url_key"), "_x_ts": F.col("ts").cast("long")})
+    both = skew_join(rev, hit, ["_x_u", "_x_ts"], "left")
     tag, date = opaque(F.col("etag")), F.nullif(F.btrim("last_modified"), F.lit(""))
     reason = (F.when(F.col("_x_ref").isNull(), "no_response")
               .when(tag.isNotNull(), F.when(tag.eqNullSafe(opaque(F.col("_x_s.etag"))), "etag").otherwise("etag_differs"))

@@ -91,11 +91,6 @@ def label_counts(df: DataFrame, key: str, labels: str, skip: list[str] | None =
     return x.groupBy(label_name).agg(F.count(F.lit(1)).alias("n"))
 
 
-def min_per_group(df: DataFrame, keys: list[str], col: str, name: str) -> DataFrame:
-    """Minimum of ``col`` per group."""
-    return df.groupBy(*keys).agg(F.min(col).alias(name))
-
-
 def cohen_kappa(df: DataFrame, rater_a: str, rater_b: str) -> DataFrame:
     """Cohen's kappa of two label columns, over any number of classes.
 

@@ -98,20 +98,20 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = host_lines(docs, id_col, text_col, host_col)
     frequent = frequent_lines(found, docs, id_col, host_col, min_docs, host_share)
     over = skew_join(found, frequent, ["_x_host", "_x_h"]).where(F.col("_x_id") != F.col("_x_keep"))
-    # a set: repeated rows count once
-    removed = (over.groupBy("_x_id", "_x_rk").agg(F.collect_set(F.struct("_x_pos", "_x_chars")).alias("_x_gone"))
+    once = over.groupBy("_x_id", "_x_rk", "_x_pos").agg(F.max("_x_chars").alias("_x_c"))     # repeated rows count once
+    positions = [F.collect_list("_x_pos").alias("_x_gone")] if clean_texts else []
+    removed = (once.groupBy("_x_id", "_x_rk").agg(F.sum("_x_c").alias("_x_removed"), *positions)
                .withColumnsRenamed({"_x_id": "_x_gid", "_x_rk": "_x_grk"}))
-    removed_chars = F.aggregate("_x_gone", F.lit(0).cast("long"), lambda a, x: a + x["_x_chars"])
     text = F.col(f"`{text_col}`")
     stats = docs.select(F.col(f"`{id_col}`").alias("_x_id"), row_key(text).alias("_x_rk"), base_rules(text).alias("_x_b"))
     judged = (stats.join(removed, (F.col("_x_id") == F.col("_x_gid")) & (F.col("_x_rk") == F.col("_x_grk")), "left")
-              .select("_x_id", "_x_rk", "_x_b.*", "_x_gone", F.coalesce(removed_chars, F.lit(0)).cast("long").alias("removed_chars"))
+              .select("_x_id", "_x_rk", "_x_b.*", F.coalesce("_x_removed", F.lit(0)).cast("long").alias("removed_chars"), *(["_x_gone"] if clean_texts else []))
               .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")))
               # one expression over both sides of the join: a part of it must not be pushed down and repeat the base rules
               .withColumn("kept", F.when(F.col("removed_chars") > (1 - min_left) * F.col("word_chars"), False).otherwise(~F.col("base_failed"))))
     if not clean_texts:
-        return judged.drop("_x_rk", "_x_gone").withColumnRenamed("_x_id", id_col)
-    good = judged.where("kept").select(F.col("_x_id").alias("_x_gid"), F.col("_x_rk").alias("_x_grk"), F.transform("_x_gone", lambda x: x["_x_pos"]).alias("_x_gone"))
+        return judged.drop("_x_rk").withColumnRenamed("_x_id", id_col)
+    good = judged.where("kept").select(F.col("_x_id").alias("_x_gid"), F.col("_x_rk").alias("_x_grk"), "_x_gone")
     good = good.dropDuplicates(["_x_gid", "_x_grk"])
     keyed = docs.withColumns({"_x_id": F.col(f"`{id_col}`"), "_x_rk": row_key(text)})
     kept = keyed.join(good, F.col("_x_id").eqNullSafe(F.col("_x_gid")) & (F.col("_x_rk") == F.col("_x_grk")))

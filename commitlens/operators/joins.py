@@ -10,7 +10,7 @@ task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commitlens.functions.text import project_link, short_commit_key
@@ -59,18 +59,19 @@ def flag_member(df: DataFrame, keys_df: DataFrame, on: list[str], name: str) ->
 def propagate(df: DataFrame, verdicts: DataFrame, keys: list[str], cols: list[str], how: str = "inner") -> DataFrame:
     """Copy verdict columns from unique keys to every row with that key.
 
-    Keys compare null-safe: each becomes the pair (is NULL, value or a typed
-    placeholder), and the pairs are joined as one struct, so AQE splits a hot
-    key.  Of several verdict rows with one key the smallest is used, so a
+    Keys compare null-safe: each becomes the pair (is NULL, value or an empty
+    text), and the pairs are joined through ``skew_safe_join``, so AQE splits a
+    hot key.  Of several verdict rows with one key the smallest is used, so a
     commit row is never multiplied.
     """
-    def jk(c: DataFrame) -> Column:
-        return F.struct(*[F.struct(F.col(k).isNull().alias("n"), F.coalesce(F.col(k).cast("string"), F.lit("")).alias("v")).alias(k)
-                          for k in keys])
+    on = [f"_{p}_{k}" for k in keys for p in ("n", "v")]
 
-    v = (verdicts.withColumn("_jk", jk(verdicts)).groupBy("_jk").agg(F.min(F.struct(*cols)).alias("_v")))
-    return (df.withColumn("_jk", jk(df)).join(v, on="_jk", how=how)
-            .select(*df.columns, *[F.col(f"_v.{c}").alias(c) for c in cols]))
+    def paired(c: DataFrame) -> DataFrame:
+        return c.withColumns({x: v for k in keys for x, v in (
+            (f"_n_{k}", F.col(k).isNull()), (f"_v_{k}", F.coalesce(F.col(k).cast("string"), F.lit(""))))})
+
+    v = paired(verdicts).groupBy(*on).agg(F.min(F.struct(*cols)).alias("_verdict"))
+    return skew_safe_join(paired(df), v, on, how).select(*df.columns, *[F.col(f"_verdict.{c}").alias(c) for c in cols])
 
 
 def match_project(commits: DataFrame, projects: DataFrame, link: str = "commit_link",

@@ -500,7 +500,7 @@ SQL.update({
  cast(ln * 10 + 1 as varchar) as added_lines, cast(ln * 10 as varchar) as deleted_lines
  from (select {_LINK} as commit_link, o_orderkey, o_orderpriority, cast(l_linenumber as integer) as ln, cast(l_quantity as bigint) as qty
  from orders join lineitem on l_orderkey = o_orderkey)""",
-    "commit_time": f"select distinct {_LINK} as commit_link, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as commit_time from orders join lineitem on l_orderkey = o_orderkey",
+    "commit_time": f"select distinct {_LINK} as commit_link, cast(epoch(o_orderdate) as bigint) as commit_time from orders join lineitem on l_orderkey = o_orderkey",
     "store_page": with_ctes(A("store_releases"), body="select git_link, apk_version as version, release_date as added_on, apk_download_link, source_code_download_link from store_releases"),
     "release_page": with_ctes(A("release_assets"), body="""select distinct git_link, apk_version, download_link || '/' || download_file_name as download_link, download_file_name,
  strftime(release_date, '%Y-%m-%d') as apk_release_time from release_assets where not (apk_version like 'v%' and git_link like '%0')"""),

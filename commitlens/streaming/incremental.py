@@ -63,8 +63,10 @@ def ingest_dedup(spark: SparkSession, source: str, schema: T.StructType, key: li
     s = file_stream(spark, source, schema, max_files_per_trigger=max_files_per_trigger,
                     max_bytes_per_trigger=max_bytes_per_trigger)
     if event_time:
-        s = s.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, delay)
-        s = s.dropDuplicatesWithinWatermark(key)
+        # the watermark needs TIMESTAMP; an NTZ wall clock is read as UTC (zone-free), and the column itself stays as it is
+        ntz = isinstance(schema[event_time].dataType, T.TimestampNTZType)
+        s = s.withColumn("_event", ntz_as_utc(event_time) if ntz else F.col(event_time).cast("timestamp")).withWatermark("_event", delay)
+        s = s.dropDuplicatesWithinWatermark(key).drop("_event")
     else:
         s = s.dropDuplicates(key)
     _run(s.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)

@@ -96,9 +96,9 @@ def main() -> None:
         "asof_join (date)": lambda: asof_join(skewed.select("git_link", "commit_link", "commit_date"), rel,
                                               ["git_link"], "commit_date", "rd", tie_break=["rk"], how="left"),
         "first_per_key by project": lambda: first_per_key(skewed, ["git_link"], ["commit_link", "commit_diff_file"]),
-        "fanout_cap by project": lambda: filters.fanout_cap(skewed, "git_link", 10 ** 9,
+        "fanout_cap by project": lambda: filters.fanout_cap(skewed, "git_link", 10 ** 9),
         "stratified_sample, stratum = project": lambda: stratified_sample(
-            skewed.select("commit_link", "git_link"), "commit_link", "git_link",
+            skewed.select("commit_link", "git_link"), "commit_link", "git_link"),
         "NAIVE fan-out cap as a window count over project": lambda: skewed.withColumn(
             "n", F.count(F.lit(1)).over(Window.partitionBy("git_link"))).filter(F.col("n") <= 10 ** 9),
         "asof_join (timestamp, hot user)": lambda: asof_join(
@@ -107,7 +107,8 @@ def main() -> None:
             one_time, signups, ["user_id"], "ts", "sts", tie_break=["sid"], how="left"),
         "semi": lambda: joins.semi(skewed, rel, ["git_link"]),
         "anti (hot project survives)": lambda: joins.anti(skewed, rel.filter(~F.col("git_link").contains("/hot/")), on=["git_link"]),
-        "match_project": lambda: joins.match_project(skewed, rel),
+        "match_project": lambda: joins.match_project(
+            skewed.withColumn("commit_link", F.concat("git_link", F.lit("/commit/"), F.element_at(F.split("commit_link", "/"), -1))), rel),
         "propagate": lambda: joins.propagate(skewed, rel.select("git_link", "rd"), ["git_link"], ["rd"], how="left"),
         "fill_from": lambda: joins.fill_from(skewed.withColumn("rd", F.lit(None).cast("date")), rel, ["git_link"], "rd"),
     }

@@ -46,11 +46,12 @@ def block_bits(text_bytes: int) -> int:
     return max(6, int(np.ceil(np.log2(max(1, text_bytes / BLOCK_BYTES)))))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of the batches with about CHUNK_BYTES of text."""
+def chunks(batches: Iterator[pa.RecordBatch], text: int, size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of the batches with about ``size`` bytes of text; only one slice at a time becomes Python strings."""
+    import pyarrow.compute as pc
+
     for b in batches:
-        sizes = np.fromiter((len(x) if x else 0 for x in b.column(text).to_pylist()), np.int64, b.num_rows)
-        group = np.cumsum(sizes) // CHUNK_BYTES
+        group = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), b.num_rows]
         for s, e in zip(cuts, cuts[1:]):
             if e > s:

@@ -28,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commitlens.llm.common import materialise
-from commitlens.llm.ngram_join import by_block, u64
+from commitlens.llm.ngram_join import by_block, chunks, u64
 from commitlens.llm.shingles import mix
 
 SIZE = 400
 GRAM = 32
 CLASS = 100
-PIECE = 1 << 20              # window starts handled at once
+PIECE = 1 << 18              # window starts handled at once
+RUN_BYTES = 8 << 20          # text bytes whose suffixes form one run
 BLOCK_BYTES = 8 << 20        # text bytes per hash block
 RANGE_BYTES = 16 << 20       # text bytes per range of the merge
 PER_RANGE = 16               # sampled suffixes per range, for the splitters only
@@ -116,10 +117,10 @@ def pieces(texts: list[str | None], size: int) -> Iterator[Piece]:
 def repeated_contexts(rows: DataFrame, size: int, bits: int) -> DataFrame:
     """(_x_key, _x_pos): anchors with a context that occurs twice or more (step 1)."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b, texts in chunks(batches, 1):
             keys = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             out: dict[str, list] = {x: [] for x in ("block", "h", "key", "pos", "c_key", "c_pos")}
-            for p in pieces(b.column(1).to_pylist(), size):
+            for p in pieces(texts, size):
                 hs, who = [], []
                 for j in range(0, size, CLASS):
                     at = np.flatnonzero((p.low < j + CLASS) & (p.high >= j))
@@ -260,8 +261,8 @@ def sorted_runs(rows: DataFrame, splitters: list[bytes], size: int) -> DataFrame
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["range", "lcp", "tails", "length", *FIELDS, "left", "spans"]
-        for b in batches:
-            keys, texts, wanted = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
+        for b, texts in chunks(batches, 1, RUN_BYTES):
+            keys, wanted = b.column(0).to_pylist(), b.column(2)
             records: dict[tuple[bytes, bytes, int, int], list[tuple[int, int]]] = {}
             for p in pieces(texts, size):
                 for d in np.unique(p.doc).tolist():
@@ -349,8 +350,8 @@ def splitters(rows: DataFrame, size: int, ranges: int, n_rows: int) -> list[byte
     part = max(1, min(1 << 30, int((1 << 30) * ranges * PER_RANGE / max(1, 4 * n_rows))))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for p in pieces(b.column(1).to_pylist(), size):
+        for _, texts in chunks(batches, 1):
+            for p in pieces(texts, size):
                 pick = p.anchor[:: max(1, len(p.anchor) // 256)]
                 yield pa.RecordBatch.from_arrays([pa.array([p.data[a:a + GRAM].tobytes() for a in pick.tolist()], pa.binary())], ["g"])
 
@@ -380,10 +381,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id_type = base.schema["_x_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b, texts in chunks(batches, 1):
             n, spans_out, kept = [], [], []
-            for t, s in zip(b.column(1), b.column(2)):
-                data = t.as_py().encode("utf-8", "surrogatepass")
+            for t, s in zip(texts, b.column(2)):
+                data = t.encode("utf-8", "surrogatepass")
                 whole: list[dict[str, int]] = []
                 for x in sorted(s.as_py() or [], key=lambda x: x["start"]):
                     if whole and x["start"] <= whole[-1]["end"]:

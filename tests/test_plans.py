@@ -44,8 +44,11 @@ def test_asof_is_equi_join_plus_window(spark):
 def test_scoring_stays_above_the_dedup(spark):
     """The lexicon regex must run on unique messages, not inside the scans."""
     p = plan_text(entry.queries()["propagate_message"](spark, SF))
-    hits = [line for line in p.split("\n") if "application not responding" in line]
-    assert hits and all("_first" in line for line in hits)  # evaluated on the aggregate's output
+    lines = p.split("\n")
+    hits = [i for i, line in enumerate(lines) if "application not responding" in line]
+    dedup = [i for i, line in enumerate(lines) if "partial_min_by" in line]
+    assert hits and dedup and max(hits) < min(dedup)  # above the aggregate that makes the messages unique
+    hits = [lines[i] for i in hits]
     assert not any("o_orderkey" in line or "FileScan" in line for line in hits)
 
 

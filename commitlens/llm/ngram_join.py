@@ -20,6 +20,7 @@ Row and column ids are 64-bit hashes; at 3e10 documents some tens of set ids are
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,12 +138,12 @@ ROW_CHUNK = "chunk bigint, sid array<bigint>, n array<bigint>, h binary"
 
 
 def row_chunks(texts: DataFrame, k: int) -> DataFrame:
-    """(sid, text) -> blocks of rows with their sets."""
+    """(sid, text), one row per sid -> blocks of rows with their sets; a block's key is a hash of its sids in order, so no two share one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, values in chunks(batches, 1):
             h, n = shingle_sets(values, k)
             sid = part.column(0).to_numpy(zero_copy_only=False)
-            chunk = int(np.bitwise_xor.reduce(sid * np.int64(2) + np.int64(1)))
+            chunk = int.from_bytes(hashlib.blake2b(sid.tobytes(), digest_size=8).digest(), "big", signed=True)
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([sid.tolist()], pa.list_(pa.int64())), pa.array([n.tolist()], pa.list_(pa.int64())),
                                               pa.array([h.tobytes()], pa.binary())], ["chunk", "sid", "n", "h"])
 
@@ -278,7 +279,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     passed = (firsts.join(shared.withColumnRenamed("sid", "_x_s"), F.col("sid") == F.col("_x_s"))
               .where(F.col("shared") >= share(share(F.col("n"), pct), EXTRA_PCT))
               .select("sid", F.col("_x_f._x_id").alias("_x_fid"), F.col("_x_f._x_rk").alias("_x_frk")))
-    texts = docs.select(F.col(f"`{id_col}`").alias("_x_id"), row_key(text).alias("_x_rk"), text.alias("text"))
+    # repeated rows become one here, before the exchange that the join needs anyway
+    texts = docs.select(F.col(f"`{id_col}`").alias("_x_id"), row_key(text).alias("_x_rk"), text.alias("text")).where("_x_id is not null and text is not null")
+    texts = texts.dropDuplicates(["_x_id", "_x_rk"])
     texts = texts.join(passed, (F.col("_x_id") == F.col("_x_fid")) & (F.col("_x_rk") == F.col("_x_frk"))).select("sid", "text")
     rows = materialise(row_chunks(texts, k), "rows")
     sets = materialise(prefix_rows(rows, frequencies(rows, bits), pct).dropDuplicates(["sid"]), "prefixes")

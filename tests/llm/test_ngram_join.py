@@ -43,6 +43,38 @@ def test_odd_tables(odd):
     assert ngram_join.link_documents(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 2000, 20_000])
+def test_repeated_rows_in_several_chunks(spark, monkeypatch, size):
+    """Rows that all stand twice, in the same and in other chunks, link as they do when they stand once."""
+    small = ngram_join.chunks
+    monkeypatch.setattr(ngram_join, "chunks", lambda batches, text: small(batches, text, size))
+    rnd = random.Random(7)
+    rows = []
+    for _ in range(60):
+        base = [f"w{rnd.randrange(300)}" for _ in range(60)]
+        for _ in range(rnd.choice([1, 2, 5])):
+            w = list(base)
+            for _ in range(rnd.randint(0, 2)):
+                w[rnd.randrange(len(w))] = f"w{rnd.randrange(300)}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    twice = df.union(df)
+    assert ngram_join.link_documents(twice).count() == 2 * len(rows)
+    assert run(twice) == brute.jaccard(rows)
+
+
+def test_blocks_hold_each_set_once_under_keys_of_their_own(spark, monkeypatch):
+    small, seen, inner = ngram_join.chunks, [], ngram_join.row_chunks
+    monkeypatch.setattr(ngram_join, "chunks", lambda batches, text: small(batches, text, 1000))
+    monkeypatch.setattr(ngram_join, "row_chunks", lambda texts, k: seen.append(inner(texts, k)) or seen[-1])
+    rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(40)) + f" end{i}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert run(df.union(df).union(df)) == brute.jaccard(rows)
+    got = seen[0].collect()
+    sids = [x for r in got for x in r.sid]
+    assert len(sids) == len(set(sids)) == len(rows) and len({r.chunk for r in got}) == len(got) > 1
+
+
 def test_long_words_and_blocks(monkeypatch):
     texts = ["a bb " * 50 + "x" * 5000 + " cc", None, "", "x" * 5000, "a b c d e"]
     want, n = shingles.word_hashes(texts)

@@ -4,7 +4,7 @@ Base rules look at one text.  The method then hashes normalised lines, counts
 distinct documents per host and line, removes lines above the host's limit (the first
 document with the line keeps it), and rejects documents that this depletes.
 
-Shuffles: distinct (host, line, id) keys, their join with the frequent lines,
+Shuffles: distinct (host, line, id) and (host, id) keys, their join with the frequent lines,
 removed characters by document.  No text moves unless ``clean_texts`` is asked for.
 """
 
@@ -78,7 +78,7 @@ def frequent_lines(found: DataFrame, docs: DataFrame, id_col: str, host_col: str
     hosts = (docs.where(F.col(f"`{id_col}`").isNotNull())
              .select(F.xxhash64(F.col(f"`{host_col}`").isNull(), F.col(f"`{host_col}`")).alias("_x_host"),
                      F.col(f"`{id_col}`").alias("_x_id"))
-             .groupBy("_x_host").agg(F.approx_count_distinct("_x_id", 0.01).alias("_x_all")))
+             .distinct().groupBy("_x_host").agg(F.count(F.lit(1)).alias("_x_all")))
     return (skew_join(counts, hosts, ["_x_host"])
             .where(F.col("_x_docs") > share * F.col("_x_all")).select("_x_host", "_x_h", "_x_keep"))
 

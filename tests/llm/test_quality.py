@@ -58,6 +58,24 @@ def test_odd_tables(odd):
     assert quality_rules(odd.limit(0)).count() == 0
 
 
+def test_limit_counts_documents_exactly(spark):
+    """On hosts of over 1,000 documents a line in exactly 2 % of them stays, one in a document more goes."""
+    sizes = {f"host{k}": 1000 + 650 * k for k in range(12)}
+    rows, at, over = [], 0, {}
+    for host, n in sizes.items():
+        limit = n // 50
+        for i in range(n):
+            lines = [f"own{at} " + "text " * 3]
+            lines += ["line at the limit"] if i < limit else []
+            lines += ["line above the limit"] if i <= limit else []
+            over[at] = 0 < i <= limit
+            rows.append((at, "\n".join(lines), host))
+            at += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = {r.doc_id: r.removed_chars for r in quality_rules(df).collect()}
+    assert got == {d: len("lineabovethelimit") if gone else 0 for d, gone in over.items()}
+
+
 def test_native_plan(documents):
     plan = quality_rules(documents)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from commitlens.llm import line_dedup, quality, revisits, secrets
+from commitlens.llm import importance, line_dedup, projection_passes, quality, revisits, secrets
 
 UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -103,4 +103,52 @@ SELECT record_id, page_id, url_key, ref AS refers_to, resolved, reason, CASE WHE
   CASE WHEN resolved THEN 'content-length=' || f_size || ';content-type=text/html;date=r' || page_id || ';etag=' || tag END AS headers
 FROM y"""
 
-SQL: dict[str, str] = {"op2_warc_revisits": OP2, "op1_line_dedup": OP1, "op7_quality_rules": OP7, "op10_secret_ledger": OP10}
+_TERM = "'[0-9a-z\\x{80}-\\x{10FFFF}]+'"
+OP12 = f"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, {UPPER}, lower({UPPER})), {_TERM})) AS t FROM documents),
+d AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY doc_id, t),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, {UPPER}, lower({UPPER})), {_TERM})) AS t FROM benchmark),
+g AS (SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, s GROUP BY t, docs),
+c AS (SELECT doc_id, t, weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms)))) AS c
+      FROM tf JOIN d USING (doc_id) JOIN g USING (t), s),
+r AS (SELECT item_id, doc_id, sum(c)::BIGINT AS score FROM q JOIN c USING (t) GROUP BY item_id, doc_id),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT * FROM o WHERE rank <= 50"""
+
+OP11 = f"""
+WITH RECURSIVE v AS (  -- every pair of a label, compared in full
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= {projection_passes.LIMIT}),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS least FROM r GROUP BY a),
+n AS (SELECT a, count(DISTINCT b) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, least(vec_id, coalesce(least, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a"""
+
+_RUNS = f"regexp_extract_all(translate(text, {UPPER}, lower({UPPER})), {_TERM})"
+OP13 = f"""
+WITH k AS (  -- the CRC-32 table from its polynomial
+  SELECT [list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, {importance.POLYNOMIAL}) ELSE a // 2 END)
+          FOR b IN range(256)] AS tab),
+d AS (SELECT doc_id, unnest({_RUNS}) AS w FROM documents),
+q AS (SELECT unnest({_RUNS}) AS w FROM benchmark),
+v AS (SELECT w, [('0x' || substr(hex(w), 2 * i + 1, 2))::BIGINT FOR i IN range(strlen(w))] AS bytes FROM (SELECT w FROM d UNION SELECT w FROM q)),
+h AS (SELECT w, xor(list_reduce([4294967295] || bytes, lambda r, x: xor(r >> 8, tab[(xor(r, x) & 255) + 1])), 4294967295) % {importance.BUCKETS} AS b FROM v, k),
+s AS (SELECT b, count(*) AS n FROM d JOIN h USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM q JOIN h USING (w) GROUP BY b),
+a AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::BIGINT AS s_all, (SELECT coalesce(sum(n), 0) FROM t)::BIGINT AS t_all),
+g AS (SELECT i AS b, floor(1000 * ln(((coalesce(t.n, 0) + 1) * (s_all + {importance.BUCKETS}))::DOUBLE / ((coalesce(s.n, 0) + 1) * (t_all + {importance.BUCKETS}))::DOUBLE))::BIGINT AS gain
+      FROM range({importance.BUCKETS}) r(i) LEFT JOIN s ON s.b = i LEFT JOIN t ON t.b = i, a),
+f AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM d JOIN h USING (w) JOIN g USING (b) GROUP BY doc_id),
+x AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        ('0x' || left(sha256('{importance.SEED}:' || doc_id), 8))::BIGINT AS u FROM documents LEFT JOIN f USING (doc_id)),
+z AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((u + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS open FROM z WHERE n_features >= {importance.MIN_WORDS})
+SELECT z.*, CASE WHEN rank <= {importance.SHARE_PCT} * open // 100 THEN rank END AS rank FROM z LEFT JOIN o USING (doc_id)"""
+
+SQL: dict[str, str] = {"op12_ranked_search": OP12, "op13_importance_resampling": OP13, "op11_embedding_dedup": OP11, "op2_warc_revisits": OP2, "op1_line_dedup": OP1, "op7_quality_rules": OP7, "op10_secret_ledger": OP10}

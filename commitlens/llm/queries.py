@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitlens.llm import decontam, language, line_dedup, ngram_join, packing, quality, revisits, secrets, suffix_dedup, surrogates
+from commitlens.llm import decontam, importance, language, line_dedup, ngram_join, packing, projection_passes, quality, ranked_search, revisits, secrets, suffix_dedup, surrogates
 from commitlens.llm.common import row_key, table, text_or_empty  # noqa: F401
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,22 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(n) for n in names],
                         F.sha2(secrets.span_list(F.col("found"), names), 256).alias("base_sha256"),
                         secrets.span_list(F.col("found")).alias("spans"))
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search.rank_documents(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = importance.resample(docs, table(spark, sf_dir, "benchmark").select("text"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return projection_passes.link_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")

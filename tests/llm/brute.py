@@ -112,3 +112,78 @@ def repeats(docs, size=400):
         kept = bytes(x for x, g in zip(b, gone) if not g)
         out[d] = (len(b), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), sha(kept))
     return out
+
+
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def alnum(t):
+    return ALNUM.findall((t or "").translate(LOWER))
+
+
+def ranked(docs, items, top=50):
+    """(item, rank, doc, score) rows; docs and items are lists of (id, text)."""
+    import math
+
+    each = [(d, collections.Counter(alnum(t))) for d, t in docs]
+    each = [(d, c) for d, c in each if c]
+    n_docs, n_terms = len(each), sum(sum(c.values()) for _, c in each)
+    df = collections.Counter(t for _, c in each for t in c)
+    weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * n + 1))) for t, n in df.items()}
+    out = []
+    for item, text in dict.fromkeys(items):
+        found = []
+        for d, c in each:
+            m = 50 + 50 * sum(c.values()) * n_docs // n_terms
+            score = sum(weight[t] * (1_000_000_000 * c[t] // (1000 * c[t] + 20 * m)) for t in set(alnum(text)) if t in c)
+            if score > 0 and d is not None:
+                found.append((-score, d))
+        out += [(item, i + 1, d, -s) for i, (s, d) in enumerate(sorted(found)[:top])]
+    return out
+
+
+def importance(docs, target, orders=1, buckets=10_000, share=10, least=20, seed=2024):
+    """doc -> (features, weight, score, rank)."""
+    import math
+    import zlib
+
+    def features(t):
+        w = alnum(t)
+        return [zlib.crc32(" ".join(w[i:i + n]).encode()) % buckets for n in range(1, orders + 1) for i in range(len(w) - n + 1)]
+
+    own = [(d, t, features(t)) for d, t in docs]
+    s, t = collections.Counter(b for *_, f in own for b in f), collections.Counter(b for x in target for b in features(x))
+    s_all, t_all = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log(((t[b] + 1) * (s_all + buckets)) / ((s[b] + 1) * (t_all + buckets)))) for b in range(buckets)]
+    rows = []
+    for d, text, f in own:
+        h = int(sha(f"{seed}:{d}")[:8], 16)
+        rows.append((d, len(f), sum(gain[b] for b in f), len(alnum(text))))
+        rows[-1] += (rows[-1][2] + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))),)
+    drawn = sorted((r for r in rows if r[3] >= least), key=lambda r: (-r[4], r[0]))
+    rank = {r[0]: i + 1 for i, r in enumerate(drawn[:share * len(drawn) // 100])}
+    return {r[0]: (r[1], r[2], r[4], rank.get(r[0])) for r in rows}
+
+
+def linked_vectors(rows, limit=0.93):
+    """id -> (links, component); rows are (id, list, label)."""
+    import numpy as np
+
+    out, groups = {}, collections.defaultdict(list)
+    for i, v, label in rows:
+        out[i] = (0, i)
+        if label is not None and v and not any(x is None or not np.isfinite(x) for x in v) and any(v):
+            groups[label, len(v)].append((i, v))
+    for g in groups.values():
+        x = np.array([v for _, v in g], float)
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        near = x @ x.T >= limit
+        np.fill_diagonal(near, False)
+        root = components(len(g), np.argwhere(near).tolist())
+        least = {}
+        for k, r in enumerate(root):
+            least[r] = min(least.get(r, g[k][0]), g[k][0])
+        for k, (i, _) in enumerate(g):
+            out[i] = (int(near[k].sum()), least[root[k]])
+    return out

@@ -24,7 +24,7 @@ def test_query_matches_oracle(spark, con, name):
 
 def test_one_query_per_operator():
     numbers = [int(m[1]) for n in entry.queries() if (m := re.match(r"op(\d+)_", n))]
-    assert sorted(numbers) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(numbers) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_workers_need_no_installed_package(tmp_path):
@@ -38,7 +38,7 @@ def test_workers_need_no_installed_package(tmp_path):
             "from pyspark.sql import SparkSession\n"
             "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '4').getOrCreate()\n"
             "import __spark_entry__ as e\n"
-            "print('ROWS', *[e.queries()[n](s, '/root/testdata/sf0.001').count() for n in ('op4_ngram_jaccard', 'op5_suffix_dedup', 'op8_language_id', 'op9_packing')])\n") % root
+            "print('ROWS', *[e.queries()[n](s, '/root/testdata/sf0.001').count() for n in ('op4_ngram_jaccard', 'op5_suffix_dedup', 'op8_language_id', 'op11_embedding_dedup', 'op13_importance_resampling', 'op12_ranked_search')])\n") % root
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
-    assert "ROWS 200 200 200" in out.stdout, out.stderr[-2000:]
+    assert "ROWS 200 200 200 500 200" in out.stdout, out.stderr[-2000:]

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from commitlens.llm.common import materialise
 from commitlens.llm.tokens import slices, words
 from commitlens.operators.numbering import row_numbers
 
@@ -203,8 +204,9 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     """
     gain = gains(bucket_counts(docs, text_col, buckets, orders), bucket_counts(target, target_text, buckets, orders), buckets)
     rows = weigh(docs.select(F.col(f"`{id_col}`").alias("_x_id"), F.col(f"`{text_col}`").alias("_x_t")), "_x_t", gain, orders)
-    scored = rows.select("_x_id", "_x_words", "_x_n", "_x_w", (F.col("_x_w") + gumbel(F.col("_x_id"), seed)).alias("_x_score"),
-                         (F.col("_x_id").isNotNull() & (F.col("_x_words") >= min_words)).alias("_x_open"))
+    # written: the range sort reads its input twice, and the texts should not be
+    scored = materialise(rows.select("_x_id", "_x_words", "_x_n", "_x_w", (F.col("_x_w") + gumbel(F.col("_x_id"), seed)).alias("_x_score"),
+                                     (F.col("_x_id").isNotNull() & (F.col("_x_words") >= min_words)).alias("_x_open")), "scored")
     ranked, n_open = row_numbers(scored, [F.col("_x_open").desc(), F.col("_x_score").desc(), F.col("_x_id").asc()], "_x_rank", "_x_open")
     drawn = F.col("_x_open") & (F.col("_x_rank") <= share_pct * n_open // 100)
     return ranked.select(F.col("_x_id").alias(id_col), F.col("_x_words").alias("n_words"), F.col("_x_n").alias("n_features"),

@@ -38,7 +38,7 @@ BITS = 64           # signs in a code
 WINDOW = 64         # next neighbours that a class is compared with
 MEET = 0.95         # probability that two vectors at the limit meet in some pass
 MIN_PASSES = 4
-CENTRE_OF = 32      # members whose mean is a component's centre
+CENTRE_OF = 32      # members, one per hash value, whose mean is a component's centre
 BLOCK = 1024
 STRIP = 256         # rows of a window comparison done by one matrix product
 
@@ -191,8 +191,9 @@ def sorted_pass(classes: DataFrame, number: int, limit: float, window: int) -> D
 
 def covered(members: DataFrame, limit: float) -> DataFrame:
     """``_x_in``: is the class within half the limit's angle of its component's centre."""
-    few = members.withColumn("_x_i", F.row_number().over(Window.partitionBy("_x_root").orderBy("_x_node"))).where(F.col("_x_i") <= CENTRE_OF)
-    centres = few.groupBy("_x_root").agg(F.collect_list("_x_vec").alias("_x_few"))
+    spot = F.pmod(F.xxhash64("_x_node"), F.lit(CENTRE_OF)).alias("_x_i")
+    few = members.groupBy("_x_root", spot).agg(F.min(F.struct("_x_node", "_x_vec")).alias("_x_one"))    # combined in the map tasks
+    centres = few.groupBy("_x_root").agg(F.collect_list("_x_one._x_vec").alias("_x_few"))
     half = math.cos(math.acos(limit) / 2) + 1e-9
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

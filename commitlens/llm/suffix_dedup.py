@@ -9,7 +9,8 @@ before and the same size - o bytes from it on.  About 1 in 185 suffixes is an an
 1. An anchor can have a repeated window only if one of its contexts (the bytes that all its windows with offsets in
    one class of ``CLASS`` have in common) occurs twice.  Hashes of contexts meet in hash blocks; most anchors end here.
 2. Suffixes of the other anchors, cut after the last byte their windows need, are sorted into runs, front-coded, and exchanged by range.
-   Splitters have ``GRAM`` bytes, which all members of a group share, so no group is cut.
+   Splitters have ``GRAM`` bytes, which all members of a group share, so no group is cut; their number is bounded, and ranges are
+   divided further by a hash of those bytes.
 3. Each range merges its runs with a loser tree that knows how many leading bytes each
    contender shares with the last output and only compares beyond them.  The merged order comes with its LCP array, which gives
    the classes of equal right sides for every offset; left sides are told apart by a 64-bit hash that grows by one byte per offset.
@@ -20,6 +21,7 @@ Copies of one context within a map task send one record; their windows are known
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +34,14 @@ from commitlens.llm.ngram_join import by_block, chunks, u64
 from commitlens.llm.shingles import mix
 
 SIZE = 400
+SHARED = 300                 # bytes of a shared passage of about 50 words, which are counted and stay
 GRAM = 32
 CLASS = 100
 PIECE = 1 << 18              # window starts handled at once
 RUN_BYTES = 8 << 20          # text bytes whose suffixes form one run
 BLOCK_BYTES = 8 << 20        # text bytes per hash block
 RANGE_BYTES = 16 << 20       # text bytes per range of the merge
+MAX_RANGES = 4096            # ranges told apart by splitters; beyond, a hash of the splitting prefix divides each range
 PER_RANGE = 16               # sampled suffixes per range, for the splitters only
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -254,10 +258,13 @@ def spans_of(key: int, pos: int, low: int, good: np.ndarray, size: int) -> list[
 FIELDS = {"key": np.int64, "pos": np.int64, "low": np.uint16, "high": np.uint16}
 
 
-def sorted_runs(rows: DataFrame, splitters: list[bytes], size: int) -> DataFrame:
-    """(_x_key, text, _x_at) -> front-coded sorted runs by range (range >= 0), and spans already known (range -1)."""
+def sorted_runs(rows: DataFrame, splitters: list[bytes], size: int, divide: int = 1) -> DataFrame:
+    """(_x_key, text, _x_at) -> front-coded sorted runs by range (range >= 0), and spans already known (range -1).
+
+    Each range between splitters is divided into ``divide`` runs by a hash of the first GRAM bytes, which equal windows share.
+    """
     cut = np.array(splitters, dtype=object)
-    shared = rows.sparkSession.sparkContext.broadcast(cut)   # GRAM bytes per range
+    shared = rows.sparkSession.sparkContext.broadcast(cut)   # GRAM bytes per range, MAX_RANGES at most
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["range", "lcp", "tails", "length", *FIELDS, "left", "spans"]
@@ -273,10 +280,12 @@ def sorted_runs(rows: DataFrame, splitters: list[bytes], size: int) -> DataFrame
                         left, right = p.data[a - hi:a].tobytes(), p.data[a:a + size - lo].tobytes()
                         records.setdefault((right, left, lo, hi), []).append((keys[d], int(p.pos[i])))
             order = sorted(records)
-            ranges = np.searchsorted(shared.value, np.array([r[0][:GRAM] for r in order] + [b""], dtype=object)[:-1], side="right") if order else np.zeros(0, np.int64)
+            prefix = np.array([r[0][:GRAM] for r in order] + [b""], dtype=object)[:-1]
+            ranges = np.searchsorted(shared.value, prefix, side="right").astype(np.int64) if order else np.zeros(0, np.int64)
+            ranges = ranges * divide + np.array([zlib.crc32(x) % divide for x in prefix], np.int64)
             out: dict[str, list] = {x: [] for x in names}
             for g in np.unique(ranges).tolist():
-                part = order[int(np.searchsorted(ranges, g)):int(np.searchsorted(ranges, g, side="right"))]
+                part = [order[i] for i in np.flatnonzero(ranges == g).tolist()]
                 lcp, tails, length = front_code([r[0] for r in part])
                 own = [records[r][0] for r in part]
                 cols = {"key": [k for k, _ in own], "pos": [x for _, x in own], "low": [r[2] for r in part], "high": [r[3] for r in part]}
@@ -360,44 +369,69 @@ def splitters(rows: DataFrame, size: int, ranges: int, n_rows: int) -> list[byte
     return [got[len(got) * i // ranges] for i in range(1, ranges)] if len(got) >= ranges else got
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+def repeat_spans(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """((_x_k, _x_spans): byte spans covered by ``size``-byte strings that start twice; (_x_key, text): texts with a repeated context).
+
+    Rows that agree in ``_x_key`` are one text.  Every text with a span is among the second table's.
+    """
+    rows = rows.where(F.octet_length("text") >= size)
+    total, n_rows = rows.select(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    bits = max(6, int(np.ceil(np.log2(max(1, (total or 0) / BLOCK_BYTES)))))
+    ranges = max(24, -(-(total or 0) // RANGE_BYTES))
+    wanted = (repeated_contexts(rows, size, bits).groupBy("_x_key").agg(F.collect_set("_x_pos").alias("_x_at")).withColumnRenamed("_x_key", "_x_k"))
+    # the join has dealt rows by key: repeated rows become one where they are
+    hot = materialise(rows.join(wanted, F.col("_x_key") == F.col("_x_k")).select("_x_key", "text", "_x_at").dropDuplicates(["_x_key"]), "hot-texts")
+    coarse = min(ranges, MAX_RANGES)
+    runs = materialise(sorted_runs(hot, splitters(rows, size, coarse, n_rows), size, -(-ranges // coarse)), "runs")
+    spans = merged_spans(runs, size).groupBy("_x_key").agg(F.collect_set(F.struct("start", "end")).alias("_x_spans"))
+    return spans.withColumnRenamed("_x_key", "_x_k"), hot.select("_x_key", "text")
+
+
+def joined_spans(spans: list[dict[str, int]] | None) -> list[dict[str, int]]:
+    """Maximal runs of the bytes in (start, end) spans that may overlap."""
+    out: list[dict[str, int]] = []
+    for x in sorted(spans or [], key=lambda x: x["start"]):
+        if out and x["start"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], x["end"])
+        else:
+            out.append(dict(x))
+    return out
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, shared: int | None = None) -> DataFrame:
     """One row per input row: id, n_bytes, spans (array of start, end: removed bytes) and kept (binary).
 
+    With ``shared`` (a smaller size) also ``n_shared``: bytes in strings of that size that start elsewhere too.  They are only counted.
     Defined results: a null text is empty; texts shorter than ``size`` bytes lose nothing; rows that agree
     in id and text are one document and get the same result; rows that share an id but not the text are different
     documents; null ids are like any id; extra columns are ignored.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = docs.select(F.col(f"`{id_col}`").alias("_x_id"), F.xxhash64(F.col(f"`{id_col}`").cast("string"), text).alias("_x_key"), text.alias("text"))
-    rows = base.select("_x_key", "text").where(F.octet_length("text") >= size)
-    total, n_rows = rows.select(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    bits = max(6, int(np.ceil(np.log2(max(1, (total or 0) / BLOCK_BYTES)))))
-    ranges = max(24, -(-(total or 0) // RANGE_BYTES))
-    wanted = (repeated_contexts(rows, size, bits).groupBy("_x_key").agg(F.collect_set("_x_pos").alias("_x_at")).withColumnRenamed("_x_key", "_x_k"))
-    hot = rows.join(wanted, F.col("_x_key") == F.col("_x_k")).select("_x_key", "text", "_x_at")
-    runs = materialise(sorted_runs(hot, splitters(rows, size, ranges, n_rows), size), "runs")
-    spans = (merged_spans(runs, size).groupBy("_x_key").agg(F.collect_set(F.struct("start", "end")).alias("_x_spans"))
-             .withColumnRenamed("_x_key", "_x_k"))
+    rows = base.select("_x_key", "text")
+    if shared:     # longer repeats stand only in texts with shorter ones
+        short, rows = repeat_spans(rows, min(shared, size))
+        short = materialise(short.withColumnRenamed("_x_spans", "_x_short"), "short-spans")
+        spans = short.join(repeat_spans(rows, size)[0], "_x_k", "left")
+    else:
+        spans = repeat_spans(rows, size)[0].withColumn("_x_short", F.lit(None).cast("array<struct<start:bigint,end:bigint>>"))
     id_type = base.schema["_x_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in chunks(batches, 1):
-            n, spans_out, kept = [], [], []
-            for t, s in zip(texts, b.column(2)):
+            n, spans_out, kept, short = [], [], [], []
+            for t, s, few in zip(texts, b.column(2), b.column(3)):
                 data = t.encode("utf-8", "surrogatepass")
-                whole: list[dict[str, int]] = []
-                for x in sorted(s.as_py() or [], key=lambda x: x["start"]):
-                    if whole and x["start"] <= whole[-1]["end"]:
-                        whole[-1]["end"] = max(whole[-1]["end"], x["end"])
-                    else:
-                        whole.append(dict(x))
+                whole = joined_spans(s.as_py())
+                short.append(sum(x["end"] - x["start"] for x in joined_spans(few.as_py())))
                 at = [0, *[v for x in whole for v in (x["start"], x["end"])], len(data)]
                 n.append(len(data))
                 spans_out.append(whole)
                 kept.append(b"".join(data[i:j] for i, j in zip(at[::2], at[1::2])))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(spans_out, kind), pa.array(kept, pa.binary())], ["_x_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(spans_out, kind), pa.array(kept, pa.binary()),
+                                              pa.array(short, pa.int64())], ["_x_id", "n_bytes", "spans", "kept", "n_shared"])
 
-    joined = base.join(spans, F.col("_x_key") == F.col("_x_k"), "left").select("_x_id", "text", "_x_spans")
-    out = joined.mapInArrow(cut, f"_x_id {id_type}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
-    return out.withColumnRenamed("_x_id", id_col)
+    joined = base.join(spans, F.col("_x_key") == F.col("_x_k"), "left").select("_x_id", "text", "_x_spans", "_x_short")
+    out = joined.mapInArrow(cut, f"_x_id {id_type}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, n_shared bigint")
+    return (out if shared else out.drop("n_shared")).withColumnRenamed("_x_id", id_col)

@@ -42,6 +42,24 @@ def test_shared_parts_of_any_length(spark, seed, monkeypatch):
     assert run(df, 400) == brute.repeats(rows)
 
 
+@pytest.mark.parametrize("run_bytes", [2000, 20_000])
+def test_repeated_rows_in_several_runs(spark, monkeypatch, run_bytes):
+    """Rows that all stand two or three times, in other runs, are one document each; ranges divided by a hash give the same."""
+    monkeypatch.setattr(suffix_dedup, "RUN_BYTES", run_bytes)
+    monkeypatch.setattr(suffix_dedup, "MAX_RANGES", 3)
+    rnd = random.Random(12)
+    word = lambda n: "".join(rnd.choice("abcdef ") for _ in range(n))
+    shared = [word(600) for _ in range(6)]
+    rows = [(i, word(rnd.randint(300, 900)) + rnd.choice(shared)[rnd.randint(0, 150):] * (i % 3 > 0) + word(200)) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    three = df.union(df).union(df).repartition(5)
+    out = suffix_dedup.remove_repeats(three, shared=300)
+    assert out.count() == 3 * len(rows)
+    want, short = brute.repeats(rows), brute.repeats(rows, 300)
+    got = {r.doc_id: (r.n_bytes, sum(x.end - x.start for x in r.spans), len(r.spans), brute.sha(bytes(r.kept)), r.n_shared) for r in out.collect()}
+    assert got == {d: (*v, short[d][1]) for d, v in want.items()}
+
+
 def test_odd_tables(odd):
     odd = odd.where("text is null or length(text) < 5000")
     out = suffix_dedup.remove_repeats(odd)

@@ -98,7 +98,8 @@ def page_blocks(pages: DataFrame, tag: str = "p", html: str = "html", key: str =
 def link_by_anchor(html: ColumnOrName, anchor_text: str) -> Column:
     """Href of the first link whose text is ``anchor_text`` (tags around it allowed); NULL if absent."""
     text = "".join(c if c.isalnum() or ord(c) > 127 else f"[{c}]" if c not in "^\\" else "\\" + c for c in anchor_text)
-    pat = OPEN_A + r"[^>]*>\s*(?:<[^>]*>\s*)*" + text + r"\s*(?:<[^>]*>\s*)*</a\s*>"
+    tags = r"\s*+(?:(?!</a[\s>])<[^>]*+>\s*+)*+"      # possessive: a loop in the regex engine, whatever the number of tags
+    pat = OPEN_A + r"[^>]*+>" + tags + text + tags + r"</a\s*>"
     return unquoted(first_or_null(F.regexp_extract(visible(html), pat, 1)))
 
 

@@ -391,6 +391,12 @@ select cast(n as bigint) as n_items, po_num / n as po, pe_num / (n * n) as pe,
     "json_props": "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events",
     "lexicon_score": with_ctes(A("commits"), F1, U, SCORED, body=f"select commit_title, commit_description, answer, {POSITIVE} as positive from s"),
     "stream_ingest_dedup": "select event_id, ts, user_id, event_type from events",
+    "stream_ingest_report": """with l as (select max(ts) - interval 31 day as line from events where event_id % 3 < 2)
+ select 0::bigint as batch_id, 2 * count(*) as n_rows, count(*) as n_repeats_in_batch, 0::bigint as n_repeats_earlier, count(*) as n_accepted,
+ 0::bigint as n_late, 0::bigint as n_late_accepted
+ from events where event_id % 3 < 2
+ union all select 1, count(*), 0, count(*) filter (event_id % 3 < 2), count(*) filter (event_id % 3 >= 2), count(*) filter (ts < line),
+ count(*) filter (ts < line and event_id % 3 >= 2) from events, l""",
     "stream_score_resume": f"select doc_id, {answer('text')} as answer from documents",
     "stream_counts": "select cast(date_trunc('day', ts) as timestamp) as window_start, event_type, count(*) as n from events group by all",
     "csv_roundtrip": "select doc_id, text, lang from documents",
@@ -523,3 +529,39 @@ SQL.update({
     "category_file": "select true as named, count(*) as n from documents",
     "append_batches": "select o_orderkey, o_orderstatus, case o_orderstatus when 'O' then 1 when 'P' then 2 else 0 end as batch_id from orders",
 })
+
+LIST_PAGES = """n as (select o_custkey, cast(ceil(count(*) / 10.0) as bigint) as n_pages from orders group by 1),
+lp as (select distinct o_custkey, n_pages, (o_orderkey * 7919) % n_pages as no from orders join n using (o_custkey)),
+e as (select 'https://host.example/list/' || o_custkey || '/' || no as p, 'https://host.example/list/' || o_custkey || '/' ||
+ case when no + 1 < n_pages then no + 1 when o_custkey % 7 = 0 then 0 when o_custkey % 7 = 1 then 1 end as nx from lp)"""
+SQL["page_chains"] = f"""with recursive {LIST_PAGES},
+pred as (select nx as p, min(p) as prev from e group by nx),
+c as (select e.p, e.p as listing, 0::bigint as position from e left join pred using (p) where prev is null
+ union all select e.p, c.listing, c.position + 1 from c join pred on pred.prev = c.p join e on e.p = pred.p),
+left_over as (select p, prev from e join pred using (p) where p not in (select p from c)),
+ring as (select p, prev as q from left_over union select ring.p, l.prev from ring join left_over l on l.p = ring.q),
+r as (select p, min(q) as listing from ring group by p),
+t as (select listing, count(*) as n_pages, max_by(p, position) as last from c group by listing),
+s as (select listing, n_pages, case when nx is null then 'complete' when nx in (select p from e) then 'merged' else 'broken' end as state
+ from t join e on e.p = t.last)
+select p as page, listing, position, n_pages, state from c join s using (listing)
+union all select p, listing, null, count(*) over (partition by listing), 'cyclic' from r"""
+SQL["section_links"] = with_ctes(VIS, ("n", "select page_id, base, regexp_extract(h, '(?s)<nav>(.*?)</nav>', 1) as h from vis"),
+    ("l", f"select page_id, base, unnest(list_transform(regexp_extract_all(h, {ANCHOR}, 1), lambda x, i: {{'q': x, 'pos': i - 1, 't': regexp_extract_all(h, {ANCHOR}, 2)[i]}})) as x from n"),
+    ("u", f"select page_id, base, x.pos::bigint as pos, {unquoted('x.q')} as href, {inner('x.t')} as anchor_text from l"),
+    body="select page_id, pos, href, case when regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*://') then href else base || href end as abs_url, anchor_text from u")
+SQL["post_links"] = f"""with {LIST_PAGES.split("),", 1)[0]}),
+o as (select o_custkey || '/' || (o_orderkey * 7919) % n_pages as page, o_orderkey as k from orders join n using (o_custkey))
+select page, '/in/' || k as href, 'in ' || k as anchor_text from o union all select page, '/item/' || k || '?a=1&b=2', '<item>' from o"""
+
+SQL["stream_funnel"] = """with r as (select *, case when l_orderkey % 5 = 0 then 2 when l_orderkey % 3 >= 1 then 1 else 0 end as delivery from lineitem),
+f as (select l_orderkey, l_returnflag <> 'N' as scored, l_returnflag <> 'N' and (l_quantity + 10 * delivery) % 50 > 25 as positive from r),
+k as (select l_orderkey, count(*) as crawled, count(*) filter (scored) as scored, count(*) filter (positive) as positive from f group by 1),
+c as (select *, case when positive <= 2 then positive else 0 end as capped from k)
+select 0 as stage_order, 'crawled' as stage, sum(crawled)::bigint as n_rows, count(*) as n_commits from c
+union all select 1, 'heuristic', sum(scored)::bigint, count(*) filter (scored > 0) from c
+union all select 2, 'positive', sum(positive)::bigint, count(*) filter (positive > 0) from c
+union all select 3, 'capped', sum(capped)::bigint, count(*) filter (capped > 0) from c"""
+SQL["update_in_place"] = """with l as (select l_orderkey as k, min(l_linestatus) as s, min(l_returnflag) as m from lineitem group by 1)
+select o_orderkey, case when o_orderkey % 7 = 0 then coalesce(s, o_orderstatus) else o_orderstatus end as o_orderstatus,
+ case when o_orderkey % 3 = 0 then m end as note from orders left join l on k = o_orderkey"""

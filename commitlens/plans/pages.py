@@ -106,3 +106,41 @@ def commit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = F.sort_array(F.collect_list(F.struct(F.col("file_name").alias("filename"), "patch")))
     g = d.groupBy("commit_link").agg(files.alias("files"), F.min("message").alias("message"))
     return g.select("commit_link", F.to_json(F.struct(F.struct("message").alias("commit"), "files", F.lit("x").alias("sha"))).alias("body"))
+
+
+PER_PAGE = 10   # rows on a list page
+
+
+def list_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_custkey, o_orderkey, n_pages, no): the commits of a project dealt to list pages of about PER_PAGE rows, numbered from 0."""
+    o = ad.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    n = o.groupBy("o_custkey").agg(F.ceil(F.count(F.lit(1)) / PER_PAGE).alias("n_pages")).withColumnRenamed("o_custkey", "_c")
+    j = o.join(n, F.struct(F.col("o_custkey").alias("k")) == F.struct(F.col("_c").alias("k"))).drop("_c")
+    return j.withColumn("no", (F.col("o_orderkey") * 7919) % F.col("n_pages"))
+
+
+def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page, o_custkey, html): commit list pages with a button to the next one.
+
+    The last page's button is missing, but on every seventh project leads to the first page and on the projects after those to the second.
+    """
+    s = lambda c: c.cast("string")
+    k = F.col("o_orderkey")
+    anchor = text('<p><a class="t" href="/o/r/commit/', s(k), '">', F.when(k % 6 == 0, "Initial commit").otherwise(text("<i>Fix</i> &lt;", s(k), "&gt;")),
+                  '</a><a href="/o/r/tree">tree</a></p>')
+    g = list_rows(spark, sf_dir).groupBy("o_custkey", "no", "n_pages").agg(F.array_join(F.sort_array(F.collect_list(anchor)), "").alias("rows"))
+    url = lambda no: text("https://host.example/list/", s(F.col("o_custkey")), "/", s(no))
+    after = (F.when(F.col("no") + 1 < F.col("n_pages"), F.col("no") + 1).when(F.col("o_custkey") % 7 == 0, 0).when(F.col("o_custkey") % 7 == 1, 1))
+    button = F.when(after.isNotNull(), text('<a data-testid="pagination-next-button" href="/list/', s(F.col("o_custkey")), "/", s(after), '">Next</a>')).otherwise("")
+    return g.select(url(F.col("no")).alias("page"), "o_custkey", text("<html>", F.col("rows"), button, "</html>").alias("html"))
+
+
+def post_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page, html): pages of posts, each with nested sections and list items whose end tags are left out, inside and outside the post's content."""
+    s = lambda c: c.cast("string")
+    k = s(F.col("o_orderkey"))
+    post = text('<div class="post"><div id="h"><h3><a href="/post/', k, '">T ', k, '</a></h3></div><div class="big post-content"><div class=\'x\'><p>see <a href="/in/', k,
+                '">in <b>', k, '</b></a><br/></div><ul><li>a<li><p><a href="/item/', k, '?a=1&amp;b=2">&lt;item&gt;</a></ul><!-- <div class="post-content"> --></div>',
+                '<div><p title="a > b </div>"><a href="/out/', k, '">out</a></p></div></div>')
+    g = list_rows(spark, sf_dir).groupBy("o_custkey", "no").agg(F.array_join(F.sort_array(F.collect_list(F.struct("o_orderkey", post.alias("t"))))["t"], "").alias("posts"))
+    return g.select(text(s(F.col("o_custkey")), "/", s(F.col("no"))).alias("page"), text("<html><body>", F.col("posts"), "</body></html>").alias("html"))

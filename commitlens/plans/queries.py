@@ -17,12 +17,16 @@ from commitlens.functions.answers import parse_filter_answer as parse_filter
 from commitlens.functions.answers import taxonomy_unmapped
 from commitlens.operators import aggregates as agg
 from commitlens.operators import dedup, filters, joins, prompts, releases, sampling, scoring, verify
+from commitlens.operators import chains
+from commitlens.operators import elements as el
 from commitlens.operators import extract as ex
 from commitlens.operators.asof import asof_join
 from commitlens.plans import adapters as ad
 from commitlens.plans import jobs, pages
 from commitlens.session import scratch_path
 from commitlens.sources import readers, sinks
+from commitlens.sources.versioned import VersionedTable
+from commitlens.streaming import funnel as rf
 from commitlens.streaming import incremental as inc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -559,11 +563,30 @@ def next_pages(spark, d):
 @q
 def commit_list(spark, d):
     """Commit links of list pages (anchors with the commit title), 'Initial commit' left out."""
-    c = ad.table(spark, d, "orders").select("o_custkey", "o_orderkey")
-    anchor = F.concat(F.lit('<p><a class="t" href="/o/r/commit/'), F.col("o_orderkey").cast("string"), F.lit('">'),
-                      F.when(F.col("o_orderkey") % 6 == 0, "Initial commit").otherwise(F.concat(F.lit("<i>Fix</i> &lt;"), F.col("o_orderkey").cast("string"), F.lit("&gt;"))), F.lit('</a><a href="/o/r/tree">tree</a></p>'))
-    listing = c.groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_join(F.sort_array(F.collect_list(anchor)), "").alias("html"))
-    return ex.commit_list(ex.page_anchors(listing)).select("page_id", "href", "anchor_text", "commit_hash")
+    listing = pages.list_pages(spark, d)
+    rows = ex.commit_list(ex.page_anchors(listing, key="page"))
+    return rows.select(F.regexp_extract("page", r"/list/(\d+)/", 1).cast("long").alias("page_id"), "href", "anchor_text", "commit_hash")
+
+
+@q
+def page_chains(spark, d):
+    """List pages put in order by their next-page links, to the end: listing, place in it, broken, merged and cyclic chains."""
+    listing = pages.list_pages(spark, d)
+    edges = listing.select("page", ex.next_commit_page("html", ex.base_url("page")).alias("next_page"))
+    return chains.rank_chains(edges)
+
+
+@q
+def section_links(spark, d):
+    """Links inside one section of the given pages."""
+    return el.section_links(ad.table(spark, d, "pages"), [el.Step("nav"), el.Step("li")])
+
+
+@q
+def post_links(spark, d):
+    """Links of the paragraphs in each post's content, past nested sections and left-out end tags."""
+    path = [el.Step("div", cls="post-content"), el.Step("p")]
+    return el.section_links(pages.post_pages(spark, d), path, url=None, key="page").drop("pos")
 
 
 @q
@@ -761,14 +784,27 @@ def _stage_files(df: DataFrame, path: str, copies: int = 1) -> None:
         df.write.mode("append").parquet(path)
 
 
-@q
-def stream_ingest_dedup(spark, d):
+def _ingested(spark: SparkSession, d: str) -> str:
+    """Two deliveries: two thirds of the events, twice; then all of them, so that it brings repeats and new rows of any age."""
     root = scratch_path(spark, "stream_ingest")
     e = ad.table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
-    _stage_files(e, f"{root}/in", copies=2)
-    # a re-delivery comes within a month: the watermark bounds the state to that
-    inc.ingest_dedup(spark, f"{root}/in", e.schema, ["event_id"], f"{root}/out", f"{root}/ckpt", event_time="ts", delay="31 days")
-    return spark.read.parquet(f"{root}/out")
+    first = e.filter(F.col("event_id") % 3 < 2)
+    for delivery, copies in ((first, 2), (e, 1)):
+        _stage_files(delivery, f"{root}/in", copies)
+        inc.ingest_dedup(spark, f"{root}/in", e.schema, ["event_id"], f"{root}/out", f"{root}/ckpt", event_time="ts", delay="31 days")
+    return f"{root}/out"
+
+
+@q
+def stream_ingest_dedup(spark, d):
+    """Every event once, whatever comes again and however late."""
+    return spark.read.parquet(_ingested(spark, d)).drop("batch_id")
+
+
+@q
+def stream_ingest_report(spark, d):
+    """What each delivery brought: repeats, accepted rows, late rows."""
+    return inc.ingest_report(spark, _ingested(spark, d)).drop("max_event")
 
 
 @q
@@ -790,7 +826,7 @@ def stream_page_links(spark, d):
     pages = ad.table(spark, d, "pages")
     _stage_files(pages, f"{root}/in", copies=2)  # every page delivered twice
     inc.parse_resume(spark, f"{root}/in", pages.schema, "page_id", f"{root}/out", f"{root}/ckpt", ex.page_links)
-    return spark.read.parquet(f"{root}/out")
+    return spark.read.parquet(f"{root}/out").drop("batch_id")
 
 
 @q
@@ -807,6 +843,35 @@ def stream_label_counts(spark, d):
     return inc.latest_item_counts(spark, f"{root}/out")
 
 
+@q
+def stream_funnel(spark, d):
+    """R4 for A1: the funnel while verdicts arrive and change: three deliveries, later ones change rows that were counted before."""
+    root = scratch_path(spark, "stream_funnel")
+    li = ad.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag")
+    parts = [F.col("l_orderkey") % 3 < 2, F.col("l_orderkey") % 3 >= 1, F.col("l_orderkey") % 5 == 0]
+    scored = F.col("l_returnflag") != "N"
+    positive = scored & ((F.col("l_quantity") + 10 * F.col("delivery")) % 50 > 25)
+    stages = [("crawled", F.lit(True)), ("heuristic", scored), ("positive", positive)]
+    for i, part in enumerate(parts):
+        delivery = li.filter(part).withColumn("delivery", F.lit(i))
+        _stage_files(delivery, f"{root}/in")
+        rf.running_funnel(spark, f"{root}/in", delivery.schema, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "delivery", stages, f"{root}/out", f"{root}/ckpt",
+                          cap=("capped", "positive", 2), buckets=16)
+    return rf.current_funnel(spark, f"{root}/out")
+
+
+@q
+def update_in_place(spark, d):
+    """The table that is read is the table that is updated: verdicts overwritten, then missing comments filled."""
+    table = VersionedTable(spark, scratch_path(spark, "versioned"), ["o_orderkey"], 16)
+    o = ad.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.lit(None).cast("string").alias("note"))
+    table.create(o)
+    li = ad.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linestatus").alias("o_orderstatus"), F.col("l_returnflag").alias("note"))
+    table.update(li.filter(F.col("o_orderkey") % 7 == 0), ["o_orderstatus"])
+    table.update(li.filter(F.col("o_orderkey") % 3 == 0), ["note"], prefer_new=False)
+    return table.read()
+
+
 @q
 def stream_counts(spark, d):
     root = scratch_path(spark, "stream_counts")

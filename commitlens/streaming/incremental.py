@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from commitlens.functions.text import ntz_as_utc
 from commitlens.sources.sinks import append_batch
+from commitlens.streaming.ledger import EXPECTED_KEYS, KeyLedger, ingest_batch
 
 
 def _run(writer) -> dict[int, int]:
@@ -50,61 +51,63 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return r.load(path)
 
 
+def _through_ledger(spark: SparkSession, source: str, schema: T.StructType, key: list[str], sink: str, checkpoint: str,
+                    transform: Callable[[DataFrame], DataFrame], event_time: str | None = None, delay: str = "1 day",
+                    expected_keys: int = EXPECTED_KEYS, max_files_per_trigger: int | None = None, max_bytes_per_trigger: str | None = None) -> str:
+    ledger = KeyLedger(spark, f"{sink}_ledger", expected_keys)
+    ledger.create()
+    event = None
+    if event_time:
+        # an NTZ wall clock is read as UTC (zone-free)
+        ntz = isinstance(schema[event_time].dataType, T.TimestampNTZType)
+        event = ntz_as_utc(event_time) if ntz else F.col(event_time).cast("timestamp")
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        ingest_batch(df, batch_id, ledger, key, sink, transform, event, delay)
+
+    s = file_stream(spark, source, schema, max_files_per_trigger=max_files_per_trigger, max_bytes_per_trigger=max_bytes_per_trigger)
+    _run(s.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint))
+    return sink
+
+
 def ingest_dedup(spark: SparkSession, source: str, schema: T.StructType, key: list[str], sink: str,
                  checkpoint: str, event_time: str | None = None, delay: str = "1 day",
-                 max_files_per_trigger: int | None = None,
+                 expected_keys: int = EXPECTED_KEYS, max_files_per_trigger: int | None = None,
                  max_bytes_per_trigger: str | None = None) -> str:
-    """Ingest newly arrived files once and drop re-delivered rows by key.
+    """Ingest newly arrived files once and drop re-delivered rows by key, however late they come.
 
-    With ``event_time`` the dedup state is bounded by the watermark
-    (``dropDuplicatesWithinWatermark``: a re-delivery is recognised within ``delay``);
-    without it every key is remembered for ever, which only suits a bounded key set.
+    Keys are kept in a ledger beside the sink (``<sink>_ledger``), not in streaming state: a late row is accepted if its key
+    is new.  ``event_time`` and ``delay`` only tell which rows the report (:func:`ingest_report`) counts as late.
     """
-    s = file_stream(spark, source, schema, max_files_per_trigger=max_files_per_trigger,
-                    max_bytes_per_trigger=max_bytes_per_trigger)
-    if event_time:
-        # the watermark needs TIMESTAMP; an NTZ wall clock is read as UTC (zone-free), and the column itself stays as it is
-        ntz = isinstance(schema[event_time].dataType, T.TimestampNTZType)
-        s = s.withColumn("_event", ntz_as_utc(event_time) if ntz else F.col(event_time).cast("timestamp")).withWatermark("_event", delay)
-        s = s.dropDuplicatesWithinWatermark(key).drop("_event")
-    else:
-        s = s.dropDuplicates(key)
-    _run(s.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-         .outputMode("append"))
-    return sink
+    return _through_ledger(spark, source, schema, key, sink, checkpoint, lambda df: df, event_time, delay, expected_keys,
+                           max_files_per_trigger, max_bytes_per_trigger)
+
+
+def ingest_report(spark: SparkSession, sink: str) -> DataFrame:
+    """Per batch of a ledger sink: rows, repeats within the batch and of earlier batches, accepted and late rows."""
+    return KeyLedger(spark, f"{sink}_ledger").report()
 
 
 def parse_resume(spark: SparkSession, source: str, schema: T.StructType, key: str, sink: str, checkpoint: str,
-                 parse: Callable[[DataFrame], DataFrame], max_files_per_trigger: int | None = None,
+                 parse: Callable[[DataFrame], DataFrame], expected_keys: int = EXPECTED_KEYS, max_files_per_trigger: int | None = None,
                  max_bytes_per_trigger: str | None = None) -> str:
-    """Parse newly arrived pages once (a page handled before is skipped, also
-    across deliveries) and append the parsed rows; the checkpoint is the
-    "handled" list."""
-    s = file_stream(spark, source, schema, max_files_per_trigger=max_files_per_trigger,
-                    max_bytes_per_trigger=max_bytes_per_trigger).dropDuplicates([key])
-    _run(parse(s).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-         .outputMode("append"))
-    return sink
+    """Parse newly arrived pages once and append the parsed rows; the ledger is the
+    "handled" list, so a page handled before is skipped, also across deliveries."""
+    return _through_ledger(spark, source, schema, [key], sink, checkpoint, parse, None, "1 day", expected_keys,
+                           max_files_per_trigger, max_bytes_per_trigger)
 
 
 def score_resume(spark: SparkSession, source: str, schema: T.StructType, key: str, sink: str,
-                 checkpoint: str, score: Callable[[DataFrame], DataFrame],
-                 max_files_per_trigger: int | None = None,
-                 max_bytes_per_trigger: str | None = None) -> str:
+                 checkpoint: str, score: Callable[[DataFrame], DataFrame], expected_keys: int = EXPECTED_KEYS,
+                 max_files_per_trigger: int | None = None, max_bytes_per_trigger: str | None = None) -> str:
     """R2: resume long scoring.
 
-    Keys seen in earlier batches are dropped by the stream's dedup state (kept
-    in RocksDB, not re-read from the sink), and every micro-batch overwrites its
+    Keys scored in earlier batches are in the ledger, and every micro-batch overwrites its
     own ``batch_id=N`` folder, so a batch replayed after a failure replaces its
     partial output instead of appending twice.  No batch scans the sink.
     """
-    def batch(df: DataFrame, batch_id: int) -> None:
-        append_batch(score(df), sink, batch_id)
-
-    s = file_stream(spark, source, schema, max_files_per_trigger=max_files_per_trigger,
-                    max_bytes_per_trigger=max_bytes_per_trigger).dropDuplicates([key])
-    _run(s.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint))
-    return sink
+    return _through_ledger(spark, source, schema, [key], sink, checkpoint, score, None, "1 day", expected_keys,
+                           max_files_per_trigger, max_bytes_per_trigger)
 
 
 def running_counts(spark: SparkSession, source: str, schema: T.StructType, time_col: str, group: str,

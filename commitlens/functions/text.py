@@ -150,3 +150,8 @@ def file_extension(path: ColumnOrName) -> Column:
     """``os.path.splitext`` extension of the base name ('' for dot-files)."""
     base = last_segment(path)
     return F.regexp_extract(base, r"^\.*[^.].*(\.[^.]*)$", 1)
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and use it several times in ``body`` (also inside lambdas)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

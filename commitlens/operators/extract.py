@@ -9,7 +9,7 @@ its tags without inner tags and with character references decoded
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitlens.functions import fixed
@@ -189,6 +189,40 @@ def hunks(diffs: DataFrame, patch: str = "patch") -> DataFrame:
     return x.withColumn("old_start", F.col("_s.old_starts")).withColumn("new_start", F.col("_s.new_starts")).drop("_s")
 
 
+HUNK_HEADER = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
+
+
+def patch_lines(diffs: DataFrame, key: list[str], patch: str = "patch") -> DataFrame:
+    """One row per line of every patch: ``hunk`` (from 0), ``pos``, ``kind`` (' ', '+', '-'), ``old_line``, ``new_line``, ``text``.
+
+    One linear scan: old and new counters run over the lines and restart at each hunk header.  A line
+    that is only on one side has a NULL number on the other; marks ("\\ No newline ...") and what stands before the first header are
+    left out.  ``key`` tells the patches apart.
+    """
+    lines = F.posexplode(F.split(F.col(patch), "\r?\n", -1)).alias("pos", "_line")
+    x = diffs.select(*key, lines)
+    start = F.nullif(F.regexp_extract("_line", HUNK_HEADER, 1), F.lit("")).cast("long")
+    x = x.withColumn("_old", start).withColumn("_new", F.nullif(F.regexp_extract("_line", HUNK_HEADER, 2), F.lit("")).cast("long"))
+    order = Window.partitionBy(*key).orderBy("pos")
+    x = x.withColumn("hunk", F.count("_old").over(order) - 1)
+    kind = F.when(F.col("_old").isNotNull(), F.lit(None)).when(F.col("_line") == "", F.lit(None)).otherwise(F.substring("_line", 1, 1))
+    inside = Window.partitionBy(*key, "hunk").orderBy("pos")
+    on_old, on_new = F.col("kind").isin(" ", "-"), F.col("kind").isin(" ", "+")
+    x = x.withColumn("kind", kind)
+    number = lambda first, on: F.first(first).over(inside) + F.sum(on.cast("long")).over(inside) - 1
+    x = x.withColumn("old_line", F.when(on_old, number("_old", on_old))).withColumn("new_line", F.when(on_new, number("_new", on_new)))
+    x = x.where((F.col("hunk") >= 0) & F.col("kind").isin(" ", "+", "-"))
+    return x.select(*key, "hunk", F.col("pos").cast("long").alias("pos"), "kind", "old_line", "new_line", F.substring("_line", F.lit(2), F.length("_line")).alias("text"))
+
+
+def patch_line_numbers(diffs: DataFrame, key: list[str], patch: str = "patch") -> DataFrame:
+    """X9 for J12: per patch the numbers of its added lines (new file) and deleted lines (old file), rising; empty arrays if there are none."""
+    x = patch_lines(diffs, key, patch).groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "+", F.col("new_line")))).alias("added_lines"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "-", F.col("old_line")))).alias("deleted_lines"))
+    return x
+
+
 def changelog_links(html: ColumnOrName, git_link: ColumnOrName) -> Column:
     """X11: struct(changelog, metadata, valid) of an app page; valid only when both
     links exist and the changelog is the project's ``/releases`` page."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commitlens.functions import fixed
-from commitlens.functions.text import in_list_ci, is_ascii
+from commitlens.functions.text import in_list_ci, is_ascii, let
 
 
 def ascii_ok(title: str = "commit_title", description: str = "commit_description",
@@ -79,6 +79,35 @@ def rule_audit(df: DataFrame, title: str = "commit_title", description: str = "c
             .groupBy("rule").agg(F.count(F.lit(1)).alias("n_rows")))
 
 
+def rule_masks(df: DataFrame, rules: list[tuple[str, Column]] | None = None, title: str = "commit_title", description: str = "commit_description",
+               name: str = "rule_mask") -> DataFrame:
+    """rows that pass the ASCII stage with a bit mask of the rules they hit (bit i: rule i of ``rules``)."""
+    rules = rule_hits(title, description) if rules is None else rules
+    mask = sum((F.when(c, F.lit(1 << i)).otherwise(0).cast("long") for i, (_, c) in enumerate(rules)), F.lit(0).cast("long"))
+    return df.filter(ascii_ok(title, description)).withColumn(name, mask)
+
+
+def mask_counts(masked: DataFrame, name: str = "rule_mask") -> DataFrame:
+    """rows per mask, one pre-aggregated pass; every rule order can be answered from this small table (2^rules rows at most)."""
+    return masked.groupBy(name).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def first_rule(mask: Column, names: list[str], order: list[str]) -> Column:
+    """the rule that removes a row when rules are applied in ``order``; NULL if none does."""
+    # the mask is evaluated once: its patterns must not be repeated for every rule
+    return let(mask, lambda m: F.coalesce(*[F.when(F.call_function("getbit", m, F.lit(names.index(n))) == 1, F.lit(n)) for n in order]))
+
+
+def removed_first(counts: DataFrame, names: list[str], order: list[str], name: str = "rule_mask") -> DataFrame:
+    """for a rule order, what each rule still removes after the rules before it, what it would remove alone, and what only it removes."""
+    bit = lambda n: F.call_function("getbit", F.col(name), F.lit(names.index(n))) == 1
+    first = first_rule(F.col(name), names, order)
+    one = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(n).alias("rule"), F.when(first == n, F.col("n_rows")).otherwise(0).alias("f"),
+                                       F.when(bit(n), F.col("n_rows")).otherwise(0).alias("a"),
+                                       F.when(F.col(name) == (1 << names.index(n)), F.col("n_rows")).otherwise(0).alias("o")) for i, n in enumerate(order)]))
+    return counts.select(one.alias("s")).groupBy("s.step", "s.rule").agg(F.sum("s.f").alias("n_first"), F.sum("s.a").alias("n_alone"), F.sum("s.o").alias("n_only"))
+
+
 def fanout_cap(df: DataFrame, key: str = "commit_link", max_rows: int = fixed.MAX_FILES_PER_COMMIT) -> DataFrame:
     """keep keys with at most ``max_rows`` rows.
 

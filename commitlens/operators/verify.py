@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commitlens.functions import fixed
-from commitlens.functions.text import split_lines, strip_ws
+from commitlens.functions.text import let, split_lines, strip_ws
 from commitlens.operators.joins import fill_from, lookup_status, semi
 
 
@@ -39,11 +39,12 @@ def file_checks(changes: DataFrame, snapshot: DataFrame) -> DataFrame:
         skip = skip | F.col("path").endswith(sfx)
     additions = "added_lines" in changes.columns
     j = with_sides(changes, snapshot, ["before", "release", *(["after"] if additions else [])])
-    before_lines = split_lines("before")
-    deleted = F.transform("deleted_lines", lambda i: strip_ws(F.try_element_at(before_lines, i)))
-    # a deleted line number beyond the old file makes the file unreadable (skipped)
-    keeps = F.when(F.exists(deleted, lambda x: x.isNull()), F.lit(None).cast("boolean")) \
-        .otherwise(F.forall(deleted, lambda x: F.col("release").contains(x)))
+    deleted = let(split_lines("before"), lambda lines: F.transform("deleted_lines", lambda i: strip_ws(F.try_element_at(lines, i))))
+    # Most deleted lines that the release keeps are whole lines of it: one hash set answers them.  Only the others are looked
+    # for in the text, up to the first that is missing.  A deleted line number beyond the old file makes the file unreadable (skipped).
+    own = F.transform(split_lines("release"), strip_ws)
+    keeps = let(deleted, lambda d: F.when(F.exists(d, lambda x: x.isNull()), F.lit(None).cast("boolean"))
+                .otherwise(F.forall(F.array_except(d, own), lambda x: F.col("release").contains(x))))
     unknown = F.lit(None).cast("boolean")
     ok = F.when(skip, unknown)
     if additions:

@@ -13,7 +13,7 @@ from commitlens.functions.fixed import DIFF_FILE_FORMAT, DIFF_INPUT_TEMPLATE, FI
 from commitlens.operators.sampling import initial_size
 from commitlens.operators.scoring import lexicon_pattern
 from commitlens.plans import jobs
-from commitlens.plans.adapters import ADAPTER_SQL
+from commitlens.plans.adapters import _PROJECT_SQL, ADAPTER_SQL
 
 LB = r"'\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]'"
 WORD = r"'[^ \t\n\r\f\x0B]+'"
@@ -565,3 +565,33 @@ union all select 3, 'capped', sum(capped)::bigint, count(*) filter (capped > 0)
 SQL["update_in_place"] = """with l as (select l_orderkey as k, min(l_linestatus) as s, min(l_returnflag) as m from lineitem group by 1)
 select o_orderkey, case when o_orderkey % 7 = 0 then coalesce(s, o_orderstatus) else o_orderstatus end as o_orderstatus,
  case when o_orderkey % 3 = 0 then m end as note from orders left join l on k = o_orderkey"""
+
+SQL["patch_line_numbers"] = f"""with l as (select distinct c_link as commit_link, l_linenumber::bigint as ln, l_quantity::bigint % 3 + 1 as d, l_quantity::bigint % 4 + 1 as a
+ from (select *, concat({_PROJECT_SQL}, '/commit/', cast(o_orderkey as varchar)) as c_link from orders join lineitem on l_orderkey = o_orderkey)),
+x as (select commit_link, list_transform(range(1, a + 1), lambda i: ln * 100 + 5 + 1 + i) as news, list_transform(range(1, d + 1), lambda i: ln * 100 + i) as olds from l)
+select commit_link, array_to_string(list_sort(flatten(list(news))), ',') as added_lines, array_to_string(list_sort(flatten(list(olds))), ',') as deleted_lines
+ from x group by 1"""
+_HITS = [f"(commit_description is null and {c})" for _, c in RULES]
+
+
+def _chain(order: list[int]) -> str:
+    return "case " + " ".join(f"when {_HITS[i]} then '{RULES[i][0]}'" for i in order) + " end"
+
+
+def _rules_in(label: str, order: list[int]) -> str:
+    alone = " + ".join(f"({h})::int" for h in _HITS)
+    return " union all ".join(f"""select '{label}' as rule_order, {k} as step, '{RULES[i][0]}' as rule, count(*) filter ({_chain(order)} = '{RULES[i][0]}') as n_first,
+ count(*) filter ({_HITS[i]}) as n_alone, count(*) filter ({_HITS[i]} and {alone} = 1) as n_only from base""" for k, i in enumerate(order))
+
+
+_BASE_ROWS = ("base", f"select * from commits where {ASCII_OK}")
+SQL["rule_order"] = with_ctes(A("commits"), _BASE_ROWS,
+                              body=_rules_in("given", list(range(len(RULES)))) + " union all " + _rules_in("reverse", list(range(len(RULES)))[::-1]))
+SQL["rule_of_rows"] = with_ctes(A("commits"), _BASE_ROWS, ("r", f"select commit_link, commit_title, {_chain(list(range(len(RULES))))} as rule from base"),
+                                body="select * from r where rule is not null")
+SQL["csv_unreadable"] = """select doc_id, lang, 'ok' as status from documents where lang in ('en', 'es')
+ union all select null, 'fr', 'encoding' union all select null, 'de', 'binary' union all select null, 'cut', 'unreadable'"""
+SQL["batch_plan"] = f"""with d as (select doc_id, text, row_number() over (order by doc_id) as n, len(regexp_extract_all(text, {WORD})) as w from documents),
+b as (select *, (n - 1) // 100 as block from d),
+c as (select *, coalesce(sum(w) over (partition by block order by n rows between unbounded preceding and 1 preceding), 0) as before from b)
+select doc_id, (block * 1000000 + before::bigint // 10000)::bigint as batch_id, {answer('text')} as answer from c"""

@@ -144,3 +144,14 @@ def post_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                 '<div><p title="a > b </div>"><a href="/out/', k, '">out</a></p></div></div>')
     g = list_rows(spark, sf_dir).groupBy("o_custkey", "no").agg(F.array_join(F.sort_array(F.collect_list(F.struct("o_orderkey", post.alias("t"))))["t"], "").alias("posts"))
     return g.select(text(s(F.col("o_custkey")), "/", s(F.col("no"))).alias("page"), text("<html><body>", F.col("posts"), "</body></html>").alias("html"))
+
+
+def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(commit_link, patch): a patch per commit with one hunk for each of its files: context, deleted and added lines, a mark at the end."""
+    def hunk(f: Column) -> Column:
+        s = lambda c: c.cast("string")
+        lines = lambda mark, n: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: text(mark, "q", s(i))), "\n")
+        return text("@@ -", s(f["ln"] * 100), ",9 +", s(f["ln"] * 100 + 5), " @@ f(@@ -1 +1 @@)\n a\n", lines("-", f["n_del"]), "\n \n", lines("+", f["n_add"]), "\n b\n\\ No newline")
+
+    rows = code_lines(spark, sf_dir).select("commit_link", F.struct("ln", (F.col("qty") % 3 + 1).cast("int").alias("n_del"), (F.col("qty") % 4 + 1).cast("int").alias("n_add")).alias("f"))
+    return rows.groupBy("commit_link").agg(F.array_join(F.transform(F.sort_array(F.collect_set("f")), hunk), "\n").alias("patch"))

@@ -17,7 +17,7 @@ from commitlens.functions.answers import parse_filter_answer as parse_filter
 from commitlens.functions.answers import taxonomy_unmapped
 from commitlens.operators import aggregates as agg
 from commitlens.operators import dedup, filters, joins, prompts, releases, sampling, scoring, verify
-from commitlens.operators import chains
+from commitlens.operators import batches, chains
 from commitlens.operators import elements as el
 from commitlens.operators import extract as ex
 from commitlens.operators.asof import asof_join
@@ -776,6 +776,66 @@ def append_batches(spark, d):
     return spark.read.parquet(path).select("o_orderkey", "o_orderstatus", F.col("batch_id").cast("long").alias("batch_id"))
 
 
+@q
+def patch_line_numbers(spark, d):
+    """Line numbers of added and deleted lines from multi-hunk patches."""
+    x = ex.patch_line_numbers(pages.patches(spark, d), ["commit_link"])
+    lines = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
+    return x.select("commit_link", lines("added_lines"), lines("deleted_lines"))
+
+
+def _rule_names():
+    return [n for n, _ in filters.rule_hits()]
+
+
+@q
+def rule_order(spark, d):
+    """what each rule removes first, alone and exclusively, in the given order and in the reverse one, from one count per mask."""
+    names = _rule_names()
+    counts = filters.mask_counts(filters.rule_masks(ad.commits(spark, d)))
+    both = [filters.removed_first(counts, names, order).withColumn("rule_order", F.lit(label)) for label, order in (("given", names), ("reverse", names[::-1]))]
+    return both[0].unionByName(both[1])
+
+
+@q
+def rule_of_rows(spark, d):
+    """which rule removes which row."""
+    masked = filters.rule_masks(ad.commits(spark, d))
+    rule = filters.first_rule(F.col("rule_mask"), _rule_names(), _rule_names())
+    return masked.select("commit_link", "commit_title", rule.alias("rule")).where("rule is not null")
+
+
+@q
+def csv_unreadable(spark, d):
+    """S3: a folder with good, truncated, binary and wrongly encoded files: the good rows, and every bad file with its state."""
+    root = scratch_path(spark, "csv_unreadable")
+    docs = ad.table(spark, d, "documents").select("doc_id", "lang", "text")
+    part = lambda lang: docs.filter(F.col("lang") == lang).coalesce(1)
+    for lang in ("en", "es"):
+        sinks.export_csv(docs.filter(F.col("lang") == lang), f"{root}/in/{lang}")
+    part("fr").write.options(header="true", encoding="ISO-8859-1").csv(f"{root}/in/fr")
+    part("de").select("doc_id", F.concat(F.lit("d\x00"), "lang").alias("lang"), "text").write.options(header="true").csv(f"{root}/in/de")
+    part("en").write.options(header="true", compression="gzip").csv(f"{root}/whole")
+    sinks.cut_copy(spark, f"{root}/whole", f"{root}/in/cut", 0.5)
+    good, bad = readers.read_csv_tolerant(spark, f"{root}/in", docs.schema)
+    kind = F.regexp_extract("path", r"/in/([a-z]+)/", 1)
+    return (good.select("doc_id", "lang", F.lit("ok").alias("status"))
+            .unionByName(bad.select(F.lit(None).cast("long").alias("doc_id"), kind.alias("lang"), "status").distinct()))
+
+
+@q
+def batch_plan(spark, d):
+    """Batches bounded by rows and prompt words, worked off in two runs with a stop in between."""
+    path = scratch_path(spark, "batch_plan")
+    docs = ad.table(spark, d, "documents").select("doc_id", "text")
+    ledger = batches.BatchLedger(spark, f"{path}/ledger")
+    ledger.plan(batches.plan_batches(docs, "doc_id", "text", 100, 10_000), "text")
+    score = lambda df: df.select("doc_id", "batch_id", scoring.lexicon_answer("text").alias("answer"))
+    ledger.run(score, f"{path}/out", limit=3)
+    ledger.run(score, f"{path}/out")
+    return spark.read.parquet(f"{path}/out").select("doc_id", F.col("batch_id").cast("long").alias("batch_id"), "answer")
+
+
 # --- streaming ----------------------------------------------------------------
 
 def _stage_files(df: DataFrame, path: str, copies: int = 1) -> None:

@@ -60,6 +60,37 @@ def read_csv_quarantine(spark: SparkSession, path: str, schema: T.StructType | s
     return good, bad
 
 
+def file_status(spark: SparkSession, path: str, glob: str = "*.csv*") -> DataFrame:
+    """S3: (path, length, ``status``) of every file under ``path``, without failing on any.
+
+    The inventory comes from the listing; each file is then read whole with corrupt files skipped, and a file that gave no row is
+    ``unreadable`` (a truncated or damaged archive).  Of the others, ``binary`` holds NUL characters, ``encoding`` characters that are
+    not UTF-8; the rest is ``ok``.  Files without a byte hold no rows and are not listed.  No file is changed or removed.
+    """
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "length"))
+    whole = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("ignoreCorruptFiles", "true").text(path, wholetext=True))
+    found = whole.select(F.col("_metadata.file_path").alias("_p"), F.col("value").contains("\x00").alias("_nul"), (~F.is_valid_utf8("value")).alias("_odd"))
+    found = found.groupBy("_p").agg(F.max("_nul").alias("_nul"), F.max("_odd").alias("_odd"))
+    status = (F.when(F.col("_p").isNull(), "unreadable").when(F.col("_nul"), "binary").when(F.col("_odd"), "encoding").otherwise("ok"))
+    same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  (listing and scan spell local paths differently)
+    return listed.join(found, same(F.col("path")) == same(F.col("_p")), "left").select("path", "length", status.alias("status"))
+
+
+def read_csv_tolerant(spark: SparkSession, path: str, schema: T.StructType | str, glob: str = "*.csv*") -> tuple[DataFrame, DataFrame]:
+    """S3: (rows of all files that can be read whole, list of the other files with length and status).
+
+    Rows that a damaged file gives before it breaks off are left out, so a file is either complete or quarantined.
+    """
+    checkpoint_root(spark)
+    files = file_status(spark, path, glob).checkpoint(eager=True)
+    st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    rows = (spark.read.schema(st).options(**CSV_OPTIONS).option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+            .option("ignoreCorruptFiles", "true").csv(path).withColumn("_file", F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")))
+    bad = files.where("status <> 'ok'")
+    broken = bad.select(F.regexp_replace("path", "^file:/+", "file:/").alias("_file"))
+    return rows.join(broken, "_file", "left_anti").drop("_file"), bad
+
+
 def category_from_file(df: DataFrame, name: str = "category") -> DataFrame:
     """category = file name without extension."""
     return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1))

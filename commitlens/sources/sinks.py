@@ -30,3 +30,18 @@ def append_batch(df: DataFrame, path: str, batch_id: int) -> str:
     so a replay never duplicates rows.  Readers get ``batch_id`` back as a column."""
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     return path
+
+
+def cut_copy(spark, source: str, target: str, share: float) -> None:
+    """Copy the data files of a folder, each broken off after ``share`` of its bytes (damaged deliveries for S3)."""
+    hadoop, io = spark._jvm.org.apache.hadoop, spark._jvm.org.apache.commons.io.IOUtils
+    conf = spark._jsc.hadoopConfiguration()
+    top = hadoop.fs.Path(source)
+    fs = top.getFileSystem(conf)
+    for f in fs.listStatus(top):
+        if f.getPath().getName().startswith("part-"):
+            out = fs.create(hadoop.fs.Path(target, f.getPath().getName()), True)
+            whole = fs.open(f.getPath())
+            io.copyLarge(whole, out, 0, int(f.getLen() * share))
+            whole.close()
+            out.close()

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 LIMIT = 1024
 END_ID = 2
 SHARD_PIECES = 200_000   # about so many pieces meet in one task; bounds its memory, and the bins left open once per shard
+LONG_RUN = r"\s{5000}|\S{5000}"   # the faster encoder recurses over such runs
 PLAIN = r"^[\t\n\r\x20-\x7e¡-ɏ]*$"
 
 
@@ -59,10 +60,10 @@ class Encoder:
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.plain = re.compile(PLAIN)
+            self.plain, self.long_run = re.compile(PLAIN), re.compile(LONG_RUN)
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is not None and self.plain.match(text) and not any(s in text for s in self.special):
+        if self.fast is not None and self.plain.match(text) and not any(s in text for s in self.special) and not self.long_run.search(text):
             return np.asarray(self.fast.encode_ordinary(text), dtype="<u4")
         return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
 

@@ -43,7 +43,7 @@ MORE = (
     Rule("github", 1, r"\bgh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", 1, r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", 1, r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", 1, r"\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@"),
+    Rule("url_login", 1, r"\b[a-z][a-z0-9+.-]{0,63}://[^\s/:@]+:[^\s/:@]+@"),   # a bounded scheme: linear in the text
 )
 RULES = BASE + MORE
 LEDGER_SCHEMA = "blob binary, rule string, version int, spans array<struct<start:bigint,end:bigint>>"

@@ -25,7 +25,9 @@ FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra
 _TITLE = "(?:" + "|".join(sorted({y for x in MALE + FEMALE for y in (x, x.upper())}, key=lambda x: (-len(x), x))) + ")"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 KINDS = {   # in order of preference where several match at one place
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
+    # labels without end are a possessive loop, which needs no stack; the other form, of few labels, may give back the last ones
+    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:(?:[A-Za-z0-9-]++\.(?=[A-Za-z0-9-]))++[A-Za-z]{2,24}"
+              r"|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,20}\.[A-Za-z]{2,24})"),
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "hex": r"(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])",
     "card": r"(?<![0-9A-Za-z.+])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",

@@ -82,3 +82,16 @@ def test_placement_is_the_least_sum_of_squares(lengths):
         options = [score({**level, k: v + s}) for k, v in level.items() if v + s <= limit] or [score({**level, -1: s})]
         level[b] = o + s
         assert score(level) == min(options)
+
+
+def test_long_runs_do_not_stop_the_encoder():
+    """Runs that the faster encoder can not take go through the tokenizer file."""
+    enc = packing.Encoder(*packing.default_vocabulary())
+    for c in (" ", "\n", "a", "1", ".", "\t ", "ab "):
+        for n in (4999, 5001, 300_000):
+            text = "x" + c * n + "y"
+            ids = enc(text)
+            assert enc.exact.decode(ids.tolist(), skip_special_tokens=False) == text
+            if n < 10_000:
+                assert ids.tolist() == enc.exact.encode(text, add_special_tokens=False).ids
+    assert len(enc("x" + " " * 1_000_000)) > 0

@@ -65,3 +65,12 @@ def test_odd_tables(odd):
 def test_native_plan(documents):
     plan = secrets.scan_versions(documents)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian"))
+
+
+def test_long_texts_are_linear(spark):
+    import time
+
+    rows = [(1, "a." * 200_000), (2, "a." * 100_000 + "://u:p@h"), (3, "http" * 50_000), (4, "x " * 100_000 + "ftp://user:pass@host")]
+    t = time.time()
+    got = {r.doc_id: [s["rule"] for s in r.found] for r in secrets.scan_versions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[3] == [] and got[4] == ["url_login"] and time.time() - t < 60

@@ -95,3 +95,12 @@ def test_odd_tables(spark, odd):
 def test_long_text_is_linear(spark):
     out = run(spark, [(1, "a" * 2_000_000), (2, "x 8.8.8.8 " * 50_000)])
     assert out[1] == "a" * 2_000_000 and "8.8.8.8" not in out[2] and out[2].count("x ") == 50_000
+
+
+def test_email_labels_need_no_stack(spark):
+    """Thousands of labels; trailing dots and digits after the domain as before."""
+    rows = [(1, "x@b" + ".b" * 2000 + ".com"), (2, "to a.b@mail.example.com."), (3, "a@foo.com.123 and b@foo.com2"), (4, "c@x..com d@-a.de"), (5, "x@b" + ".b" * 2000)]
+    out = run(spark, rows)
+    assert all("example.com" not in out[2] and out[2].startswith("to ") and out[2].endswith(".") for _ in [0])
+    assert "a@foo.com" not in out[3] and "b@foo.com" not in out[3] and out[3].endswith("2") and ".123 and " in out[3]
+    assert out[4].startswith("c@x..com ") and "d@-a.de" not in out[4] and out[1] != rows[0][1] and out[5] == rows[4][1]

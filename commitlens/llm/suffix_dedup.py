@@ -16,6 +16,8 @@ before and the same size - o bytes from it on.  About 1 in 185 suffixes is an an
    the classes of equal right sides for every offset; left sides are told apart by a 64-bit hash that grows by one byte per offset.
 4. Repeated windows go back to their documents as byte spans.
 
+Of texts that are equal as a whole only one is sorted; all of their bytes are repeated.
+
 Copies of one context within a map task send one record; their windows are known to be repeated there.
 """
 
@@ -369,22 +371,43 @@ def splitters(rows: DataFrame, size: int, ranges: int, n_rows: int) -> list[byte
     return [got[len(got) * i // ranges] for i in range(1, ranges)] if len(got) >= ranges else got
 
 
-def repeat_spans(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+def whole_copies(rows: DataFrame) -> DataFrame:
+    """(_x_c, _x_n, _x_first): texts that stand under several keys, their length in bytes, and whether the key is the smallest of them.
+
+    Every byte of such a text is repeated, so only the first copy is sorted, as a partner for other texts.
+    """
+    text = F.col("text")
+    one = rows.select("_x_key", F.octet_length(text).cast("long").alias("n"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(11), text).alias("h2")).distinct()
+    same = one.groupBy("h", "h2", "n").agg(F.count(F.lit(1)).alias("c"), F.min("_x_key").alias("first")).where("c > 1")
+    same = same.withColumnsRenamed({"h": "g", "h2": "g2", "n": "gn"})
+    both = F.struct(*[F.col(c).alias(k) for c, k in (("h", "a"), ("h2", "b"), ("n", "c"))]) == F.struct(*[F.col(c).alias(k) for c, k in (("g", "a"), ("g2", "b"), ("gn", "c"))])
+    return one.join(same, both).select(F.col("_x_key").alias("_x_c"), F.col("n").alias("_x_n"), (F.col("_x_key") == F.col("first")).alias("_x_first"))
+
+
+def with_copies(spans: DataFrame, copies: DataFrame, size: int) -> DataFrame:
+    """Spans of all texts: one whole span for each copy of at least ``size`` bytes."""
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("_x_n").alias("end")))
+    return (spans.join(copies, F.col("_x_k") == F.col("_x_c"), "left_anti")
+            .unionByName(copies.where(F.col("_x_n") >= size).select(F.col("_x_c").alias("_x_k"), whole.alias("_x_spans"))))
+
+
+def repeat_spans(rows: DataFrame, size: int, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((_x_k, _x_spans): byte spans covered by ``size``-byte strings that start twice; (_x_key, text): texts with a repeated context).
 
-    Rows that agree in ``_x_key`` are one text.  Every text with a span is among the second table's.
+    Rows that agree in ``_x_key`` are one text.  Every text with a span is among the second table's, of ``copies`` the first.
     """
     rows = rows.where(F.octet_length("text") >= size)
     total, n_rows = rows.select(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     bits = max(6, int(np.ceil(np.log2(max(1, (total or 0) / BLOCK_BYTES)))))
     ranges = max(24, -(-(total or 0) // RANGE_BYTES))
     wanted = (repeated_contexts(rows, size, bits).groupBy("_x_key").agg(F.collect_set("_x_pos").alias("_x_at")).withColumnRenamed("_x_key", "_x_k"))
+    wanted = wanted.join(copies.where(~F.col("_x_first")), F.col("_x_k") == F.col("_x_c"), "left_anti")
     # the join has dealt rows by key: repeated rows become one where they are
     hot = materialise(rows.join(wanted, F.col("_x_key") == F.col("_x_k")).select("_x_key", "text", "_x_at").dropDuplicates(["_x_key"]), "hot-texts")
     coarse = min(ranges, MAX_RANGES)
     runs = materialise(sorted_runs(hot, splitters(rows, size, coarse, n_rows), size, -(-ranges // coarse)), "runs")
     spans = merged_spans(runs, size).groupBy("_x_key").agg(F.collect_set(F.struct("start", "end")).alias("_x_spans"))
-    return spans.withColumnRenamed("_x_key", "_x_k"), hot.select("_x_key", "text")
+    return with_copies(spans.withColumnRenamed("_x_key", "_x_k"), copies, size), hot.select("_x_key", "text")
 
 
 def joined_spans(spans: list[dict[str, int]] | None) -> list[dict[str, int]]:
@@ -409,12 +432,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = docs.select(F.col(f"`{id_col}`").alias("_x_id"), F.xxhash64(F.col(f"`{id_col}`").cast("string"), text).alias("_x_key"), text.alias("text"))
     rows = base.select("_x_key", "text")
+    copies = materialise(whole_copies(rows), "whole-copies")
     if shared:     # longer repeats stand only in texts with shorter ones
-        short, rows = repeat_spans(rows, min(shared, size))
+        short, rows = repeat_spans(rows, min(shared, size), copies)
         short = materialise(short.withColumnRenamed("_x_spans", "_x_short"), "short-spans")
-        spans = short.join(repeat_spans(rows, size)[0], "_x_k", "left")
+        spans = short.join(repeat_spans(rows, size, copies)[0], "_x_k", "left")
     else:
-        spans = repeat_spans(rows, size)[0].withColumn("_x_short", F.lit(None).cast("array<struct<start:bigint,end:bigint>>"))
+        spans = repeat_spans(rows, size, copies)[0].withColumn("_x_short", F.lit(None).cast("array<struct<start:bigint,end:bigint>>"))
     id_type = base.schema["_x_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

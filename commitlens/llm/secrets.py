@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import skew_join, text_or_empty
+from commitlens.llm.common import materialise, skew_join, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,8 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         found = F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))
         tested = F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group))
         size = lambda a: F.transform(a, lambda x: F.length(x).cast("long"))
-        cut = F.when(F.regexp_like("text", F.lit(r.pattern)),
+        # pairs that the ledger has are not evaluated
+        cut = F.when(~F.array_contains("seen", f"{r.name}@{r.version}") & F.regexp_like("text", F.lit(r.pattern)),
                      F.arrays_zip(size(F.slice(F.split("text", r.pattern, -1), 1, F.size(found))).alias("gap"),
                                   size(found).alias("len"), size(tested).alias("test")))
         empty = F.array().cast("array<struct<gap:bigint,len:bigint,test:bigint>>")
@@ -136,6 +137,19 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
     return findings(versions, new if ledger is None else ledger.unionByName(new), rules, id_col, text_col)
 
 
+def scan_increments(increments: list[tuple[DataFrame, tuple[Rule, ...]]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Findings for the versions of the last increment, from a ledger kept in the shared folder over all of them.
+
+    Each increment (versions, rules) appends the pairs that the ledger lacks and rescans nothing else: a version that came
+    before costs its hash, a new rule or rule version is the only one that old blobs are scanned with.
+    """
+    ledger = None
+    for versions, rules in increments:
+        new = materialise(update_ledger(versions, ledger, rules, id_col, text_col), "blob-ledger")
+        ledger = new if ledger is None else ledger.unionByName(new)
+    return findings(versions, ledger, rules, id_col, text_col)
+
+
 def span_list(found, names: tuple[str, ...] | None = None):
     """``rule:start:end`` joined by commas, optionally of some rules only."""
     if names is not None:

@@ -74,3 +74,12 @@ def test_long_texts_are_linear(spark):
     t = time.time()
     got = {r.doc_id: [s["rule"] for s in r.found] for r in secrets.scan_versions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == got[3] == [] and got[4] == ["url_login"] and time.time() - t < 60
+
+
+def test_kept_ledger_over_increments(spark, edge):
+    """A part under the base rules, all under all rules, all under a newer rule: the same findings as one whole scan."""
+    newer = tuple(secrets.Rule(r.name, r.version + (r.name == "hex"), r.pattern, r.group, r.least) for r in secrets.RULES)
+    part = edge.where("doc_id % 2 = 0")
+    key = lambda df: sorted((str(r.doc_id), str(r.found)) for r in df.collect())
+    assert key(secrets.scan_increments([(part, secrets.BASE), (edge, secrets.RULES), (edge, newer)])) == key(secrets.scan_versions(edge))
+    assert key(secrets.scan_increments([(edge.limit(0), secrets.BASE), (edge, secrets.RULES)])) == key(secrets.scan_versions(edge))

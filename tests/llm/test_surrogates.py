@@ -104,3 +104,43 @@ def test_email_labels_need_no_stack(spark):
     assert all("example.com" not in out[2] and out[2].startswith("to ") and out[2].endswith(".") for _ in [0])
     assert "a@foo.com" not in out[3] and "b@foo.com" not in out[3] and out[3].endswith("2") and ".123 and " in out[3]
     assert out[4].startswith("c@x..com ") and "d@-a.de" not in out[4] and out[1] != rows[0][1] and out[5] == rows[4][1]
+
+
+def test_bare_names_keep_their_surrogate(spark):
+    """The same person with a title, without, as possessive, in capitals; other documents and ordinary words stay."""
+    rows = [(1, "Mr John Smith called. Smith said that John was late; JOHN's car, Smith-like. Mary Smith stayed."),
+            (2, "Smith and John came."), (3, "I Miss The bus. The end of the day."), (4, "Dr Anna Jones came, then Mrs Anna Jones. Anna left."),
+            (5, "Call 5551234567 or 5551234567, tel. 5551234567."), (6, None), (None, "Prof Ada Byron. Byron's"), (7, "Mr Smith's dog. Smith")]
+    out = {}
+    for r in S.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect():
+        out[r.doc_id] = (r.text, {e.kind: e.n for e in r.entities})
+    m = re.match(r"Mr (\w+) (\w+) called\. (\w+) said that (\w+) was late; (\w+)'s car, Smith-like\. Mary (\w+) stayed\.$", out[1][0])
+    assert m, out[1]
+    assert m[2] == m[3] == m[6] != "Smith" and m[1] == m[4] and m[5] == m[1].upper() and m[1] != "John"
+    assert out[1][1] == {"name": 1, "bare_name": 4}
+    assert out[2][0] == rows[1][1] and out[3][0].endswith(" bus. The end of the day.")
+    m4 = re.match(r"Dr (\w+) (\w+) came, then Mrs (\w+) (\w+)\. (\w+) left\.$", out[4][0])
+    assert m4 and m4[1] == m4[3] == m4[5] != "Anna" and m4[2] == m4[4]
+    assert m4[1].endswith(tuple(S.ENDINGS["latin"]["f"].split()))
+    m5 = re.match(r"Call (\d{10}) or 5551234567, tel\. (\d{10})\.$", out[5][0])
+    assert m5 and m5[1] == m5[2] != "5551234567"
+    assert out[6][0] is None
+    mn = re.match(r"Prof (\w+) (\w+)\. (\w+)'s$", out[None][0])
+    assert mn and mn[2] == mn[3] != "Byron"
+    assert re.match(r"Mr (\w+)'s dog\. (\w+)$", out[7][0]).groups() == (m[2], m[2])
+
+
+def test_account_check_digits(spark):
+    out = run(spark, [(1, "GB29 NWBK 6016 1331 9268 19"), (2, "DE89370400440532013000"), (3, "GB00 NWBK 6016 1331 9268 19")])
+    def remainder(s):
+        s = s.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+    assert remainder(out[1]) == 1 and remainder(out[2]) == 1
+    assert out[1][:2] == "GB" and out[2][:2] == "DE" and len({*out.values()}) == 3
+
+
+def test_names_grow(spark):
+    """More names than the short forms can give."""
+    rows = [(i, f"Mr Ab{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}") for i in range(30_000)]
+    out = run(spark, rows)
+    assert len(set(out.values())) == 30_000 and not set(out.values()) & {t for _, t in rows}

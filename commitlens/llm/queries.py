@@ -83,8 +83,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     names = tuple(r.name for r in secrets.BASE)
-    # a first delivery (what is labelled with a language) under the base rules, then the whole table under all rules
-    first = table(spark, sf_dir, "documents").where(F.col("lang").isNotNull()).select("doc_id", "text")
+    # a first delivery (the English documents) under the base rules, then the whole table under all rules: old blobs meet
+    # the further rules only, new blobs all
+    first = table(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id", "text")
     found = secrets.scan_increments([(first, secrets.BASE), (docs, secrets.RULES)])
     count = lambda n: F.size(F.filter("found", lambda s: s["rule"] == n)).cast("long").alias(f"n_{n}")
     return found.select("doc_id", *[count(n) for n in names],

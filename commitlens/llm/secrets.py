@@ -92,17 +92,16 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     pairs = (blobs.select("blob", "seen", F.array(*[pieces(r) for r in rules]).alias("each"))
              .select("blob", "seen", F.inline("each"))
              .where(~F.array_contains("seen", F.concat_ws("@", "rule", "version"))))
-    # offsets without a loop that copies: hits become rows, and a window inside the blob and rule sums them
-    rows = pairs.select("blob", "rule", "version", "least", F.posexplode_outer("hits").alias("i", "hit"))
-    clean = rows.where(F.col("hit").isNull()).select("blob", "rule", "version").distinct()
-    hits = rows.where(F.col("hit").isNotNull()).select("blob", "rule", "version", "least", "i", "hit.*").distinct()
-    upto = Window.partitionBy("blob", "rule", "version").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    # offsets without a loop that copies: hits become rows, and a window inside the blob and rule sums them; a pair without a
+    # hit is one row with a null hit, so that the texts are scanned once.  One exchange serves the three steps that follow.
+    key = ["blob", "rule", "version"]
+    rows = pairs.select(*key, "least", F.posexplode_outer("hits").alias("i", "hit")).select(*key, "least", "i", "hit.*")
+    rows = rows.repartition(*[F.col(c) for c in key]).distinct()
+    upto = Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("len")).over(upto)
-    spans = (hits.select("blob", "rule", "version", "least", "test", (end - F.col("len")).alias("start"), end.alias("end"))
-             .groupBy("blob", "rule", "version")
-             .agg(F.sort_array(F.collect_list(F.when(F.col("test") >= F.col("least"), F.struct("start", "end")))).alias("spans")))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return spans.unionByName(clean.withColumn("spans", none))
+    return (rows.select(*key, "least", "test", (end - F.col("len")).alias("start"), end.alias("end"))
+            .groupBy(*key)
+            .agg(F.sort_array(F.collect_list(F.when(F.col("test") >= F.col("least"), F.struct("start", "end")))).alias("spans")))
 
 
 def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES,

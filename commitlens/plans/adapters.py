@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` to all shuffle partitions, for joins whose rows grow wide afterwards.
+
+    Partitions that Spark joins up by their size before the join can hold 20 times that size after it.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _project(custkey) -> F.Column:
     return F.concat(F.lit("https://github.com/o"), (custkey % 50).cast("string"),
                     F.lit("/r"), custkey.cast("string"))
@@ -29,9 +37,11 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     # some commits carry a long message of their own: the text of a document
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("_text"))
-    o = o.join(docs, F.when(F.col("o_orderkey") % 25 == 4, F.floor(F.col("o_orderkey") / 15)) == F.col("doc_id"), "left")
-    j = o.join(li, F.col("l_orderkey") == F.col("o_orderkey"))
     k = F.col("o_orderkey")
+    # orders without a text keep their own key, which spreads them over the tasks; null keys would all meet in one
+    long = k % 25 == 4
+    o = o.join(docs, long & (F.when(long, F.floor(k / 15)).otherwise(k) == F.col("doc_id")), "left")
+    j = o.join(spread(li, "l_orderkey"), F.col("l_orderkey") == k)
     title = (F.when(k % 37 == 1, F.concat(F.lit("Merge pull request #"), (k % 50).cast("string"), F.lit(" from a/b")))
              .when(k % 37 == 2, F.concat(F.lit("v"), (k % 9).cast("string"), F.lit(".0")))
              .when(k % 37 == 3, F.concat(F.lit("Release "), (k % 9).cast("string")))

@@ -67,6 +67,26 @@ def test_patch_line_numbers(spark):
     assert [(r.kind, r.old_line, r.new_line, r.text) for r in lines] == [("-", 1, None, "a"), ("+", None, 1, "b")]
 
 
+def test_commits_stay_dealt_to_all_partitions(spark, tmp_path):
+    """An order without a text matches no document, whatever its key; the wide rows are not joined up into a few tasks."""
+    from commitlens.plans import adapters as ad
+
+    spark.createDataFrame([(4, 1, "2020-01-02"), (29, 1, "2020-01-02"), (7, 2, "2020-01-02"), (None, 2, "2020-01-02")], "o_orderkey long, o_custkey long, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, n) for k in (4, 29, 7, None) for n in (1, 2)], "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(0, "zero"), (1, "one"), (7, "seven"), (None, "none")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = ad.commits(spark, str(tmp_path))
+    big = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    for c in big:
+        spark.conf.set(c, "-1")
+    try:
+        assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        for c in big:
+            spark.conf.unset(c)
+    got = sorted((r.commit_link.rsplit("/", 1)[1], r.commit_description) for r in rows.collect())
+    assert got == [("29", "one")] * 2 + [("4", "zero")] * 2 + [("7", None)] * 2
+
+
 def test_line_index_is_linear(spark):
     """A file of 100,000 lines, all deleted and all kept, some only as parts of lines."""
     n = 100_000

@@ -9,7 +9,9 @@ its tags without inner tags and with character references decoded
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commitlens.functions import fixed
@@ -192,35 +194,70 @@ def hunks(diffs: DataFrame, patch: str = "patch") -> DataFrame:
 HUNK_HEADER = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 
 
+def _hunk_bodies(diffs: DataFrame, key: list[str], patch: str) -> DataFrame:
+    """(key, ``_hunks``): the hunks of every patch as array<struct<hunk, at, old, new, body>>: place of the header line, start lines and the lines up to the next header."""
+    x = diffs.select(*key, F.split(F.col(patch), "\r?\n", -1).alias("_lines")).where(F.col("_lines").isNotNull())
+    x = x.withColumn("_at", F.filter(F.transform("_lines", lambda line, i: F.when(line.startswith("@@ -") & line.rlike(HUNK_HEADER), i)), lambda i: i.isNotNull()))
+
+    def hunk(at: Column, h: Column) -> Column:
+        start = lambda side: F.regexp_extract(F.get("_lines", at), HUNK_HEADER, side).cast("long")
+        end = F.coalesce(F.get("_at", h + 1), F.size("_lines"))
+        return F.struct(h.cast("long").alias("hunk"), at.alias("at"), start(1).alias("old"), start(2).alias("new"), F.slice("_lines", at + 2, end - at - 1).alias("body"))
+
+    return x.select(*key, F.transform("_at", hunk).alias("_hunks"))
+
+
+def _kind(line: Column) -> Column:
+    return F.substring(line, 1, 1)
+
+
+def _begins(line: Column, *marks: str) -> Column:
+    return reduce(lambda a, b: a | b, [line.startswith(m) for m in marks])
+
+
+def _side(h: Column, first: str, mark: str) -> Column:
+    """Lines of one side of a hunk, those that begin with a space or ``mark``, as array<struct<pos, line, number>>: its numbers count them from ``first``."""
+    lines = F.transform(h["body"], lambda line, i: F.struct((h["at"] + 1 + i).cast("long").alias("pos"), line.alias("line")))
+    on = F.filter(lines, lambda x: _begins(x["line"], " ", mark))
+    return F.transform(on, lambda x, i: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), (h[first] + i).alias("number")))
+
+
 def patch_lines(diffs: DataFrame, key: list[str], patch: str = "patch") -> DataFrame:
     """One row per line of every patch: ``hunk`` (from 0), ``pos``, ``kind`` (' ', '+', '-'), ``old_line``, ``new_line``, ``text``.
 
-    One linear scan: old and new counters run over the lines and restart at each hunk header.  A line
+    A line's number is its place among the lines of its side of the hunk, so every patch is read within its row, without a window or a sort.  A line
     that is only on one side has a NULL number on the other; marks ("\\ No newline ...") and what stands before the first header are
     left out.  ``key`` tells the patches apart.
     """
-    lines = F.posexplode(F.split(F.col(patch), "\r?\n", -1)).alias("pos", "_line")
-    x = diffs.select(*key, lines)
-    start = F.nullif(F.regexp_extract("_line", HUNK_HEADER, 1), F.lit("")).cast("long")
-    x = x.withColumn("_old", start).withColumn("_new", F.nullif(F.regexp_extract("_line", HUNK_HEADER, 2), F.lit("")).cast("long"))
-    order = Window.partitionBy(*key).orderBy("pos")
-    x = x.withColumn("hunk", F.count("_old").over(order) - 1)
-    kind = F.when(F.col("_old").isNotNull(), F.lit(None)).when(F.col("_line") == "", F.lit(None)).otherwise(F.substring("_line", 1, 1))
-    inside = Window.partitionBy(*key, "hunk").orderBy("pos")
-    on_old, on_new = F.col("kind").isin(" ", "-"), F.col("kind").isin(" ", "+")
-    x = x.withColumn("kind", kind)
-    number = lambda first, on: F.first(first).over(inside) + F.sum(on.cast("long")).over(inside) - 1
-    x = x.withColumn("old_line", F.when(on_old, number("_old", on_old))).withColumn("new_line", F.when(on_new, number("_new", on_new)))
-    x = x.where((F.col("hunk") >= 0) & F.col("kind").isin(" ", "+", "-"))
-    return x.select(*key, "hunk", F.col("pos").cast("long").alias("pos"), "kind", "old_line", "new_line", F.substring("_line", F.lit(2), F.length("_line")).alias("text"))
+    x = _hunk_bodies(diffs, key, patch).select(*key, F.explode("_hunks").alias("_h"))
+    x = x.select(*key, F.col("_h.hunk").alias("hunk"), _side(F.col("_h"), "old", "-").alias("_old"), _side(F.col("_h"), "new", "+").alias("_new"))
+    none = F.lit(None).cast("long")
+
+    def row(x: Column, old: Column, new: Column) -> Column:
+        return F.struct(x["pos"].alias("pos"), x["line"].alias("line"), old.alias("old_line"), new.alias("new_line"))
+
+    def of(side: str, mark: str) -> Column:
+        return F.filter(F.col(side), lambda x: _begins(x["line"], mark))
+
+    both = F.zip_with(of("_old", " "), of("_new", " "), lambda a, b: row(a, a["number"], b["number"]))      # the context is the same on both sides
+    rows = F.concat(both, F.transform(of("_old", "-"), lambda x: row(x, x["number"], none)), F.transform(of("_new", "+"), lambda x: row(x, none, x["number"])))
+    x = x.select(*key, "hunk", F.explode(rows).alias("_r"))
+    line = F.col("_r.line")
+    return x.select(*key, "hunk", "_r.pos", _kind(line).alias("kind"), "_r.old_line", "_r.new_line", F.substring(line, F.lit(2), F.length(line)).alias("text"))
 
 
 def patch_line_numbers(diffs: DataFrame, key: list[str], patch: str = "patch") -> DataFrame:
     """X9 for J12: per patch the numbers of its added lines (new file) and deleted lines (old file), rising; empty arrays if there are none."""
-    x = patch_lines(diffs, key, patch).groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "+", F.col("new_line")))).alias("added_lines"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "-", F.col("old_line")))).alias("deleted_lines"))
-    return x
+    def numbers(first: str, mark: str) -> Column:
+        def of(h: Column) -> Column:
+            side = F.filter(h["body"], lambda line: _begins(line, " ", mark))
+            return F.filter(F.transform(side, lambda line, i: F.when(_begins(line, mark), h[first] + i)), lambda n: n.isNotNull())
+
+        return F.flatten(F.transform("_hunks", of))
+
+    x = _hunk_bodies(diffs, key, patch).where(F.exists("_hunks", lambda h: F.exists(h["body"], lambda line: _begins(line, " ", "+", "-"))))
+    x = x.select(*key, numbers("new", "+").alias("_added"), numbers("old", "-").alias("_deleted"))
+    return x.groupBy(*key).agg(F.array_sort(F.flatten(F.collect_list("_added"))).alias("added_lines"), F.array_sort(F.flatten(F.collect_list("_deleted"))).alias("deleted_lines"))
 
 
 def changelog_links(html: ColumnOrName, git_link: ColumnOrName) -> Column:

@@ -67,6 +67,19 @@ def test_patch_line_numbers(spark):
     assert [(r.kind, r.old_line, r.new_line, r.text) for r in lines] == [("-", 1, None, "a"), ("+", None, 1, "b")]
 
 
+def test_patches_are_read_within_their_row(spark):
+    """No sort of lines; context lines have both numbers; rows that share a key give one row with all numbers."""
+    df = spark.createDataFrame([(1, "@@ -3 +7 @@\n a\n-b\n c\n+d\n-\n@@ -20,2 +30 @@ f\n x\n+y"), (None, "@@ -1 +1 @@\n+n"), (None, "@@ -5 +5 @@\n-o"), (2, "@@ -1 +1 @@\n\\ mark")], "k int, patch string")
+    lines = ex.patch_lines(df, ["k"])
+    assert "Window" not in lines._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r)[1:] for r in lines.where("k = 1").orderBy("pos").collect()] == [
+        (0, 1, " ", 3, 7, "a"), (0, 2, "-", 4, None, "b"), (0, 3, " ", 5, 8, "c"), (0, 4, "+", None, 9, "d"), (0, 5, "-", 6, None, ""), (1, 7, " ", 20, 30, "x"), (1, 8, "+", None, 31, "y")]
+    numbers = ex.patch_line_numbers(df, ["k"])
+    plan = numbers._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
+    assert {r.k: (r.added_lines, r.deleted_lines) for r in numbers.collect()} == {1: ([9, 31], [4, 6]), None: ([1], [5])}
+
+
 def test_commits_stay_dealt_to_all_partitions(spark, tmp_path):
     """An order without a text matches no document, whatever its key; the wide rows are not joined up into a few tasks."""
     from commitlens.plans import adapters as ad

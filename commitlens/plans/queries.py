@@ -810,10 +810,11 @@ def csv_unreadable(spark, d):
     """S3: a folder with good, truncated, binary and wrongly encoded files: the good rows, and every bad file with its state."""
     root = scratch_path(spark, "csv_unreadable")
     docs = ad.table(spark, d, "documents").select("doc_id", "lang", "text")
-    part = lambda lang: docs.filter(F.col("lang") == lang).coalesce(1)
+    part = lambda lang: docs.filter(F.col("lang") == lang)
     for lang in ("en", "es"):
-        sinks.export_csv(docs.filter(F.col("lang") == lang), f"{root}/in/{lang}")
-    part("fr").write.options(header="true", encoding="ISO-8859-1").csv(f"{root}/in/fr")
+        sinks.export_csv(part(lang), f"{root}/in/{lang}")
+    # a mark in every row, so that every file of the folder is a bad one
+    part("fr").select("doc_id", F.concat("lang", F.lit("\u00e9")).alias("lang"), "text").write.options(header="true", encoding="ISO-8859-1").csv(f"{root}/in/fr")
     part("de").select("doc_id", F.concat(F.lit("d\x00"), "lang").alias("lang"), "text").write.options(header="true").csv(f"{root}/in/de")
     part("en").write.options(header="true", compression="gzip").csv(f"{root}/whole")
     sinks.cut_copy(spark, f"{root}/whole", f"{root}/in/cut", 0.5)

@@ -80,6 +80,22 @@ def test_patches_are_read_within_their_row(spark):
     assert {r.k: (r.added_lines, r.deleted_lines) for r in numbers.collect()} == {1: ([9, 31], [4, 6]), None: ([1], [5])}
 
 
+def test_damaged_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from commitlens.plans import queries
+
+    rows = [(i, ("en", "es", "fr", "de")[i % 4], "plain text", "s", 10) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string, source string, n_chars long").repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(queries, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")
+    try:
+        got = sorted(map(tuple, queries.csv_unreadable(spark, str(tmp_path)).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted([(i, lang, "ok") for i, lang, *_ in rows if lang in ("en", "es")] + [(None, "fr", "encoding"), (None, "de", "binary"), (None, "cut", "unreadable")], key=str)
+    for kind in ("in/fr", "in/de", "in/cut"):
+        assert sum(f.startswith("part-") for f in os.listdir(f"{tmp_path}/csv_unreadable/{kind}")) > 1
+
+
 def test_commits_stay_dealt_to_all_partitions(spark, tmp_path):
     """An order without a text matches no document, whatever its key; the wide rows are not joined up into a few tasks."""
     from commitlens.plans import adapters as ad

@@ -6,7 +6,8 @@ leaves this depth, so nested equal tags (``div`` in ``div``) find their own ends
 tag is left out) ends before the next tag of its name, or with the page.  Elements inside a section are found by
 running counts of open sections, step by step along a selector; no element is joined with its ancestors.
 
-All windows are over one page (rows of one key); they share one exchange.
+All windows are over one page (rows of one key); they share one exchange, that of the pages before they are cut.  It has a part for every
+``PART_CHARS`` of text, so a task sorts a bounded number of tags, whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from commitlens.operators.extract import absolute, attribute, base_url, decode_e
 # end (\z), so every start matches once and the pass stays linear.
 ATTRIBUTES = r"""(?:[^'">]++|"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))*+(?:>|\z)"""
 TOKEN = rf"(?is)<!--.*?(?:-->|\z)|<(script|style)(?=[\s>]){ATTRIBUTES}.*?(?:</\2\s*+>|\z)|</?[a-z][a-z0-9:-]*+{ATTRIBUTES}"
+PART_CHARS = 1 << 22     # pages full of tags take some 200 bytes a character in the sorts of a task
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 
 
@@ -45,6 +47,12 @@ class Step:
         return hit
 
 
+def dealt(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+    """``pages`` (key, ``html``) dealt by key to parts of about ``PART_CHARS``, at least one per core."""
+    chars = pages.agg(F.sum(F.length(html).cast("long"))).first()[0] or 0
+    return pages.select(key, html).repartition(max(pages.sparkSession.sparkContext.defaultParallelism, -(-chars // PART_CHARS)), key)
+
+
 def tokens(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """(key, ``pos``, ``raw``, ``text``, ``tag``, ``is_end``): every tag of a page in order with the text behind it.
 
@@ -68,7 +76,7 @@ def matched(tags: DataFrame, key: str = "page_id") -> DataFrame:
     counts = F.col("tag").isNotNull() & ~F.col("tag").isin(VOID) & ~F.coalesce(F.rtrim("raw").endswith("/>"), F.lit(False))
     same = Window.partitionBy(key, "tag").orderBy("pos")
     move = F.when(~counts, 0).when(F.col("is_end"), -1).otherwise(1)
-    x = tags.repartition(key).withColumn("_move", move).withColumn("_sum", F.sum("_move").over(same))
+    x = tags.withColumn("_move", move).withColumn("_sum", F.sum("_move").over(same))
     x = x.withColumn("depth", F.when(F.col("_move") == 0, F.lit(None)).otherwise(F.col("_sum") + F.when(F.col("_move") < 0, 1).otherwise(0)))
     level = Window.partitionBy(key, "tag", "depth").orderBy("pos")
     x = x.withColumn("_next_move", F.lead("_move").over(level)).withColumn("_next", F.lead("pos").over(level))
@@ -98,7 +106,7 @@ def _inside(x: DataFrame, chosen: Column, key: str, name: str) -> DataFrame:
 
 def select_elements(pages: DataFrame, path: list[Step], html: str = "html", key: str = "page_id") -> DataFrame:
     """Start tags of the elements that a selector finds (each step a descendant of the one before), with ``pos``, ``end``, ``raw``, ``depth``."""
-    x = matched(tokens(pages, html, key), key)
+    x = matched(tokens(dealt(pages, html, key), html, key), key)
     inside = F.lit(True)
     for i, step in enumerate(path[:-1]):
         x = _inside(x, step.matches(F.col("tag"), F.col("raw")) & inside, key, f"_in{i}")
@@ -112,7 +120,7 @@ def section_links(pages: DataFrame, section: list[Step], html: str = "html", url
     """The links inside the sections that a selector finds, in page order: ``pos`` (from 0 within the page), ``href``,
     ``abs_url`` (with a ``url`` column) and ``anchor_text``.  An empty selector gives all links of the page."""
     base = [base_url(url).alias("_base")] if url else []
-    x = matched(tokens(pages, html, key), key)
+    x = matched(tokens(dealt(pages, html, key), html, key), key)
     inside = F.lit(True)
     for i, step in enumerate(section):
         x = _inside(x, step.matches(F.col("tag"), F.col("raw")) & inside, key, f"_in{i}")

@@ -122,3 +122,13 @@ def test_long_and_odd_pages(spark):
     assert el.section_links(df.limit(0), [el.Step("div")], url=None).count() == 0
     plan = el.section_links(df, [el.Step("div"), el.Step("p")], url=None)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("regexp_replace") <= 2 and "Python" not in plan
+
+
+def test_pages_get_parts_by_their_size(spark, monkeypatch):
+    """The sorts of a task do not grow with the table: more pages, more parts."""
+    monkeypatch.setattr(el, "PART_CHARS", 1000)
+    df = spark.createDataFrame([(i, "<nav><a href='x'>" + "y" * 983 + "</a></nav>") for i in range(60)], "page_id int, html string")
+    links = el.section_links(df, [el.Step("nav")], url=None)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and int(plan.split("Exchange hashpartitioning(page_id")[1].split(", ")[1].split(")")[0]) >= 60
+    assert links.count() == 60

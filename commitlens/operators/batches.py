@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from commitlens.functions.text import word_count
-from commitlens.operators.numbering import row_numbers
+from commitlens.operators.numbering import row_numbers, written
 
 MAX_ROWS = 500
 MAX_WORDS = 100_000
+WAVES = 16          # jobs of a run: what a stop can lose is a part of it in so many
 SUB = 1_000_000     # batches into which the words may cut MAX_ROWS rows
 
 
@@ -46,7 +47,8 @@ class BatchLedger:
         p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/planned/_SUCCESS")
         if p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
             return
-        planned_rows.write.mode("overwrite").parquet(f"{self.path}/work")
+        # in order of the batches, so that a job skips the files and row groups of others
+        planned_rows.repartitionByRange("batch_id").sortWithinPartitions("batch_id").write.mode("overwrite").parquet(f"{self.path}/work")
         rows = self.spark.read.parquet(f"{self.path}/work")
         self._append(rows.limit(0).select("batch_id", F.lit("").alias("state")))
         (rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.coalesce(word_count(text), F.lit(0))).alias("n_words"))
@@ -66,30 +68,42 @@ class BatchLedger:
     def run(self, score: Callable[[DataFrame], DataFrame], sink: str, wave: int = 64, limit: int | None = None) -> None:
         """Score the open batches, ``wave`` of them in one job, into ``sink/batch_id=N``; stop after ``limit`` batches if given.
 
-        A wave that fails is tried again batch by batch; what fails alone is entered as failed and stays for the next run.
+        A long list of batches is cut into ``WAVES`` jobs of more batches each, so the jobs do not grow in number with the table.
+        A job that fails is halved until the batches that fail alone are left; those are entered as failed and stay for the next run.
         A batch that is scored again (its end was not entered) replaces its folder.
         """
-        work = self.spark.read.parquet(f"{self.path}/work")
-        done = 0
-        tried: set[int] = set()
-        while limit is None or done < limit:
-            size = wave if limit is None else min(wave, limit - done)
-            still = self.status().where("state <> 'done'")
-            ids = [r.batch_id for r in still.orderBy("batch_id").limit(size + len(tried)).collect() if r.batch_id not in tried][:size]   # wave ids at a time
-            if not ids:
+        still = self.status().where("state <> 'done'").select("batch_id")
+        if limit is not None:
+            still = still.orderBy("batch_id").limit(limit)
+        still = written(still, "open-batches")      # what this run tries, whatever ends meanwhile
+        n = still.count()
+        if not n:
+            return
+        jobs = min(-(-n // wave), WAVES)
+        for low, high in self._ranges(still, jobs):
+            self._score_or_halve(still.where(F.col("batch_id").between(low, high)), score, sink)
+
+    @staticmethod
+    def _ranges(ids: DataFrame, parts: int) -> list[tuple[int, int]]:
+        """The ids as ``parts`` ranges with about equally many each: (first, last)."""
+        cuts = ids.agg(F.percentile_approx("batch_id", [(i + 1) / parts for i in range(parts)], 1_000_000).alias("c"), F.min("batch_id").alias("low")).first()
+        ends = sorted(set(cuts["c"]))
+        return list(zip([cuts["low"], *[e + 1 for e in ends[:-1]]], ends))
+
+    def _score_or_halve(self, ids: DataFrame, score: Callable[[DataFrame], DataFrame], sink: str) -> None:
+        try:
+            self._score(ids, score, sink)
+        except Exception:  # a model that fails: find the batch it fails on
+            ranges = self._ranges(ids, 2)
+            if len(ranges) == 1:
+                self._append(ids.select("batch_id", F.lit("failed").alias("state")))
                 return
-            done += len(ids)
-            try:
-                self._score(work, ids, score, sink)
-            except Exception:  # a model that fails: find the batch it fails on
-                for i in ids:
-                    try:
-                        self._score(work, [i], score, sink)
-                    except Exception:
-                        tried.add(i)
-                        self._append(self.spark.createDataFrame([(i, "failed")], "batch_id long, state string"))
-
-    def _score(self, work: DataFrame, ids: list[int], score: Callable[[DataFrame], DataFrame], sink: str) -> None:
-        rows = work.where(F.col("batch_id").isin(ids)).repartition("batch_id")
+            for low, high in ranges:
+                self._score_or_halve(ids.where(F.col("batch_id").between(low, high)), score, sink)
+
+    def _score(self, ids: DataFrame, score: Callable[[DataFrame], DataFrame], sink: str) -> None:
+        ends = ids.agg(F.min("batch_id").alias("low"), F.max("batch_id").alias("high")).first()
+        work = self.spark.read.parquet(f"{self.path}/work").where(F.col("batch_id").between(ends["low"], ends["high"]))
+        rows = work.join(ids, "batch_id", "left_semi").select(*work.columns).repartition("batch_id")
         score(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink)
-        self._append(self.spark.createDataFrame([(i, "done") for i in ids], "batch_id long, state string"))
+        self._append(ids.select("batch_id", F.lit("done").alias("state")))

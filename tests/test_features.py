@@ -191,3 +191,21 @@ def test_link_by_anchor_with_many_tags(spark, n):
     html = "<a href='x'></a><a href='y'>" + "<i>" * n + " Changelog " + "</i>" * n + "</a>"
     df = spark.createDataFrame([(html,), (None,), ("<a href='z'>" + "<b>" * n,)], "html string")
     assert [r.x for r in df.select(ex.link_by_anchor("html", "Changelog").alias("x")).collect()] == ["y", None, None]
+
+
+def test_jobs_do_not_grow_with_the_batches(spark):
+    root = scratch_path(spark, "unit_waves")
+    work = spark.range(3000).select("id", F.lit("w w").alias("t"))
+    ledger = batches.BatchLedger(spark, f"{root}/ledger")
+    ledger.plan(batches.plan_batches(work, "id", "t", 3, 100), "t")
+    asked = []
+
+    def score(df):
+        asked.append(df)
+        return df.select("id", "batch_id", F.lit("ok").alias("a"))
+
+    ledger.run(score, f"{root}/out", wave=4)
+    assert len(asked) <= batches.WAVES and ledger.status().where("state = 'done'").count() == 1000
+    assert sorted(r.id for r in spark.read.parquet(f"{root}/out").select("id").collect()) == list(range(3000))
+    files = spark.read.parquet(f"{root}/ledger/work").groupBy(F.input_file_name()).agg(F.min("batch_id").alias("a"), F.max("batch_id").alias("b")).orderBy("a").collect()
+    assert all(x.b < y.a for x, y in zip(files, files[1:]))

@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` dealt by ``key`` to all shuffle partitions, for joins whose rows grow wide afterwards.
 
-    Partitions that Spark joins up by their size before the join can hold 20 times that size after it.
+    Partitions that Spark joins up by their size before the join can hold many times that size after it.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 

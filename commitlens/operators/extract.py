@@ -278,18 +278,33 @@ def commit_page_files(pages: DataFrame, html: str = "html", key: str = "page_id"
     the second cell) or a deletion (old line number in the first cell).  The
     page-level description is kept on every file row (X12).
     """
-    page = visible(html)
-    desc = F.regexp_extract(page, r'(?s)<div[^>]*class="[^"]*commit-desc[^"]*"[^>]*>\s*<pre>(.*?)</pre>', 1)
-    blocks = F.filter(F.split(page, "<copilot-diff-entry", -1), lambda x, i: i > 0)
-    x = pages.select(key, strip_ws(inner_text(desc)).alias("commit_description"),
-                     F.posexplode(blocks).alias("file_pos", "block"))
-    rows = F.regexp_extract_all(F.col("block"), F.lit(r'(?s)<tr[^>]*show-top-border[^>]*>(.*?)</tr>'), 1)
-
-    def last_cell_class(r):
-        return F.regexp_extract(r, r'(?s).*<td([^>]*)>', 1)
-
-    def last_cell_text(r):
-        return inner_text(F.regexp_extract(r, r'(?s).*<td[^>]*>(.*?)</td>', 1))
+    desc = F.regexp_extract("_page", r'(?s)<div[^>]*class="[^"]*commit-desc[^"]*"[^>]*>\s*<pre>(.*?)</pre>', 1)
+    blocks = F.filter(F.split("_page", "<copilot-diff-entry", -1), lambda x, i: i > 0)
+    # what belongs to the page is made before its files are rows: beside posexplode it would be made again for every file;
+    # the outer form adds no test for empty pages, which would cut every page twice more
+    x = (pages.select(key, visible(html).alias("_page"))
+         .select(key, strip_ws(inner_text(desc)).alias("commit_description"), blocks.alias("_blocks"))
+         .select(key, "commit_description", F.posexplode_outer("_blocks").alias("file_pos", "block")).where("file_pos is not null"))
+    # the possessive repetition stops at the first end tag, as a lazy one does, but takes the text between tags at once
+    rows = F.regexp_extract_all(F.col("block"), F.lit(r'(?s)<tr[^>]*show-top-border[^>]*>((?:[^<]++|<(?!/tr>))*+)</tr>'), 1)
+
+    def last_cell(r):
+        tail = F.substring_index(r, "<td", -1)      # behind the row's last cell mark
+        return F.struct(tail.alias("tail"), F.instr(tail, ">").alias("at"), F.contains(r, F.lit("<td")).alias("any"), r.alias("row"))
+
+    def last_cell_class(c):
+        # a mark that nothing closes is no cell: then the pattern looks for the one before
+        return (F.when(c["any"] & (c["at"] > 0), F.substring(c["tail"], F.lit(1), c["at"] - 1))
+                .otherwise(F.regexp_extract(c["row"], r'(?s).*<td([^>]*)>', 1)))
+
+    def last_cell_html(c):
+        inner = F.substring(c["tail"], c["at"] + 1, F.length(c["tail"]))
+        return (F.when(c["any"] & (c["at"] > 0) & inner.contains("</td>"), F.substring_index(inner, "</td>", 1))
+                .otherwise(F.regexp_extract(c["row"], r'(?s).*<td[^>]*>(.*?)</td>', 1)))
+
+    def inner_texts(fragments):
+        plain = F.transform(fragments, lambda t: F.when(t.contains("<"), F.regexp_replace(t, r"<[^>]+>", "")).otherwise(t))
+        return F.transform(plain, lambda t: F.when(t.contains("&"), decode_entities(t)).otherwise(t))
 
     def first_num(r):
         return F.nullif(F.regexp_extract(r, r'<td[^>]*data-line-number="(\d+)"', 1), F.lit("")).cast("int")
@@ -298,14 +313,17 @@ def commit_page_files(pages: DataFrame, html: str = "html", key: str = "page_id"
         return F.nullif(F.regexp_extract(r, r'(?s)<td[^>]*>.*?</td>\s*<td[^>]*data-line-number="(\d+)"', 1),
                         F.lit("")).cast("int")
 
-    added = F.filter(F.transform(rows, lambda r: F.when(last_cell_class(r).contains("blob-code-addition"),
-                                                        second_num(r))), lambda v: v.isNotNull())
-    deleted = F.filter(F.transform(rows, lambda r: F.when(last_cell_class(r).contains("blob-code-deletion"),
-                                                          first_num(r))), lambda v: v.isNotNull())
+    def numbers(kind, number):
+        of_kind = F.filter("_lines", lambda c: c["cls"].contains(kind))
+        return F.filter(F.transform(of_kind, lambda c: number(c["row"])), lambda v: v.isNotNull())
+
+    cells = F.transform(F.transform(rows, last_cell), lambda c: F.struct(last_cell_class(c).alias("cls"), last_cell_html(c).alias("html"), c["row"].alias("row")))
+    x = x.withColumn("_lines", cells)
     return x.select(key, "commit_description", F.col("file_pos").cast("long").alias("file_pos"),
                     F.regexp_extract("block", r'data-file-path="([^"]*)"', 1).alias("commit_diff_file"),
-                    F.array_join(F.transform(rows, last_cell_text), "").alias("commit_diff"),
-                    added.alias("added_lines"), deleted.alias("deleted_lines"))
+                    F.array_join(inner_texts(F.transform("_lines", lambda c: c["html"])), "").alias("commit_diff"),
+                    numbers("blob-code-addition", second_num).alias("added_lines"),
+                    numbers("blob-code-deletion", first_num).alias("deleted_lines"))
 
 
 def release_assets_from_page(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:

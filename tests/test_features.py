@@ -209,3 +209,21 @@ def test_jobs_do_not_grow_with_the_batches(spark):
     assert sorted(r.id for r in spark.read.parquet(f"{root}/out").select("id").collect()) == list(range(3000))
     files = spark.read.parquet(f"{root}/ledger/work").groupBy(F.input_file_name()).agg(F.min("batch_id").alias("a"), F.max("batch_id").alias("b")).orderBy("a").collect()
     assert all(x.b < y.a for x, y in zip(files, files[1:]))
+
+
+def test_commit_page_is_cut_once_not_for_every_file(spark):
+    cell = '<tr class="show-top-border"><td data-line-number="{0}"></td><td data-line-number="{0}"></td><td class="{1}">{2}</td></tr>'
+    lines = [cell.format(7, "blob-code-addition", "a &lt;<b>x</b>&amp;lt; \u00e9"), cell.format(8, "blob-code-deletion", "1 < 2 > 0"),
+             '<tr class="show-top-border"><td data-line-number="3"></td><td class="blob-code-deletion">d</td><td class="cut" </tr>',      # the last cell is not closed
+             '<tr class="show-top-border"><td data-line-number="4"></td><td class="blob-code-deletion">e</td><td class="x">no end</tr>', '<tr class="show-top-border">no cell</tr>']
+    page = "<div class='n'></div><div class=\"commit-desc\"><pre> d &amp; e </pre></div><!-- <copilot-diff-entry -->" + "".join(
+        f'<copilot-diff-entry data-file-path="f{i}"><table>{line}</table></copilot-diff-entry>' for i, line in enumerate(lines))
+    pages = spark.createDataFrame([(1, page), (2, "<html>no file</html>"), (3, None)], "page_id long, html string")
+    got = ex.commit_page_files(pages)
+    rows = [(r.page_id, r.commit_description, r.file_pos, r.commit_diff_file, r.commit_diff, r.added_lines, r.deleted_lines) for r in got.orderBy("file_pos").collect()]
+    want = [("a <x&lt; \u00e9", [7], []), ("1  0", [], [8]), ("d", [], [3]), ("e", [], []), ("", [], [])]
+    assert rows == [(1, "d & e", i, f"f{i}", *w) for i, w in enumerate(want)]
+    # one pattern pass a page: neither the description nor the page's visible part is made above the rows of its files
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[:plan.index("Generate")]
+    assert "commit-desc" not in above and "<!--" not in above and plan.count("commit-desc") == 1 and plan.count("show-top-border") == 1

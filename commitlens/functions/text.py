@@ -58,8 +58,7 @@ def first_between(c: ColumnOrName, w1_regex: str, w2_regex: str) -> Column:
 
 def split_lines(c: ColumnOrName) -> Column:
     """``str.splitlines()``: split on every line break, no trailing empty line."""
-    parts = F.split(_c(c), _LINE_BREAKS)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(_c(c), _LINE_BREAKS), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def indent_lines(c: ColumnOrName, n: int = 1) -> Column:

@@ -227,3 +227,16 @@ def test_commit_page_is_cut_once_not_for_every_file(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     above = plan[:plan.index("Generate")]
     assert "commit-desc" not in above and "<!--" not in above and plan.count("commit-desc") == 1 and plan.count("show-top-border") == 1
+
+
+def test_text_is_cut_into_lines_once(spark):
+    from commitlens.functions.text import indent_lines, split_lines
+    from commitlens.operators import prompts
+
+    texts = ["", "a", "a\n", "\n", "a\r\n\nb\r", "\u2028x", "a\n\n", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [(r.s, r.x) for r in df.select("i", split_lines("t").alias("s"), indent_lines("t", 2).alias("x")).orderBy("i").collect()]
+    assert got == [(None, None) if t is None else (t.splitlines(), "\n".join("\t\t" + v for v in t.splitlines())) for t in texts]
+    files = df.select(F.col("t").alias("m"), F.array(F.struct(F.lit("f").alias("file_name"), F.col("t").alias("patch"))).alias("files"))
+    plan = files.select(prompts.diff_prompt("m", "files").alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 3      # the message, the patch and the rendered files

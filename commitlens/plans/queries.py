@@ -428,7 +428,9 @@ def stratified_sample(spark, d):
 
 @q
 def label_sheet(spark, d):
-    return jobs.label_sheet(jobs.merge_classification(ad.answers(spark, d)), ad.commits(spark, d), seed="0")
+    # the sheet reads its classification four times; written once, the answers are parsed once
+    path = sinks.write_table(jobs.merge_classification(ad.answers(spark, d)), scratch_path(spark, "label_sheet"))
+    return jobs.label_sheet(spark.read.parquet(path), ad.commits(spark, d), seed="0")
 
 
 # --- prompts ------------------------------------------------------------------

@@ -240,3 +240,11 @@ def test_text_is_cut_into_lines_once(spark):
     files = df.select(F.col("t").alias("m"), F.array(F.struct(F.lit("f").alias("file_name"), F.col("t").alias("patch"))).alias("files"))
     plan = files.select(prompts.diff_prompt("m", "files").alias("p"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 3      # the message, the patch and the rendered files
+
+
+def test_shared_steps_run_once(spark):
+    from commitlens.plans.queries import REGISTRY
+
+    d = "/root/testdata/sf0.001"
+    plan = {n: REGISTRY[n](spark, d)._jdf.queryExecution().optimizedPlan().toString() for n in ["label_sheet"]}
+    assert "Root_Causes" not in plan["label_sheet"]       # the parsed answers are read

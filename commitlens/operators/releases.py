@@ -15,6 +15,8 @@ from commitlens.functions.text import normalized_version
 from commitlens.operators.asof import asof_join
 from commitlens.operators.dedup import first_per_key, pick_min
 from commitlens.operators.joins import skew_safe_join
+from commitlens.session import scratch_path
+from commitlens.sources.sinks import write_table
 
 GV = ["git_link", "apk_version"]
 
@@ -148,5 +150,9 @@ def gap_fill(pairs: DataFrame) -> DataFrame:
 
 
 def match_releases(commits: DataFrame, assets: DataFrame, store: DataFrame) -> DataFrame:
-    """Release pairs, gap-filled from the store listing."""
-    return gap_fill(release_pairs(commits, assets, store))
+    """Release pairs, gap-filled from the store listing.
+
+    The gap fill reads the pairs twice, once without their links; they are written once, or both would be matched from the tables."""
+    spark = commits.sparkSession
+    path = write_table(release_pairs(commits, assets, store), scratch_path(spark, "release_pairs"))
+    return gap_fill(spark.read.parquet(path))

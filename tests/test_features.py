@@ -246,5 +246,6 @@ def test_shared_steps_run_once(spark):
     from commitlens.plans.queries import REGISTRY
 
     d = "/root/testdata/sf0.001"
-    plan = {n: REGISTRY[n](spark, d)._jdf.queryExecution().optimizedPlan().toString() for n in ["label_sheet"]}
+    plan = {n: REGISTRY[n](spark, d)._jdf.queryExecution().optimizedPlan().toString() for n in ("label_sheet", "match_releases", "snapshot_index")}
     assert "Root_Causes" not in plan["label_sheet"]       # the parsed answers are read
+    assert all("lineitem" not in p and "l_orderkey" not in p for n, p in plan.items() if n != "label_sheet")      # the pairs are read

@@ -60,10 +60,24 @@ class VersionedTable:
         """Buckets that hold a key of ``changes`` (at most ``buckets`` numbers)."""
         return [r.b for r in changes.select(self.bucket().alias("b")).distinct().collect()]
 
-    def write(self, rows: DataFrame, version: int, keep: dict[int, int]) -> int:
-        """Write ``rows`` as the buckets of a new version beside the kept ones, then make it current."""
-        dealt = rows.withColumn("bucket", self.bucket()).repartition("bucket")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{version}")
+    def deal(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``bucket`` and ``_part``: each task gets one part, all rows of a key are in one part, and a part is in one bucket.
+
+        Rows grouped by these two columns and then the key need no other shuffle, neither for the grouping nor for :meth:`write`.
+        """
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n = self.buckets * -(-tasks // self.buckets)     # a multiple of the buckets
+        part = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.key]), F.lit(n)).cast("int")
+        return rows.withColumn("_part", part).repartitionById(n, F.col("_part")).withColumn("bucket", F.col("_part") % self.buckets)
+
+    def write(self, rows: DataFrame, version: int, keep: dict[int, int], dealt: bool = False) -> int:
+        """Write ``rows`` as the buckets of a new version beside the kept ones, then make it current.
+
+        ``dealt``: the rows come from :meth:`deal` and have their ``bucket``; they are written as they lie.
+        """
+        out = rows if dealt else rows.withColumn("bucket", self.bucket()).repartition("bucket")
+        out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{version}")
+        rows = rows.drop("bucket") if dealt else rows
         fs, p = self._fs(f"{self.path}/data/{version}")
         new = {int(s.getPath().getName().split("=")[1]): version for s in fs.listStatus(p) if s.getPath().getName().startswith("bucket=")}
         manifest = self.spark.createDataFrame(sorted((keep | new).items()), "bucket int, written int")
@@ -77,15 +91,16 @@ class VersionedTable:
     def create(self, rows: DataFrame, version: int = 0) -> int:
         return self.write(rows, version, {})
 
-    def rewrite(self, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], base: int | None = None) -> int:
+    def rewrite(self, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], base: int | None = None, dealt: bool = False) -> int:
         """New version: ``merge(old rows, changes)`` in the buckets with a changed key, the other buckets as they are.
 
         ``base``: version that is changed (the current one by default); rewriting an old base again replaces the version after it.
+        ``dealt``: as in :meth:`write`, of what ``merge`` returns.
         """
         base = self.current() if base is None else base
         at = self.touched(changes)
         keep = {b: v for b, v in self.folders(base).items() if b not in at}
-        return self.write(merge(self.read(base, at), changes), base + 1, keep)
+        return self.write(merge(self.read(base, at), changes), base + 1, keep, dealt)
 
     def update(self, changes: DataFrame, columns: list[str], prefer_new: bool = True) -> int:
         """J9, J10 in place: set ``columns`` of rows with a key in ``changes`` (the smallest value per key); with ``prefer_new`` off only nulls are filled.

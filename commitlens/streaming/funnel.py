@@ -18,26 +18,33 @@ from commitlens.sources.versioned import BUCKETS, VersionedTable
 from commitlens.streaming.incremental import _run, file_stream
 
 
-def _per_key(state: DataFrame, key: str, names: list[str], cap: tuple[str, str, int] | None) -> DataFrame:
-    """(key, ``_rows``): rows of each stage, per key."""
-    counts = state.groupBy(key).agg(*[F.sum(F.call_function("getbit", F.col("_flags"), F.lit(i)).cast("long")).alias(f"_r{i}") for i in range(len(names))])
-    rows = [F.col(f"_r{i}") for i in range(len(names))]
-    if cap:
-        r = F.col(f"_r{names.index(cap[1])}")
-        rows.append(F.when(r <= cap[2], r).otherwise(F.lit(0).cast("long")))
-    return counts.select(key, F.array(*rows).alias("_rows"))
+def last_verdicts(table: VersionedTable, old: DataFrame, rows: DataFrame, key: str, row_key: list[str]) -> DataFrame:
+    """The last verdict of every row, dealt for ``table``: one shuffle serves the grouping and the write."""
+    both = table.deal(old.unionByName(rows))
+    last = both.groupBy("bucket", "_part", key, *row_key).agg(F.max(F.struct("_order", "_flags")).alias("m"))
+    return last.select("bucket", key, *row_key, "m._order", "m._flags")
 
 
 def funnel_changes(old: DataFrame, new: DataFrame, key: str, names: list[str], cap: tuple[str, str, int] | None) -> DataFrame:
     """(stage_order, stage, ``d_rows``, ``d_commits``): what changed between two states of the same commits."""
     labels = names + ([cap[0]] if cap else [])
-    none = F.array(*[F.lit(0).cast("long")] * len(labels))
-    a = _per_key(old, key, names, cap).withColumnsRenamed({key: "_k", "_rows": "_before"})
-    both = _per_key(new, key, names, cap).join(a, F.col(key).eqNullSafe(F.col("_k")), "full")
-    before, after = F.coalesce("_before", none), F.coalesce("_rows", none)
-    moved = both.where(before != after).select(F.explode(F.arrays_zip(before.alias("b"), after.alias("a"), F.array(*[F.lit(i) for i in range(len(labels))]).alias("i"))).alias("s"))
-    changed = moved.select(F.col("s.i").alias("stage_order"), (F.col("s.a") - F.col("s.b")).alias("r"),
-                           ((F.col("s.a") > 0).cast("long") - (F.col("s.b") > 0).cast("long")).alias("k"))
+    # both states are counted in one grouping, which also takes null keys as one commit
+    both = old.select(key, "_flags", F.lit(False).alias("_now")).unionByName(new.select(key, "_flags", F.lit(True).alias("_now")))
+    sides = {"b": ~F.col("_now"), "a": F.col("_now")}
+    bit = lambda i: F.call_function("getbit", F.col("_flags"), F.lit(i)).cast("long")
+    counts = both.groupBy(key).agg(*[F.sum(F.when(at, bit(i)).otherwise(0)).alias(f"_{s}{i}") for s, at in sides.items() for i in range(len(names))])
+
+    def rows(side: str) -> Column:
+        of = [F.col(f"_{side}{i}") for i in range(len(names))]
+        if cap:
+            r = of[names.index(cap[1])]
+            of.append(F.when(r <= cap[2], r).otherwise(F.lit(0).cast("long")))
+        return F.array(*of).alias(side)
+
+    moved = counts.select(rows("b"), rows("a")).where(F.col("b") != F.col("a"))
+    each = moved.select(F.explode(F.arrays_zip("b", "a", F.array(*[F.lit(i) for i in range(len(labels))]).alias("i"))).alias("s"))
+    changed = each.select(F.col("s.i").alias("stage_order"), (F.col("s.a") - F.col("s.b")).alias("r"),
+                          ((F.col("s.a") > 0).cast("long") - (F.col("s.b") > 0).cast("long")).alias("k"))
     name = F.get(F.array(*[F.lit(x) for x in labels]), F.col("stage_order"))
     return changed.groupBy("stage_order").agg(F.sum("r").alias("d_rows"), F.sum("k").alias("d_commits")).withColumn("stage", name)
 
@@ -55,9 +62,7 @@ def running_funnel(spark: SparkSession, source: str, schema: T.StructType, key:
     flags = sum((F.coalesce(c, F.lit(False)).cast("long") * (1 << i) for i, (_, c) in enumerate(stages)), F.lit(0).cast("long"))
 
     def merge(old: DataFrame, rows: DataFrame) -> DataFrame:
-        both = old.unionByName(rows)
-        last = both.groupBy(key, *row_key).agg(F.max(F.struct("_order", "_flags")).alias("m"))
-        return last.select(key, *row_key, "m._order", "m._flags")
+        return last_verdicts(table, old, rows, key, row_key)
 
     def batch(df: DataFrame, batch_id: int) -> None:
         rows = df.select(key, *row_key, F.col(order).alias("_order"), flags.alias("_flags"))
@@ -65,7 +70,7 @@ def running_funnel(spark: SparkSession, source: str, schema: T.StructType, key:
         rows = spark.read.schema(rows.schema).parquet(f"{sink}_work/batch_id={batch_id}")
         if batch_id == 0:
             table.create(rows.limit(0), 0)
-        version = table.rewrite(rows, merge, base=batch_id)
+        version = table.rewrite(rows, merge, base=batch_id, dealt=True)
         at = table.touched(rows)
         append_batch(funnel_changes(table.read(batch_id, at), table.read(version, at), key, names, cap), sink, batch_id)
 

@@ -72,3 +72,26 @@ def test_funnel_follows_changed_verdicts(spark):
         assert got == {r.stage: (r.n_rows, r.n_commits) for r in want.collect()}
     changes = spark.read.parquet(f"{root}/out")
     assert changes.where("batch_id = 1 and stage = 'yes'").first().d_rows < 0          # lowered verdicts are taken back
+
+
+def test_funnel_state_is_shuffled_once(spark):
+    """The grouping and the write of the state share one exchange, and the changes take one for both states; parts stay in their buckets."""
+    t = VersionedTable(spark, scratch_path(spark, "unit_funnel_dealt"), ["k"], 4)
+    state = [("a", 1, 0, 3), ("a", 2, 0, 1), ("b", 1, 0, 3), (None, 1, 0, 1), (None, 2, 0, 3)]
+    old = spark.createDataFrame(state, "k string, f int, _order int, _flags long")
+    t.create(old)
+    rows_ = spark.createDataFrame([("a", 1, 1, 0), ("b", 1, -1, 0), (None, 2, 1, 1), ("c", 1, 1, 3), ("c", 1, 1, 2)], old.schema)
+    last = rf.last_verdicts(t, t.read(), rows_, "k", ["f"])
+    exchanges = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange " in x]
+    assert len(exchanges(last)) == 1
+    assert t.rewrite(rows_, lambda o, r: rf.last_verdicts(t, o, r, "k", ["f"]), dealt=True) == 1
+    assert t.schema(1) == t.schema(0)
+    want = [("a", 1, 1, 0), ("a", 2, 0, 1), ("b", 1, 0, 3), (None, 1, 0, 1), (None, 2, 1, 1), ("c", 1, 1, 3)]
+    assert rows(t.read()) == sorted(want, key=str)
+    for b, v in t.folders().items():
+        assert all(r.b == b for r in t.read(v, [b]).select(t.bucket().alias("b")).collect())
+    names, cap = ["all", "yes"], ("few", "yes", 1)
+    change = rf.funnel_changes(t.read(0), t.read(1), "k", names, cap)
+    assert len([x for x in exchanges(change) if "stage_order" not in x]) == 1
+    # a loses its only yes but keeps a row of stage all; the null commit loses its yes; c is new
+    assert {r.stage: (r.d_rows, r.d_commits) for r in change.collect()} == {"all": (0, 1), "yes": (-1, -1), "few": (-1, -1)}

@@ -62,7 +62,10 @@ def propagate(df: DataFrame, verdicts: DataFrame, keys: list[str], cols: list[st
     Keys compare null-safe: each becomes the pair (is NULL, value or an empty
     text), and the pairs are joined through ``skew_safe_join``, so AQE splits a
     hot key.  Of several verdict rows with one key the smallest is used, so a
-    commit row is never multiplied.
+    commit row is never multiplied.  The verdicts of a partition are hashed and
+    the rows of ``df`` stream past them: sorting the rows of a hot key that is
+    too small for AQE's split (256 MB shuffled) would take many times its bytes
+    of memory.
     """
     on = [f"_{p}_{k}" for k in keys for p in ("n", "v")]
 
@@ -71,7 +74,7 @@ def propagate(df: DataFrame, verdicts: DataFrame, keys: list[str], cols: list[st
             (f"_n_{k}", F.col(k).isNull()), (f"_v_{k}", F.coalesce(F.col(k).cast("string"), F.lit(""))))})
 
     v = paired(verdicts).groupBy(*on).agg(F.min(F.struct(*cols)).alias("_verdict"))
-    return skew_safe_join(paired(df), v, on, how).select(*df.columns, *[F.col(f"_verdict.{c}").alias(c) for c in cols])
+    return skew_safe_join(paired(df), v.hint("shuffle_hash"), on, how).select(*df.columns, *[F.col(f"_verdict.{c}").alias(c) for c in cols])
 
 
 def match_project(commits: DataFrame, projects: DataFrame, link: str = "commit_link",

@@ -116,6 +116,21 @@ def test_commits_stay_dealt_to_all_partitions(spark, tmp_path):
     assert got == [("29", "one")] * 2 + [("4", "zero")] * 2 + [("7", None)] * 2
 
 
+def test_propagate_does_not_sort_the_rows_of_a_hot_key(spark):
+    """The verdicts are hashed and the rows stream past them, whatever the sizes: a hot message needs no memory of its own."""
+    from commitlens.operators import joins
+
+    df = spark.createDataFrame([("hot", None, i) for i in range(300)] + [("hot", "", 300), (None, None, 301), ("cold", "x", 302)], "t string, d string, i int")
+    v = spark.createDataFrame([("hot", None, True), ("hot", None, False), (None, None, True), ("lost", "x", True)], "t string, d string, v boolean")
+    for how in ("left", "inner"):
+        out = joins.propagate(df, v, ["t", "d"], ["v"], how=how)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Sort [_jk" not in plan
+        want = [("hot", None, i, False) for i in range(300)] + [(None, None, 301, True)]
+        want += [("hot", "", 300, None), ("cold", "x", 302, None)] if how == "left" else []
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_line_index_is_linear(spark):
     """A file of 100,000 lines, all deleted and all kept, some only as parts of lines."""
     n = 100_000

@@ -34,13 +34,15 @@ def message_text(title: str = "commit_title", description: str = "commit_descrip
 def unique_messages(commits: DataFrame) -> DataFrame:
     """W2 before scoring: one row per (title, description), NULL-safe, first link kept.
 
-    The scoring text ``_msg`` is built before the dedup and carried through the
-    ``min_by`` aggregate.  Because the answer then depends on an aggregate
-    output, Catalyst cannot push a filter on the answer below the dedup (it
-    would otherwise evaluate the scorer on every raw row).
+    The scoring text ``_msg`` is built after the dedup, so its sorts and its
+    shuffle hold a long description once, not twice.  It is tied to the count
+    (at least 1 in every group): because the answer then depends on an
+    aggregate output, Catalyst cannot push a filter on the answer below the
+    dedup (it would otherwise evaluate the scorer on every raw row).
     """
-    return first_per_key(commits.select(*MSG, "commit_link", "commit_diff_file", message_text().alias("_msg")),
-                         MSG, ["commit_link", "commit_diff_file"])
+    u = first_per_key(commits.select(*MSG, "commit_link", "commit_diff_file"),
+                      MSG, ["commit_link", "commit_diff_file"], count_name="_n")
+    return u.withColumn("_msg", F.when(F.col("_n") > 0, message_text())).drop("_n")
 
 
 def score_commits(commits: DataFrame, scorer=None, second=None, keep_text: bool = False) -> DataFrame:

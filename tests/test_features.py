@@ -131,6 +131,27 @@ def test_propagate_does_not_sort_the_rows_of_a_hot_key(spark):
         assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
 
 
+def test_unique_messages_are_hashed_without_their_scoring_text(spark):
+    """The scoring text is built above the dedup, whose rows are hashed, not sorted; a filter on the answer stays above it."""
+    from commitlens.operators import scoring
+    from commitlens.plans import jobs
+
+    rows = [("Speed up", None, "l2", "b"), ("Speed up", None, "l1", "c"), ("Speed up", None, "l1", "a"), ("Speed up", "", "l3", "a"), ("Speed up", "", None, "b"),
+            (None, "memory", "l4", "a"), ("Add", "cpu", "l5", None)]
+    u = jobs.unique_messages(spark.createDataFrame(rows, "commit_title string, commit_description string, commit_link string, commit_diff_file string"))
+    want = [("Speed up", None, "l1", "a", "Speed up\nEMPTY"), ("Speed up", "", None, "b", "Speed up\n"), (None, "memory", "l4", "a", None), ("Add", "cpu", "l5", None, "Add\ncpu")]
+    assert u.columns == [*jobs.MSG, "commit_link", "commit_diff_file", "_msg"]
+    assert sorted(map(tuple, u.collect()), key=str) == sorted(want, key=str)
+    scored = u.select(*jobs.MSG, scoring.lexicon_answer("_msg").alias("answer"))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "Sort [" not in plan
+    yes = u.withColumn("answer", scoring.lexicon_answer("_msg")).filter(F.col("answer").contains("Yes"))
+    plan = yes._jdf.queryExecution().optimizedPlan().toString()
+    assert "EMPTY" in plan and "regexp_extract" in plan
+    assert "EMPTY" not in plan[plan.index("Aggregate ["):] and "regexp_extract" not in plan[plan.index("Aggregate ["):]
+    assert sorted(map(tuple, yes.select("commit_link").collect()), key=str) == [("l1",), ("l5",), (None,)]
+
+
 def test_line_index_is_linear(spark):
     """A file of 100,000 lines, all deleted and all kept, some only as parts of lines."""
     n = 100_000

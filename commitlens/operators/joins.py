@@ -51,9 +51,11 @@ def anti(df: DataFrame, *others: DataFrame, on: list[str]) -> DataFrame:
 
 
 def flag_member(df: DataFrame, keys_df: DataFrame, on: list[str], name: str) -> DataFrame:
-    """Boolean column ``name`` = key occurs in ``keys_df``."""
+    """Boolean column ``name`` = key occurs in ``keys_df``.
+
+    The keys of a partition are hashed and the rows of ``df`` stream past them, as in ``propagate``."""
     k = keys_df.select(*on).distinct().withColumn(name, F.lit(True))
-    return skew_safe_join(df, k, on, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+    return skew_safe_join(df, k.hint("shuffle_hash"), on, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
 def propagate(df: DataFrame, verdicts: DataFrame, keys: list[str], cols: list[str], how: str = "inner") -> DataFrame:

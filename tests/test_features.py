@@ -152,6 +152,19 @@ def test_unique_messages_are_hashed_without_their_scoring_text(spark):
     assert sorted(map(tuple, yes.select("commit_link").collect()), key=str) == [("l1",), ("l5",), (None,)]
 
 
+def test_flag_member_hashes_the_keys(spark):
+    """The keys are hashed and the rows stream past them: a partition of wide rows is not sorted."""
+    from commitlens.operators import joins
+
+    df = spark.createDataFrame([("hot", i) for i in range(300)] + [("cold", 300), (None, 301)], "k string, i int")
+    keys = spark.createDataFrame([("hot",), ("hot",), (None,), ("lost",)], "k string")
+    out = joins.flag_member(df, keys, ["k"], "found")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Sort [" not in plan
+    want = [("hot", i, True) for i in range(300)] + [("cold", 300, False), (None, 301, False)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_line_index_is_linear(spark):
     """A file of 100,000 lines, all deleted and all kept, some only as parts of lines."""
     n = 100_000

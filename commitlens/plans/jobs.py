@@ -31,18 +31,23 @@ def message_text(title: str = "commit_title", description: str = "commit_descrip
     return F.concat(F.col(title), F.lit("\n"), F.coalesce(F.col(description), F.lit(fixed.EMPTY_DESCRIPTION)))
 
 
-def unique_messages(commits: DataFrame) -> DataFrame:
+def unique_messages(commits: DataFrame, keep_first: bool = False) -> DataFrame:
     """W2 before scoring: one row per (title, description), NULL-safe, first link kept.
 
     The scoring text ``_msg`` is built after the dedup, so its sorts and its
     shuffle hold a long description once, not twice.  It is tied to the count
     (at least 1 in every group): because the answer then depends on an
     aggregate output, Catalyst cannot push a filter on the answer below the
-    dedup (it would otherwise evaluate the scorer on every raw row).
+    dedup (it would otherwise evaluate the scorer on every raw row).  Where the
+    first link is not read, the messages are then hashed; with ``keep_first``
+    it stays part of the dedup even so, which sorts them.
     """
     u = first_per_key(commits.select(*MSG, "commit_link", "commit_diff_file"),
                       MSG, ["commit_link", "commit_diff_file"], count_name="_n")
-    return u.withColumn("_msg", F.when(F.col("_n") > 0, message_text())).drop("_n")
+    found = F.col("_n") > 0
+    if keep_first:
+        found = found | F.col("commit_link").isNotNull()
+    return u.withColumn("_msg", F.when(found, message_text())).drop("_n")
 
 
 def score_commits(commits: DataFrame, scorer=None, second=None, keep_text: bool = False) -> DataFrame:
@@ -55,7 +60,7 @@ def score_commits(commits: DataFrame, scorer=None, second=None, keep_text: bool
 
     ``keep_text`` keeps the scoring text ``_msg`` (an aggregate output) for a
     later model call, so that call also stays above the dedup."""
-    u = (unique_messages(commits)
+    u = (unique_messages(commits, keep_first=True)
          .withColumn("_desc", F.coalesce(F.col("commit_description"), F.lit(fixed.EMPTY_DESCRIPTION)))
          .withColumn("prompt", chat_prompt("commit_title", "_desc", SYSTEM_TEXT, EXAMPLES))
          .drop("_desc"))

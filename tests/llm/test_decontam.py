@@ -197,3 +197,65 @@ def test_word_bound_loses_no_match(texts, items):
         t, s, item = texts[owner[a]], int(first[a]), items[b]
         region = t[max(0, s - len(item) // 2):s + decontam.WINDOW + len(item) // 2]
         assert ok or decontam.common_subsequence(item, region) < decontam.PARAPHRASE_LCS * len(item)
+
+
+def test_fit_takes_every_passage(spark, monkeypatch):
+    """The latent vectors are fitted on all documents and all items, not on a part of them."""
+    fitted = {}
+    vectors = decontam.singular_vectors
+
+    def counted(rows, idf, rank):
+        fitted["rows"] = rows.count()
+        return vectors(rows, idf, rank)
+
+    monkeypatch.setattr(decontam, "singular_vectors", counted)
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(10))) for i in range(2500)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(word() for _ in range(12))) for i in range(4200)], "item_id long, text string")
+    decontam.find_leaks(docs, bench, rank=8)
+    assert fitted["rows"] == 2500 + 4200
+
+
+def test_panel_equals_dense_product(spark, monkeypatch):
+    """Both products of the fit against a dense passage matrix, for texts of odd lengths, hot words, nulls and several chunks."""
+    monkeypatch.setattr(decontam, "FIT_WORDS", 300)
+    rnd = random.Random(10)
+    texts = [" ".join(rnd.choice(["the", "of"] + [f"w{k}" for k in range(400)] * (k % 3 > 0)) for k in range(n)) for n in (1, 31, 32, 33, 64, 65, 96, 700, 2, 120)] + [None, "", "  "]
+    rows = spark.createDataFrame([(t, 1.0 + i % 2) for i, t in enumerate(texts)], "text string, weight double")
+    weights = [1.0 + i % 2 for i in range(len(texts))]
+    idf = decontam.idf_weights(rows, "text")
+    seen = np.zeros(decontam.FEATURES)
+    passages = []
+    for t, scale in zip(texts, weights):
+        f = decontam.features(decontam.word_hashes([t], decontam.FOLD)[0])
+        seen[np.unique(f)] += 1
+        for s in range(0, max(1, len(f) - decontam.STEP), decontam.STEP):
+            part = f[s:s + decontam.WINDOW]
+            if len(part):
+                passages.append(scale * np.bincount(part, minlength=decontam.FEATURES) * idf / np.sqrt((idf[part] ** 2).sum()))
+    assert np.allclose(idf, np.log((1 + len(texts)) / (1 + seen)) + 1, rtol=1e-5)
+    a = np.array(passages)
+    q = np.linalg.qr(np.random.default_rng(1).standard_normal((decontam.FEATURES, 5)))[0].astype(np.float32)
+    words = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(3)
+    both = [decontam.text_features(words.where(f"i % 2 = {k}"), "text").selectExpr("words", f"{1.0 + k}D as weight") for k in range(2)]
+    fit = both[0].unionByName(both[1])
+    want = a.T @ (a @ q)
+    assert np.abs(decontam.panel(fit, q, idf) - want).max() < 4e-3 * np.abs(want).max()
+    want = (a @ q).T @ (a @ q)
+    assert np.abs(decontam.panel(fit, q, idf, gram=True) - want).max() < 4e-3 * np.abs(want).max()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 30), max_size=200), st.lists(st.lists(st.integers(0, 30), min_size=1, max_size=64), min_size=1, max_size=4), st.integers(0, 150), st.integers(1, 128))
+def test_order_bound_loses_no_match(text, items, lo, size):
+    hi = min(len(text), lo + size)
+    lo = min(lo, hi)
+    bound = decontam.OrderBound(items)
+    j = np.arange(len(items))
+    got = bound.may_match(np.array(text, np.uint64), np.full(len(items), lo), np.full(len(items), hi), j)
+    for item, ok in zip(items, got.tolist()):
+        best = decontam.common_subsequence(item, text[lo:hi])
+        assert ok or (len(item) >= decontam.FEW and best < decontam.PARAPHRASE_LCS * len(item))
+    assert decontam.subsequence_lengths(np.array([i + [99] * (64 - len(i)) for i in items], np.uint16), np.array([text[lo:hi] for _ in items], np.uint16).reshape(len(items), -1)).tolist() == [
+        decontam.common_subsequence(i, text[lo:hi]) for i in items]

@@ -3,10 +3,11 @@
 One pattern pass cuts a page into tags and the text between them; comments, scripts and styles are taken in the same
 pass.  Start and end tags are matched per tag name by their running depth: a start at a depth belongs to the next end that
 leaves this depth, so nested equal tags (``div`` in ``div``) find their own ends.  A start without an end (``p`` or ``li`` whose end
-tag is left out) ends before the next tag of its name, or with the page.  Elements inside a section are found by
-running counts of open sections, step by step along a selector; no element is joined with its ancestors.
+tag is left out) ends before the next tag of its name, or with the page.  Elements inside a section are found by the
+farthest end of the sections begun before, step by step along a selector; no element is joined with its ancestors.
 
-All windows are over one page (rows of one key); they share one exchange, that of the pages before they are cut.  It has a part for every
+All windows are over one page (rows of one key); they share one exchange, that of the pages before they are cut, and three sorts whatever the number
+of steps: by tag, by tag and depth, by position.  The exchange has a part for every
 ``PART_CHARS`` of text, so a task sorts a bounded number of tags, whatever the size of the table.
 """
 
@@ -24,6 +25,7 @@ from commitlens.operators.extract import absolute, attribute, base_url, decode_e
 ATTRIBUTES = r"""(?:[^'">]++|"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))*+(?:>|\z)"""
 TOKEN = rf"(?is)<!--.*?(?:-->|\z)|<(script|style)(?=[\s>]){ATTRIBUTES}.*?(?:</\2\s*+>|\z)|</?[a-z][a-z0-9:-]*+{ATTRIBUTES}"
 PART_CHARS = 1 << 22     # pages full of tags take some 200 bytes a character in the sorts of a task
+PAGE_END = 1 << 62       # behind every position
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 
 
@@ -76,7 +78,7 @@ def matched(tags: DataFrame, key: str = "page_id") -> DataFrame:
     counts = F.col("tag").isNotNull() & ~F.col("tag").isin(VOID) & ~F.coalesce(F.rtrim("raw").endswith("/>"), F.lit(False))
     same = Window.partitionBy(key, "tag").orderBy("pos")
     move = F.when(~counts, 0).when(F.col("is_end"), -1).otherwise(1)
-    x = tags.withColumn("_move", move).withColumn("_sum", F.sum("_move").over(same))
+    x = tags.withColumn("_move", move).withColumn("_sum", F.sum("_move").over(same)).withColumn("_after", F.lead("pos").over(same))
     x = x.withColumn("depth", F.when(F.col("_move") == 0, F.lit(None)).otherwise(F.col("_sum") + F.when(F.col("_move") < 0, 1).otherwise(0)))
     level = Window.partitionBy(key, "tag", "depth").orderBy("pos")
     x = x.withColumn("_next_move", F.lead("_move").over(level)).withColumn("_next", F.lead("pos").over(level))
@@ -84,24 +86,20 @@ def matched(tags: DataFrame, key: str = "page_id") -> DataFrame:
     start, closed = F.col("_move") == 1, F.coalesce(F.col("_next_move") == -1, F.lit(False))
     own = F.col("_move") == 0          # void tags and tags without content end where they begin
     x = x.withColumn("closed", (start & closed) | (own & F.col("tag").isNotNull()))
-    x = x.withColumn("end", F.when(start & closed, F.col("_next")).when(start, F.lead("pos").over(same)).when(own & F.col("tag").isNotNull(), F.col("pos")))
+    x = x.withColumn("end", F.when(start & closed, F.col("_next")).when(start, F.col("_after")).when(own & F.col("tag").isNotNull(), F.col("pos")))
     x = x.withColumn("start", F.when((F.col("_move") == -1) & (F.col("_prev_move") == 1), F.col("_prev")))
-    return x.drop("_move", "_sum", "_next_move", "_next", "_prev_move", "_prev")
+    return x.drop("_move", "_sum", "_after", "_next_move", "_next", "_prev_move", "_prev")
 
 
 def _inside(x: DataFrame, chosen: Column, key: str, name: str) -> DataFrame:
-    """``name``: how many chosen elements are open before each token; ``name_n``: how many have begun up to it."""
-    by_tag = Window.partitionBy(key, "tag").orderBy("pos")
+    """``name``: whether a chosen element that began before is open at each token; ``name_n``: how many have begun up to it."""
     order = Window.partitionBy(key).orderBy("pos")
     content = ~F.col("tag").isin(VOID) & ~F.coalesce(F.rtrim("raw").endswith("/>"), F.lit(False))
-    x = x.withColumn("_hit", F.coalesce(chosen & ~F.col("is_end"), F.lit(False)) & content)
-    # a chosen element closes at its end tag, or before the next tag of its name if it has no end tag of its own
-    level = Window.partitionBy(key, "tag", "depth").orderBy("pos")
-    closes = (F.coalesce(F.lag("_hit").over(level) & F.col("start").isNotNull(), F.lit(False)).cast("int")
-              + F.coalesce(F.lag(F.col("_hit") & ~F.col("closed")).over(by_tag), F.lit(False)).cast("int"))
-    x = x.withColumn("_open", F.col("_hit").cast("int")).withColumn("_close", closes)
-    x = x.withColumn(name, F.sum(F.col("_open") - F.col("_close")).over(order) - F.col("_open"))
-    return x.withColumn(f"{name}_n", F.sum("_open").over(order)).drop("_hit", "_open", "_close")
+    x = x.withColumn("_hit", F.coalesce(~F.col("is_end") & chosen, F.lit(False)) & content)
+    # a chosen element is open up to its end; of all that began before, the one that ends last tells
+    last = F.max(F.when(F.col("_hit"), F.coalesce("end", F.lit(PAGE_END)))).over(order.rangeBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn(f"{name}_n", F.sum(F.col("_hit").cast("int")).over(order)).withColumn("_last", last)
+    return x.withColumn(name, F.coalesce(F.col("_last") > F.col("pos"), F.lit(False))).drop("_hit", "_last")
 
 
 def select_elements(pages: DataFrame, path: list[Step], html: str = "html", key: str = "page_id") -> DataFrame:
@@ -110,7 +108,7 @@ def select_elements(pages: DataFrame, path: list[Step], html: str = "html", key:
     inside = F.lit(True)
     for i, step in enumerate(path[:-1]):
         x = _inside(x, step.matches(F.col("tag"), F.col("raw")) & inside, key, f"_in{i}")
-        inside = F.col(f"_in{i}") > 0
+        inside = F.col(f"_in{i}")
     last = path[-1]
     hit = last.matches(F.col("tag"), F.col("raw")) & ~F.col("is_end") & inside
     return x.where(hit).select(key, "pos", "end", "tag", "raw", "depth")
@@ -124,14 +122,14 @@ def section_links(pages: DataFrame, section: list[Step], html: str = "html", url
     inside = F.lit(True)
     for i, step in enumerate(section):
         x = _inside(x, step.matches(F.col("tag"), F.col("raw")) & inside, key, f"_in{i}")
-        inside = F.col(f"_in{i}") > 0
-    href = attribute(F.col("raw"), "href")
-    x = x.withColumn("_link", F.coalesce((F.col("tag") == "a") & ~F.col("is_end") & inside & href.isNotNull(), F.lit(False)))
+        inside = F.col(f"_in{i}")
+    x = x.withColumn("_href", F.when((F.col("tag") == "a") & ~F.col("is_end") & inside, attribute(F.col("raw"), "href")))
+    x = x.withColumn("_link", F.col("_href").isNotNull())
     x = _inside(x, F.col("_link"), key, "_in_link")
-    within = (F.col("_in_link") > 0) | F.col("_link")
+    within = F.col("_in_link") | F.col("_link")
     closes = (F.col("tag") == "a") & F.col("is_end")       # the text behind an end tag is outside
     parts = x.where(within).groupBy(key, "_in_link_n").agg(
-        F.max(F.when(F.col("_link"), href)).alias("href"),
+        F.max("_href").alias("href"),
         F.array_sort(F.collect_list(F.when(~F.coalesce(closes, F.lit(False)), F.struct("pos", "text")))).alias("_text"))
     links = parts.where(F.col("href").isNotNull()).select(key, (F.col("_in_link_n") - 1).alias("pos"), "href",
                                                           decode_entities(F.array_join(F.transform("_text", lambda t: t["text"]), "")).alias("anchor_text"))

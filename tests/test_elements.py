@@ -132,3 +132,22 @@ def test_pages_get_parts_by_their_size(spark, monkeypatch):
     plan = links._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and int(plan.split("Exchange hashpartitioning(page_id")[1].split(", ")[1].split(")")[0]) >= 60
     assert links.count() == 60
+
+
+def test_three_sorts_whatever_the_number_of_steps(spark):
+    """Tokens are sorted by tag, by tag and depth, and by position; a further step adds no sort."""
+    df = spark.createDataFrame(list(enumerate(NESTED)), "page_id int, html string")
+    for path in ([el.Step("div")], [el.Step("div"), el.Step("ul"), el.Step("li"), el.Step("b")]):
+        plan = el.section_links(df, path, url=None)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Sort [") == 3
+
+
+def test_sections_that_overlap(spark):
+    """A section without its end tag ends before the next tag of its name, one that is closed late covers what comes after; nested ones reach to the farthest end."""
+    pages = ['<p class="c"><a href="1">in</a><p><a href="2">out</a></p>', '<div class="c"><p class="c"></div><a href="1">in p</a><p><a href="2">out</a>',
+             '<div class="c"><div class="c"><a href="1">in</a></div><a href="2">in</a></div><a href="3">out</a>', '<p class="c"/><a href="1">out</a><b class="c"><a href="2">in</a>']
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")
+    got = by_page(el.section_links(df, [el.Step("p", cls="c")], url=None))
+    assert got == {0: [("1", "in")], 1: [("1", "in p")]}
+    assert by_page(el.section_links(df, [el.Step("div", cls="c")], url=None)) == {2: [("1", "in"), ("2", "in")]}
+    assert by_page(el.section_links(df, [el.Step("b", cls="c")], url=None)) == {3: [("2", "in")]}
